@@ -48,8 +48,9 @@ def plain_words(text: str | None) -> list[bytes]:
 def word_hashes(words: list[bytes], cache: dict[bytes, int]) -> np.ndarray:
     if len(cache) > 500_000:
         cache.clear()
-    for w in set(words) - cache.keys():
-        cache[w] = xxhash.xxh64_intdigest(w)
+    for w in set(words):
+        if w not in cache:
+            cache[w] = xxhash.xxh64_intdigest(w)
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 

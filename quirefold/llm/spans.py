@@ -75,8 +75,9 @@ class Words:
         if cache is not None and self.words:
             if len(cache) > 500_000:
                 cache.clear()
-            for w in set(self.words) - cache.keys():
-                cache[w] = xxhash.xxh64_intdigest(w)
+            for w in set(self.words):
+                if w not in cache:
+                    cache[w] = xxhash.xxh64_intdigest(w)
             self.symbols = np.fromiter(map(cache.__getitem__, self.words), np.uint64, self.length)
         else:
             self.symbols = np.zeros(0, np.uint64)
