@@ -1,3 +1,91 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from .quality import RULES, STANDARD
+from .secrets import BASE_RULES
+from .secrets import RULES as SECRET_RULES
+
+WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
+
+OP1 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, {WORDS} AS ws FROM d),
+p AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT r, i, word || chr(10) || lead(word, 1) OVER o || chr(10) || lead(word, 2) OVER o || chr(10) || lead(word, 3) OVER o || chr(10) || lead(word, 4) OVER o AS gram
+      FROM p WINDOW o AS (PARTITION BY r ORDER BY i)),
+c AS (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g WHERE gram IS NOT NULL),
+cover AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2, i + 3, i + 4]) AS j FROM c WHERE n > 1) GROUP BY r),
+lines AS (SELECT r, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+m AS (
+  SELECT w.r, doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(ls) AS BIGINT) AS n_lines,
+         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+         CAST(length(regexp_replace(t, '[^A-Z]', '', 'g')) AS BIGINT) AS n_upper,
+         CAST(length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS BIGINT) AS n_letters,
+         CAST(length(regexp_replace(t, '[^0-9]', '', 'g')) AS BIGINT) AS n_digits
+  FROM w JOIN lines ON lines.r = w.r LEFT JOIN cover ON cover.r = w.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+       NOT ({" OR ".join(f"({r.fails})" for r in RULES if STANDARD.mask >> r.bit & 1)}) AS kept,
+       CAST({" + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in RULES)} AS BIGINT) AS failed_bits
+FROM m
+"""
+
+OP2 = rf"""
+WITH w AS (SELECT doc_id, {WORDS} AS ws FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+s AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 18, 1))) AS i FROM w),
+v AS (SELECT doc_id, i, sha256(array_to_string(ws[i:i + 19], ' ')) AS k FROM s),
+f AS (SELECT k, min(doc_id * 1000000 + i) AS first FROM v GROUP BY k HAVING count(*) > 1),
+dup AS (SELECT v.doc_id, v.i FROM v JOIN f ON v.k = f.k WHERE v.doc_id * 1000000 + v.i > f.first),
+cut AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(range(i, i + 20)) AS j FROM dup)),
+p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+kept AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.j) AS t FROM p LEFT JOIN cut ON cut.doc_id = p.doc_id AND cut.j = p.j WHERE cut.j IS NULL GROUP BY p.doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed FROM cut GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _spans() -> str:
+    """All matches of all rules: r, kind number, start, stop."""
+    parts = []
+    for k, rule in enumerate(SECRET_RULES):
+        p = _quoted(rule.pattern)
+        parts.append(
+            f"""SELECT r, {k} AS k, s, s + length(hits[j]) AS e FROM (
+  SELECT r, hits, grp, j, list_sum(list_transform(segs[1:j], x -> length(x))) + coalesce(list_sum(list_transform(hits[1:j - 1], x -> length(x))), 0) AS s
+  FROM (SELECT r, segs, hits, grp, unnest(range(1, len(hits) + 1)) AS j FROM (
+    SELECT r, string_split_regex(t, {p}) AS segs, regexp_extract_all(t, {p}, 0) AS hits, regexp_extract_all(t, {p}, {rule.group}) AS grp FROM d WHERE regexp_matches(t, {p}))))
+  WHERE length(grp[j]) >= {rule.least}"""
+        )
+    return "\nUNION ALL\n".join(parts)
+
+
+OP7 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+x AS ({_spans()}),
+y AS (SELECT r, k, s, list_extract([{", ".join(_quoted(rule.kind) for rule in SECRET_RULES)}], k + 1) || ':' || CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(e AS BIGINT) AS VARCHAR) AS span FROM x),
+z AS (SELECT r, CAST(count(*) FILTER (k = 0) AS BIGINT) AS n_assign, CAST(count(*) FILTER (k = 1) AS BIGINT) AS n_access, CAST(count(*) FILTER (k = 2) AS BIGINT) AS n_hex,
+             string_agg(span, ',' ORDER BY s, k) FILTER (k < {len(BASE_RULES)}) AS base, string_agg(span, ',' ORDER BY s, k) AS spans FROM y GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN z ON z.r = d.r
+"""
+
+OP9 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT page_id, n, h, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY h) END AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+       CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1, "op2_substring_dedup": OP2, "op7_secret_scans": OP7, "op9_warc": OP9}
