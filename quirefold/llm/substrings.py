@@ -37,8 +37,11 @@ class FingerprintIndex:
         self.documents: list[DataFrame] = []  # keyed documents behind the runs, for verification
         self.batches = 0
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Adds keyed documents (did, th, text). Returns did, th, lo, n: windows found earlier, by first window and number."""
+    def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
+        """Adds keyed documents (did, th, text). Returns did, th, lo, n: windows found earlier, by first window and number.
+
+        last: no batch follows, so none needs this one as a run. Each join below hashes the side that has a key once.
+        """
         seq = self.batches
         spans = stored(span_rows(docs, Words, self.window, self.gram), "spans")
         fresh = spans.filter("kind <> 1").select(F.lit(seq).alias("seq"), "did", "lo", "a", "s", "th", "n")
@@ -47,32 +50,34 @@ class FingerprintIndex:
             everything = everything.unionByName(run)
         # anchors met at least twice; most are met once, and all further steps leave those out
         counts = everything.groupBy("a").agg(F.count("*").alias("c"), F.max("seq").alias("latest")).filter(f"c > 1 AND latest = {seq}")
-        shared = stored(everything.join(counts.select("a"), "a", "left_semi"), "shared")
+        shared = stored(everything.join(counts.select("a").hint("shuffle_hash"), "a", "left_semi"), "shared")
         place = F.struct("seq", "did", "lo")
         firsts = stored(
             shared.groupBy("a", "s").agg(F.min(F.struct("seq", "did", "lo")).alias("first")).select("a", "s", "first.*"),
             "firsts",
         )
         key = firsts.select("a", "s", F.struct("seq", "did", "lo").alias("first"))
-        placed = shared.join(key, ["a", "s"])
+        placed = shared.join(key.hint("shuffle_hash"), ["a", "s"])
         repeats = placed.filter((F.col("seq") == seq) & (place > F.col("first"))).select("did", "th", "lo", "n")
         varied = firsts.groupBy("a").agg(F.min("s").alias("s0"), F.max("s").alias("s1")).filter("s0 <> s1").select("a")
         # firsts, and rows with another text under the same id and place, which get the same verdict
-        asked = placed.filter(place == F.col("first")).join(varied, "a").select("seq", "did", "th", "lo", "n", F.col("seq").alias("flag"))
+        asked = placed.filter(place == F.col("first")).join(varied.hint("shuffle_hash"), "a").select("seq", "did", "th", "lo", "n", F.col("seq").alias("flag"))
         documents = docs.withColumn("seq", F.lit(seq))
         for k, old in enumerate(self.documents):
             documents = documents.unionByName(old.withColumn("seq", F.lit(k)))
         requests = asked.groupBy("seq", "did", "th").agg(F.collect_list(F.struct("lo", "n", "flag")).alias("asked"))
-        found = documents.join(requests, ["seq", "did", "th"])
+        found = documents.join(requests.hint("shuffle_hash"), ["seq", "did", "th"])
         windows = stored(window_rows(found.select("did", "th", "text", "asked"), Words, self.window), "windows")
         at = F.struct(F.col("flag"), F.col("did"), F.col("lo"))
         earliest = windows.groupBy("w1", "w2").agg(F.min(at).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
-        verified = windows.filter(F.col("flag") == seq).join(earliest, ["w1", "w2"]).filter(at > F.col("first")).select("did", "th", "lo", F.lit(1).alias("n"))
+        verified = windows.filter(F.col("flag") == seq).join(earliest.hint("shuffle_hash"), ["w1", "w2"]).filter(at > F.col("first")).select("did", "th", "lo", F.lit(1).alias("n"))
         removed = stored(spans.filter("kind = 1").select("did", "th", "lo", "n").unionByName(repeats).unionByName(verified), "removed")
         known = everything.groupBy("a", "s").agg(F.min(F.struct("seq", "did", "lo", "th", "n")).alias("first")).select("first.seq", "first.did", "first.lo", "a", "s", "first.th", "first.n")
         self.documents.append(docs)
         self.batches += 1
-        if len(self.runs) + 1 > self.max_runs:
+        if last:
+            self.runs = []
+        elif len(self.runs) + 1 > self.max_runs:
             self.runs = [self._run(known)]
         else:
             self.runs.append(self._run(fresh))
@@ -116,7 +121,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bat
             part = part.filter(F.col("did") > low)
         if high is not None:
             part = part.filter(F.col("did") <= high)
-        found = index.add(part)
+        found = index.add(part, last=high is None)
         removed = found if removed is None else removed.unionByName(found)
     keyed_docs = rows.withColumn("doc_id", F.when(F.col("did") != -(2**63), F.col("did")))
     return with_requests(keyed_docs, removed, "lo", "n", how="left").select("doc_id", "text", "asked").mapInArrow(_strip(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
