@@ -185,7 +185,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leaders = buckets.groupBy("band", "value").agg(F.min("uid").alias("lead"), F.count("*").alias("c")).filter("c > 1")
     edges = buckets.join(leaders, ["band", "value"]).filter("uid <> lead").select(F.col("uid").alias("u"), F.col("lead").alias("v"))
     clusters = stored(components(edges).selectExpr("u AS uid", "root AS cluster"), "clusters")
-    full = stored(rows.join(clusters, F.col("did") == F.col("uid")).select("cluster", "uid", F.coalesce("text", F.lit("")).alias("text")), "members")
+    full = stored(rows.join(clusters.hint("shuffle_hash"), F.col("did") == F.col("uid")).select("cluster", "uid", F.coalesce("text", F.lit("")).alias("text")), "members")
     sizes = full.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("text")) / F.lit(BLOCK_BYTES)).cast("int").alias("blocks"))
     placed = full.join(sizes, "cluster").withColumn("blocks", F.greatest("blocks", F.lit(1))).withColumn("block", F.expr("CAST(pmod(xxhash64(uid), blocks) AS INT)"))
     # a block meets every block of its cluster once; with one block that's one task
