@@ -34,7 +34,7 @@ THRESHOLD = 0.8
 PICKS = 3
 BANDS = 20
 #: Bytes of text in one block of a cluster.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 SEEDS = mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
@@ -190,7 +190,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = full.join(sizes, "cluster").withColumn("blocks", F.greatest("blocks", F.lit(1))).withColumn("block", F.expr("CAST(pmod(xxhash64(uid), blocks) AS INT)"))
     # a block meets every block of its cluster once; with one block that's one task
     tasks = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "uid", "text")
-    links = stored(tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_compare, "u long, v long"), "links")
+    # a few bytes mean much work here, so tasks aren't merged by size
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    links = stored(tasks.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_compare, "u long, v long"), "links")
     found = components(links)
     classes = scanned.select("did", "k1", "k2").join(texts.select("k1", "k2", "uid"), ["k1", "k2"])
     out = classes.join(found.withColumnRenamed("u", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
