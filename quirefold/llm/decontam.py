@@ -22,10 +22,10 @@ from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import WordHashes
 from .spans import mixed
 
 SHINGLE = 5
@@ -45,35 +45,37 @@ def plain_words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(None, MARKS).split()
 
 
-def word_hashes(words: list[bytes], cache: dict[bytes, int]) -> np.ndarray:
-    if len(cache) > 500_000:
-        cache.clear()
-    for w in set(words):
-        if w not in cache:
-            cache[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-
-
 def _bits(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
 
 
 class Fingerprints:
-    """SimHashes of any windows of one sequence of words."""
+    """SimHashes of any windows, of at most `longest` words, of one sequence of words."""
 
-    def __init__(self, hashes: np.ndarray):
+    def __init__(self, hashes: np.ndarray, longest: int):
+        # counts of a window are differences of running sums, so sums may wrap around as long as 2 * longest fits
+        kind = np.uint8 if longest < 128 else np.uint32
         pairs = mixed(hashes[:-1] * MULTIPLIER + hashes[1:]) if len(hashes) > 1 else hashes[:0]
-        self.single = _bits(hashes)
+        self.single = _bits(hashes).astype(kind, copy=False)
         both = self.single.copy()
         both[: len(pairs)] += _bits(pairs)
-        self.sums = np.zeros((len(hashes) + 1, 64), np.int32)
-        np.cumsum(both, axis=0, dtype=np.int32, out=self.sums[1:])
+        self.sums = np.zeros((len(hashes) + 1, 64), kind)
+        np.cumsum(both, axis=0, dtype=kind, out=self.sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         ones = self.sums[ends - 1] - self.sums[starts] + self.single[ends - 1]
-        majority = (ends - starts).astype(np.int32)[:, None]  # of 2n - 1 features
+        majority = (ends - starts).astype(self.sums.dtype)[:, None]  # of 2n - 1 features
         return np.packbits(ones >= majority, axis=1).view(np.uint64).ravel()
 
+    def every(self, size: int, stride: int) -> np.ndarray:
+        """Of the windows at 0, stride, 2 * stride and so on, as long as they fit."""
+        n = len(self.single) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        ones = self.sums[size - 1 : size - 1 + n : stride] - self.sums[:n:stride]
+        ones += self.single[size - 1 : size - 1 + n : stride]
+        return np.packbits(ones >= self.sums.dtype.type(size), axis=1).view(np.uint64).ravel()
+
 
 def shingles(hashes: list[int], size: int) -> Counter:
     return Counter(zip(*(hashes[i:] for i in range(size)), strict=False))
@@ -118,12 +120,12 @@ class ItemIndex:
 
 class Matcher:
     def __init__(self, items: list[tuple[int | None, str]]):
-        self.cache: dict[bytes, int] = {}
+        self.hashes = WordHashes()
         self.ids, self.bags, self.sizes, self.lengths = [], [], [], []
         groups: dict[int, list[int]] = {}
         prints: dict[int, list[np.uint64]] = {}
         for item_id, text in items:
-            h = word_hashes(plain_words(text), self.cache)
+            h = self.hashes.of(plain_words(text))
             if not len(h):
                 continue
             size = min(SHINGLE, len(h))
@@ -132,7 +134,7 @@ class Matcher:
             self.lengths.append(len(h))
             self.bags.append(shingles(h.tolist(), size))
             groups.setdefault(rung(len(h)), []).append(len(self.ids) - 1)
-            prints.setdefault(rung(len(h)), []).append(Fingerprints(h).of(np.array([0]), np.array([len(h)]))[0])
+            prints.setdefault(rung(len(h)), []).append(Fingerprints(h, len(h)).of(np.array([0]), np.array([len(h)]))[0])
         self.indexes = {w: ItemIndex(numbers, np.array(prints[w], np.uint64)) for w, numbers in groups.items()}
 
     def search(self, docs: list[np.ndarray]) -> dict[tuple[int, int], tuple[float, int, int]]:
@@ -141,20 +143,22 @@ class Matcher:
         hashes = np.concatenate(docs)
         lengths = np.array([len(d) for d in docs])
         begin = np.cumsum(lengths) - lengths
-        prints = Fingerprints(hashes)
+        prints = Fingerprints(hashes, max(self.indexes, default=1))
         end_of = np.repeat(begin + lengths, lengths)
         doc_of = np.repeat(np.arange(len(docs)), lengths)
         for w, index in self.indexes.items():
             stride = max(1, w // 8)
-            starts = np.arange(0, len(hashes) - w + 1, stride)
-            starts = starts[starts + w <= end_of[starts]] if len(starts) else starts
+            starts = np.arange(0, max(0, len(hashes) - w + 1), stride)
+            inside = starts + w <= end_of[starts]
             whole = lengths >= w
             short = ~whole & (lengths >= THRESHOLD * w * 0.8) & (lengths > 0)
-            s = np.concatenate([starts, begin[whole], (begin + lengths - w)[whole], begin[short]])
-            e = np.concatenate([starts + w, begin[whole] + w, (begin + lengths)[whole], (begin + lengths)[short]])
+            # regular windows, and for each document the first, the last, or all of a short one
+            more_s = np.concatenate([begin[whole], (begin + lengths - w)[whole], begin[short]])
+            more_e = np.concatenate([begin[whole] + w, (begin + lengths)[whole], (begin + lengths)[short]])
+            s, e = np.concatenate([starts[inside], more_s]), np.concatenate([starts[inside] + w, more_e])
             if not len(s):
                 continue
-            hit, item = index.near(prints.of(s, e))
+            hit, item = index.near(np.concatenate([prints.every(w, stride)[inside], prints.of(more_s, more_e)]))
             for k, i in zip(hit.tolist(), item.tolist(), strict=True):
                 doc = int(doc_of[s[k]])
                 low, high = int(begin[doc]), int(begin[doc] + lengths[doc])
@@ -199,7 +203,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
             matcher = Matcher(shipped.value)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                docs = [word_hashes(plain_words(t.as_py()), matcher.cache) for t in batch.column(1)]
+                docs = [matcher.hashes.of(plain_words(t.as_py())) for t in batch.column(1)]
                 found = []
                 for run in pieces(docs):
                     run = [k for k in run if len(docs[k])]
