@@ -14,10 +14,11 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import WordHashes
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 HIGH = np.uint64(0xFFFFFFFF00000000)
 LOW = np.uint64(0xFFFFFFFF)
@@ -69,18 +70,10 @@ def find_spans(symbols: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, n
 class Words:
     """A text as words; slices are the words joined by one space."""
 
-    def __init__(self, text: str | None, cache: dict[bytes, int] | None = None):
+    def __init__(self, text: str | None, hashes: WordHashes | None = None):
         self.words = (text or "").encode().split()
         self.length = len(self.words)
-        if cache is not None and self.words:
-            if len(cache) > 500_000:
-                cache.clear()
-            for w in set(self.words):
-                if w not in cache:
-                    cache[w] = xxhash.xxh64_intdigest(w)
-            self.symbols = np.fromiter(map(cache.__getitem__, self.words), np.uint64, self.length)
-        else:
-            self.symbols = np.zeros(0, np.uint64)
+        self.symbols = np.zeros(0, np.uint64) if hashes is None else hashes.of(self.words)
         self._joined: bytes | None = None
 
     def slice(self, start: int, end: int) -> bytes:
@@ -94,7 +87,7 @@ class Words:
 class Bytes:
     """A text as UTF-8 bytes."""
 
-    def __init__(self, text: str | None, cache: dict | None = None):
+    def __init__(self, text: str | None, hashes: WordHashes | None = None):
         self.raw = (text or "").encode()
         self.length = len(self.raw)
         self.symbols = np.frombuffer(self.raw, np.uint8)
@@ -121,12 +114,12 @@ def span_rows(docs: DataFrame, unit: type, size: int, gram: int) -> DataFrame:
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
+        hashes = WordHashes()
         for batch in batches:
             dids, ths = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             parts, digests = [], []
             for k in np.argsort(dids, kind="stable"):
-                doc = unit(batch.column(2)[int(k)].as_py(), cache)
+                doc = unit(batch.column(2)[int(k)].as_py(), hashes)
                 a, p, lo, n = find_spans(doc.symbols, size, gram)
                 if not len(a):
                     continue
