@@ -16,7 +16,7 @@ g AS (SELECT r, i, word || chr(10) || lead(word, 1) OVER o || chr(10) || lead(wo
       FROM p WINDOW o AS (PARTITION BY r ORDER BY i)),
 c AS (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g WHERE gram IS NOT NULL),
 cover AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2, i + 3, i + 4]) AS j FROM c WHERE n > 1) GROUP BY r),
-lines AS (SELECT r, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+lines AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 m AS (
   SELECT w.r, doc_id, CAST(len(ws) AS BIGINT) AS n_words,
          CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
@@ -61,7 +61,7 @@ def _spans() -> str:
         p = _quoted(rule.pattern)
         parts.append(
             f"""SELECT r, {k} AS k, s, s + length(hits[j]) AS e FROM (
-  SELECT r, hits, grp, j, list_sum(list_transform(segs[1:j], x -> length(x))) + coalesce(list_sum(list_transform(hits[1:j - 1], x -> length(x))), 0) AS s
+  SELECT r, hits, grp, j, list_sum(list_transform(segs[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:j - 1], lambda x: length(x))), 0) AS s
   FROM (SELECT r, segs, hits, grp, unnest(range(1, len(hits) + 1)) AS j FROM (
     SELECT r, string_split_regex(t, {p}) AS segs, regexp_extract_all(t, {p}, 0) AS hits, regexp_extract_all(t, {p}, {rule.group}) AS grp FROM d WHERE regexp_matches(t, {p}))))
   WHERE length(grp[j]) >= {rule.least}"""
