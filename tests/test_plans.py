@@ -118,9 +118,9 @@ def test_protocol(spark):
 
     from quirefold.sources.protocol import respond
 
-    lines = spark.createDataFrame([(1, '{"id":"a","method":"extract","params":{"text":"X: y"}}'), (2, "broken"), (3, '{"id":"c","method":"segment","params":{"text":"a\\nb"}}'), (4, '{"id":"d","method":"zzz","params":{"text":"a"}}')], "line_no long, value string")
+    lines = spark.createDataFrame([(1, '{"id":"a","method":"extract","params":{"text":"Nome: y"}}'), (2, "broken"), (3, '{"id":"c","method":"segment","params":{"text":"a\\nb"}}'), (4, '{"id":"d","method":"zzz","params":{"text":"a"}}')], "line_no long, value string")
     got = {r["line_no"]: json.loads(r["value"]) for r in respond(lines).collect()}
-    assert got[1]["id"] == "a" and got[1]["result"]["key_values"] == [{"key": "X", "value": "y"}]
+    assert got[1]["id"] == "a" and got[1]["result"]["key_values"] == [{"key": "Nome", "value": "y"}]
     assert got[3]["result"]["segments"] == ["a\n", "b"]
     assert got[2]["error"] == "invalid request" and got[4]["error"] == "unknown method"
 
@@ -131,8 +131,8 @@ def test_streams(spark, tmp_path):
     source = tmp_path / "events"
     schema = "ts timestamp, job_id string, action string"
     batches = [[("2024-01-01 00:00:00", "a", "claim"), ("2024-01-01 00:00:10", "b", "claim"), ("2024-01-01 00:00:20", "b", "started")], [("2024-01-01 00:10:00", "c", "claim")], [("2024-01-01 00:20:00", "c", "finish")]]
-    stream = spark.readStream.schema(schema).parquet(str(source))
     source.mkdir()
+    stream = spark.readStream.schema(schema).parquet(str(source))
     q = lease_stream(stream).writeStream.format("memory").queryName("leases").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).start()
     try:
         for b in batches:
