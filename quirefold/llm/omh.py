@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, WordHashes, release, stored
+from .common import NULL_ID, release, stored
 from .spans import Words, gram_hashes, mixed
 
 SHINGLE = 5
@@ -60,8 +60,8 @@ def sketches(shingles: np.ndarray) -> list[int]:
     return out
 
 
-def text_shingles(text: str | None, hashes: WordHashes) -> tuple[Words, np.ndarray]:
-    doc = Words(text, hashes)
+def text_shingles(text: str | None) -> tuple[Words, np.ndarray]:
+    doc = Words(text)
     return doc, gram_hashes(doc.symbols, SHINGLE) if doc.length >= SHINGLE else np.zeros(0, np.uint64)
 
 
@@ -94,12 +94,11 @@ def similar(a: np.ndarray, b: np.ndarray, set_a: np.ndarray, set_b: np.ndarray,
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     for batch in batches:
         keys, counts, found = [], [], []
         for text in batch.column(1):
-            doc, shingles = text_shingles(text.as_py(), hashes)
-            keys.append(blake2b(b" ".join(doc.words), digest_size=16).digest())
+            doc, shingles = text_shingles(text.as_py())
+            keys.append(blake2b(doc.view, digest_size=16).digest())
             counts.append(len(shingles))
             found.append(sketches(labelled(shingles)) if len(shingles) else [])
         halves = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
@@ -127,14 +126,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by cluster, i, j -> links u, v between different texts. Holds two blocks at most."""
-    hashes = WordHashes()
 
     def solve(rows: list[tuple]) -> list[tuple[int, int]]:
         i, j = rows[0][1], rows[0][2]
         rows = sorted(set(rows), key=lambda r: r[4:])
         ids = [r[4] for r in rows]
         blocks = np.array([r[3] for r in rows])
-        plain = [text_shingles(r[5], hashes)[1] for r in rows]
+        plain = [text_shingles(r[5])[1] for r in rows]
         order = [labelled(p) for p in plain]
         plain = [np.unique(p) for p in plain]
         bands = np.array([sketches(o) if len(o) else [-k] * BANDS for k, o in enumerate(order)], np.int64)

@@ -14,11 +14,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes
-
 MIX = np.uint64(0x9E3779B97F4A7C15)
 HIGH = np.uint64(0xFFFFFFFF00000000)
 LOW = np.uint64(0xFFFFFFFF)
@@ -67,33 +66,80 @@ def find_spans(symbols: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, n
     return grams[anchor[first]], anchor[first], first, np.diff(np.append(first, len(anchor)))
 
 
-class Words:
-    """A text as words; slices are the words joined by one space."""
+BASE = 0x9E3779B97F4A7C15
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
+
 
-    def __init__(self, text: str | None, hashes: WordHashes | None = None):
-        self.words = (text or "").encode().split()
-        self.length = len(self.words)
-        self.symbols = np.zeros(0, np.uint64) if hashes is None else hashes.of(self.words)
-        self._joined: bytes | None = None
+class Powers:
+    """Powers of BASE and of its inverse modulo 2**64, as far as texts have needed them."""
 
-    def slice(self, start: int, end: int) -> bytes:
-        if self._joined is None:
-            self._joined = b" ".join(self.words)
-            self._ends = np.cumsum([len(w) + 1 for w in self.words])
-            self._starts = np.concatenate([[0], self._ends]).tolist()
-        return self._joined[self._starts[start] : self._starts[end] - 1]
+    up = down = np.ones(1, np.uint64)
+
+    @staticmethod
+    def upto(base: int, n: int) -> np.ndarray:
+        factors = np.full(n, base, np.uint64)
+        factors[0] = 1
+        return np.cumprod(factors)
+
+    @classmethod
+    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            cls.up, cls.down = cls.upto(BASE, max(n, 1 << 17)), cls.upto(pow(BASE, -1, 2**64), max(n, 1 << 17))
+        return cls.up[:n], cls.down[:n]
+
+
+class Words:
+    """A text as words joined by one space; all offsets by whole-array operations."""
+
+    def __init__(self, text: str | None):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        space = SPACES[raw]
+        keep = ~space
+        keep[1:] |= ~space[:-1]  # of each run of white space, the first
+        self.bytes, space = raw[keep], space[keep]
+        if len(space) and space[-1]:
+            self.bytes, space = self.bytes[:-1], space[:-1]
+        self.bytes[space] = 32
+        gaps = np.flatnonzero(space)
+        self.starts = np.concatenate([[0], gaps + 1]) if len(space) else np.zeros(0, np.int64)
+        self.ends = np.concatenate([gaps, [len(space)]]) if len(space) else np.zeros(0, np.int64)
+        self.length = len(self.starts)
+        self.view = memoryview(self.bytes)
+
+    @property
+    def symbols(self) -> np.ndarray:
+        """64-bit hashes of the words, from running sums of bytes times powers."""
+        up, down = Powers.to(len(self.bytes))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.bytes * up)])
+        return mixed((sums[self.ends] - sums[self.starts]) * down[self.starts])
+
+    def slice(self, start: int, end: int) -> memoryview:
+        return self.view[self.starts[start] : self.ends[end - 1]]
+
+    def digests(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return _digests(self.view, self.starts[starts], self.ends[ends - 1])
 
 
 class Bytes:
     """A text as UTF-8 bytes."""
 
-    def __init__(self, text: str | None, hashes: WordHashes | None = None):
-        self.raw = (text or "").encode()
-        self.length = len(self.raw)
-        self.symbols = np.frombuffer(self.raw, np.uint8)
+    def __init__(self, text: str | None):
+        self.view = memoryview((text or "").encode())
+        self.length = len(self.view)
+        self.symbols = np.frombuffer(self.view, np.uint8)
+
+    def slice(self, start: int, end: int) -> memoryview:
+        return self.view[start:end]
+
+    def digests(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return _digests(self.view, starts, ends)
+
 
-    def slice(self, start: int, end: int) -> bytes:
-        return self.raw[start:end]
+def _digests(view: memoryview, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit digests of slices."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(view[x:y]) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64).view(np.int64)
 
 
 SPAN_SCHEMA = "a long, s long, did long, th int, lo int, n int, p int, kind int"
@@ -114,21 +160,20 @@ def span_rows(docs: DataFrame, unit: type, size: int, gram: int) -> DataFrame:
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             dids, ths = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             parts, digests = [], []
             for k in np.argsort(dids, kind="stable"):
-                doc = unit(batch.column(2)[int(k)].as_py(), hashes)
+                doc = unit(batch.column(2)[int(k)].as_py())
                 a, p, lo, n = find_spans(doc.symbols, size, gram)
                 if not len(a):
                     continue
-                digests += [blake2b(doc.slice(x, y), digest_size=8).digest() for x, y in zip(lo.tolist(), (lo + n + size - 1).tolist(), strict=True)]
+                digests.append(doc.digests(lo, lo + n + size - 1))
                 parts.append((a.view(np.int64), np.full(len(a), dids[k]), np.full(len(a), ths[k], np.int32), lo, n, p))
             if not parts:
                 continue
             a, did, th, lo, n, p = (np.concatenate(x) for x in zip(*parts, strict=True))
-            s = np.frombuffer(b"".join(digests), np.int64)
+            s = np.concatenate(digests)
             order = np.lexsort((np.arange(len(a)), s, a))
             head = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (s[order][1:] != s[order][:-1])])
             group = np.cumsum(head) - 1

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stored
+from .common import drop_stored, stored
 from .spans import Words, keyed, merged, span_rows, window_rows, with_requests
 
 WINDOW = 20
@@ -75,13 +75,15 @@ class FingerprintIndex:
         known = everything.groupBy("a", "s").agg(F.min(F.struct("seq", "did", "lo", "th", "n")).alias("first")).select("first.seq", "first.did", "first.lo", "a", "s", "first.th", "first.n")
         self.documents.append(docs)
         self.batches += 1
+        spent = [spans, shared, firsts, windows]
         if last:
-            self.runs = []
+            spent, self.runs = spent + self.runs, []
         elif len(self.runs) + 1 > self.max_runs:
-            self.runs = [self._run(known)]
+            merged, self.runs = self.runs, [self._run(known)]
+            spent += merged
         else:
             self.runs.append(self._run(fresh))
-        release(docs.sparkSession)
+        drop_stored(*spent)  # nothing reads them any more
         return removed
 
     def _run(self, rows: DataFrame) -> DataFrame:
