@@ -16,6 +16,7 @@ g AS (SELECT r, i, word || chr(10) || lead(word, 1) OVER o || chr(10) || lead(wo
       FROM p WINDOW o AS (PARTITION BY r ORDER BY i)),
 c AS (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g WHERE gram IS NOT NULL),
 cover AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2, i + 3, i + 4]) AS j FROM c WHERE n > 1) GROUP BY r),
+stutter AS (SELECT r, count(*) FILTER (word = before) AS n_stutter FROM (SELECT r, word, lag(word) OVER (PARTITION BY r ORDER BY i) AS before FROM p) GROUP BY r),
 lines AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 m AS (
   SELECT w.r, doc_id, CAST(len(ws) AS BIGINT) AS n_words,
@@ -24,10 +25,11 @@ m AS (
          CAST(len(ls) AS BIGINT) AS n_lines,
          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce(n_stutter, 0) AS BIGINT) AS n_stutter,
          CAST(length(regexp_replace(t, '[^A-Z]', '', 'g')) AS BIGINT) AS n_upper,
          CAST(length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS BIGINT) AS n_letters,
          CAST(length(regexp_replace(t, '[^0-9]', '', 'g')) AS BIGINT) AS n_digits
-  FROM w JOIN lines ON lines.r = w.r LEFT JOIN cover ON cover.r = w.r)
+  FROM w JOIN lines ON lines.r = w.r LEFT JOIN cover ON cover.r = w.r LEFT JOIN stutter ON stutter.r = w.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
        NOT ({" OR ".join(f"({r.fails})" for r in RULES if STANDARD.mask >> r.bit & 1)}) AS kept,

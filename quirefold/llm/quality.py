@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import WORD_BREAKS
 
 SYMBOLS = "#*$%&|<>"
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_digits")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutter", "n_upper", "n_letters", "n_digits")
 UPPER, LETTERS, DIGITS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b"0123456789"
 
 
@@ -38,11 +39,12 @@ class Rule:
 RULES = (
     Rule(0, "few_words", "n_words < 10"),
     Rule(1, "repeated_windows", "100 * n_repeat_words > 20 * n_words"),
-    Rule(2, "symbols", "5 * n_symbols > 2 * n_words"),
+    Rule(2, "symbols", "5 * n_symbols > n_words"),
     Rule(3, "duplicate_lines", "n_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines"),
     Rule(4, "shouting", "n_letters >= 40 AND 2 * n_upper > n_letters"),
     Rule(5, "word_length", "word_chars < 2 * n_words OR word_chars > 25 * n_words"),
     Rule(6, "digits", "2 * n_digits > word_chars"),
+    Rule(7, "stutter", "10 * n_stutter > 3 * n_words"),
 )
 
 
@@ -90,6 +92,7 @@ def measure(text: str | None) -> tuple[int, ...]:
         len(lines),
         len(lines) - len(set(lines)),
         repeat_words(words),
+        sum(map(eq, words, words[1:])),
         count(UPPER),
         count(LETTERS),
         count(DIGITS),
