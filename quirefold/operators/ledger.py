@@ -174,7 +174,7 @@ def usage(reservations: DataFrame, budget: int = PILOT.participant_micros) -> Da
 def running_counts(jobs: DataFrame) -> DataFrame:
     """participant, running, and running of everyone beside it."""
     slots = F.count_if(F.col("state").isin("running", "needs_reconciliation"))
-    return jobs.groupBy("participant").agg(slots.alias("running")).crossJoin(jobs.agg(slots.alias("running_all")))
+    return jobs.groupBy("participant").agg(slots.alias("running")).withColumn("running_all", jobs.agg(slots).scalar())
 
 
 def sweep(jobs: DataFrame, now: Column, policy: Policy = PILOT) -> DataFrame:
@@ -191,10 +191,12 @@ def sweep(jobs: DataFrame, now: Column, policy: Policy = PILOT) -> DataFrame:
 
 
 def admissions(requests: DataFrame, most: int = PILOT.participants) -> DataFrame:
-    """participant, first_at, place, admitted: the first `most` in order of their first request; asking again changes nothing."""
+    """participant, first_at, place, admitted: the first `most` in order of their first request; asking again changes
+    nothing. Only the admitted have a place, so nothing is ranked beyond the top."""
     first = requests.groupBy("participant").agg(F.min("at").alias("first_at"))
-    place = F.row_number().over(Window.orderBy("first_at", "participant"))
-    return first.withColumn("place", place).withColumn("admitted", F.col("place") <= most)
+    top = first.orderBy("first_at", "participant").limit(most)
+    ranked = top.select("participant", F.row_number().over(Window.orderBy("first_at", "participant")).alias("place"))
+    return first.join(F.broadcast(ranked), "participant", "left").withColumn("admitted", F.col("place").isNotNull())  # `most` rows
 
 
 def finalize_status(quotes: DataFrame, now: Column, policy_version: str, max_ratio: int = 100) -> DataFrame:

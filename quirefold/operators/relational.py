@@ -199,3 +199,17 @@ def command_history(commands: DataFrame, most: int = 50) -> DataFrame:
         return pd.DataFrame(rows, columns=["doc_id", "seq", "state"]).astype({"state": "Int64"})
 
     return commands.groupBy("doc_id").applyInPandas(fold, "doc_id long, seq long, state long")
+
+
+def batch_totals(files: DataFrame, most_files: int = 50, most_bytes: int = 512 << 20) -> DataFrame:
+    """batch_id, files, bytes, exceeds: whether a batch has too many files or bytes."""
+    total = F.coalesce(F.sum("size"), F.lit(0))
+    return files.groupBy("batch_id").agg(F.count("*").alias("files"), total.alias("bytes"), ((F.count("*") > most_files) | (total > most_bytes)).alias("exceeds"))
+
+
+def result_totals(items: DataFrame) -> DataFrame:
+    """before, after, saved, percent over all items."""
+    from ..functions.numbers import saved_percent
+
+    sums = items.agg(F.coalesce(F.sum("before"), F.lit(0)).alias("before"), F.coalesce(F.sum("after"), F.lit(0)).alias("after"))
+    return sums.select("before", "after", (F.col("before") - F.col("after")).alias("saved"), saved_percent(F.col("before"), F.col("after")).alias("percent"))

@@ -7,6 +7,7 @@ document is reviewed in one go inside an Arrow batch; anti-joins and spell check
 from __future__ import annotations
 
 import re
+import re._parser as parser
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -43,6 +44,7 @@ class Rule:
     pattern: re.Pattern
     correct: Callable[[re.Match], str]
     suggest: Callable[[re.Match], list[str]]
+    head: str = ""  # letters that every match starts with, case-folded; a text without them needn't be searched
 
 
 def _filled(template: str, match: re.Match, table: dict[str, str] | None) -> str:
@@ -68,6 +70,15 @@ def _corrector(correction: str | tuple[str, dict[str, str]]) -> Callable[[re.Mat
     return correct
 
 
+def _head(pattern: str) -> str:
+    letters = ""
+    for op, value in parser.parse(pattern):
+        if str(op) != "LITERAL":
+            break
+        letters += chr(value)
+    return letters.casefold()
+
+
 def _rules() -> list[Rule]:
     out = [Rule("DUPLICATE_WORD", "warning", re.compile(rf"(?<!{INNER})([^\W_](?:[^\W_]|['’-])*)[ \t]+\1(?!{INNER})", re.I), lambda m: m[1], lambda m: [m[1]])]
     for category, severity, rules in GROUPS:
@@ -78,7 +89,7 @@ def _rules() -> list[Rule]:
             only = category == "STYLE_SUGGESTION" and len(more) > 1
             suggest = (lambda m, more=more: [f(m) for f in more]) if only else (lambda m, first=correct, more=more: [first(m), *(f(m) for f in more)])
             closed = pattern if "(?=" in pattern else rf"{pattern}(?!{INNER})"
-            out.append(Rule(category, level, re.compile(rf"(?<!{INNER}){closed}", re.I), correct, suggest))
+            out.append(Rule(category, level, re.compile(rf"(?<!{INNER}){closed}", re.I), correct, suggest, _head(pattern)))
     for category, pattern, text in (("SPACE_BEFORE_PUNCTUATION", r"[ \t]+(?=[,.;:!?])", ""), ("TRAILING_WHITESPACE", r"(?m)[ \t]+(?=\r?$)", ""), ("REPEATED_WHITESPACE", r"[ \t]{2,}", " ")):
         out.append(Rule(category, "suggestion", re.compile(pattern), lambda m, t=text: t, lambda m, t=text: [t]))
     return out
@@ -126,8 +137,10 @@ def review_text(text: str | None) -> list[tuple]:
         raise ValueError(f"more than {MAX_CHARACTERS} characters")
     guarded = [m.span() for m in PROTECTED.finditer(text)]
     starts = [s for s, _ in guarded]
-    taken, out = Taken(), []
+    taken, out, folded = Taken(), [], text.casefold()
     for rule in RULES:
+        if rule.head not in folded:
+            continue
         for m in rule.pattern.finditer(text):
             s, e = m.span()
             k = bisect_right(starts, e - 1)

@@ -480,3 +480,68 @@ PIXELS = Rows("page_id long, x int, y int", [(1, x, y) for x, y in ((0, 0), (1,
 @query(PIXELS)
 def i14_changed_regions(df):
     return geometry.changed_regions(df, 100, 100)
+
+
+FILES = Rows("batch_id int, size long, before long, after long", [(1, 10, 100, 60), (1, 600_000_000, 50, 50), (2, 5, 0, 0)])
+
+
+@query(FILES, "SELECT batch_id, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, count(*) > 50 OR sum(size) > 536870912 AS exceeds FROM $rows GROUP BY batch_id")
+def d10_batch_totals(df):
+    return relational.batch_totals(df)
+
+
+@query(FILES, "SELECT CAST(sum(before) AS BIGINT) AS before, CAST(sum(after) AS BIGINT) AS after, CAST(sum(before) - sum(after) AS BIGINT) AS saved, floor((sum(before) - sum(after)) / CAST(sum(before) AS DOUBLE) * 1000 + 0.5) / 10 AS percent FROM $rows")
+def d10_result_totals(df):
+    return relational.result_totals(df)
+
+
+ANSWERS = Rows("response_id int, source_characters int, translations array<string>", [(1, 5, ["ol\u00e1"]), (2, 5, ["a", "b"]), (3, 5, ["  "]), (4, 0, [" "]), (5, 5, ["x\x07"]), (6, 5, ["y" * 30])])
+
+
+@query(ANSWERS, "SELECT response_id, CASE WHEN len(translations) <> 1 THEN 'shape' WHEN regexp_matches(translations[1], '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]') THEN 'text' WHEN source_characters > 0 AND trim(translations[1]) = '' THEN 'text' WHEN length(translations[1]) > 20 THEN 'too large' END AS error FROM $rows")
+def i17_translation_responses(df):
+    return evaluation.normalize_translation(df, 5).select("response_id", "error")
+
+
+RECOGNIZED = Rows(
+    "response_id int, expected_pages int, text string, pages array<struct<number: int, lines: array<struct<segments: array<struct<start: int, end: int>>, confidence: double, vertices: array<struct<x: double, y: double>>>>>>",
+    [
+        (1, 1, "hello world", [(1, [([(0, 5)], 0.9, [(0.1, 0.1), (0.5, 0.1), (0.5, 0.2)]), ([(5, 6)], 0.9, []), ([(6, 11)], 0.8, [(0.0, 0.3), (1.005, 0.3), (1.0, 0.4)])])]),
+        (2, 2, "x", [(1, [([(0, 1)], 0.5, [(0.1, 0.1), (0.5, 0.1), (0.5, 0.2)])])]),
+        (3, 1, "x", [(1, [([(0, 9)], 0.5, [(0.1, 0.1), (0.5, 0.1), (0.5, 0.2)])])]),
+    ],
+)
+
+
+@query(RECOGNIZED)
+def i16_recognition_responses(df):
+    return evaluation.normalize_recognition(df).select("response_id", "page", "seq", "text", "confidence", "box.x", "box.width", "error")
+
+
+OCR = Rows("item string, reference string, output string", [("a", "Total 12 e 30", "Total 12 e 3O"), ("b", "", "x"), ("c", "a\u0301gua  boa", "\u00e1gua boa")])
+
+
+@query(OCR)
+def l1_recognition_scores(df):
+    return evaluation.score_recognition(df).select("item", "cer", "wer", F.array_join("numbers_missing", ",").alias("numbers"), "error")
+
+
+LETTERS = Rows("item string, source string, source_language string, output string, output_language string, names array<string>", [("a", "Ana n\u00e3o tem 3 gatos", "pt", "Ana has 3 cats", "en", ["Ana"]), ("b", "Bob has 2 dogs", "en", "Ele tem c\u00e3es", "pt", ["Bob"])])
+
+
+@query(LETTERS)
+def l1_translation_scores(df):
+    return evaluation.score_translation(df).select("item", F.array_join("names_missing", ",").alias("names"), F.array_join("numbers_missing", ",").alias("numbers"), "negation")
+
+
+OFFICE = Rows("item string, reference string, output string, reference_pages int, output_pages int, reference_fonts array<string>, output_fonts array<string>, reference_tables int, output_tables int", [("a", "one two", "one two", 3, 3, ["B", "A"], ["A"], 2, 1), ("b", "one two", "one", 3, 2, [], [], 0, 0)])
+
+
+@query(OFFICE)
+def l5_office_scores(df):
+    return evaluation.score_office(df).select("item", "pages_equal", "cer", "wer", F.array_join("fonts_missing", ",").alias("fonts"), "tables_difference")
+
+
+@query(UNTRUSTED, "SELECT v, 'Resuma os pontos principais. Cite p\u00e1ginas como [p. X]. Trecho [p. 1]:' || chr(10) || '<documento_fonte>' || chr(10) || v || chr(10) || '</documento_fonte>' AS prompt FROM $rows")
+def h20_prompts(df):
+    return df.select("v", segments.summary_prompt(F.col("v"), F.lit("[p. 1]"), "executive").alias("prompt"))

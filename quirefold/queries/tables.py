@@ -224,7 +224,7 @@ def k7_inactive_sessions(spark, sf_dir):
     return ledger.inactive_sessions(_events(spark, sf_dir), F.lit(1706745600))
 
 
-@query("SELECT participant, first_at, CAST(row_number() OVER (ORDER BY first_at, participant) AS INT) AS place, row_number() OVER (ORDER BY first_at, participant) <= 100 AS admitted FROM (SELECT user_id AS participant, CAST(min(epoch(date_trunc('second', ts))) AS BIGINT) AS first_at FROM events GROUP BY user_id)")
+@query("SELECT participant, first_at, CASE WHEN row_number() OVER (ORDER BY first_at, participant) <= 100 THEN CAST(row_number() OVER (ORDER BY first_at, participant) AS INT) END AS place, row_number() OVER (ORDER BY first_at, participant) <= 100 AS admitted FROM (SELECT user_id AS participant, CAST(min(epoch(date_trunc('second', ts))) AS BIGINT) AS first_at FROM events GROUP BY user_id)")
 def k9_admissions(spark, sf_dir):
     requests = _events(spark, sf_dir).select(F.col("user_id").alias("participant"), "at")
     return ledger.admissions(requests, 100)

@@ -85,3 +85,12 @@ def test_html_blocks():
 def test_sanitizer(spark):
     df = spark.createDataFrame([("<a href='javascript:x' onclick=\"y\">k</a><script>z</script><input type=text>",)], "h string").select(html_blocks.sanitized(F.col("h")).alias("s"), html_blocks.element_count(F.col("h")).alias("n"))
     assert (df.first()["s"], df.first()["n"]) == ("<a>k</a>", 2)
+
+
+def test_translation_slot_keeps_placeholders(spark):
+    from quirefold.operators.translation import translate
+
+    docs = spark.createDataFrame([(1, "Hi {name}\nline two"), (2, "plain %d")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in translate(docs).collect()} == {1: "Hi {name}\nline two", 2: "plain %d"}
+    lost = {r["doc_id"]: r for r in translate(docs, lambda s: s.str.replace("QF", "")).collect()}
+    assert lost[1]["text"] is None and lost[1]["error"]
