@@ -5,7 +5,8 @@ metadata name the response in WARC-Concurrent-To. A reader splits archives into
 assembly joins the records of a capture through those identifiers into one nested row.
 
 Spark's own text sink writes the archives (records end in CRLF CRLF, the sink's line separator), so any store that
-Spark can write will do. Files are bounded by FILE_BYTES of payload plus one record, so that reading one fits a task.
+Spark can write will do. Records are dealt to as many files as hold about FILE_BYTES of payload each, by a hash, so that
+reading one file fits a task.
 
 Null html: an empty payload. Null page_id: written without an id and read back as null; it never becomes the record
 that others revisit unless no other id has the payload, and then all of them are responses. Repeated rows: a capture
@@ -56,8 +57,9 @@ def classify(pages: DataFrame) -> DataFrame:
 
 def write_warc(pages: DataFrame, path: str) -> None:
     """Writes path/*.txt.gz: one gzip stream of WARC/1.1 records each."""
-    rows = classify(pages).withColumn("uid", F.expr("uuid()"))
-    # uuid() is drawn once for each row and used in all three records
+    total = pages.agg(F.sum(F.octet_length(F.col("html").cast("string"))).alias("n")).first()["n"] or 0
+    rows = classify(pages).repartition(-(-total // FILE_BYTES) + 1, "page_id", "digest").withColumn("uid", F.expr("uuid()"))
+    # uuid() is drawn once for each row, after the last shuffle, and used in all three records
     urn = lambda suffix: F.concat(F.lit("<urn:uuid:"), F.col("uid"), F.lit(f"{suffix}>"))
     uri = F.coalesce(F.regexp_replace("url", r"[\r\n]+", " "), F.lit("about:blank"))
     page = F.col("page_id").cast("string")
@@ -88,8 +90,7 @@ def write_warc(pages: DataFrame, path: str) -> None:
         _lines(("payloadBytes", F.col("bytes").cast("string"))),
     )
     texts = rows.select(F.concat_ws(CRLF * 2, request, response, metadata).alias("value"))
-    per_file = 2000  # records a file at most; FILE_BYTES is kept by the reader's streaming split below
-    texts.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    texts.write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
 
 
 def _header(block: bytes) -> dict[bytes, bytes]:
