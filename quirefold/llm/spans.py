@@ -142,6 +142,7 @@ def _digests(view: memoryview, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return np.array([digest(view[x:y]) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64).view(np.int64)
 
 
+COMBINED = 250_000
 SPAN_SCHEMA = "a long, s long, did long, th int, lo int, n int, p int, kind int"
 _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
 _NAMES = [x.split()[0] for x in SPAN_SCHEMA.split(", ")]
@@ -154,35 +155,39 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def span_rows(docs: DataFrame, unit: type, size: int, gram: int) -> DataFrame:
-    """Spans of keyed docs, combined within each batch before any shuffle.
+    """Spans of keyed docs, combined within runs of about COMBINED spans before any shuffle.
 
-    kind 0: the batch's first span of its anchor and content. 1: a later one. 2: a first one that has later ones.
+    kind 0: the run's first span of its anchor and content. 1: a later one. 2: a first one that has later ones.
     """
 
+    def combined(parts: list[tuple]) -> pa.RecordBatch:
+        a, s, did, th, lo, n, p = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((np.arange(len(a)), s, a))
+        head = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (s[order][1:] != s[order][:-1])])
+        group = np.cumsum(head) - 1
+        first = order[head][group]  # of each span in `order`, the first of its group
+        same_place = (did[order] == did[first]) & (lo[order] == lo[first])  # another row with the same id isn't later
+        kind = np.zeros(len(a), np.int32)
+        kind[order] = np.where(head | same_place, 0, 1)
+        kind[order[head]] = np.where(np.bincount(group) > 1, 2, 0)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((a, s, did, th, lo, n, p, kind), _KINDS, strict=True)], names=_NAMES)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dids, ths = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            parts, digests = [], []
+            parts, held = [], 0
             for k in np.argsort(dids, kind="stable"):
                 doc = unit(batch.column(2)[int(k)].as_py())
                 a, p, lo, n = find_spans(doc.symbols, size, gram)
                 if not len(a):
                     continue
-                digests.append(doc.digests(lo, lo + n + size - 1))
-                parts.append((a.view(np.int64), np.full(len(a), dids[k]), np.full(len(a), ths[k], np.int32), lo, n, p))
-            if not parts:
-                continue
-            a, did, th, lo, n, p = (np.concatenate(x) for x in zip(*parts, strict=True))
-            s = np.concatenate(digests)
-            order = np.lexsort((np.arange(len(a)), s, a))
-            head = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (s[order][1:] != s[order][:-1])])
-            group = np.cumsum(head) - 1
-            first = order[head][group]  # of each span in `order`, the first of its group
-            same_place = (did[order] == did[first]) & (lo[order] == lo[first])  # another row with the same id isn't later
-            kind = np.zeros(len(a), np.int32)
-            kind[order] = np.where(head | same_place, 0, 1)
-            kind[order[head]] = np.where(np.bincount(group) > 1, 2, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((a, s, did, th, lo.astype(np.int32), n.astype(np.int32), p.astype(np.int32), kind), _KINDS, strict=True)], names=_NAMES)
+                parts.append((a.view(np.int64), doc.digests(lo, lo + n + size - 1), np.full(len(a), dids[k]), np.full(len(a), ths[k], np.int32), lo.astype(np.int32), n.astype(np.int32), p.astype(np.int32)))
+                held += len(a)
+                if held > COMBINED:
+                    yield combined(parts)
+                    parts, held = [], 0
+            if parts:
+                yield combined(parts)
 
     return docs.mapInArrow(scan, SPAN_SCHEMA)
 
