@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored
+from .common import drop_stored, release, stored
 from .spans import Words, keyed, merged, span_rows, window_rows, with_requests
 
 WINDOW = 20
@@ -51,6 +51,7 @@ class FingerprintIndex:
         # anchors met at least twice; most are met once, and all further steps leave those out
         counts = everything.groupBy("a").agg(F.count("*").alias("c"), F.max("seq").alias("latest")).filter(f"c > 1 AND latest = {seq}")
         shared = stored(everything.join(counts.select("a").hint("shuffle_hash"), "a", "left_semi"), "shared")
+        release(docs.sparkSession)  # the shuffles behind `shared` are the largest
         place = F.struct("seq", "did", "lo")
         firsts = stored(
             shared.groupBy("a", "s").agg(F.min(F.struct("seq", "did", "lo")).alias("first")).select("a", "s", "first.*"),
@@ -68,6 +69,7 @@ class FingerprintIndex:
         requests = asked.groupBy("seq", "did", "th").agg(F.collect_list(F.struct("lo", "n", "flag")).alias("asked"))
         found = documents.join(requests.hint("shuffle_hash"), ["seq", "did", "th"])
         windows = stored(window_rows(found.select("did", "th", "text", "asked"), Words, self.window), "windows")
+        release(docs.sparkSession)
         at = F.struct(F.col("flag"), F.col("did"), F.col("lo"))
         earliest = windows.groupBy("w1", "w2").agg(F.min(at).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
         verified = windows.filter(F.col("flag") == seq).join(earliest.hint("shuffle_hash"), ["w1", "w2"]).filter(at > F.col("first")).select("did", "th", "lo", F.lit(1).alias("n"))
