@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes
-from .spans import mixed
+from .spans import Words, mixed
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -41,8 +40,12 @@ MARKS = string.punctuation.encode()
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def plain_words(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode().translate(None, MARKS).split()
+def plain(text: str | None) -> bytes:
+    return (text or "").lower().encode().translate(None, MARKS)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    return Words(plain(text)).symbols
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
@@ -120,12 +123,11 @@ class ItemIndex:
 
 class Matcher:
     def __init__(self, items: list[tuple[int | None, str]]):
-        self.hashes = WordHashes()
         self.ids, self.bags, self.sizes, self.lengths = [], [], [], []
         groups: dict[int, list[int]] = {}
         prints: dict[int, list[np.uint64]] = {}
         for item_id, text in items:
-            h = self.hashes.of(plain_words(text))
+            h = word_hashes(text)
             if not len(h):
                 continue
             size = min(SHINGLE, len(h))
@@ -203,7 +205,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
             matcher = Matcher(shipped.value)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                docs = [matcher.hashes.of(plain_words(t.as_py())) for t in batch.column(1)]
+                docs = [word_hashes(t.as_py()) for t in batch.column(1)]
                 found = []
                 for run in pieces(docs):
                     run = [k for k in run if len(docs[k])]

@@ -92,8 +92,8 @@ class Powers:
 class Words:
     """A text as words joined by one space; all offsets by whole-array operations."""
 
-    def __init__(self, text: str | None):
-        raw = np.frombuffer((text or "").encode(), np.uint8)
+    def __init__(self, text: str | bytes | None):
+        raw = np.frombuffer(text if isinstance(text, bytes) else (text or "").encode(), np.uint8)
         space = SPACES[raw]
         keep = ~space
         keep[1:] |= ~space[:-1]  # of each run of white space, the first

@@ -5,7 +5,7 @@ from collections import Counter
 
 import corpus_pipeline
 from quirefold.llm import mixing, quality
-from quirefold.llm.decontam import plain_words
+from quirefold.llm.decontam import plain
 
 from .test_documents import WORD, brute_classes, brute_secrets, near_corpus, noise
 
@@ -22,7 +22,7 @@ def bag(words, n=5):
 
 
 def contaminated(text, items):
-    have = bag(plain_words(text))
+    have = bag(plain(text).split())
     return any(sum(min(c, have[g]) for g, c in want.items()) >= 0.8 * sum(want.values()) for want in items)
 
 
@@ -51,7 +51,7 @@ def test_run_matches_brute_force(spark, tmp_path):
     left = [r for r in rows if not rejected(r[1])]
     classes = dict(brute_classes([(r[0], r[1]) for r in left]))
     left = [r for r in left if classes[r[0]] == r[0]]
-    items = [bag(plain_words(t)) for _, t in benchmark]
+    items = [bag(plain(t).split()) for _, t in benchmark]
     bad = {r[0] for r in left if contaminated(r[1], items)}
     assert bad
     left = [(r[0], masked(r[1]), r[3]) for r in left if r[0] not in bad]
