@@ -4,8 +4,8 @@ A document's five-word shingles are labelled with their occurrence number. Each
 them under one hash and keeps them in text order, so a sketch agrees for texts that share shingles in the same order.
 Documents that agree in one of BANDS sketches are candidates. Equal word sequences are one text from the start.
 
-Candidates are gathered into clusters (connected by shared sketches), and a cluster's texts are compared where they
-are together: a banded alignment of the shingles, whose band is as wide as the threshold allows, gives the ordered
+The smallest document of each group that agrees in a sketch leads it, and all documents of one leader form a
+cluster, so candidates always meet in one. A cluster's texts are compared where they are together: a banded alignment of the shingles, whose band is as wide as the threshold allows, gives the ordered
 similarity; a pair below the threshold there is also held against the plain shingle sets, for texts with moved parts.
 Pairs that are linked already are skipped. Clusters too large for one task are cut into blocks, and every pair of
 blocks is a task, so no pair goes unseen.
@@ -112,9 +112,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.selectExpr("v AS u", "u AS v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").selectExpr("v AS u", "m AS v").distinct()
+        large = both.join(least.hint("shuffle_hash"), "u").filter("v > u").selectExpr("v AS u", "m AS v")
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        after = large.join(small, "u").filter("v <> m").selectExpr("v AS u", "m AS v").unionByName(small.selectExpr("u", "m AS v"))
+        after = large.join(small.hint("shuffle_hash"), "u").filter("v <> m").selectExpr("v AS u", "m AS v").unionByName(small.selectExpr("u", "m AS v"))
         now = stored(after.filter("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct(), "edges")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
@@ -181,8 +181,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = stored(scanned.groupBy("k1", "k2").agg(F.min("did").alias("uid"), F.first("sketch").alias("sketch"), F.first("n").alias("n")), "texts")
     buckets = texts.filter("n > 0").select("uid", F.posexplode("sketch").alias("band", "value"))
     leaders = buckets.groupBy("band", "value").agg(F.min("uid").alias("lead"), F.count("*").alias("c")).filter("c > 1")
-    edges = buckets.join(leaders, ["band", "value"]).filter("uid <> lead").select(F.col("uid").alias("u"), F.col("lead").alias("v"))
-    clusters = stored(components(edges).selectExpr("u AS uid", "root AS cluster"), "clusters")
+    clusters = buckets.join(leaders.hint("shuffle_hash"), ["band", "value"]).select(F.col("lead").alias("cluster"), "uid").distinct()
     full = stored(rows.join(clusters.hint("shuffle_hash"), F.col("did") == F.col("uid")).select("cluster", "uid", F.coalesce("text", F.lit("")).alias("text")), "members")
     sizes = full.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("text")) / F.lit(BLOCK_BYTES)).cast("int").alias("blocks"))
     placed = full.join(sizes, "cluster").withColumn("blocks", F.greatest("blocks", F.lit(1))).withColumn("block", F.expr("CAST(pmod(xxhash64(uid), blocks) AS INT)"))
