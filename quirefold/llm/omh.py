@@ -79,18 +79,33 @@ def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return len(tails)
 
 
-def similar(a: np.ndarray, b: np.ndarray, set_a: np.ndarray, set_b: np.ndarray, threshold: float = THRESHOLD) -> bool:
-    """a, b: labelled shingles in text order; set_a, set_b: distinct shingles, sorted."""
-    short, long = sorted((len(set_a), len(set_b)))
+def ordered_similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
+    """Whether the banded alignment of two texts' labelled shingles keeps enough of them."""
+    short, long = sorted((len(a), len(b)))
     if not short or short < threshold * long:
         return False
-    common = len(np.intersect1d(set_a, set_b, assume_unique=True))
-    if common >= threshold * (len(set_a) + len(set_b) - common):
-        return True
-    short, long = sorted((len(a), len(b)))
-    band = long - short + int((1 - threshold) * long) + SHINGLE
-    ordered = aligned(a, b, band)
-    return ordered >= threshold * (len(a) + len(b) - ordered)
+    kept = aligned(a, b, long - short + int((1 - threshold) * long) + SHINGLE)
+    return kept >= threshold * (len(a) + len(b) - kept)
+
+
+class SharedShingles:
+    """Exact numbers of distinct shingles that one text shares with each of those before it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        known, self.codes = np.unique(np.concatenate(sets), return_inverse=True)
+        self.present = np.zeros(len(known), bool)
+
+    def of(self, x: int, others: np.ndarray) -> np.ndarray:
+        mine = self.codes[self.starts[x] : self.starts[x] + self.sizes[x]]
+        self.present[mine] = True
+        lengths = self.sizes[others]
+        begins = np.cumsum(lengths) - lengths
+        at = np.repeat(self.starts[others] - begins, lengths) + np.arange(lengths.sum())
+        hits = np.concatenate([[0], np.cumsum(self.present[self.codes[at]])])
+        self.present[mine] = False
+        return hits[begins + lengths] - hits[begins]
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,15 +153,21 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = np.array([sketches(o) if len(o) else [-k] * BANDS for k, o in enumerate(order)], np.int64)
         label = np.arange(len(rows))
         links: list[tuple[int, int]] = []
+        shared = SharedShingles(plain)
+        repeats = np.array([len(o) > len(p) for o, p in zip(order, plain, strict=True)])
         for x in range(1, len(rows)):
             share = (bands[:x] == bands[x]).sum(axis=1)
             if i != j:
                 share[blocks[:x] == blocks[x]] = 0
             share[label[:x] == label[x]] = 0
-            # the most alike first: a link found early spares the rest of that component
             met = np.flatnonzero(share)
-            for y in met[np.argsort(-share[met], kind="stable")].tolist():
-                if label[x] != label[y] and (ids[x] == ids[y] or similar(order[x], order[y], plain[x], plain[y])):
+            if not len(met):
+                continue
+            common = shared.of(x, met)
+            near = common >= THRESHOLD * (shared.sizes[x] + shared.sizes[met] - common)
+            # sets that differ too much can only be aligned if a text repeats its shingles
+            for y, exact in zip(met.tolist(), near.tolist(), strict=True):
+                if label[x] != label[y] and (ids[x] == ids[y] or ((exact or repeats[x] or repeats[y]) and (ordered_similar(order[x], order[y]) or exact))):
                     links.append((ids[y], ids[x]))
                     label[label == label[x]] = label[y]
         return links
