@@ -41,6 +41,17 @@ BASE_RULES = (
     SecretRule("access", r"AKIA[A-Z0-9]+", 0, 16),
     SecretRule("hex", r"[0-9a-f]{32,}", 0, 32),
 )
+#: A private key from its header to its END line, whatever stands between but other lines of five dashes; without an END
+#: line, the header, PEM headers and the base64 run that follow. Loops are possessive, so keys of any length are matched.
+KEY_NAME = r"[A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+KEY_GAP = r"""(?:\\[nrt]|[\x20\t\r\n"'+,>#*|/\\])*+"""
+KEY_HEADER = r"(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash|MessageID):[^\n\\]*+"
+PRIVATE_KEY = (
+    rf"-----BEGIN {KEY_NAME}"
+    rf"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END {KEY_NAME}"
+    rf"|(?:{KEY_GAP}{KEY_HEADER})*+(?:{KEY_GAP}[A-Za-z0-9+/]{{16,}}+={{0,2}})++(?:{KEY_GAP}[A-Za-z0-9+/]++={{0,2}})?+"
+    r"|)"
+)
 MORE_RULES = (
     SecretRule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     SecretRule("gitlab", r"glpat-[A-Za-z0-9_-]{20,}"),
@@ -49,7 +60,7 @@ MORE_RULES = (
     SecretRule("stripe", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"),
     SecretRule("npm", r"npm_[A-Za-z0-9]{36}"),
     SecretRule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}"),
-    SecretRule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    SecretRule("private_key", PRIVATE_KEY),
     SecretRule("url_password", r"://[^\x00-\x20/:@]{1,64}:[^\x00-\x20/@]{3,64}@"),
 )
 RULES = BASE_RULES + MORE_RULES
