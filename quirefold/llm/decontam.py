@@ -10,7 +10,8 @@ Words are compared in lower case without ASCII punctuation, so a passage glued t
 
 The items are read in chunks of ITEM_CHUNK, each a table of bounded size shipped to the tasks and one pass over the
 documents, so a benchmark of any size will do. Null or empty texts and items: no rows. Items under five words: their
-shingles are as long as they are. Repeated documents and items: a row each. Empty tables: an empty result.
+shingles are as long as they are. Repeated documents and items: a row each. Empty tables: an empty result. Rows are
+dropped (clean_only) by their own text alone, so null and repeated ids take no clean row along.
 """
 
 from __future__ import annotations
@@ -189,6 +190,21 @@ def pieces(docs: list[np.ndarray]) -> Iterator[list[int]]:
         yield run
 
 
+def met(matcher: Matcher, docs: list[np.ndarray]) -> Iterator[tuple[int, int, float, int, int]]:
+    """Document, item, similarity, first word, window's words: all meetings, by position in docs and in the matcher."""
+    for run in pieces(docs):
+        run = [k for k in run if len(docs[k])]
+        if run:
+            yield from ((run[d], i, *found) for (d, i), found in matcher.search([docs[k] for k in run]).items())
+
+
+def chunks(items: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
+    """The benchmark's items, at most ITEM_CHUNK at once."""
+    source = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator()
+    while chunk := [(r["item_id"], r["text"] or "") for r in islice(source, ITEM_CHUNK)]:
+        yield chunk
+
+
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, first_word, window_words: every document and item that meet, at their best window."""
     spark = docs.sparkSession
@@ -196,21 +212,15 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
     names = [x.split()[0] for x in schema.split(", ")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    source = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator()
     out = None
-    while chunk := [(r["item_id"], r["text"] or "") for r in islice(source, ITEM_CHUNK)]:
+    for chunk in chunks(items):
         shipped = spark.sparkContext.broadcast(chunk)
 
         def scan(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shipped.value)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                docs = [word_hashes(t.as_py()) for t in batch.column(1)]
-                found = []
-                for run in pieces(docs):
-                    run = [k for k in run if len(docs[k])]
-                    if run:
-                        found += [(ids[run[d]], matcher.ids[i], v, s, n) for (d, i), (v, s, n) in matcher.search([docs[k] for k in run]).items()]
+                found = [(ids[d], matcher.ids[i], *rest) for d, i, *rest in met(matcher, [word_hashes(t.as_py()) for t in batch.column(1)])]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
 
@@ -220,6 +230,18 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean_only(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark item, in the columns they came with."""
-    bad = contaminated(docs, items).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    """docs without the rows whose own text holds a benchmark item, in the columns they came with; ids decide nothing."""
+    spark = docs.sparkSession
+    at = [c.lower() for c in docs.columns].index("text")
+    for chunk in chunks(items):
+        shipped = spark.sparkContext.broadcast(chunk)
+
+        def scan(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(shipped.value)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[d for d, *_ in met(matcher, [word_hashes(t.as_py()) for t in batch.column(at)])]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(scan, docs.schema)
+    return docs

@@ -11,8 +11,9 @@ Pairs that are linked already are skipped. Clusters too large for one task are c
 blocks is a task, so no pair goes unseen.
 
 Null and empty texts: all equal, one class. Texts under five words: only equal ones match. Null doc_id: counts as the
-smallest id and comes back as null. Repeated rows: copies of each other. Rows that share an id are one document, in
-one class. Empty table: an empty result.
+smallest id and comes back as null; rows without an id are documents of their own. Repeated rows: copies of each other.
+Rows that share an id are one document, in one class; one_of_each decides by texts alone and keeps a row of each class.
+Empty table: an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, release, stored
+from .common import NULL_ID, release, row_key, stored
 from .spans import Words, gram_hashes, mixed
 
 SHINGLE = 5
@@ -38,20 +39,25 @@ BLOCK_BYTES = 8 << 20
 SEEDS = mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def labelled(hashes: np.ndarray) -> np.ndarray:
-    """Shingle hashes made distinct by occurrence number, in text order."""
+def occurrences(hashes: np.ndarray) -> np.ndarray:
+    """How often each shingle stood before, in text order."""
     order = np.argsort(hashes, kind="stable")
     ranked = hashes[order]
     new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, bool)
     start = np.maximum.accumulate(np.where(new, np.arange(len(ranked)), 0))
     number = np.empty(len(hashes), np.uint64)
     number[order] = (np.arange(len(ranked)) - start).astype(np.uint64)
-    return mixed(hashes + number * np.uint64(0x9E3779B97F4A7C15))
+    return number
+
+
+def labelled(hashes: np.ndarray, number: np.ndarray | None = None) -> np.ndarray:
+    """Shingle hashes made distinct by occurrence number, in text order."""
+    return mixed(hashes + (occurrences(hashes) if number is None else number) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def sketches(shingles: np.ndarray) -> list[int]:
-    """One signed 64-bit value for each band."""
-    out = []
+def sketches(hashes: np.ndarray) -> list[int]:
+    """One signed 64-bit value for each sketch of a text's shingle hashes."""
+    shingles, out = labelled(hashes), []
     picks = min(PICKS, len(shingles))
     for seed in SEEDS:
         value = mixed(shingles ^ seed)
@@ -115,9 +121,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, shingles = text_shingles(text.as_py())
             keys.append(blake2b(doc.view, digest_size=16).digest())
             counts.append(len(shingles))
-            found.append(sketches(labelled(shingles)) if len(shingles) else [])
+            found.append(sketches(shingles) if len(shingles) else [])
         halves = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(counts, pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["did", "k1", "k2", "n", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(counts, pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["did", "th", "k1", "k2", "n", "sketch"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -145,12 +151,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def solve(rows: list[tuple]) -> list[tuple[int, int]]:
         i, j = rows[0][1], rows[0][2]
         rows = sorted(set(rows), key=lambda r: r[4:])
-        ids = [r[4] for r in rows]
+        ids = [r[4] for r in rows]  # one for each text
         blocks = np.array([r[3] for r in rows])
         plain = [text_shingles(r[5])[1] for r in rows]
         order = [labelled(p) for p in plain]
+        bands = np.array([sketches(p) for p in plain], np.int64)  # a cluster's texts have shingles
         plain = [np.unique(p) for p in plain]
-        bands = np.array([sketches(o) if len(o) else [-k] * BANDS for k, o in enumerate(order)], np.int64)
         label = np.arange(len(rows))
         links: list[tuple[int, int]] = []
         shared = SharedShingles(plain)
@@ -167,7 +173,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near = common >= THRESHOLD * (shared.sizes[x] + shared.sizes[met] - common)
             # sets that differ too much can only be aligned if a text repeats its shingles
             for y, exact in zip(met.tolist(), near.tolist(), strict=True):
-                if label[x] != label[y] and (ids[x] == ids[y] or ((exact or repeats[x] or repeats[y]) and (ordered_similar(order[x], order[y]) or exact))):
+                if label[x] != label[y] and (exact or ((repeats[x] or repeats[y]) and ordered_similar(order[x], order[y]))):
                     links.append((ids[y], ids[x]))
                     label[label == label[x]] = label[y]
         return links
@@ -194,16 +200,23 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emitted()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class), text_id (the smallest doc_id with the same words)."""
+def classes(docs: DataFrame, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows as did, th (row_key), uid; and texts as uid, text (the smallest did, th with these words), root (the smallest of its class).
+
+    by_id: rows that share an id, if it isn't null, are in one class.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.col("text").cast("string").alias("text"))
-    scanned = stored(rows.mapInArrow(_sketch, "did long, k1 long, k2 long, n int, sketch array<long>"), "sketches")
-    texts = stored(scanned.groupBy("k1", "k2").agg(F.min("did").alias("uid"), F.first("sketch").alias("sketch"), F.first("n").alias("n")), "texts")
+    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).select(*row_key(), "text")
+    scanned = stored(rows.select("did", "text", "th").mapInArrow(_sketch, "did long, th long, k1 long, k2 long, n int, sketch array<long>"), "sketches")
+    least = scanned.groupBy("k1", "k2").agg(F.min(F.struct("did", "th")).alias("text"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
+    texts = stored(least.withColumn("uid", F.monotonically_increasing_id()), "texts")  # numbers stay once they are written
     buckets = texts.filter("n > 0").select("uid", F.posexplode("sketch").alias("band", "value"))
     leaders = buckets.groupBy("band", "value").agg(F.min("uid").alias("lead"), F.count("*").alias("c")).filter("c > 1")
     clusters = buckets.join(leaders.hint("shuffle_hash"), ["band", "value"]).select(F.col("lead").alias("cluster"), "uid").distinct()
-    full = stored(rows.join(clusters.hint("shuffle_hash"), F.col("did") == F.col("uid")).select("cluster", "uid", F.coalesce("text", F.lit("")).alias("text")), "members")
+    wanted = clusters.join(texts.select("uid", "text.did", "text.th").hint("shuffle_hash"), "uid")
+    # a row for each did and th, so that neither repeated rows nor null ids gather
+    whole = rows.groupBy("did", "th").agg(F.first("text").alias("text"))
+    full = stored(whole.join(wanted.hint("shuffle_hash"), ["did", "th"]).select("cluster", "uid", F.coalesce("text", F.lit("")).alias("text")), "members")
     sizes = full.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("text")) / F.lit(BLOCK_BYTES)).cast("int").alias("blocks"))
     placed = full.join(sizes, "cluster").withColumn("blocks", F.greatest("blocks", F.lit(1))).withColumn("block", F.expr("CAST(pmod(xxhash64(uid), blocks) AS INT)"))
     # a block meets every block of its cluster once; with one block that's one task
@@ -211,15 +224,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # a few bytes mean much work here, so tasks aren't merged by size
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
     links = stored(tasks.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_compare, "u long, v long"), "links")
-    found = components(links)
-    classes = scanned.select("did", "k1", "k2").join(texts.select("k1", "k2", "uid"), ["k1", "k2"])
-    out = classes.join(found.withColumnRenamed("u", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    numbered = stored(scanned.select("did", "th", "k1", "k2").join(texts.select("k1", "k2", "uid").hint("shuffle_hash"), ["k1", "k2"]).select("did", "th", "uid"), "numbered")
+    if by_id:
+        ends = numbered.filter(F.col("did") != NULL_ID).groupBy("did").agg(F.min("uid").alias("u"), F.max("uid").alias("v")).filter("u < v").select("did", "u")
+        links = links.unionByName(numbered.join(ends.hint("shuffle_hash"), "did").select("u", F.col("uid").alias("v")).filter("u <> v"))
+    linked = texts.select("uid", "text").join(components(links).withColumnRenamed("u", "uid").hint("shuffle_hash"), "uid")
+    roots = linked.groupBy("root").agg(F.min("text").alias("least"))
+    found = linked.select("uid", F.col("root")).join(roots.hint("shuffle_hash"), "root").select("uid", "least")
+    out = texts.select("uid", "text").join(found.hint("shuffle_hash"), "uid", "left").select("uid", "text", F.coalesce("least", "text").alias("root"))
     release(spark)
+    return numbered, out
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of its class), text_id (the smallest doc_id with the same words)."""
+    rows, texts = classes(docs, True)
+    out = rows.join(texts.select("uid", F.col("text.did").alias("text"), F.col("root.did").alias("root")).hint("shuffle_hash"), "uid")
     named = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(named("did").alias("doc_id"), named("root").alias("class_id"), named("uid").alias("text_id"))
+    return out.select(named("did").alias("doc_id"), named("root").alias("class_id"), named("text").alias("text_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each class; rows of that same id and words stay together."""
-    kept = near_duplicates(docs).filter("doc_id <=> class_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """One row of each class: that with the smallest id, then the smallest hash of its text, then the smallest other columns."""
+    _, texts = classes(docs, False)
+    kept = texts.filter("text = root").select("text.did", "text.th")
+    text = F.col("text").cast("string")
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"))
+    return keyed.groupBy("did", "th").agg(F.min("row").alias("row")).join(kept.hint("shuffle_hash"), ["did", "th"], "left_semi").select("row.*")

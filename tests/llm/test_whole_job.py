@@ -2,7 +2,9 @@
 
 import random
 
-from quirefold.llm import secrets
+from quirefold.llm import decontam, omh, secrets
+
+from .test_documents import noise
 
 
 def key_body(rng, lines):
@@ -36,3 +38,34 @@ def test_masked_text_holds_no_key_material(docs_of):
     assert [got[d] for d in (3, 4)] == ["a [SECRET]\n\n. z"] * 2 and got[7] == "a [SECRET]\n. z"
     assert got[5] == 'a "[SECRET]\\n" z' and got[9] == "a [SECRET] between [SECRET] z"
     assert got[10] == "a [SECRET] begins a key. z" and got[11] == "a [SECRET]\n-----BEGIN PUBLIC KEY-----\nshown\n-----END PUBLIC KEY----- z"
+
+
+def test_decontamination_drops_rows_and_not_ids(spark, docs_of, monkeypatch):
+    rng = random.Random(22)
+    items = [(k, noise(rng, 30)) for k in range(5)]
+    bad = [(d, noise(rng, 40) + " " + items[k][1] + " " + noise(rng, 40)) for k, d in enumerate([None, 7, None, 8, 9])]
+    clean = [(d, noise(rng, 100)) for d in [None, None, 7, 7, 8, 10]] + [(None, None), (11, "")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for chunk in (1000, 2):
+        monkeypatch.setattr(decontam, "ITEM_CHUNK", chunk)
+        out = decontam.clean_only(docs_of(bad + clean), table)
+        assert out.schema == docs_of([]).schema
+        assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(clean, key=str)
+
+
+def test_one_row_of_each_class_is_kept(docs_of):
+    rng = random.Random(23)
+    text = [noise(rng, 120) for _ in range(8)]
+    near = lambda t: t + " more words"
+    rows = [(None, text[0]), (None, text[0]), (None, near(text[0])), (None, text[1]), (4, text[1]), (5, text[2]), (5, text[2]), (5, text[3]), (6, near(text[3])), (None, None), (None, ""), (8, " "), (9, text[4])]
+    got = [(r["doc_id"], r["text"]) for r in omh.one_of_each(docs_of(rows)).collect()]
+    assert len(got) == 6 and set(got) <= set(rows)
+    assert sorted(d or 0 for d, _ in got) == [0, 0, 0, 5, 5, 9]
+    assert {(None, text[1]), (5, text[2]), (5, text[3]), (9, text[4])} <= set(got)
+
+
+def test_rows_of_one_id_share_a_class(docs_of):
+    rng = random.Random(24)
+    a, b = noise(rng, 60), noise(rng, 60)
+    got = omh.near_duplicates(docs_of([(3, a), (5, a), (5, b), (None, noise(rng, 60)), (None, noise(rng, 60))])).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted([(3, 3, 3), (5, 3, 3), (5, 3, 5), (None, None, None), (None, None, None)], key=str)
