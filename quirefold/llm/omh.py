@@ -2,7 +2,8 @@
 
 A document's five-word shingles are labelled with their occurrence number. Each sketch takes the PICKS smallest of
 them under one hash and keeps them in text order, so a sketch agrees for texts that share shingles in the same order.
-Documents that agree in one of BANDS sketches are candidates. Equal word sequences are one text from the start.
+As many sketches again take the PICKS smallest distinct shingles without their order, so they agree for texts with moved
+or repeated parts too. Documents that agree in a sketch are candidates. Equal word sequences are one text from the start.
 
 The smallest document of each group that agrees in a sketch leads it, and all documents of one leader form a
 cluster, so candidates always meet in one. A cluster's texts are compared where they are together: a banded alignment of the shingles, whose band is as wide as the threshold allows, gives the ordered
@@ -33,6 +34,7 @@ from .spans import Words, gram_hashes, mixed
 SHINGLE = 5
 THRESHOLD = 0.8
 PICKS = 3
+#: Sketches in text order, and as many without order.
 BANDS = 20
 #: Bytes of text in one block of a cluster.
 BLOCK_BYTES = 8 << 20
@@ -56,14 +58,23 @@ def labelled(hashes: np.ndarray, number: np.ndarray | None = None) -> np.ndarray
 
 
 def sketches(hashes: np.ndarray) -> list[int]:
-    """One signed 64-bit value for each sketch of a text's shingle hashes."""
-    shingles, out = labelled(hashes), []
-    picks = min(PICKS, len(shingles))
+    """One signed 64-bit value for each sketch of a text's shingle hashes: BANDS in text order, BANDS without order."""
+    number = occurrences(hashes)
+    shingles, first = labelled(hashes, number), number == 0
+    distinct = shingles if first.all() else shingles[first]
+
+    def least(values: np.ndarray, seed: np.uint64) -> np.ndarray:
+        return np.argpartition(mixed(values ^ seed), PICKS - 1)[:PICKS] if PICKS < len(values) else np.arange(len(values))
+
+    def digest(picked: np.ndarray, salt: bytes = b"") -> int:
+        return int.from_bytes(blake2b(picked.tobytes(), digest_size=8, salt=salt).digest(), "little", signed=True)
+
+    ordered, plain = [], []
     for seed in SEEDS:
-        value = mixed(shingles ^ seed)
-        least = np.argpartition(value, picks - 1)[:picks] if picks < len(value) else np.arange(len(value))
-        out.append(int.from_bytes(blake2b(shingles[np.sort(least)].tobytes(), digest_size=8).digest(), "little", signed=True))
-    return out
+        at = np.sort(least(shingles, seed))
+        ordered.append(digest(shingles[at]))
+        plain.append(digest(np.sort(shingles[at] if distinct is shingles else distinct[least(distinct, seed)]), b"set"))
+    return ordered + plain
 
 
 def text_shingles(text: str | None) -> tuple[Words, np.ndarray]:

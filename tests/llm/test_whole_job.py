@@ -69,3 +69,15 @@ def test_rows_of_one_id_share_a_class(docs_of):
     a, b = noise(rng, 60), noise(rng, 60)
     got = omh.near_duplicates(docs_of([(3, a), (5, a), (5, b), (None, noise(rng, 60)), (None, noise(rng, 60))])).collect()
     assert sorted((tuple(r) for r in got), key=str) == sorted([(3, 3, 3), (5, 3, 3), (5, 3, 5), (None, None, None), (None, None, None)], key=str)
+
+
+def test_moved_and_repeated_parts_are_found(docs_of):
+    rng = random.Random(25)
+    rows, pairs = [], []
+    for k in range(40):
+        parts = [noise(rng, 150) for _ in range(3)]
+        once = noise(rng, 150)
+        rows += [(10 * k, " ".join(parts)), (10 * k + 1, " ".join(parts[::-1])), (10 * k + 2, once), (10 * k + 3, " ".join([once] * 3))]
+        pairs += [(10 * k + 1, 10 * k), (10 * k + 3, 10 * k + 2)]
+    got = {r["doc_id"]: r["class_id"] for r in omh.near_duplicates(docs_of(rows)).collect()}
+    assert [(d, c) for d, c in pairs if got[d] != c] == []
