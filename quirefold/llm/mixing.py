@@ -8,7 +8,9 @@ pair for each source, reach the driver.
 
 Rates become whole copies stratum by stratum: documents of one source within a few percent of one size form a
 stratum; going from large to small sizes, each stratum receives the copies that bring its source nearest to the plan,
-and what is left over goes to the next. Which documents get the extra copy is decided by a hash, so reruns agree.
+and what is left over goes to the next. Which documents get the extra copy is decided by a hash, so reruns agree: those
+with the smallest hashes, exactly as many as planned. Hashes are counted by range first, so that ranks are taken inside
+ranges of a few thousand documents. Rows that are equal in everything mixing reads are one row with a count meanwhile.
 
 Null text: size 0, nothing taken. Null source: a source of its own, last. Repeated rows: each is mixed on its own and
 gets the same number of copies up to one. Null doc_id: allowed. Empty table: empty result.
@@ -27,8 +29,8 @@ from .common import stored, word_count
 MAX_RATE = 3.0
 #: Sizes within one stratum differ by less than this factor.
 STRATUM_RATIO = 1.05
-#: Strata of up to so many documents pick extra copies by exact rank; larger ones by hash threshold, whose error is below 0.4 %.
-RANKED = 65536
+#: Documents in one range of a stratum's hashes, about.
+RANGE = 8192
 
 
 def capped_shares(sizes: list[float], weights: list[float], max_rate: float = MAX_RATE) -> list[float]:
@@ -94,15 +96,27 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_rate:
         [(i, s, t, float(target), float(rates[s])) for i, ((s, t), target) in enumerate(zip(sums, targets, strict=True))],
         "skey long, source string, source_size long, target double, rate double",
     )
-    rows = sized.join(F.broadcast(table), sized["source"].eqNullSafe(table["source"])).drop(table["source"])
+    alike = sized.groupBy("doc_id", "source", "size", "dice").agg(F.count("*").alias("equal"))
+    rows = alike.join(F.broadcast(table), alike["source"].eqNullSafe(table["source"])).drop(table["source"])
     rows = rows.withColumn("stratum", F.when(F.col("size") > 0, F.floor(F.log(F.col("size").cast("double")) / math.log(STRATUM_RATIO))).otherwise(-1).cast("long"))
     most = int(math.floor(max_rate))
-    strata = rows.filter("size > 0").groupBy("skey", "stratum").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"), F.max("rate").alias("rate")).withColumn("most", F.lit(most))
+    strata = rows.filter("size > 0").groupBy("skey", "stratum").agg(F.sum("equal").alias("n"), F.sum(F.col("size") * F.col("equal")).alias("tokens"), F.max("rate").alias("rate")).withColumn("most", F.lit(most))
     plan = strata.groupBy("skey").applyInPandas(_plan, "skey long, stratum long, low long, extra long")  # a few hundred strata for each source
     plan = strata.select("skey", "stratum", "n").join(plan, ["skey", "stratum"])
     rows = rows.join(plan, ["skey", "stratum"], "left")
-    ranked = Window.partitionBy("skey", "stratum", F.when(F.col("n") > RANKED, F.col("dice")).otherwise(0)).orderBy("dice", "doc_id", "size")
     share = (F.col("dice").cast("double") + 2.0**63) / 2.0**64
-    chosen = F.when(F.col("n") > RANKED, share < F.col("extra") / F.col("n")).otherwise(F.row_number().over(ranked) <= F.col("extra"))
+    ranges = F.ceil(F.coalesce("n", F.lit(1)) / RANGE)
+    # nothing is taken of empty texts; their ranges only spread them
+    rows = rows.withColumn("range", F.when(F.col("size") > 0, F.least(F.floor(share * ranges), ranges - 1)).otherwise(F.floor(share * 4095)))
+    counts = rows.groupBy("skey", "stratum", "range").agg(F.sum("equal").alias("held"))
+    earlier = Window.partitionBy("skey", "stratum").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = counts.select("skey", "stratum", "range", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("skey", "stratum", "range").orderBy("dice", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(before.hint("shuffle_hash"), ["skey", "stratum", "range"])
+    left = F.col("extra") - F.col("before") - F.coalesce(F.sum("equal").over(inside), F.lit(0))
+    rows = rows.withColumn("favoured", F.coalesce(F.least(F.greatest(left, F.lit(0)), "equal"), F.lit(0)))
+    rows = rows.withColumn("block", F.explode(F.expr(f"sequence(0L, (equal - 1) div {RANGE})")))
+    rows = rows.withColumn("nth", F.explode(F.expr(f"sequence(block * {RANGE} + 1, least(equal, (block + 1) * {RANGE}))")))
+    chosen = F.col("nth") <= F.col("favoured")
     copies = F.when(F.col("size") > 0, F.coalesce(F.col("low"), F.lit(0)) + F.when(chosen, 1).otherwise(0)).otherwise(0).cast("long")
     return rows.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -2,7 +2,9 @@
 
 import random
 
-from quirefold.llm import decontam, omh, secrets
+from pyspark.sql import functions as F
+
+from quirefold.llm import decontam, mixing, omh, secrets
 
 from .test_documents import noise
 
@@ -81,3 +83,14 @@ def test_moved_and_repeated_parts_are_found(docs_of):
         pairs += [(10 * k + 1, 10 * k), (10 * k + 3, 10 * k + 2)]
     got = {r["doc_id"]: r["class_id"] for r in omh.near_duplicates(docs_of(rows)).collect()}
     assert [(d, c) for d, c in pairs if got[d] != c] == []
+
+
+def test_extra_copies_are_counted_exactly(spark):
+    """Of large strata, with ids of their own and of equal rows."""
+    n = 70_000
+    ids = spark.range(2 * n).select(F.when(F.col("id") < n, F.col("id")).alias("doc_id"), F.lit("w " * 10).alias("text"), F.when(F.col("id") < n, "a").otherwise("b").alias("source"))
+    got = mixing.mix(ids)
+    per = {r["source"]: r for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n"), F.min("copies").alias("low"), F.max("copies").alias("high")).collect()}
+    assert [per[s]["n"] for s in "ab"] == [n, n]
+    for r in per.values():
+        assert abs(r["taken"] - r["target"]) <= 5 and r["high"] - r["low"] == 1
