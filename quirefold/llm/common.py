@@ -17,11 +17,13 @@ NULL_ID = -(2**63)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share. Where none is set: a temporary one on a single machine, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
+    if root is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if root is None:
         root = "file://" + tempfile.mkdtemp(prefix="quirefold-")
         spark.sparkContext.setCheckpointDir(root)

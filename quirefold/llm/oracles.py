@@ -86,7 +86,8 @@ WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256
 f AS (SELECT page_id, n, h, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY h) END AS first FROM p)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
        CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN first <> page_id THEN first END AS refers_to
+       CASE WHEN first <> page_id THEN first END AS refers_to,
+       true AS complete, true AS intact
 FROM f
 """
 

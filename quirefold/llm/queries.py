@@ -43,7 +43,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.warc_round_trip(load(spark, sf_dir, "pages")).drop("complete")
+    return warc.warc_round_trip(load(spark, sf_dir, "pages"))
 
 
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

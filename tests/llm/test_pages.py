@@ -77,3 +77,26 @@ def test_payloads_come_back(spark):
     warc.write_warc(pages_of(spark, [(1, "http://a/", "<p>ü\r\n\r\n"), (2, "http://b/", "x" * 200)]), path)
     got = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read_warc(spark, path, payloads=True).filter("record_type = 'response'").collect()}
     assert got == {1: "<p>ü\r\n\r\n", 2: "x" * 200}
+
+
+def test_damaged_archive_is_flagged(spark, tmp_path):
+    import gzip
+    from pathlib import Path
+
+    from quirefold.llm.common import scratch_path
+
+    path = scratch_path(spark, "test")
+    pages = pages_of(spark, [(1, "http://a/", "first page" * 20), (2, "http://b/", "second page"), (3, "http://c/", "first page" * 20)])
+    warc.write_warc(pages, path, date="2024-01-02T03:04:05Z")
+    raw = b"".join(gzip.decompress(f.read_bytes()) for f in sorted(Path(path.removeprefix("file://")).glob("*.gz")))
+    assert raw.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and raw.count(b"WARC-Date: 2024-01-02T03:04:05Z") == raw.count(b"WARC-Record-ID")
+    # the revisit names the response's identifier
+    response = re.search(rb"WARC-Record-ID: (\S+)\r\n[^<]*http://a/[^<]*WARC-Page-ID: 1\r\n", raw)[1]
+    assert re.search(rb"WARC-Refers-To: (\S+)\r\n", raw)[1] == response
+    assert raw.count(b"warcinfo") == len(list(Path(path.removeprefix("file://")).glob("*.gz")))
+
+    broken = raw.replace(b"second page", b"sEcond page")
+    lost = re.search(rb"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <urn:uuid:" + re.escape(response[10:-1]) + rb"-m>.*?payloadBytes: 200\r\n(?:\r\n\r\n)?", broken, re.S)[0]
+    (tmp_path / "part.gz").write_bytes(gzip.compress(broken.replace(lost, b"")))
+    found = warc.assemble(warc.read_warc(spark, f"file://{tmp_path}")).select("response.page_id", "complete", "intact").collect()
+    assert sorted(tuple(r) for r in found) == [(1, False, True), (2, True, False), (3, True, True)]
