@@ -142,15 +142,15 @@ def _digests(view: memoryview, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return np.array([digest(view[x:y]) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64).view(np.int64)
 
 
-SPAN_SCHEMA = "a long, s long, did long, th int, lo int, n int, p int, kind int"
-_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+SPAN_SCHEMA = "a long, s long, did long, th long, lo int, n int, p int, kind int"
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
 _NAMES = [x.split()[0] for x in SPAN_SCHEMA.split(", ")]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """did, th, text: rows with equal keys are the same document to these operators."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"), F.hash(text).alias("th"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def span_rows(docs: DataFrame, unit: type, size: int, gram: int) -> DataFrame:
@@ -169,7 +169,7 @@ def span_rows(docs: DataFrame, unit: type, size: int, gram: int) -> DataFrame:
                 if not len(a):
                     continue
                 digests.append(doc.digests(lo, lo + n + size - 1))
-                parts.append((a.view(np.int64), np.full(len(a), dids[k]), np.full(len(a), ths[k], np.int32), lo, n, p))
+                parts.append((a.view(np.int64), np.full(len(a), dids[k]), np.full(len(a), ths[k]), lo, n, p))
             if not parts:
                 continue
             a, did, th, lo, n, p = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -193,7 +193,7 @@ def with_requests(docs: DataFrame, requests: DataFrame, *fields: str, how: str =
     return docs.join(asked.hint("shuffle_hash"), ["did", "th"], how)  # texts needn't be sorted
 
 
-WINDOW_SCHEMA = "w1 long, w2 long, did long, th int, lo int, flag int"
+WINDOW_SCHEMA = "w1 long, w2 long, did long, th long, lo int, flag int"
 
 
 def window_rows(asked: DataFrame, unit: type, size: int) -> DataFrame:
@@ -204,7 +204,7 @@ def window_rows(asked: DataFrame, unit: type, size: int) -> DataFrame:
 
         def emitted() -> pa.RecordBatch:
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            columns = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(dids, pa.int64()), pa.array(ths, pa.int32()), pa.array(los, pa.int32()), pa.array(flags, pa.int32())]
+            columns = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(dids, pa.int64()), pa.array(ths, pa.int64()), pa.array(los, pa.int32()), pa.array(flags, pa.int32())]
             for x in (digests, dids, ths, los, flags):
                 x.clear()
             return pa.RecordBatch.from_arrays(columns, names=["w1", "w2", "did", "th", "lo", "flag"])

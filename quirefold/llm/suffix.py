@@ -8,12 +8,18 @@ sorts the strings stably by it, and updates the common prefixes of neighbours. S
 column, each column keeps its own segment of the collection's transform. A window is repeated where a suffix shares at
 least `size` bytes with a neighbour.
 
-Memory: a collection holds at most COLLECTION strings at a time, and a round needs only the previous round's order and
-common prefixes; columns can be appended to sequential files by a sink. Anchors with more than HOT different contents
-don't fit one task; their single windows are compared by 128-bit digests in an aggregation instead, which is as exact.
+Every collection holds at most COLLECTION strings. An anchor with more is split by its strings' next symbols: its windows
+are cut into classes of CLASS neighbouring offsets, all windows of a class hold the same stretch of bytes around the
+anchor, and what that stretch reads decides the collection. A stretch that still has too many different surroundings
+is cut once more, into single windows, where the stretch is the window and a collection needs no order, only its number
+of members. So whatever is compared fits a task, nothing is left out, and every level does the same to its strings.
+
+Memory: a round needs only the previous round's order and common prefixes; transforms() writes the columns one after
+another as rows of sequential files.
 
 Null and short texts: nothing removed. Null doc_id: counts as the smallest id. Rows with the same id and the same text
-are still two documents: a long text that occurs twice is removed from both. Empty table: empty result.
+are still two documents: a long text that occurs twice is removed from both. Very long texts: whole, cut into spans.
+Ties don't occur: all copies of a window go, the first included. Extra columns are ignored. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -27,13 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import release, stored
-from .spans import Bytes, keyed, merged, span_rows, window_rows, with_requests
+from .spans import SPAN_SCHEMA, Bytes, keyed, merged, span_rows, with_requests
 
 WINDOW = 400
 GRAM = 32
-#: Strings in one collection, at most, unless one anchor has more; that one has at most HOT.
+#: Strings in one collection, at most.
 COLLECTION = 4096
-HOT = 30_000
+#: Neighbouring offsets from the anchor in one class of windows.
+CLASS = 46
 PAD = 256
 
 
@@ -64,13 +71,17 @@ def column_order(strings: np.ndarray, sink: Callable[[int, np.ndarray, np.ndarra
         yield column, order, prefixes
 
 
-def repeated_windows(strings: list[bytes], offsets: list[int], counts: list[int], size: int) -> list[np.ndarray]:
-    """For each string, which of its `counts` first windows also occur in another string at the same aligned column."""
-    width = max(o + len(s) for s, o in zip(strings, offsets, strict=True))
-    grid = np.full((len(strings), width), PAD, np.uint16)
+def aligned(strings: list[bytes], offsets: list[int]) -> np.ndarray:
+    grid = np.full((len(strings), max(o + len(s) for s, o in zip(strings, offsets, strict=True))), PAD, np.uint16)
     for row, s, o in zip(grid, strings, offsets, strict=True):
         row[o : o + len(s)] = np.frombuffer(s, np.uint8)
-    hits = np.zeros((len(strings), width + 1), bool)
+    return grid
+
+
+def repeated_windows(strings: list[bytes], offsets: list[int], counts: list[int], size: int) -> list[np.ndarray]:
+    """For each string, which of its `counts` first windows also occur in another string at the same aligned column."""
+    grid = aligned(strings, offsets)
+    hits = np.zeros((len(strings), grid.shape[1] + 1), bool)
     first, last = min(offsets), max(o + n for o, n in zip(offsets, counts, strict=True))
     for column, order, prefixes in column_order(grid):
         if column < first:
@@ -87,12 +98,12 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return [(int(s), int(e - s)) for s, e in zip(edges[::2], edges[1::2], strict=True)]
 
 
-STRING_SCHEMA = "a long, did long, th int, lo int, n int, p int, many int, content binary"
+STRING_SCHEMA = "a long, did long, th long, lo int, n int, p int, many int, content binary"
 
 
 def _cut(size: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         rows: list[tuple] = []
 
         def emitted() -> pa.RecordBatch:
@@ -112,60 +123,129 @@ def _cut(size: int):
     return scan
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows sorted by anchor, as collections: whole groups of one anchor, together at most COLLECTION or one group."""
+    part: list[tuple] = []
+    group: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
+            if group and row[0] != group[0][0]:
+                if part and len(part) + len(group) > COLLECTION:
+                    yield part
+                    part = []
+                part, group = part + group, []
+            group.append(row)
+    yield from (x for x in ([part, group] if len(part) + len(group) > COLLECTION else [part + group]) if x)
+
+
 def _collections(size: int):
     """Strings sorted by anchor -> did, th, lo, n of repeated windows. Holds one collection at a time."""
 
-    def solve(part: list[tuple]) -> pa.RecordBatch | None:
-        lead = max(p - lo for _, _, _, lo, _, p, _, _ in part)
-        found = repeated_windows([r[7] for r in part], [lead - (r[5] - r[3]) for r in part], [r[4] for r in part], size)
-        rows = [(r[1], r[2], r[3] + s, k) for r, flags in zip(part, found, strict=True) if not r[6] for s, k in runs(flags)]
-        if not rows:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["did", "th", "lo", "n"])
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _grouped(batches):
+            lead = max(p - lo for _, _, _, lo, _, p, _, _ in part)
+            found = repeated_windows([r[7] for r in part], [lead - (r[5] - r[3]) for r in part], [r[4] for r in part], size)
+            rows = [(r[1], r[2], r[3] + s, k) for r, flags in zip(part, found, strict=True) if not r[6] for s, k in runs(flags)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["did", "th", "lo", "n"])
+
+    return scan
+
+
+def _divided(size: int, wide: int):
+    """Requests -> spans of at most `wide` neighbouring offsets from the anchor, under the hash of what all of these share."""
+    names, kinds = [x.split()[0] for x in SPAN_SCHEMA.split(", ")], [pa.int64()] * 4 + [pa.int32()] * 4
+    number = lambda *parts: int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part: list[tuple] = []
-        group: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
-                if group and row[0] != group[0][0]:
-                    if len(part) + len(group) > COLLECTION and part:
-                        if (out := solve(part)) is not None:
-                            yield out
-                        part = []
-                    part, group = part + group, []
-                group.append(row)
-        for last in ([part, group] if len(part) + len(group) > COLLECTION else [part + group]):
-            if last and (out := solve(last)) is not None:
-                yield out
+            rows = []
+            for did, th, text, asked in zip(*(batch.column(c).to_pylist() for c in ("did", "th", "text", "asked")), strict=True):
+                raw = memoryview(text.encode())
+                for x in asked:
+                    p, first, last = x["p"], x["p"] - x["lo"] - x["n"] + 1, x["p"] - x["lo"]  # offsets of the last and of the first window
+                    for k in range(first // wide, last // wide + 1):
+                        low, high = max(first, k * wide), min(last, (k + 1) * wide - 1)
+                        # every window of class k starts at or before p - k * wide and ends at or after p + size - (k + 1) * wide + 1
+                        core = raw[p - k * wide : p + size - (k + 1) * wide + 1]
+                        content = raw[p - high : p - low + size]
+                        rows.append((number(x["a"].to_bytes(8, "little", signed=True), k.to_bytes(4, "little"), core), number(low.to_bytes(4, "little"), content), did, th, p - high, high - low + 1, p, x["many"]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return scan
 
 
-def repeated_ranges(docs: DataFrame, size: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """did, th, lo, n: windows of keyed docs that also start elsewhere, by first window and number."""
+def _settled(spans: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Ranges of spans whose content occurs twice; and the first span of each content (did, th, a, lo, n, p, many, c) where an anchor has c > 1."""
+    contents = stored(
+        spans.groupBy("a", "s").agg(F.min(F.struct("did", "th", "lo", "n", "p")).alias("first"), F.when((F.count("*") > 1) | (F.max("kind") > 0), 1).otherwise(0).alias("many")).select("a", "s", "first.*", "many"), name
+    )
+    whole = spans.join(contents.filter("many = 1").select("a", "s"), ["a", "s"], "left_semi").select("did", "th", "lo", "n")
+    varied = contents.groupBy("a").agg(F.count("*").alias("c")).filter("c > 1")
+    return whole, contents.join(varied, "a")
+
+
+def _strings(docs: DataFrame, spans: DataFrame, size: int) -> DataFrame:
+    """The spans' bytes, sorted by anchor inside partitions, all of one anchor in one."""
+    cut = with_requests(docs, spans, "a", "lo", "n", "p", "many").select("did", "th", "text", "asked").mapInArrow(_cut(size), STRING_SCHEMA)
+    return cut.repartition("a").sortWithinPartitions("a")
+
+
+def collections(docs: DataFrame, size: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """Of keyed docs: ranges (did, th, lo, n) that are repeated as a whole, and the spans whose strings form collections."""
     spans = stored(span_rows(docs, Bytes, size, gram), "byte-spans")
     fresh = spans.filter("kind <> 1")
     counts = fresh.groupBy("a").agg(F.count("*").alias("c"), F.max("kind").alias("k")).filter("c > 1 OR k > 0").select("a")
     shared = stored(fresh.join(counts, "a", "left_semi"), "byte-shared")
-    contents = stored(
-        shared.groupBy("a", "s").agg(F.min(F.struct("did", "th", "lo", "n", "p")).alias("first"), F.when((F.count("*") > 1) | (F.max("kind") > 0), 1).otherwise(0).alias("many")).select("a", "s", "first.*", "many"),
-        "byte-contents",
-    )
-    whole = shared.join(contents.filter("many = 1").select("a", "s"), ["a", "s"], "left_semi").select("did", "th", "lo", "n")
+    whole, asked = _settled(shared, "byte-contents")
     ranges = spans.filter("kind = 1").select("did", "th", "lo", "n").unionByName(whole)
-    varied = contents.groupBy("a").agg(F.count("*").alias("c")).filter("c > 1")
-    asked = contents.join(varied, "a")
-    strings = with_requests(docs, asked.filter(F.col("c") <= HOT), "a", "lo", "n", "p", "many").select("did", "th", "text", "asked").mapInArrow(_cut(size), STRING_SCHEMA)
-    dealt = strings.repartition("a").sortWithinPartitions("a")
-    solved = dealt.mapInArrow(_collections(size), "did long, th int, lo int, n int")
-    # anchors with too many contents for one task: the windows themselves, aggregated with map-side combination
-    hot = with_requests(docs, asked.filter(F.col("c") > HOT).withColumn("flag", F.col("many")), "lo", "n", "flag")
-    windows = window_rows(hot.select("did", "th", "text", "asked"), Bytes, size)
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).filter("c > 1").select("w1", "w2")
-    leaves = windows.filter("flag = 0").join(twice, ["w1", "w2"], "left_semi").select("did", "th", "lo", F.lit(1).alias("n"))
-    ranges = ranges.unionByName(stored(solved, "byte-solved"))
-    return ranges.unionByName(stored(leaves, "byte-leaves")) if not asked.filter(F.col("c") > HOT).isEmpty() else ranges
+    fields = ["did", "th", "a", "lo", "n", "p", "many"]
+    fitting, more = asked.filter(F.col("c") <= COLLECTION).select(fields), asked.filter(F.col("c") > COLLECTION)
+    for wide in (CLASS, 1):
+        if more.isEmpty():
+            break
+        # single windows are their own content: those met twice are repeated as a whole, and no group has two contents
+        parts = stored(with_requests(docs, more, "a", "lo", "n", "p", "many").select("did", "th", "text", "asked").mapInArrow(_divided(size, wide), SPAN_SCHEMA), "byte-parts")
+        whole, asked = _settled(parts, "byte-contents")
+        ranges = ranges.unionByName(whole)
+        fitting, more = fitting.unionByName(asked.filter(F.col("c") <= COLLECTION).select(fields)), asked.filter(F.col("c") > COLLECTION)
+    return ranges, fitting
+
+
+def repeated_ranges(docs: DataFrame, size: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """did, th, lo, n: windows of keyed docs that also start elsewhere, by first window and number."""
+    ranges, fitting = collections(docs, size, gram)
+    solved = _strings(docs, fitting, size).mapInArrow(_collections(size), "did long, th long, lo int, n int")
+    return ranges.unionByName(stored(solved, "byte-solved"))
+
+
+TRANSFORM_SCHEMA = "collection long, strings int, col int, symbols array<int>, ordered array<int>, prefixes array<int>"
+
+
+def transforms(docs: DataFrame, path: str, size: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """Writes the collections' transforms as sequential files, a row for each column from the right, and returns them.
+
+    symbols: what precedes each suffix (PAD: nothing), in the order of the suffixes; ordered: the strings in that order;
+    prefixes: bytes that each shares with the one before. collection: the smallest anchor among its strings.
+    """
+    rows = keyed(docs)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = [x.split()[0] for x in TRANSFORM_SCHEMA.split(", ")], [pa.int64(), pa.int32(), pa.int32()] + [pa.list_(pa.int32())] * 3
+        for part in _grouped(batches):
+            lead = max(r[5] - r[3] for r in part)
+            found: list[tuple] = []
+            sink = lambda column, symbols, order, prefixes, part=part, found=found: found.append((part[0][0], len(part), column, symbols.astype(np.int32), order.astype(np.int32), prefixes[:-1]))
+            for _ in column_order(aligned([r[7] for r in part], [lead - (r[5] - r[3]) for r in part]), sink):
+                if len(found) * len(part) > 1 << 18:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
+                    found.clear()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
+
+    _strings(rows, collections(rows, size, gram)[1], size).mapInArrow(scan, TRANSFORM_SCHEMA).write.parquet(path)
+    return docs.sparkSession.read.schema(TRANSFORM_SCHEMA).parquet(path)
 
 
 def _strip(size: int):

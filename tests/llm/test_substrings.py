@@ -88,13 +88,46 @@ def test_bytes_match_brute_force(docs_of):
 
 
 def test_bytes_with_hot_anchors(docs_of, monkeypatch):
+    """Anchors with more contents than a collection holds are split twice; every level gives the same result."""
     from quirefold.llm import suffix
 
-    monkeypatch.setattr(suffix, "HOT", 2)
-    monkeypatch.setattr(suffix, "COLLECTION", 2)
-    rows = corpus(5)
-    got = sorted((tuple(r) for r in suffix.suffix_dedup(docs_of(rows)).collect()), key=str)
-    assert got == brute_bytes(rows)
+    rng = random.Random(7)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = letters(415)
+    # one passage in different surroundings, some of which agree for a few bytes: no stretch but the window tells them apart
+    around = [(k, letters(30) + rng.choice(("", "tail")) + passage[: rng.randint(396, 415)] + rng.choice("xyz") * rng.randint(0, 5) + letters(30)) for k in range(40)]
+    for limit in (2, 6):
+        monkeypatch.setattr(suffix, "COLLECTION", limit)
+        for rows in (corpus(5), around + EDGES):
+            got = sorted((tuple(r) for r in suffix.suffix_dedup(docs_of(rows)).collect()), key=str)
+            assert got == brute_bytes(rows)
+
+
+def test_transforms_are_the_strings_transforms(spark, docs_of):
+    from quirefold.llm import suffix
+    from quirefold.llm.common import scratch_path
+    from quirefold.llm.spans import keyed
+
+    docs = docs_of(corpus(8))
+    rows = suffix.transforms(docs, scratch_path(spark, "transforms")).collect()
+    known = keyed(docs)
+    strings = suffix._strings(known, suffix.collections(known)[1], suffix.WINDOW).collect()
+    assert rows and {r["collection"] for r in rows} <= {r["a"] for r in strings}
+    for name in {r["collection"] for r in rows}:
+        columns = sorted((r for r in rows if r["collection"] == name), key=lambda r: -r["col"])
+        m, width = columns[0]["strings"], columns[0]["col"] + 1
+        grid = [[suffix.PAD] * width for _ in range(m)]
+        for r in columns:  # the transform gives the strings back: what precedes each suffix, in the suffixes' order
+            if r["col"]:
+                for symbol, k in zip(r["symbols"], r["ordered"], strict=True):
+                    grid[k][r["col"] - 1] = symbol
+        for r in columns:
+            if not r["col"]:
+                continue
+            tails = [tuple(grid[k][r["col"] :]) for k in r["ordered"]]
+            if r["col"] < width - 1:
+                tails = [t[:-1] for t in tails]  # the last column is never what precedes a suffix
+            assert tails == sorted(tails)
 
 
 def test_empty_tables(docs_of):
