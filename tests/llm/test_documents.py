@@ -135,31 +135,83 @@ def test_trigram_queries_hold_for_every_match():
         assert any(all(t in w for t in clause) for w in ("abce", "abde"))
 
 
-def test_mixing(docs_of):
-    rng = random.Random(4)
+def poured(sizes):
+    """Targets of sources in their order: one level for all, found by bisection; weights 1, 2, 3; at most 3 times the size."""
+    total, names = sum(sizes.values()), sorted(sizes, key=lambda s: (s is None, s or ""))
+    at = lambda level: {s: min(3 * sizes[s], level * (1 + k % 3)) for k, s in enumerate(names)}
+    low, high = 0.0, 3.0 * total + 1
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(at(middle).values()) < total else (low, middle)
+    return at(high)
+
+
+def mixing_rows(seed, n=600):
+    rng = random.Random(seed)
     rows = []
-    for k in range(600):
+    for k in range(n):
         source = rng.choice([None, "a", "b", "b", "b", "ü", "zz"])
         rows.append((k if k % 50 else None, rng.choice([None, "", "w " * rng.randint(1, 400)]) if k % 9 == 0 else "w " * int(math.exp(rng.uniform(0, 6))), source))
+    return rows
+
+
+def test_mixing(docs_of):
+    rows = mixing_rows(4)
     frame = docs_of(rows)
     got = mixing.mix(frame).collect()
     assert len(got) == len(rows)
     sizes = Counter()
     for _, t, s in rows:
         sizes[s] += len(WORD.findall(t or ""))
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    want = dict(zip(names, mixing.capped_shares([sizes[s] for s in names], [1 + k % 3 for k in range(len(names))]), strict=True))
+    want = poured(sizes)
     taken = Counter()
     for r in got:
         taken[r["source"]] += r["taken"]
-        assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-6
+        assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-6 * want[r["source"]] + 1e-6
         assert r["taken"] == r["copies"] * r["size"] and 0 <= r["taken"] <= 3 * r["size"]
-    for s in names:
+    for s in sizes:
         assert abs(taken[s] - want[s]) <= max(0.02 * want[s], 10), s
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(frame).collect()))
     assert mixing.mix(docs_of([])).collect() == []
 
 
+def test_mixing_keeps_languages_and_lengths(spark):
+    """Sources differ in languages; mixing them anew keeps the corpus's shares, which target / size alone wouldn't."""
+    rng = random.Random(14)
+    rows = [(k, "w " * rng.randint(5, 300), rng.choice("xxxyyz" if k % 3 else "xyyyyzz"), "a" if k % 3 else "b") for k in range(3000)]
+    rows += [(9000, None, None, "a"), (9001, "w w", None, None), (9002, "w w", "x", None), (9002, "w w", "x", None)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    lang = {r[0]: r[2] for r in rows}
+    before, after, plain = Counter(), Counter(), Counter()
+    for r in got:
+        before[lang[r["doc_id"]]] += r["size"]
+        after[lang[r["doc_id"]]] += r["taken"]
+        plain[lang[r["doc_id"]]] += r["size"] * r["target"] / r["source_size"]
+    assert len({r["rate"] for r in got if r["source"] == "a"}) > 5  # documents of one source are tilted
+    total, mixed = sum(before.values()), sum(after.values())
+    off = lambda c, t: sum(abs(c[x] / t - before[x] / total) for x in "xyz")
+    assert off(after, mixed) < 0.1 * off(plain, sum(plain.values()))
+
+
+def test_duals_are_those_of_raking(spark):
+    """Without a penalty and a bound that matters, the optimum is what iterative proportional fitting finds."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    mass = rng.uniform(50, 100, (3, 4, 5))
+    hidden = np.exp(rng.normal(0, 0.2, 3)[:, None, None] + rng.normal(0, 0.2, 4)[:, None] + rng.normal(0, 0.2, 5)) * mass
+    targets, shares = hidden.sum((1, 2)), np.concatenate([hidden.sum((0, 2)), hidden.sum((0, 1))])
+    fitted = mass.copy()
+    for _ in range(500):
+        fitted *= (targets / fitted.sum((1, 2)))[:, None, None]
+        fitted *= (shares[:4] / fitted.sum((0, 2)))[:, None]
+        fitted *= shares[4:] / fitted.sum((0, 1))
+    cells = [(s, a, 4 + b, float(mass[s, a, b])) for s in range(3) for a in range(4) for b in range(5)]
+    duals = mixing.newton_duals(spark.createDataFrame(cells, "skey long, lgroup long, bgroup long, tokens double").repartition(3), targets, shares, max_rate=50.0, ridge=1e-9)
+    rates = duals.rates(*(np.array([c[k] for c in cells]) for k in range(3)))
+    assert np.allclose(rates * mass.ravel(), fitted.ravel(), rtol=1e-5)
+
+
 def test_shares_stop_at_three_times_the_size():
     got = mixing.capped_shares([10, 1000, 100, 0], [1, 2, 3, 1])
     assert got[0] == 30 and got[2] == 300 and got[3] == 0 and abs(sum(got) - 1110) < 1e-9
