@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import release, stored
-from .spans import SPAN_SCHEMA, Bytes, keyed, merged, span_rows, with_requests
+from .spans import Bytes, keyed, merged, span_rows, with_requests
 
 WINDOW = 400
 GRAM = 32
@@ -98,12 +98,12 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return [(int(s), int(e - s)) for s, e in zip(edges[::2], edges[1::2], strict=True)]
 
 
-STRING_SCHEMA = "a long, did long, th long, lo int, n int, p int, many int, content binary"
+STRING_SCHEMA = "a long, did long, th long, lo int, n int, p int, many int, content binary, c long"
 
 
 def _cut(size: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
         rows: list[tuple] = []
 
         def emitted() -> pa.RecordBatch:
@@ -114,7 +114,7 @@ def _cut(size: int):
         for batch in batches:
             for did, th, text, asked in zip(*(batch.column(c).to_pylist() for c in ("did", "th", "text", "asked")), strict=True):
                 raw = text.encode()
-                rows += [(x["a"], did, th, x["lo"], x["n"], x["p"], x["many"], raw[x["lo"] : x["lo"] + x["n"] + size - 1]) for x in asked]
+                rows += [(x["a"], did, th, x["lo"], x["n"], x["p"], x["many"], raw[x["lo"] : x["lo"] + x["n"] + size - 1], x["c"]) for x in asked]
                 if len(rows) > 10_000:
                     yield emitted()
         if rows:
@@ -152,71 +152,71 @@ def _collections(size: int):
     return scan
 
 
+PART_SCHEMA = "a long, s long, did long, th long, lo int, n int, p int, kind int, content binary"
+
+
 def _divided(size: int, wide: int):
-    """Requests -> spans of at most `wide` neighbouring offsets from the anchor, under the hash of what all of these share."""
-    names, kinds = [x.split()[0] for x in SPAN_SCHEMA.split(", ")], [pa.int64()] * 4 + [pa.int32()] * 4
+    """Strings -> spans of at most `wide` neighbouring offsets from the anchor, under the hash of what all of these share."""
+    names, kinds = [x.split()[0] for x in PART_SCHEMA.split(", ")], [pa.int64()] * 4 + [pa.int32()] * 4 + [pa.binary()]
     number = lambda *parts: int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for did, th, text, asked in zip(*(batch.column(c).to_pylist() for c in ("did", "th", "text", "asked")), strict=True):
-                raw = memoryview(text.encode())
-                for x in asked:
-                    p, first, last = x["p"], x["p"] - x["lo"] - x["n"] + 1, x["p"] - x["lo"]  # offsets of the last and of the first window
-                    for k in range(first // wide, last // wide + 1):
-                        low, high = max(first, k * wide), min(last, (k + 1) * wide - 1)
-                        # every window of class k starts at or before p - k * wide and ends at or after p + size - (k + 1) * wide + 1
-                        core = raw[p - k * wide : p + size - (k + 1) * wide + 1]
-                        content = raw[p - high : p - low + size]
-                        rows.append((number(x["a"].to_bytes(8, "little", signed=True), k.to_bytes(4, "little"), core), number(low.to_bytes(4, "little"), content), did, th, p - high, high - low + 1, p, x["many"]))
+            rows: list[tuple] = []
+            for a, did, th, lo, n, p, many, content in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
+                raw, at = memoryview(content), p - lo  # the anchor's place in the content
+                anchor = a.to_bytes(8, "little", signed=True)
+                for k in range((at - n + 1) // wide, at // wide + 1):
+                    low, high = max(at - n + 1, k * wide), min(at, (k + 1) * wide - 1)
+                    # every window of class k starts at or before at - k * wide and ends at or after at + size - (k + 1) * wide + 1
+                    core = raw[at - k * wide : at + size - (k + 1) * wide + 1]
+                    part = raw[at - high : at - low + size]
+                    rows.append((number(anchor, k.to_bytes(4, "little"), core), number(low.to_bytes(4, "little"), part), did, th, p - high, high - low + 1, p, many, bytes(part) if wide > 1 else b""))
+                if len(rows) > 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return scan
 
 
-def _settled(spans: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Ranges of spans whose content occurs twice; and the first span of each content (did, th, a, lo, n, p, many, c) where an anchor has c > 1."""
+def _settled(spans: DataFrame, name: str, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Ranges of spans whose content occurs twice; and the first span of each content (a, did, th, lo, n, p, *more, many, c) where an anchor has c > 1."""
     contents = stored(
-        spans.groupBy("a", "s").agg(F.min(F.struct("did", "th", "lo", "n", "p")).alias("first"), F.when((F.count("*") > 1) | (F.max("kind") > 0), 1).otherwise(0).alias("many")).select("a", "s", "first.*", "many"), name
+        spans.groupBy("a", "s").agg(F.min(F.struct("did", "th", "lo", "n", "p", *more)).alias("first"), F.when((F.count("*") > 1) | (F.max("kind") > 0), 1).otherwise(0).alias("many")).select("a", "s", "first.*", "many"), name
     )
     whole = spans.join(contents.filter("many = 1").select("a", "s"), ["a", "s"], "left_semi").select("did", "th", "lo", "n")
     varied = contents.groupBy("a").agg(F.count("*").alias("c")).filter("c > 1")
     return whole, contents.join(varied, "a")
 
 
-def _strings(docs: DataFrame, spans: DataFrame, size: int) -> DataFrame:
-    """The spans' bytes, sorted by anchor inside partitions, all of one anchor in one."""
-    cut = with_requests(docs, spans, "a", "lo", "n", "p", "many").select("did", "th", "text", "asked").mapInArrow(_cut(size), STRING_SCHEMA)
-    return cut.repartition("a").sortWithinPartitions("a")
-
-
 def collections(docs: DataFrame, size: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """Of keyed docs: ranges (did, th, lo, n) that are repeated as a whole, and the spans whose strings form collections."""
+    """Of keyed docs: ranges (did, th, lo, n) that are repeated as a whole, and the strings of all collections."""
     spans = stored(span_rows(docs, Bytes, size, gram), "byte-spans")
     fresh = spans.filter("kind <> 1")
     counts = fresh.groupBy("a").agg(F.count("*").alias("c"), F.max("kind").alias("k")).filter("c > 1 OR k > 0").select("a")
     shared = stored(fresh.join(counts, "a", "left_semi"), "byte-shared")
     whole, asked = _settled(shared, "byte-contents")
     ranges = spans.filter("kind = 1").select("did", "th", "lo", "n").unionByName(whole)
-    fields = ["did", "th", "a", "lo", "n", "p", "many"]
-    fitting, more = asked.filter(F.col("c") <= COLLECTION).select(fields), asked.filter(F.col("c") > COLLECTION)
+    fields = [x.split()[0] for x in STRING_SCHEMA.split(", ")]
+    strings = stored(with_requests(docs, asked, "a", "lo", "n", "p", "many", "c").select("did", "th", "text", "asked").mapInArrow(_cut(size), STRING_SCHEMA), "byte-strings")
+    fitting, more = strings.filter(F.col("c") <= COLLECTION), strings.filter(F.col("c") > COLLECTION)
     for wide in (CLASS, 1):
         if more.isEmpty():
             break
         # single windows are their own content: those met twice are repeated as a whole, and no group has two contents
-        parts = stored(with_requests(docs, more, "a", "lo", "n", "p", "many").select("did", "th", "text", "asked").mapInArrow(_divided(size, wide), SPAN_SCHEMA), "byte-parts")
-        whole, asked = _settled(parts, "byte-contents")
-        ranges = ranges.unionByName(whole)
-        fitting, more = fitting.unionByName(asked.filter(F.col("c") <= COLLECTION).select(fields)), asked.filter(F.col("c") > COLLECTION)
-    return ranges, fitting
+        parts = stored(more.mapInArrow(_divided(size, wide), PART_SCHEMA), "byte-parts")
+        whole, asked = _settled(parts, "byte-contents", "content")
+        ranges, next_strings = ranges.unionByName(whole), asked.select(fields)
+        fitting, more = fitting.unionByName(next_strings.filter(F.col("c") <= COLLECTION)), next_strings.filter(F.col("c") > COLLECTION)
+    return ranges, fitting.drop("c")
 
 
 def repeated_ranges(docs: DataFrame, size: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """did, th, lo, n: windows of keyed docs that also start elsewhere, by first window and number."""
-    ranges, fitting = collections(docs, size, gram)
-    solved = _strings(docs, fitting, size).mapInArrow(_collections(size), "did long, th long, lo int, n int")
+    ranges, strings = collections(docs, size, gram)
+    solved = strings.repartition("a").sortWithinPartitions("a").mapInArrow(_collections(size), "did long, th long, lo int, n int")
     return ranges.unionByName(stored(solved, "byte-solved"))
 
 
@@ -244,7 +244,7 @@ def transforms(docs: DataFrame, path: str, size: int = WINDOW, gram: int = GRAM)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
 
-    _strings(rows, collections(rows, size, gram)[1], size).mapInArrow(scan, TRANSFORM_SCHEMA).write.parquet(path)
+    collections(rows, size, gram)[1].repartition("a").sortWithinPartitions("a").mapInArrow(scan, TRANSFORM_SCHEMA).write.parquet(path)
     return docs.sparkSession.read.schema(TRANSFORM_SCHEMA).parquet(path)
 
 

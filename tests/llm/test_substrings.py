@@ -110,8 +110,7 @@ def test_transforms_are_the_strings_transforms(spark, docs_of):
 
     docs = docs_of(corpus(8))
     rows = suffix.transforms(docs, scratch_path(spark, "transforms")).collect()
-    known = keyed(docs)
-    strings = suffix._strings(known, suffix.collections(known)[1], suffix.WINDOW).collect()
+    strings = suffix.collections(keyed(docs))[1].collect()
     assert rows and {r["collection"] for r in rows} <= {r["a"] for r in strings}
     for name in {r["collection"] for r in rows}:
         columns = sorted((r for r in rows if r["collection"] == name), key=lambda r: -r["col"])
