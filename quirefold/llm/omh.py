@@ -5,22 +5,26 @@ them under one hash and keeps them in text order, so a sketch agrees for texts t
 As many sketches again take the PICKS smallest distinct shingles without their order, so they agree for texts with moved
 or repeated parts too. Documents that agree in a sketch are candidates. Equal word sequences are one text from the start.
 
-The smallest document of each group that agrees in a sketch leads it, and all documents of one leader form a
-cluster, so candidates always meet in one. A cluster's texts are compared where they are together: a banded alignment of the shingles, whose band is as wide as the threshold allows, gives the ordered
-similarity; a pair below the threshold there is also held against the plain shingle sets, for texts with moved parts.
-Pairs that are linked already are skipped. Clusters too large for one task are cut into blocks, and every pair of
-blocks is a task, so no pair goes unseen.
-
-Null and empty texts: all equal, one class. Texts under five words: only equal ones match. Null doc_id: counts as the
-smallest id and comes back as null; rows without an id are documents of their own. Repeated rows: copies of each other.
-Rows that share an id are one document, in one class; one_of_each decides by texts alone and keeps a row of each class.
-Empty table: an empty result.
+A candidate pair is verified by a banded alignment of its words: it is linked if the edit distance is at most a fifth of
+the longer text's words, which an alignment that leaves the diagonal by no more than that decides exactly. Pairs that fail
+there are linked if they share four fifths of their distinct shingles, so that moved or repeated parts don't part them.
+
+The smallest document of each group that agrees in a sketch leads it, and all documents of one leader form a cluster, so
+candidates always meet in one. First every text is aligned with its leader, one after another: most clusters are settled
+then, whatever their size. Where a cluster keeps texts that aren't linked to their leader, those are compared with each
+other and with the rest; pairs that are linked already are skipped. They are dealt in blocks of bounded bytes and rows,
+a task for each pair of blocks, so no pair goes unseen.
+
+Null and empty texts: all equal, one class. Texts under five words: only equal ones match. Very long texts: whole.
+Null doc_id: counts as the smallest id and comes back as null; rows without an id are documents of their own. Repeated
+rows: copies of each other. Ties: of equal or linked texts the smallest id, then the smallest hash of the text, stands for
+the class. Rows that share an id are one document, in one class; one_of_each decides by texts alone and keeps a row of
+each class. Extra columns are ignored (near_duplicates) or kept (one_of_each). Empty table: an empty result.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -36,8 +40,11 @@ THRESHOLD = 0.8
 PICKS = 3
 #: Sketches in text order, and as many without order.
 BANDS = 20
-#: Bytes of text in one block of a cluster.
+#: Bytes and rows of text in one block of a cluster.
 BLOCK_BYTES = 8 << 20
+BLOCK_ROWS = 8192
+#: Parts over which the rows of one cluster are spread in joins.
+SALTS = 16
 SEEDS = mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
@@ -82,31 +89,75 @@ def text_shingles(text: str | None) -> tuple[Words, np.ndarray]:
     return doc, gram_hashes(doc.symbols, SHINGLE) if doc.length >= SHINGLE else np.zeros(0, np.uint64)
 
 
-def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Length of the longest common subsequence of two sequences of distinct labels, with |i - j| <= band."""
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    near = np.abs(i - j) <= band
-    j = j[near][np.argsort(i[near])]
-    if not len(j) or (j[1:] > j[:-1]).all():
-        return len(j)
-    tails: list[int] = []
-    for x in j.tolist():
-        k = bisect_left(tails, x)
-        tails[k : k + 1] = [x]
-    return len(tails)
+def banded_distance(positions: dict[int, int], m: int, b: list[int], band: int) -> int:
+    """Edit distance of two word sequences, or more than band if it is more than band.
 
-
-def ordered_similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
-    """Whether the banded alignment of two texts' labelled shingles keeps enough of them."""
-    short, long = sorted((len(a), len(b)))
-    if not short or short < threshold * long:
-        return False
-    kept = aligned(a, b, long - short + int((1 - threshold) * long) + SHINGLE)
-    return kept >= threshold * (len(a) + len(b) - kept)
-
-
-class SharedShingles:
-    """Exact numbers of distinct shingles that one text shares with each of those before it."""
+    positions: of each word of the first sequence, of m words, its places as bits. Vertical differences of one column of
+    the alignment are kept as bits of two integers, for the 2 * band + 1 rows around the diagonal only (bit x of column j
+    is row j - band + x); the distance is summed along the diagonal that ends in the last cell.
+    """
+    width, shift = 2 * band + 1, m - len(b)
+    if abs(shift) > band:
+        return band + 1
+    mask, top, last = (1 << width) - 1, 1 << 2 * band, 1 << (band + shift)
+    rising, falling = mask >> (band + 1) << (band + 1), 0
+    distance = max(shift, 0)
+    for j, word in enumerate(b):
+        # one row further down; the new row is outside the band before, so it counts as one more
+        rising, falling = rising >> 1 | top, falling >> 1
+        at = positions.get(word, 0)
+        equal = (at >> j - band if j > band else at << band - j) & mask
+        same = ((((equal & rising) + rising) ^ rising) | equal | falling) & mask  # cells equal to their diagonal neighbour
+        if not same & last:
+            distance += 1
+            if distance > band:
+                return distance
+        right = (falling | mask & ~(same | rising)) << 1 | 1
+        left = (same & rising) << 1
+        rising, falling = (left | ~(same | right)) & mask, right & same
+    return distance
+
+
+def places(words: list[int]) -> dict[int, int]:
+    """Each word's places as bits of one integer."""
+    found: dict[int, list[int]] = {}
+    for k, w in enumerate(words):
+        found.setdefault(w, []).append(k)
+    out = {}
+    for w, at in found.items():
+        bits = bytearray(at[-1] // 8 + 1)
+        for k in at:
+            bits[k >> 3] |= 1 << (k & 7)
+        out[w] = int.from_bytes(bits, "little")
+    return out
+
+
+class Text:
+    """What comparing needs of one text."""
+
+    def __init__(self, text: str):
+        doc, self.shingles = text_shingles(text)
+        symbols = doc.symbols
+        self.words: list[int] = symbols.tolist()
+        self.bag = np.sort(labelled(symbols))  # words, told apart by occurrence
+        self.distinct = np.unique(self.shingles)
+        self._places: dict[int, int] | None = None
+
+    @property
+    def places(self) -> dict[int, int]:
+        if self._places is None:
+            self._places = places(self.words)
+        return self._places
+
+    def similar(self, other: Text) -> bool:
+        """Whether an alignment of the words keeps them but for a fifth."""
+        longest = max(len(self.words), len(other.words))
+        band = int((1 - THRESHOLD) * longest + 1e-9)
+        return banded_distance(self.places, len(self.words), other.words, band) <= band
+
+
+class Shared:
+    """Exact numbers of elements that one set shares with others of a list of sets."""
 
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = np.array([len(s) for s in sets])
@@ -156,38 +207,86 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(now.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())
 
 
+def _with_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, part, uid, text) sorted by cluster, part, uid <> cluster -> cluster, uid, linked, bytes. Holds the leader and one text."""
+    leader = key = None
+    for batch in batches:
+        found: list[tuple] = []
+        for cluster, part, uid, text in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            mine = Text(text)
+            if (cluster, part) != key:
+                key, leader = (cluster, part), mine
+                if part:
+                    continue  # the leader itself is reported once, by the first part
+            found.append((cluster, uid, mine is leader or linked(leader, mine), len(text)))
+        columns = list(zip(*found, strict=True)) if found else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], names=["cluster", "uid", "linked", "bytes"])
+
+
+def linked(a: Text, b: Text) -> bool:
+    """Whether two texts are near duplicates."""
+    if a.similar(b):
+        return True
+    common = len(np.intersect1d(a.distinct, b.distinct, assume_unique=True))
+    return common > 0 and common >= THRESHOLD * (len(a.distinct) + len(b.distinct) - common)
+
+
+def links_of(texts: list[Text], labels: list[int], allowed: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Pairs of linked texts that meet in a sketch, enough of them to connect all of those; equal labels: linked already."""
+    parent = list(range(len(texts)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    first: dict[int, int] = {}
+    for k, label in enumerate(labels):
+        parent[k] = first.setdefault(label, k)
+    bags, sets = Shared([t.bag for t in texts]), Shared([t.distinct for t in texts])
+    out: list[tuple[int, int]] = []
+    buckets: dict[tuple[int, int], dict[int, list[int]]] = {}  # of each sketch value, the texts so far by what they are linked to
+    for x, mine in enumerate(texts):
+        met = [buckets.setdefault(key, {}) for key in enumerate(sketches(mine.shingles))]
+        tested: set[int] = set()
+        # first one text of each group that has met x, then all others of groups that are still apart
+        for leaders in (True, False):
+            wanted: set[int] = set()
+            for bucket in met:
+                for root in list(bucket):
+                    now = find(root)
+                    if now != root:
+                        bucket.setdefault(now, []).extend(bucket.pop(root))
+                for root, members in bucket.items():
+                    if root != find(x):
+                        wanted.update(members[:1] if leaders else members)
+            others = np.array(sorted(y for y in wanted - tested if allowed(x, y)), np.int64)
+            tested |= wanted
+            if not len(others):
+                continue
+            longest = np.maximum(bags.sizes[others], bags.sizes[x])
+            # an alignment keeps no more words than both texts have
+            alignable = bags.of(x, others) >= THRESHOLD * longest - 1e-9
+            common = sets.of(x, others)
+            moved = common >= THRESHOLD * (sets.sizes[others] + sets.sizes[x] - common)
+            for y, a, m in zip(others.tolist(), alignable.tolist(), moved.tolist(), strict=True):
+                if (a or m) and find(x) != find(y) and ((a and mine.similar(texts[y])) or m):
+                    out.append((y, x))
+                    parent[find(x)] = find(y)
+        for bucket in met:
+            bucket.setdefault(find(x), []).append(x)
+    return out
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cluster, i, j -> links u, v between different texts. Holds two blocks at most."""
+    """Rows (cluster, i, j, block, led, uid, text) sorted by cluster, i, j -> links u, v. Holds two blocks at most."""
 
     def solve(rows: list[tuple]) -> list[tuple[int, int]]:
-        i, j = rows[0][1], rows[0][2]
-        rows = sorted(set(rows), key=lambda r: r[4:])
-        ids = [r[4] for r in rows]  # one for each text
-        blocks = np.array([r[3] for r in rows])
-        plain = [text_shingles(r[5])[1] for r in rows]
-        order = [labelled(p) for p in plain]
-        bands = np.array([sketches(p) for p in plain], np.int64)  # a cluster's texts have shingles
-        plain = [np.unique(p) for p in plain]
-        label = np.arange(len(rows))
-        links: list[tuple[int, int]] = []
-        shared = SharedShingles(plain)
-        repeats = np.array([len(o) > len(p) for o, p in zip(order, plain, strict=True)])
-        for x in range(1, len(rows)):
-            share = (bands[:x] == bands[x]).sum(axis=1)
-            if i != j:
-                share[blocks[:x] == blocks[x]] = 0
-            share[label[:x] == label[x]] = 0
-            met = np.flatnonzero(share)
-            if not len(met):
-                continue
-            common = shared.of(x, met)
-            near = common >= THRESHOLD * (shared.sizes[x] + shared.sizes[met] - common)
-            # sets that differ too much can only be aligned if a text repeats its shingles
-            for y, exact in zip(met.tolist(), near.tolist(), strict=True):
-                if label[x] != label[y] and (exact or ((repeats[x] or repeats[y]) and ordered_similar(order[x], order[y]))):
-                    links.append((ids[y], ids[x]))
-                    label[label == label[x]] = label[y]
-        return links
+        inside = rows[0][1] == rows[0][2]
+        rows = sorted(set(rows), key=lambda r: r[5])
+        blocks, ids = [r[3] for r in rows], [r[5] for r in rows]
+        labels = [-1 if r[4] else k for k, r in enumerate(rows)]  # those linked to the leader are linked to each other
+        return [(ids[y], ids[x]) for y, x in links_of([Text(r[6]) for r in rows], labels, lambda x, y: inside or blocks[x] != blocks[y])]
 
     group: list[tuple] = []
     out: list[tuple[int, int]] = []
@@ -198,7 +297,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
             if group and row[:3] != group[0][:3]:
                 out += solve(group)
                 group = []
@@ -211,6 +310,38 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emitted()
 
 
+def salted(rows: DataFrame, narrow: DataFrame) -> DataFrame:
+    """rows joined with one narrow row for each cluster, without gathering a cluster's rows."""
+    many = narrow.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int")).join(many.hint("shuffle_hash"), ["cluster", "salt"]).drop("salt")
+
+
+def _pieces(size: str, n: str) -> F.Column:
+    return F.greatest(F.lit(1), F.ceil(F.col(size) / BLOCK_BYTES), F.ceil(F.col(n) / BLOCK_ROWS)).cast("int")
+
+
+def link_members(members: DataFrame, parts: int) -> DataFrame:
+    """u, v: links between members (cluster, uid, text) of clusters, the cluster being its leader's uid."""
+    sizes = members.groupBy("cluster").agg(F.sum(F.octet_length("text")).alias("size"), F.count("*").alias("n")).select("cluster", _pieces("size", "n").alias("parts"))
+    dealt = salted(members, sizes).withColumn("part", F.when(F.col("uid") == F.col("cluster"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))))
+    led = dealt.select("cluster", F.explode("part").alias("part"), "uid", "text").repartition(parts, "cluster", "part").sortWithinPartitions("cluster", "part", F.col("uid") != F.col("cluster"))
+    verdicts = stored(led.mapInArrow(_with_leader, "cluster long, uid long, linked boolean, bytes long"), "verdicts")
+    size = lambda which: F.sum(F.when(which, F.col("bytes")).otherwise(0))
+    count = lambda which: F.count(F.when(which, 1))
+    yes, no = F.col("linked"), ~F.col("linked")
+    # what is left are clusters with a text that isn't linked to its leader, and one beside the leader to link it to
+    rest = verdicts.groupBy("cluster").agg(size(yes).alias("s1"), count(yes).alias("n1"), size(no).alias("s0"), count(no).alias("n0")).filter("n0 > 0 AND n0 + n1 > 2")
+    rest = rest.select("cluster", _pieces("s0", "n0").alias("apart"), _pieces("s1", "n1").alias("led"))
+    unsettled = salted(members, rest).join(verdicts.select("cluster", "uid", "linked").hint("shuffle_hash"), ["cluster", "uid"]).filter("linked IS FALSE OR uid <> cluster")
+    # blocks 0 .. apart - 1 hold texts apart from the leader, those from apart on texts linked to it; the latter meet only the former
+    block = F.when(no, F.pmod(F.xxhash64("uid"), F.col("apart"))).otherwise(F.col("apart") + F.pmod(F.xxhash64("uid"), F.col("led"))).cast("int")
+    placed = unsettled.withColumn("block", block)
+    others = F.when(no, F.sequence(F.lit(0), F.col("apart") + F.col("led") - 1)).otherwise(F.sequence(F.lit(0), F.col("apart") - 1))
+    tasks = placed.withColumn("other", F.explode(others)).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("linked").alias("led"), "uid", "text")
+    links = tasks.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_compare, "u long, v long")
+    return verdicts.filter("linked AND uid <> cluster").select(F.col("cluster").alias("u"), F.col("uid").alias("v")).unionByName(links)
+
+
 def classes(docs: DataFrame, by_id: bool) -> tuple[DataFrame, DataFrame]:
     """Rows as did, th (row_key), uid; and texts as uid, text (the smallest did, th with these words), root (the smallest of its class).
 
@@ -228,13 +359,9 @@ def classes(docs: DataFrame, by_id: bool) -> tuple[DataFrame, DataFrame]:
     # a row for each did and th, so that neither repeated rows nor null ids gather
     whole = rows.groupBy("did", "th").agg(F.first("text").alias("text"))
     full = stored(whole.join(wanted.hint("shuffle_hash"), ["did", "th"]).select("cluster", "uid", F.coalesce("text", F.lit("")).alias("text")), "members")
-    sizes = full.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("text")) / F.lit(BLOCK_BYTES)).cast("int").alias("blocks"))
-    placed = full.join(sizes, "cluster").withColumn("blocks", F.greatest("blocks", F.lit(1))).withColumn("block", F.expr("CAST(pmod(xxhash64(uid), blocks) AS INT)"))
-    # a block meets every block of its cluster once; with one block that's one task
-    tasks = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "uid", "text")
     # a few bytes mean much work here, so tasks aren't merged by size
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
-    links = stored(tasks.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_compare, "u long, v long"), "links")
+    links = stored(link_members(full, parts), "links")
     numbered = stored(scanned.select("did", "th", "k1", "k2").join(texts.select("k1", "k2", "uid").hint("shuffle_hash"), ["k1", "k2"]).select("did", "th", "uid"), "numbered")
     if by_id:
         ends = numbered.filter(F.col("did") != NULL_ID).groupBy("did").agg(F.min("uid").alias("u"), F.max("uid").alias("v")).filter("u < v").select("did", "u")

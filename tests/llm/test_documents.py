@@ -260,10 +260,30 @@ def test_hamming_blocks_find_all_within_the_radius():
     assert got == want
 
 
+def distance(a, b):
+    """Edit distance of two word sequences, cell by cell."""
+    above = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+        above = row
+    return above[-1]
+
+
+def brute_linked(a, b):
+    """Whether two word sequences are near duplicates: edit distance of a fifth, or four fifths of all five-word shingles."""
+    if min(len(a), len(b)) < 5:
+        return False
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    longest = max(len(a), len(b))
+    apart = 10 * (longest - sum((Counter(a) & Counter(b)).values())) > 2 * longest  # no alignment can keep enough
+    return len(x & y) >= 0.8 * len(x | y) or (not apart and 10 * distance(a, b) <= 2 * longest)
+
+
 def brute_classes(rows):
-    """Classes by exact five-word shingle sets, and equal words."""
+    """Classes of equal and of linked word sequences."""
     words = [WORD.findall(t or "") for _, t in rows]
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -273,8 +293,7 @@ def brute_classes(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            same = words[i] == words[j] or (sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
-            if (same or rows[i][0] == rows[j][0]) and find(i) != find(j):
+            if find(i) != find(j) and (rows[i][0] == rows[j][0] or words[i] == words[j] or brute_linked(words[i], words[j])):
                 parent[find(i)] = find(j)
     key = lambda d: -math.inf if d is None else d
     least = {}
@@ -286,7 +305,7 @@ def brute_classes(rows):
 def near_corpus(rng):
     rows = []
     for _ in range(12):
-        base = noise(rng, rng.randint(8, 220)).split()
+        base = noise(rng, rng.randint(40, 220)).split()
         for _ in range(rng.randint(1, 12)):
             w = list(base)
             for _ in range(rng.randint(0, max(1, len(w) // 25))):
@@ -305,6 +324,7 @@ def test_near_duplicates(docs_of, monkeypatch):
     got = omh.near_duplicates(docs_of(rows)).select("doc_id", "class_id").collect()
     assert sorted((tuple(r) for r in got), key=str) == want
     monkeypatch.setattr(omh, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(omh, "BLOCK_ROWS", 3)
     got = omh.near_duplicates(docs_of(rows)).select("doc_id", "class_id").collect()
     assert sorted((tuple(r) for r in got), key=str) == want
     kept = omh.one_of_each(docs_of(rows))
@@ -313,6 +333,48 @@ def test_near_duplicates(docs_of, monkeypatch):
     assert omh.near_duplicates(docs_of([])).collect() == []
 
 
+def test_banded_distance_is_the_edit_distance():
+    rng = random.Random(17)
+    for _ in range(400):
+        letters = rng.randint(2, 6)
+        a = [rng.randint(0, letters) for _ in range(rng.randint(0, 40))]
+        b = [w for w in a if rng.random() > 0.1] if rng.random() < 0.7 else [rng.randint(0, letters) for _ in range(rng.randint(0, 40))]
+        want = distance(a, b)
+        for band in (0, 1, 4, 10, 50):
+            got = omh.banded_distance(omh.places(a), len(a), b, band)
+            assert got == want if want <= band else got > band
+
+
+def test_links_that_the_leader_does_not_show(spark):
+    """A chain of edits and a sharing of parts: texts far from their leader are linked to others of its cluster."""
+    rng = random.Random(18)
+    rows = []
+    for k in range(6):
+        base, words = noise(rng, 200).split(), []
+        for step in range(9):  # each differs from the one before by a tenth, from the first by ever more
+            words.append(" ".join(base[: 200 - 20 * step] + noise(rng, 20 * step).split()) if step else " ".join(base))
+            base = words[-1].split()
+        rows += [(k, 100 * k + step, text) for step, text in enumerate(words)]
+    members = [(100 * c, uid, text) for c, uid, text in rows]
+    words = {uid: text.split() for _, uid, text in rows}
+    for limit in (8192, 2):
+        omh_rows, omh.BLOCK_ROWS = omh.BLOCK_ROWS, limit
+        try:
+            links = {tuple(sorted((r["u"], r["v"]))) for r in omh.link_members(spark.createDataFrame(members, "cluster long, uid long, text string"), 4).collect()}
+        finally:
+            omh.BLOCK_ROWS = omh_rows
+        assert all(brute_linked(words[u], words[v]) for u, v in links)
+        root = {u: u for u in words}
+        for _ in words:
+            for u, v in links:
+                root[u] = root[v] = min(root[u], root[v])
+        meets = lambda u, v: any(x == y for x, y in zip(*(omh.sketches(omh.text_shingles(" ".join(words[w]))[1]) for w in (u, v)), strict=True))
+        for u in words:
+            for v in words:
+                if u < v and u // 100 == v // 100 and meets(u, v) and brute_linked(words[u], words[v]):
+                    assert root[u] == root[v], (u, v, limit)
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)]
