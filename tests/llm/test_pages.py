@@ -28,6 +28,54 @@ def test_page_without_semantic_markup():
     assert html_text.main_text(html) == " ".join(("Head " + para * 3 + para + "Tiny.").split())
 
 
+PARA = "Some words here, and some more there; this goes on for a while, as texts do. "
+
+
+def test_articles_keep_their_own_parts():
+    """Headers, oddly named paragraphs and articles, and sections of an article are its text."""
+    html = '<article><header class="post-header"><h1>T</h1></header><p class="legal">A b.</p><p>C d, e.</p></article>'
+    assert html_text.main_text(html) == "T A b. C d, e."
+    html = f'<body><div class="ad">{PARA}</div><article class="tag-news comments-open"><h1>T</h1><section><p>{PARA}</p></section><section><p>No.</p></section><div>x</div></article></body>'
+    assert html_text.main_text(html) == f"T {PARA}No. x"
+    html = f'<body><article class="comment"><p>{PARA}</p></article><article><p>{PARA * 2}</p></article><section class="comments"><article><p>{PARA}</p></article></section></body>'
+    assert html_text.main_text(html) == (PARA * 2).strip()
+
+
+def test_article_of_links():
+    html = f'<body><nav><a>Menu</a></nav><div class="ad">{PARA}</div><article><p><a href="x">All of it is a link.</a></p></article></body>'
+    assert html_text.main_text(html) == "All of it is a link."
+
+
+def test_body_beside_a_teaser():
+    html = f"<body><div class=text><h1>Head</h1>{''.join(f'<p>{PARA * 3}</p>' for _ in range(30))}</div><div><article class=box><p>Read on, here.</p></article></div></body>"
+    assert html_text.main_text(html) == ("Head " + PARA * 90).strip()
+
+
+def test_scores_choose_the_content(monkeypatch):
+    """No semantic elements, no names: text and punctuation ratios alone tell lists of words and links from the text."""
+    items = "".join(f"<div>word{k} word</div>" for k in range(80))
+    links = "".join(f"<div><a>A longer link, with words; {k}</a></div>" for k in range(40))
+    html = f"<body><div>{links}</div><div>{items}</div><div><p>{PARA * 3}</p><p>{PARA}</p><p>Yes.</p></div><div>2020</div></body>"
+    assert html_text.main_text(html) == (PARA * 4 + "Yes.")
+    scores = html_text.path_scores
+    monkeypatch.setattr(html_text, "path_scores", lambda page: dict.fromkeys(scores(page), 1.0))
+    assert html_text.main_text(html) != (PARA * 4 + "Yes.")
+
+
+def test_time_is_linear_in_bad_markup():
+    import time
+
+    for make in (lambda n: '<a "' * n, lambda n: "<div>x " * n, lambda n: "<b>" * n + "<div></div>" * n, lambda n: "<ul><li>" + "<div>" * n + "<li></li>" * n, lambda n: '<a ">' * n, lambda n: "<p>" + "<b>x" * n + "</i>" * n):
+        began = time.process_time()
+        html_text.main_text(make(60_000))
+        assert time.process_time() - began < 15
+
+
+def test_quotes_that_never_close():
+    assert html_text.main_text("<p class='a>it's <b>fine</b></p><p>so is this</p>") == "fine so is this"
+    assert html_text.main_text('<p title="a > b">one</p><p title="c>two</p><p>three</p>') == "one two three"
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "plain text only"), (3, "u", "plain text only"), (4, "u", "<p>unclosed <b>bold"), (5, "u", "<article>" + "<p>w x</p>" * 5000 + "</article>"), (6, "u", "<<>><!--"), (7, "u", "<script>never ends")]
     got = {r["page_id"]: r for r in html_text.extract_pages(pages_of(spark, rows)).collect()}
