@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, islice
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -105,43 +107,26 @@ def translation_segments(docs: DataFrame, most: int = 400, names: tuple[str, ...
 TARGET, OVERLAP, MAX_PAGES, MAX_CHUNKS, MIN_CHARACTERS = 3600, 240, 120, 18, 40
 
 
-def pack_pages(pages: list[tuple[int, str]], target: int = TARGET, overlap: int = OVERLAP, most: int = MAX_CHUNKS) -> list[tuple[int, int, str]]:
-    """first page, last page, text of each chunk. Pages are packed greedily; a page over the target is sliced."""
+def page_chunks(pages: list[tuple[int, str]], target: int, overlap: int) -> Iterator[tuple[int, int, str]]:
+    """first page, last page, text. As many pages as fit target together; a page beyond it alone, in overlapping slices."""
     target = max(400, target)
-    overlap = max(0, min(target // 2, overlap))
-    chunks: list[tuple[int, int, str]] = []
-    held: list[str] = []
-    first = last = 0
-
-    def close() -> None:
-        if held and len(chunks) < most:
-            chunks.append((first, last, "\n\n".join(held)))
-        held.clear()
-
-    for number, text in pages:
-        if not text or len(chunks) >= most:
-            continue
-        header = f"[Página {number}]\n"
-        if len(header) + len(text) > target:
-            close()
-            at = 0
-            while at < len(text) and len(chunks) < most:
-                end = min(len(text), at + target)
-                chunks.append((number, number, header + text[at:end]))
-                if end == len(text):
-                    break
-                at = max(end - overlap, at + 1)
-            continue
-        if held and sum(map(len, held)) + 2 * len(held) + len(header) + len(text) > target:
-            close()
-            if len(chunks) >= most:
-                break
-        if not held:
-            first = number
-        last = number
-        held.append(header + text)
-    close()
-    return chunks
+    step = target - sorted((0, overlap, target // 2))[1]
+    shown = [(number, f"[Página {number}]\n", text) for number, text in pages if text]
+    # of pages i to j, joined by two line feeds: ends[j] - ends[i] - 2
+    ends = list(accumulate((len(head) + len(text) + 2 for _, head, text in shown), initial=0))
+    at = 0
+    while at < len(shown):
+        number, head, text = shown[at]
+        after = bisect_right(ends, ends[at] + target + 2) - 1
+        if after > at:
+            yield number, shown[after - 1][0], "\n\n".join(head + text for _, head, text in shown[at:after])
+        else:
+            yield from ((number, number, head + text[start : start + target]) for start in range(0, max(0, len(text) - target) + step, step))
+        at = max(after, at + 1)
+
+
+def pack_pages(pages: list[tuple[int, str]], target: int = TARGET, overlap: int = OVERLAP, most: int = MAX_CHUNKS) -> list[tuple[int, int, str]]:
+    return list(islice(page_chunks(pages, target, overlap), most))
 
 
 CHUNK_SCHEMA = "doc_id long, chunk_no int, first_page int, last_page int, text string, truncated boolean, error string"
@@ -160,7 +145,8 @@ def chunk_pages(pages: DataFrame, target: int = TARGET, overlap: int = OVERLAP,
         return pd.DataFrame([(doc_id, k, a, b, t, cut, None) for k, (a, b, t) in enumerate(chunks)], columns=_CHUNK_COLUMNS).astype(_CHUNK_TYPES)
 
     totals = pages.groupBy("doc_id").agg(F.count("*").alias("total"), F.max("page_number").alias("last_page"))
-    usable = pages.join(totals, "doc_id").filter(F.col("page_number") <= max_pages)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_number"))
+    usable = pages.withColumn("place", place).filter(F.col("place") <= max_pages).join(totals, "doc_id")
     clean = usable.select(F.col("doc_id").cast("long").alias("doc_id"), "page_number", sanitize_document_text(F.coalesce("text", F.lit(""))).alias("text"), F.length(F.regexp_replace("text", r"\s+", "")).alias("solid"), "total", "last_page")
     return clean.groupBy("doc_id").applyInPandas(pack, CHUNK_SCHEMA)
 
