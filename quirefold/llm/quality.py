@@ -4,13 +4,13 @@ Every rule is evaluated once per document. The ledger keeps the measurements and
 failed. Policies (a version and a mask of rules that reject) are applied later without reading texts again, and
 ablations are bitwise aggregates over the distinct bitmasks.
 
-Null text: no words, all counts 0. Empty text: likewise. Repeated rows and ids: a ledger row for each input row.
-Empty table: empty ledger. Extra columns are ignored by the ledger and kept by apply_policy's caller.
+Null text: no words, all counts 0. Empty text: likewise. Very long texts: whole. Repeated rows and ids: a ledger row for
+each input row; ties don't occur. Empty table: empty ledger. Extra columns are ignored by the ledger and kept by keep_good,
+whatever their names. A policy without the base rules may keep what they reject, so quality_report always applies both.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,6 +19,7 @@ from operator import eq
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import WORD_BREAKS
 
@@ -99,24 +100,29 @@ def measure(text: str | None) -> tuple[int, ...]:
     )
 
 
-def measurements(docs: DataFrame) -> DataFrame:
-    """doc_id and MEASURES of each row, in one pass over whole texts."""
+def measured(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs) and MEASURES of each row, in one pass over whole texts."""
+    at = [c.lower() for c in docs.columns].index("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [measure(t) for t in batch.column(1).to_pylist()]
-            columns = [pa.array([row[i] for row in found], pa.int64()) for i in range(len(MEASURES))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *MEASURES])
+            found = [measure(t) for t in batch.column(at).to_pylist()]
+            row = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
+            yield pa.RecordBatch.from_arrays([row, *(pa.array([x[i] for x in found], pa.int64()) for i in range(len(MEASURES)))], names=["row", *MEASURES])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        scan, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
-    )
+    return docs.mapInArrow(scan, StructType([StructField("row", docs.schema), *(StructField(m, LongType()) for m in MEASURES)]))
 
 
-def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, MEASURES and failed (bit b set: rule b failed)."""
+def with_ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """row, MEASURES and failed (bit b set: rule b failed)."""
     bits = " | ".join(f"(CASE WHEN {r.fails} THEN {1 << r.bit}L ELSE 0L END)" for r in rules) or "0L"
-    return measurements(docs).withColumn("failed", F.expr(bits))
+    return measured(docs).withColumn("failed", F.expr(bits))
+
+
+def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, MEASURES and failed."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return with_ledger(narrow, rules).select("row.doc_id", *MEASURES, "failed")
 
 
 def apply_policy(entries: DataFrame, policy: Policy, column: str = "kept") -> DataFrame:
@@ -145,27 +151,10 @@ def quality_report(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     """The contract's row for each document."""
     out = apply_policy(apply_policy(ledger(docs), BASE, "base_kept"), policy)
     return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_kept")).alias("base_failed"), "kept", F.col("failed").alias("failed_bits")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_kept")).alias("base_failed"), (F.col("base_kept") & F.col("kept")).alias("kept"), F.col("failed").alias("failed_bits")
     )
 
 
 def keep_good(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
-    """The rows of docs that pass, with all their columns, in the same single pass (no join back)."""
-    bits = [(r.bit, r.fails) for r in RULES if policy.mask >> r.bit & 1]
-    schema = docs.schema
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [measure(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array([row[i] for row in found], pa.int64()) for i in range(len(MEASURES)))],
-                names=[*batch.schema.names, *(f"__{m}" for m in MEASURES)],
-            )
-
-    measured = docs.mapInArrow(scan, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), *(f"__{m} long" for m in MEASURES)]))
-    fails = F.lit(False)
-    for _, test in bits:
-        for m in sorted(MEASURES, key=len, reverse=True):
-            test = re.sub(rf"(?<![_\w]){m}\b", f"__{m}", test)
-        fails = fails | F.expr(test)
-    return measured.filter(~fails).select(*docs.columns)
+    """The rows of docs that pass, with all their columns: the ledger's bits against the policy's mask, in one pass (no join back)."""
+    return with_ledger(docs).filter(F.col("failed").bitwiseAND(F.lit(policy.mask).cast("long")) == 0).select("row.*")
