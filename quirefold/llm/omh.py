@@ -5,9 +5,10 @@ them under one hash and keeps them in text order, so a sketch agrees for texts t
 As many sketches again take the PICKS smallest distinct shingles without their order, so they agree for texts with moved
 or repeated parts too. Documents that agree in a sketch are candidates. Equal word sequences are one text from the start.
 
-A candidate pair is verified by a banded alignment of its words: it is linked if the edit distance is at most a fifth of
-the longer text's words, which an alignment that leaves the diagonal by no more than that decides exactly. Pairs that fail
-there are linked if they share four fifths of their distinct shingles, so that moved or repeated parts don't part them.
+A candidate pair is verified by a banded alignment of its words: of the three-word runs that both texts hold, counted by
+occurrence and at most a fifth of the longer text apart, the longest chain in the order of both. The pair is linked if
+the chain covers four fifths of the longer text's words. Pairs that fail there are linked if they share four fifths of
+their distinct five-word shingles, so that moved or repeated parts don't part them.
 
 The smallest document of each group that agrees in a sketch leads it, and all documents of one leader form a cluster, so
 candidates always meet in one. First every text is aligned with its leader, one after another: most clusters are settled
@@ -24,6 +25,7 @@ each class. Extra columns are ignored (near_duplicates) or kept (one_of_each). E
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
@@ -37,12 +39,14 @@ from .spans import Words, gram_hashes, mixed
 
 SHINGLE = 5
 THRESHOLD = 0.8
+#: Words that must stand together in both texts for an alignment to keep them.
+RUN = 3
 PICKS = 3
 #: Sketches in text order, and as many without order.
 BANDS = 20
 #: Bytes and rows of text in one block of a cluster.
 BLOCK_BYTES = 8 << 20
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 512
 #: Parts over which the rows of one cluster are spread in joins.
 SALTS = 16
 SEEDS = mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -89,90 +93,94 @@ def text_shingles(text: str | None) -> tuple[Words, np.ndarray]:
     return doc, gram_hashes(doc.symbols, SHINGLE) if doc.length >= SHINGLE else np.zeros(0, np.uint64)
 
 
-def banded_distance(positions: dict[int, int], m: int, b: list[int], band: int) -> int:
-    """Edit distance of two word sequences, or more than band if it is more than band.
-
-    positions: of each word of the first sequence, of m words, its places as bits. Vertical differences of one column of
-    the alignment are kept as bits of two integers, for the 2 * band + 1 rows around the diagonal only (bit x of column j
-    is row j - band + x); the distance is summed along the diagonal that ends in the last cell.
-    """
-    width, shift = 2 * band + 1, m - len(b)
-    if abs(shift) > band:
-        return band + 1
-    mask, top, last = (1 << width) - 1, 1 << 2 * band, 1 << (band + shift)
-    rising, falling = mask >> (band + 1) << (band + 1), 0
-    distance = max(shift, 0)
-    for j, word in enumerate(b):
-        # one row further down; the new row is outside the band before, so it counts as one more
-        rising, falling = rising >> 1 | top, falling >> 1
-        at = positions.get(word, 0)
-        equal = (at >> j - band if j > band else at << band - j) & mask
-        same = ((((equal & rising) + rising) ^ rising) | equal | falling) & mask  # cells equal to their diagonal neighbour
-        if not same & last:
-            distance += 1
-            if distance > band:
-                return distance
-        right = (falling | mask & ~(same | rising)) << 1 | 1
-        left = (same & rising) << 1
-        rising, falling = (left | ~(same | right)) & mask, right & same
-    return distance
-
-
-def places(words: list[int]) -> dict[int, int]:
-    """Each word's places as bits of one integer."""
-    found: dict[int, list[int]] = {}
-    for k, w in enumerate(words):
-        found.setdefault(w, []).append(k)
-    out = {}
-    for w, at in found.items():
-        bits = bytearray(at[-1] // 8 + 1)
-        for k in at:
-            bits[k >> 3] |= 1 << (k & 7)
-        out[w] = int.from_bytes(bits, "little")
-    return out
-
-
 class Text:
     """What comparing needs of one text."""
 
     def __init__(self, text: str):
         doc, self.shingles = text_shingles(text)
-        symbols = doc.symbols
-        self.words: list[int] = symbols.tolist()
-        self.bag = np.sort(labelled(symbols))  # words, told apart by occurrence
+        self.length = doc.length
+        self.runs = labelled(gram_hashes(doc.symbols, RUN))
         self.distinct = np.unique(self.shingles)
-        self._places: dict[int, int] | None = None
+        self._order: np.ndarray | None = None
+
+    def found(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the runs stand in this text, and where."""
+        if self._order is None:
+            self._order = np.argsort(self.runs)
+            self._ranked = self.runs[self._order]
+        at = np.minimum(np.searchsorted(self._ranked, runs), len(self._ranked) - 1)
+        here = np.flatnonzero(self._ranked[at] == runs)
+        return here, self._order[at[here]]
+
+
+def chain(j: np.ndarray) -> np.ndarray:
+    """Indices of a longest increasing subsequence of distinct numbers."""
+    if (j[1:] > j[:-1]).all():
+        return np.arange(len(j))
+    tails: list[int] = []
+    ends: list[int] = []
+    before: list[int] = []
+    for k, x in enumerate(j.tolist()):
+        at = bisect_left(tails, x)
+        tails[at : at + 1] = [x]
+        ends[at : at + 1] = [k]
+        before.append(ends[at - 1] if at else -1)
+    out, k = [], ends[-1]
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return np.array(out[::-1])
+
+
+def kept_words(a: Text, b: Text) -> int:
+    """Words that the banded alignment of two texts keeps."""
+    band = (1 - THRESHOLD) * max(a.length, b.length)
+    j, i = a.found(b.runs)
+    near = np.abs(i - j) <= band
+    i, j = i[near], j[near]
+    if not len(i):
+        return 0
+    of = chain(i)
+    return min(RUN + int(np.minimum(np.diff(x[of]), RUN).sum()) for x in (i, j))
+
+
+def aligned(a: Text, b: Text) -> bool:
+    longest = max(a.length, b.length)
+    return min(a.length, b.length) >= THRESHOLD * longest - 1e-9 and kept_words(a, b) >= THRESHOLD * longest - 1e-9
 
-    @property
-    def places(self) -> dict[int, int]:
-        if self._places is None:
-            self._places = places(self.words)
-        return self._places
 
-    def similar(self, other: Text) -> bool:
-        """Whether an alignment of the words keeps them but for a fifth."""
-        longest = max(len(self.words), len(other.words))
-        band = int((1 - THRESHOLD) * longest + 1e-9)
-        return banded_distance(self.places, len(self.words), other.words, band) <= band
+def linked(a: Text, b: Text) -> bool:
+    """Whether two texts are near duplicates."""
+    if aligned(a, b):
+        return True
+    common = len(np.intersect1d(a.distinct, b.distinct, assume_unique=True))
+    return common > 0 and common >= THRESHOLD * (len(a.distinct) + len(b.distinct) - common)
 
 
 class Shared:
-    """Exact numbers of elements that one set shares with others of a list of sets."""
+    """For one of many sequences of distinct elements: how much of others is shared with it, `cover` places for each element."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.array([len(s) for s in sets])
+    def __init__(self, sequences: list[np.ndarray], cover: int = 1):
+        self.cover = cover
+        self.sizes = np.array([len(s) + cover - 1 for s in sequences])
         self.starts = np.cumsum(self.sizes) - self.sizes
-        known, self.codes = np.unique(np.concatenate(sets), return_inverse=True)
-        self.present = np.zeros(len(known), bool)
+        known, codes = np.unique(np.concatenate(sequences), return_inverse=True)
+        self.present = np.zeros(len(known) + 1, bool)
+        self.codes = np.full(self.sizes.sum(), len(known))  # between sequences, places that are never shared
+        self.codes[np.concatenate([np.arange(s, s + n - cover + 1) for s, n in zip(self.starts, self.sizes, strict=True)])] = codes
 
     def of(self, x: int, others: np.ndarray) -> np.ndarray:
-        mine = self.codes[self.starts[x] : self.starts[x] + self.sizes[x]]
+        mine = self.codes[self.starts[x] : self.starts[x] + self.sizes[x] - self.cover + 1]
         self.present[mine] = True
         lengths = self.sizes[others]
         begins = np.cumsum(lengths) - lengths
         at = np.repeat(self.starts[others] - begins, lengths) + np.arange(lengths.sum())
-        hits = np.concatenate([[0], np.cumsum(self.present[self.codes[at]])])
+        shared = self.present[self.codes[at]]
         self.present[mine] = False
+        covered = shared.copy()
+        for k in range(1, self.cover):
+            covered[k:] |= shared[:-k]
+        hits = np.concatenate([[0], np.cumsum(covered)])
         return hits[begins + lengths] - hits[begins]
 
 
@@ -223,14 +231,6 @@ def _with_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], names=["cluster", "uid", "linked", "bytes"])
 
 
-def linked(a: Text, b: Text) -> bool:
-    """Whether two texts are near duplicates."""
-    if a.similar(b):
-        return True
-    common = len(np.intersect1d(a.distinct, b.distinct, assume_unique=True))
-    return common > 0 and common >= THRESHOLD * (len(a.distinct) + len(b.distinct) - common)
-
-
 def links_of(texts: list[Text], labels: list[int], allowed: Callable[[int, int], bool]) -> list[tuple[int, int]]:
     """Pairs of linked texts that meet in a sketch, enough of them to connect all of those; equal labels: linked already."""
     parent = list(range(len(texts)))
@@ -243,7 +243,8 @@ def links_of(texts: list[Text], labels: list[int], allowed: Callable[[int, int],
     first: dict[int, int] = {}
     for k, label in enumerate(labels):
         parent[k] = first.setdefault(label, k)
-    bags, sets = Shared([t.bag for t in texts]), Shared([t.distinct for t in texts])
+    runs, sets = Shared([t.runs for t in texts], RUN), Shared([t.distinct for t in texts])
+    lengths = np.array([t.length for t in texts])
     out: list[tuple[int, int]] = []
     buckets: dict[tuple[int, int], dict[int, list[int]]] = {}  # of each sketch value, the texts so far by what they are linked to
     for x, mine in enumerate(texts):
@@ -264,13 +265,12 @@ def links_of(texts: list[Text], labels: list[int], allowed: Callable[[int, int],
             tested |= wanted
             if not len(others):
                 continue
-            longest = np.maximum(bags.sizes[others], bags.sizes[x])
-            # an alignment keeps no more words than both texts have
-            alignable = bags.of(x, others) >= THRESHOLD * longest - 1e-9
+            # an alignment keeps no more words than runs of both texts cover
+            alignable = np.minimum(runs.of(x, others), lengths[x]) >= THRESHOLD * np.maximum(lengths[others], lengths[x]) - 1e-9
             common = sets.of(x, others)
             moved = common >= THRESHOLD * (sets.sizes[others] + sets.sizes[x] - common)
             for y, a, m in zip(others.tolist(), alignable.tolist(), moved.tolist(), strict=True):
-                if (a or m) and find(x) != find(y) and ((a and mine.similar(texts[y])) or m):
+                if (a or m) and find(x) != find(y) and (m or aligned(texts[y], mine)):
                     out.append((y, x))
                     parent[find(x)] = find(y)
         for bucket in met:
