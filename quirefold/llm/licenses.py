@@ -1,11 +1,15 @@
 r"""License scans: ordered signature rules behind a keyword prefilter, with priorities and interval containment.
 
-Rules are regexes over the text with A-Z lowered. A document is searched by a rule only if one of the rule's keywords
-occurs in it. Detections are intervals; one that lies inside an interval of a rule with higher (or equal, earlier)
-priority is suppressed, so "GNU Lesser General Public License" isn't reported as GPL too, and a full identifier wins
-over the bare family name. Phrase labels of the base contract are never suppressed.
+Rules are regexes over the text with A-Z lowered, written by hand (license_rules). A document is searched by a rule only
+if the rule's keywords occur in it. Detections are intervals; one that lies inside an interval of a rule with higher (or
+equal, earlier) priority is suppressed, so "GNU Lesser General Public License" isn't reported as GPL too, and a full
+identifier wins over the bare family name. Phrase labels of the base contract are never suppressed.
 
-Null text: no words, no labels, score 0. Empty text: likewise. Repeated rows: a row each. Empty table: empty result.
+The score says how plainly the text names a license: the priority of its plainest detection, in hundredths (a base phrase
+counts as a bare family name); 0 if there is none.
+
+Null text: no words, no labels, score 0. Empty text: likewise. Very long texts: whole. Ties: of equal intervals and
+priorities the rule listed first. Repeated rows: a row each. Extra columns are ignored. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_rules import RULES
+
 #: Words of a lowered text: ASCII digits and letters, and anything beyond ASCII.
 LICENSE_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -35,107 +41,31 @@ class Signature:
     priority: int
 
 
-def _versioned() -> Iterator[Signature]:
-    """Families whose rules follow from a name, versions and forms."""
-    word = r"(?<![^\W_])"
-    end = r"(?![^\W_])"
-    families = {
-        "gpl": ("gnu general public licen[cs]e", ("1.0", "2.0", "3.0")),
-        "lgpl": ("gnu (?:lesser|library) general public licen[cs]e", ("2.0", "2.1", "3.0")),
-        "agpl": ("(?:gnu )?affero general public licen[cs]e", ("1.0", "3.0")),
-        "gfdl": ("gnu free documentation licen[cs]e", ("1.1", "1.2", "1.3")),
-        "apache": ("apache (?:software )?licen[cs]e", ("1.0", "1.1", "2.0")),
-        "mpl": ("mozilla public licen[cs]e", ("1.0", "1.1", "2.0")),
-        "epl": ("eclipse public licen[cs]e", ("1.0", "2.0")),
-        "cddl": ("common development and distribution licen[cs]e", ("1.0", "1.1")),
-        "eupl": ("european union public licen[cs]e", ("1.0", "1.1", "1.2")),
-        "artistic": ("artistic licen[cs]e", ("1.0", "2.0")),
-        "osl": ("open software licen[cs]e", ("1.0", "1.1", "2.0", "2.1", "3.0")),
-        "afl": ("academic free licen[cs]e", ("1.1", "1.2", "2.0", "2.1", "3.0")),
-        "ofl": ("(?:sil )?open font licen[cs]e", ("1.0", "1.1")),
-        "lppl": (r"latex project public licen[cs]e", ("1.0", "1.1", "1.2", "1.3")),
-        "zpl": ("zope public licen[cs]e", ("1.1", "2.0", "2.1")),
-        "bsl": ("boost software licen[cs]e", ("1.0",)),
-        "psf": ("python software foundation licen[cs]e", ("2.0",)),
-        "cecill": ("cecill", ("1.0", "1.1", "2.0", "2.1")),
-        "php": ("php licen[cs]e", ("3.0", "3.01")),
-        "upl": ("universal permissive licen[cs]e", ("1.0",)),
-        "ncsa": ("university of illinois/ncsa open source licen[cs]e", ()),
-        "odbl": ("open (?:data commons )?(?:open )?database licen[cs]e", ("1.0",)),
-        "odc-by": ("open data commons attribution licen[cs]e", ("1.0",)),
-        "sspl": ("server side public licen[cs]e", ("1.0",)),
-        "busl": ("business source licen[cs]e", ("1.1",)),
-    }
-    for short, (name, versions) in families.items():
-        key = max(re.sub(r"\(\?:[^)]*\)\??|\[[^\]]*\]|[^a-z ]", "|", name).split("|"), key=len).strip()
-        for v in versions:
-            major = re.escape(v[:-2] if v.endswith(".0") else v)
-            number = rf"{major}(?:\.0)?" if v.endswith(".0") else re.escape(v)
-            label = f"{short}-{v}"
-            later = r"(?:\s*(?:,\s*)?or (?:\(at your option\) )?(?:any )?later(?: version)?)?"
-            yield Signature(label, rf"{word}(?:the )?{name}\s*,?\s*\(?(?:version|v\.?)?\s*{number}(?![\d.]*\d){later}", (key,), 80)
-            yield Signature(label, rf"{word}{re.escape(short)}[- ]?v?{number}(?:\+|-only|-or-later)?(?![\w.]*\d){end}", (short,), 70)
-            yield Signature(label, rf"spdx-license-identifier:\s*{re.escape(short)}-{number}(?:\+|-only|-or-later)?", ("spdx",), 90)
-        yield Signature(short, rf"{word}(?:the )?{name}{end}", (key,), 40)
-    terms = ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd")
-    spelled = {"by": "attribution", "sa": "share ?alike", "nd": "no ?deriv(?:ative)?s?(?: works)?", "nc": "non-?commercial"}
-    for term in terms:
-        long = r"\s*[- ,]\s*".join(spelled[t] for t in term.split("-"))
-        loose = term.replace("-", "[- ]")
-        for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
-            n = re.escape(v)
-            yield Signature(f"cc-{term}-{v}", rf"{word}cc[- ]{loose}[- ]{n}{end}", ("cc-", "cc "), 85)
-            yield Signature(f"cc-{term}-{v}", rf"creative commons {long}\s*(?:licen[cs]e\s*)?,?\s*(?:version\s*)?{n}", ("creative commons",), 85)
-            yield Signature(f"cc-{term}-{v}", rf"creativecommons\.org/licenses/{term}/{n}", ("creativecommons.org",), 90)
-        yield Signature(f"cc-{term}", rf"{word}cc[- ]{loose}{end}", ("cc-", "cc "), 45)
-        yield Signature(f"cc-{term}", rf"creative commons {long}{end}", ("creative commons",), 45)
-
-
-def _single() -> Iterator[Signature]:
-    # Licenses without numbered families, each with the phrases that identify it.
-    table = {
-        "mit": (r"(?<!\w)mit[- ]licen[cs]e(?!\w)", r"licen[cs]ed under (?:the )?mit(?!\w)", r"permission is hereby granted, free of charge, to any person obtaining a copy", r"spdx-license-identifier:\s*mit(?![\w-])"),
-        "isc": (r"(?<!\w)isc licen[cs]e(?!\w)", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose", r"spdx-license-identifier:\s*isc(?![\w-])"),
-        "bsd-2-clause": (r"(?:simplified|freebsd|2-clause|two-clause) bsd(?: licen[cs]e)?", r"bsd[- ]2[- ]clause"),
-        "bsd-3-clause": (r"(?:new|revised|modified|3-clause|three-clause) bsd(?: licen[cs]e)?", r"bsd[- ]3[- ]clause", r"neither the name of .{1,80} nor the names of its contributors"),
-        "bsd-4-clause": (r"(?:original|old|4-clause|four-clause) bsd(?: licen[cs]e)?", r"bsd[- ]4[- ]clause"),
-        "bsd-0-clause": (r"zero[- ]clause bsd", r"(?<!\w)0bsd(?!\w)"),
-        "bsd": (r"(?<!\w)bsd(?:[- ]style)? licen[cs]e(?!\w)", r"redistribution and use in source and binary forms"),
-        "unlicense": (r"(?<!\w)the unlicense(?!\w)", r"this is free and unencumbered software released into the public domain"),
-        "cc0": (r"(?<!\w)cc0(?:[- ]1\.0)?(?!\w)", r"creativecommons\.org/publicdomain/zero", r"cc zero"),
-        "public-domain": (r"(?:released|placed|dedicated) (?:in)?to the public domain", r"public domain (?:dedication|mark)"),
-        "zlib": (r"(?<!\w)zlib(?:/libpng)? licen[cs]e(?!\w)", r"this software is provided 'as-is', without any express or implied warranty"),
-        "wtfpl": (r"(?<!\w)wtfpl(?!\w)", r"do what the fuck you want to public licen[cs]e"),
-        "postgresql": (r"(?<!\w)postgresql licen[cs]e(?!\w)",),
-        "openssl": (r"(?<!\w)openssl licen[cs]e(?!\w)",),
-        "ruby": (r"(?<!\w)ruby licen[cs]e(?!\w)",),
-        "vim": (r"(?<!\w)vim licen[cs]e(?!\w)",),
-        "x11": (r"(?<!\w)x11 licen[cs]e(?!\w)",),
-        "curl": (r"(?<!\w)curl licen[cs]e(?!\w)",),
-        "json": (r"the software shall be used for good, not evil",),
-        "beerware": (r"(?<!\w)beer-?ware licen[cs]e(?!\w)",),
-        "proprietary": (r"all rights reserved", r"proprietary and confidential", r"unauthori[sz]ed (?:copying|use|distribution) .{0,60}(?:strictly )?prohibited"),
-        "copyright-notice": (r"(?:copyright|\(c\)|©)\s*(?:\(c\)|©)?\s*(?:19|20)\d\d",),
-    }
-    for label, patterns in table.items():
-        for k, pattern in enumerate(patterns):
-            plain = re.sub(r"\(\?<?[!=:][^()]*(?:\([^()]*\))*[^()]*\)\??|\[[^\]]*\]\??|\\[a-z]\*?|.\?|[({|)}*+.\\]", "|", pattern)
-            key = max(plain.split("|"), key=len).strip()
-            general = label in ("bsd", "public-domain", "proprietary", "copyright-notice")
-            keys = (key,) if len(key) >= 3 else ("copyright", "(c)", "©") if label == "copyright-notice" else ("bsd",)
-            yield Signature(label, pattern, ("copyright", "(c)", "©") if label == "copyright-notice" else keys, (10 if general else 60) - k)
+#: Priority of a base phrase, in scores.
+BASE_PRIORITY = 40
+#: What a blank of a rule stands for: white space of any kind, and the comment marks that a wrapped line begins with.
+GAP = r"(?:\s[\s*/#]*)"
+
+
+def _regex(pattern: str) -> str:
+    spaced = re.sub(r"\[[^\]]*\]| ", lambda m: GAP if m[0] == " " else m[0].replace(" ", r"\s"), pattern)
+    return rf"(?<![^\W_])(?:{spaced})(?!\.?\d)(?![^\W_])"
 
 
 def signatures() -> list[Signature]:
     """All rules in order: higher priority first, then as listed."""
-    rules = [*_versioned(), *_single()]
+    rows = (line.split(" ; ") for line in RULES.strip().splitlines())
+    rules = [Signature(label, _regex(pattern), tuple(keywords.split(",")), int(priority)) for label, priority, keywords, pattern in rows]
     return sorted(rules, key=lambda r: -r.priority)
 
 
-def detect(lowered: str, rules: list[tuple[Signature, re.Pattern]], by_keyword: dict[str, list[int]]) -> list[tuple[int, int, str]]:
-    """start, end, label of what is left after suppression, in text order."""
-    wanted = sorted({i for k, ids in by_keyword.items() if k in lowered for i in ids})
-    kept: list[tuple[int, int, str]] = []
+Compiled = list[tuple[Signature, re.Pattern]]
+
+
+def detect(lowered: str, rules: Compiled, by_keyword: dict[str, list[tuple[int, tuple[str, ...]]]]) -> list[tuple[int, int, str, int]]:
+    """start, end, label, priority of what is left after suppression, in text order."""
+    wanted = sorted({i for k, found in by_keyword.items() if k in lowered for i, rest in found if all(x in lowered for x in rest)})
+    kept: list[tuple[int, int, str, int]] = []
     starts: list[int] = []
     reach: list[int] = []  # the largest end among kept intervals that start no later
     for i in wanted:  # by priority
@@ -146,7 +76,7 @@ def detect(lowered: str, rules: list[tuple[Signature, re.Pattern]], by_keyword:
             if s == e or (k and reach[k - 1] >= e):
                 continue
             starts.insert(k, s)
-            kept.insert(k, (s, e, rule.label))
+            kept.insert(k, (s, e, rule.label, rule.priority))
             reach.insert(k, max(e, reach[k - 1] if k else e))
             for j in range(k + 1, len(reach)):
                 if reach[j] >= reach[k]:
@@ -167,12 +97,14 @@ def base_places(words: list[str]) -> list[tuple[int, str]]:
     return found
 
 
-def compiled() -> tuple[list[tuple[Signature, re.Pattern]], dict[str, list[int]]]:
-    rules = [(r, re.compile(r.pattern)) for r in signatures()]
-    by_keyword: dict[str, list[int]] = {}
+def compiled() -> tuple[Compiled, dict[str, list[tuple[int, tuple[str, ...]]]]]:
+    """Rules by priority; for each keyword, the rules that it may call up and what else they ask for."""
+    rules = [(r, re.compile(r.pattern, re.S)) for r in signatures()]
+    by_keyword: dict[str, list[tuple[int, tuple[str, ...]]]] = {}
     for i, (r, _) in enumerate(rules):
         for k in r.keywords:
-            by_keyword.setdefault(k, []).append(i)
+            first, *rest = k.split("&")
+            by_keyword.setdefault(first, []).append((i, tuple(rest)))
     return rules, by_keyword
 
 
@@ -191,11 +123,9 @@ def license_scan(docs: DataFrame) -> DataFrame:
                 places = base_places(words) if "license" in lowered else []
                 spans = detect(lowered, rules, by_keyword)
                 base = {label for _, label in places}
-                labels = base | {label for _, _, label in spans}
-                covered = sum(e - s for s, e, _ in spans)
-                strong = 0.5 if places or any(label not in ("copyright-notice", "proprietary") for _, _, label in spans) else 0.25 if spans else 0.0
-                score = min(1.0, strong + 0.5 * covered / max(1, len(lowered))) if labels else 0.0
-                rows.append((doc_id, len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)), ",".join(sorted(labels)), score, [{"start": s, "end": e, "label": label} for s, e, label in spans]))
+                labels = base | {label for _, _, label, _ in spans}
+                score = max([BASE_PRIORITY] * bool(places) + [priority for *_, priority in spans], default=0) / 100
+                rows.append((doc_id, len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)), ",".join(sorted(labels)), score, [{"start": s, "end": e, "label": label} for s, e, label, _ in spans]))
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 

@@ -88,10 +88,48 @@ def test_licenses(docs_of):
     assert licenses.license_scan(docs_of([])).collect() == []
 
 
-def test_license_rules_number_hundreds_and_hold_their_keywords():
-    rules = licenses.signatures()
-    assert len(rules) >= 200
-    assert all(r.keywords and all(r.keywords) for r in rules)
+def test_license_rules_find_samples_of_themselves():
+    """For each rule: texts made from its regex are found by it, hold its keywords, and wrapped ones are found too."""
+    import re
+    import warnings
+
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    rules, by_keyword = licenses.compiled()
+    assert len(rules) > 300 and len({r.pattern for r, _ in rules}) == len(rules)
+    for k, (rule, pattern) in enumerate(rules):
+        bare = re.compile(pattern.pattern.removeprefix(r"(?<![^\W_])").removesuffix(r"(?!\.?\d)(?![^\W_])"), re.S | re.A)
+
+        def holds(sample, k, pattern, rule):
+            sample = sample.lower()
+            for text in (sample, re.sub(r"\s[\s*/#]*", "\n * ", sample)):
+                if not pattern.fullmatch(text):
+                    continue
+                called = {i for word, found in by_keyword.items() if word in text for i, rest in found if all(x in text for x in rest)}
+                assert k in called, (rule, text)
+                spans = licenses.detect(f"x. {text} . y", rules, by_keyword)
+                assert any(s <= 3 and e >= 3 + len(text) and priority >= rule.priority for s, e, _, priority in spans), (rule, text, spans)
+
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            tried = settings(max_examples=6, deadline=None, database=None, derandomize=True, suppress_health_check=list(HealthCheck))
+            tried(given(st.from_regex(bare, fullmatch=True), st.just(k), st.just(pattern), st.just(rule))(holds))()
+
+
+def test_license_labels_match_brute_force():
+    """All rules on all texts without the prefilter; suppression by looking at all pairs."""
+    rng = random.Random(31)
+    rules, by_keyword = licenses.compiled()
+    parts = ["gnu lesser general public license v2.1 or later", "gnu general\n# public license version 3", "mit license", "(c) 2020", "all rights reserved", "apache license, version 2.0", "cc by-nc 4.0", "creative commons attribution-sharealike 3.0", "bsd-3-clause license", "gpl", "agplv3+", "released to the public domain", "spdx-license-identifier: mit", "license", "mozilla public licence 2.0", "some words", "isc license,"]
+    for _ in range(150):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randint(0, 8)))
+        found = [(-rule.priority, k, m.start(), m.end(), rule.label) for k, (rule, pattern) in enumerate(rules) for m in pattern.finditer(text)]
+        kept = []
+        for _, _, s, e, label in sorted(found, key=lambda f: f[:3]):
+            if not any(a <= s and e <= b for a, b, _ in kept):
+                kept.append((s, e, label))
+        assert sorted(kept) == sorted(d[:3] for d in licenses.detect(text, rules, by_keyword))
 
 
 def brute_secrets(text):
@@ -333,16 +371,30 @@ def test_near_duplicates(docs_of, monkeypatch):
     assert omh.near_duplicates(docs_of([])).collect() == []
 
 
-def test_banded_distance_is_the_edit_distance():
+def test_alignment_keeps_a_common_subsequence():
+    """Never more than the longest one, and all of it but for pieces shorter than a run."""
     rng = random.Random(17)
-    for _ in range(400):
-        letters = rng.randint(2, 6)
-        a = [rng.randint(0, letters) for _ in range(rng.randint(0, 40))]
-        b = [w for w in a if rng.random() > 0.1] if rng.random() < 0.7 else [rng.randint(0, letters) for _ in range(rng.randint(0, 40))]
-        want = distance(a, b)
-        for band in (0, 1, 4, 10, 50):
-            got = omh.banded_distance(omh.places(a), len(a), b, band)
-            assert got == want if want <= band else got > band
+    for _ in range(300):
+        a = [rng.choice("abcdefghij") + rng.choice("klm") for _ in range(rng.randint(5, 60))]
+        b = list(a)
+        for _ in range(rng.randint(0, 8)):
+            at = rng.randrange(len(b) or 1)
+            b[at : at + rng.randint(0, 1)] = rng.choice([[], ["new"], ["x", "y"]])
+        if len(b) < 5:
+            continue
+        kept = omh.kept_words(omh.Text(" ".join(a)), omh.Text(" ".join(b)))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert kept <= table[-1][-1]
+        if a == b:
+            assert kept == len(a)
+    text = [f"w{k}" for k in range(200)]
+    other = [w if k % 10 else "new" for k, w in enumerate(text)]
+    assert omh.kept_words(omh.Text(" ".join(text)), omh.Text(" ".join(other))) == 180
+    assert omh.kept_words(omh.Text(" ".join(text)), omh.Text(" ".join(text[100:] + text[:100]))) == 0  # outside the band
+    assert omh.linked(omh.Text(" ".join(text)), omh.Text(" ".join(text[100:] + text[:100])))
 
 
 def test_links_that_the_leader_does_not_show(spark):
