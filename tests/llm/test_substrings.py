@@ -75,11 +75,37 @@ EDGES = [(None, None), (None, "x " * 45), (900, None), (901, ""), (902, " \n\t "
 def test_words_match_brute_force(docs_of):
     for seed in (1, 2):
         rows = corpus(seed) + EDGES
-        for batches in (1, 3):
+        for batches in (1, 5):
             got = sorted((tuple(r) for r in substring_dedup(docs_of(rows), batches=batches).collect()), key=str)
             assert got == brute_words(rows)
 
 
+def test_index_goes_on_after_reopening(spark, docs_of):
+    """Batches added to a reopened and compacted index give what all documents at once give; its joins are merge joins."""
+    from quirefold.llm.common import scratch_path
+    from quirefold.llm.spans import keyed
+    from quirefold.llm.substrings import FingerprintIndex
+
+    rows = sorted((r for r in corpus(9) if r[0] is not None), key=lambda r: r[0])
+    parts = [docs_of(rows[k : k + 17]) for k in range(0, len(rows), 17)]
+    path, ranges = scratch_path(spark, "test-index"), set()
+    for k, part in enumerate(parts):
+        if k:
+            index = FingerprintIndex.open(spark, path, [keyed(p) for p in parts[:k]])
+        else:
+            index = FingerprintIndex(spark, path, buckets=3)
+        ranges |= {(r["did"], x) for r in index.add(keyed(part)).collect() for x in range(r["lo"], r["lo"] + r["n"] + 19)}
+        assert len(index.runs) == 1 + k % 2
+        index.save()
+    old, new = (spark.table(t) for t in (index.runs[0][0], index._write(spark.table(index.runs[0][0]))[0]))
+    plan = old.join(new.select("a").hint("merge"), "a", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    removed = defaultdict(int)
+    for d, _ in ranges:
+        removed[d] += 1
+    assert {d: n for d, _, n, _ in brute_words(rows) if n} == dict(removed)
+
+
 def test_bytes_match_brute_force(docs_of):
     for seed in (3, 4):
         rows = corpus(seed) + EDGES + [(905, "z" * 1500), (906, "q" + "z" * 399), (907, ("ab" * 300) + "c"), (908, "ab" * 250)]
