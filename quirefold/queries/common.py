@@ -1,7 +1,9 @@
-"""Helpers for queries: tables, and inline rows that both engines see."""
+"""Helpers for queries: tables, columns derived from them, and inline rows, which both engines see alike."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,3 +36,19 @@ class Rows:
     @property
     def sql(self) -> str:
         return f"(VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in self.rows)}) AS t({', '.join(self.names)})"
+
+
+class Table:
+    """Rows derived from a standard table by one SELECT in words that both engines know."""
+
+    def __init__(self, select: str):
+        self.select = select
+
+    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        names = set(re.findall(r"\b(?:FROM|JOIN) (\w+)", self.select))
+        select = self.select.replace("{", "{{").replace("}", "}}")  # the tables' places are the only ones to fill
+        return spark.sql(re.sub(r"\b(FROM|JOIN) (\w+)", r"\1 {\2}", select), **{n: load(spark, sf_dir, n) for n in names})
+
+    @property
+    def sql(self) -> str:
+        return f"({self.select}) AS t"

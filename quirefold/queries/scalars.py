@@ -1,4 +1,4 @@
-"""Scalar functions and predicates on inline rows."""
+"""Scalar functions, predicates and small state machines over columns derived from the standard tables."""
 
 from __future__ import annotations
 
@@ -6,15 +6,18 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, identifiers, numbers, text
 from ..operators import evaluation, geometry, ledger, relational, segments
-from .common import Rows
+from .common import Table
 
 QUERIES = {}
 ORACLE_SQL = {}
+#: The queries as functions of their rows, and their SQL with $rows in place of them: tests run both on worked examples.
+FUNCTIONS = {}
 
 
-def query(rows: Rows, sql: str | None = None):
+def query(rows: Table, sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(rows.frame(spark))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(rows.frame(spark, sf_dir))
+        FUNCTIONS[f.__name__] = f, sql
         if sql is not None:
             ORACLE_SQL[f.__name__] = sql.replace("$rows", rows.sql)
         return f
@@ -22,7 +25,7 @@ def query(rows: Rows, sql: str | None = None):
     return add
 
 
-DIGITS = Rows("v string", [("52998224725",), ("52998224726",), ("11111111111",), ("11222333000181",), ("11222333000182",), ("00000000000000",), ("123",), ("39053344705",), ("04252011000110",)])
+DIGITS = Table("SELECT DISTINCT lpad(CAST(l_orderkey * 104729 + l_partkey * 7919 + l_linenumber AS STRING), CASE WHEN l_linenumber % 3 = 0 THEN 14 ELSE 11 END, '0') AS v FROM lineitem")
 
 
 def _weights(w: tuple[int, ...]) -> str:
@@ -44,7 +47,7 @@ def g1_g2_check_digits(df):
     return df.select("v", identifiers.cpf_valid(F.col("v")).alias("cpf"), identifiers.cnpj_valid(F.col("v")).alias("cnpj"))
 
 
-NUMERALS = Rows("v string", [("I",), ("IV",), ("ix",), ("XLII",), ("MCMXCIV",), ("MMXXVI",), ("DCCC",), ("XC",)])
+NUMERALS = Table("SELECT repeat('M', CAST(floor(p_partkey / 1000) % 4 AS INT)) || split_part('|C|CC|CCC|CD|D|DC|DCC|DCCC|CM', '|', CAST(floor(p_partkey / 100) % 10 AS INT) + 1) || split_part('|x|xx|xxx|xl|l|lx|lxx|lxxx|xc', '|', CAST(floor(p_partkey / 10) % 10 AS INT) + 1) || split_part('|I|II|III|IV|V|VI|VII|VIII|IX', '|', CAST(p_partkey % 10 AS INT) + 1) AS v FROM part WHERE p_partkey % 4000 > 0")
 
 
 @query(
@@ -57,7 +60,7 @@ def g3_roman_numerals(df):
     return df.select("v", identifiers.roman_value(F.col("v")).alias("value"))
 
 
-INDEXES = Rows("n long", [(k,) for k in (0, 1, 25, 26, 27, 51, 52, 701, 702, 703, 18277)])
+INDEXES = Table('SELECT DISTINCT CAST((p_partkey * 37) % 18278 AS BIGINT) AS n FROM part')
 
 
 @query(INDEXES, "SELECT n, CASE WHEN n >= 702 THEN chr(CAST(65 + ((n // 26 - 1) // 26 - 1) % 26 AS INT)) ELSE '' END || CASE WHEN n >= 26 THEN chr(CAST(65 + (n // 26 - 1) % 26 AS INT)) ELSE '' END || chr(CAST(65 + n % 26 AS INT)) AS letters FROM $rows")
@@ -65,7 +68,10 @@ def g8_column_letters(df):
     return df.select("n", identifiers.column_letter(F.col("n")).alias("letters"))
 
 
-CELLS = Rows("v string", [(x,) for x in ("R$ 1.234,56", "-R$ 10", "R$ -7,5", "-R$ -7", "12,5%", "50 %", "31/12/2024", "30/02/2024", "01/01/1899", "007", "1,234.56", "1.234", "123456789012345678", "abc", "", " 42 ", "-3.25", "0,5")])
+CELLS = Table(
+    """SELECT DISTINCT CASE l_linenumber WHEN 1 THEN 'R$ ' || CAST(l_partkey AS STRING) || ',5' WHEN 2 THEN '-R$ ' || CAST(l_suppkey AS STRING) WHEN 3 THEN CAST(l_partkey % 200 AS STRING) || ',5%' WHEN 4 THEN lpad(CAST(l_partkey % 32 AS STRING), 2, '0') || '/' || lpad(CAST(l_suppkey % 14 AS STRING), 2, '0') || '/2024'
+ WHEN 5 THEN '00' || CAST(l_partkey AS STRING) WHEN 6 THEN CAST(l_partkey % 9 + 1 AS STRING) || ',' || lpad(CAST(l_suppkey AS STRING), 3, '0') || '.5' ELSE ' ' || CAST(l_partkey AS STRING) || '.' || lpad(CAST(l_suppkey AS STRING), 3, '0') END AS v FROM lineitem"""
+)
 _PLAIN = """CASE WHEN regexp_matches({x}, '^-?0[0-9]') THEN NULL
  WHEN regexp_matches({x}, '^-?(?:0|[1-9][0-9]*)(?:\\.[0-9]+)?$') THEN {x}
  WHEN regexp_matches({x}, '^-?(?:0|[1-9][0-9]{{0,2}}(?:\\.[0-9]{{3}})+|[1-9][0-9]*),[0-9]+$') THEN replace(replace({x}, '.', ''), ',', '.')
@@ -93,7 +99,7 @@ def g7_typed_cells(df):
     return df.select("v", numbers.typed_cell(F.col("v")).alias("c")).select("v", "c.value", "c.style")
 
 
-GUARDED = Rows("v string", [("=1+1",), ("-5",), ("-5a",), ("@x",), ("+3",), ('say "hi"',), ("a,b",), ("plain",), ("  =x",)])
+GUARDED = Table('SELECT CASE c_custkey % 6 WHEN 0 THEN \'=\' || c_name WHEN 1 THEN CAST(-c_custkey AS STRING) WHEN 2 THEN \'@\' || c_name WHEN 3 THEN \'say "\' || c_name || \'"\' WHEN 4 THEN c_name || \',x\' ELSE \'  +\' || c_name END AS v FROM customer')
 
 
 @query(GUARDED, """WITH s AS (SELECT v, CASE WHEN regexp_matches(v, '^\\s*[=+@-]') AND NOT regexp_matches(trim(v), '^-?(?:0|[1-9][0-9]*)(?:\\.[0-9]+)?$') THEN '''' || v ELSE v END AS g FROM $rows)
@@ -102,7 +108,7 @@ def a13_guarded_csv_cells(df):
     return df.select("v", numbers.csv_cell(F.col("v")).alias("cell"))
 
 
-CASED = Rows("source string, target string", [("ABC", "xyz"), ("Abc", "xyz"), ("abc", "xyz"), ("", "xyz"), ("É", "ão"), ("Éa", "ão"), ("1a", "b")])
+CASED = Table("SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN upper(substr(p_name, 1, 1)) || lower(substr(p_name, 2)) WHEN 2 THEN lower(p_name) ELSE '' END AS source, lower(p_type) AS target FROM part")
 
 
 @query(CASED, "SELECT source, target, CASE WHEN source = '' OR target = '' THEN target WHEN source = upper(source) THEN upper(target) WHEN substr(source, 1, 1) = upper(substr(source, 1, 1)) THEN upper(substr(target, 1, 1)) || substr(target, 2) ELSE target END AS result FROM $rows")
@@ -110,7 +116,7 @@ def g11_match_case(df):
     return df.select("source", "target", text.match_case(F.col("source"), F.col("target")).alias("result"))
 
 
-UNTRUSTED = Rows("v string", [("  a<system>b</system >\r\n\r\n\r\n\r\n\r\nc    d  ",), ("< user x>hi",), ("plain\rtext",), ("<systematic>",)])
+UNTRUSTED = Table("SELECT CASE doc_id % 3 WHEN 0 THEN '  a<system>' || text || '</system >' WHEN 1 THEN '< user x>' || text ELSE text END AS v FROM documents")
 
 
 @query(UNTRUSTED, """SELECT v, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, '(?i)</?\\s*(?:documento_fonte|sistema|system|instrucoes|assistant|user)\\b[^>]*>', '[marcador_neutro]', 'g'), '\\r\\n?', chr(10), 'g'), '[ \\t]{3,}', ' ', 'g'), '\\n{4,}', chr(10) || chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) AS clean FROM $rows""")
@@ -118,7 +124,7 @@ def g12_sanitized_texts(df):
     return df.select("v", text.sanitize_document_text(F.col("v")).alias("clean"))
 
 
-SPANS = Rows("a int, b int", [(1, 1), (2, 5), (10, 11)])
+SPANS = Table('SELECT CAST(p_size AS INT) AS a, CAST(p_size + p_partkey % 3 AS INT) AS b FROM part')
 
 
 @query(SPANS, "SELECT a, b, CASE WHEN a = b THEN '[p. ' || a || ']' ELSE '[p. ' || a || '–' || b || ']' END AS label FROM $rows")
@@ -126,7 +132,7 @@ def g13_page_citations(df):
     return df.select("a", "b", text.page_citation(F.col("a"), F.col("b")).alias("label"))
 
 
-LINES = Rows("v string", [("  a\tb\n",), ("x\x07y",), ("plain",), ("",)])
+LINES = Table('SELECT text AS v FROM documents')
 
 
 @query(LINES, "SELECT v, CASE WHEN regexp_matches(translate(trim(v, ' ' || chr(9) || chr(10) || chr(13)), chr(10) || chr(13) || chr(9), '   '), '[\\x00-\\x1F\\x7F]') THEN NULL ELSE translate(trim(v, ' ' || chr(9) || chr(10) || chr(13)), chr(10) || chr(13) || chr(9), '   ') END AS clean FROM $rows")
@@ -134,7 +140,7 @@ def g14_clean_lines(df):
     return df.select("v", text.clean_line(F.col("v")).alias("clean"))
 
 
-BOXES = Rows("id int, x0 double, y0 double, x1 double, y1 double, x2 double, y2 double", [(1, 0.1, 0.1, 0.5, 0.1, 0.5, 0.3), (2, -0.005, 0.2, 1.005, 0.2, 0.5, 0.4), (3, 0.1, 0.1, 0.1, 0.2, 0.1, 0.3), (4, -0.5, 0.0, 0.5, 0.5, 0.2, 0.2)])
+BOXES = Table('SELECT CAST(l_orderkey * 10 + l_linenumber AS INT) AS id, l_discount * 10 - 0.005 AS x0, l_tax * 12 AS y0, l_tax * 10 AS x1, l_discount * 9 AS y1, l_quantity / 50 AS x2, l_quantity / 60 AS y2 FROM lineitem')
 
 
 @query(
@@ -149,7 +155,7 @@ def g15_polygon_boxes(df):
     return df.select("id", numbers.polygon_box(F.array(point(0), point(1), point(2))).alias("b")).select("id", "b.x", "b.y", "b.width", "b.height")
 
 
-PAIRS = Rows("reference string, output string", [("kitten", "sitting"), ("one two three", "one too three"), ("abc", ""), ("same", "same"), ("a b c d", "b c d e")])
+PAIRS = Table("SELECT p_name || ' ' || p_brand AS reference, p_type AS output FROM part")
 
 
 @query(PAIRS, "SELECT reference, output, levenshtein(reference, output) / CAST(length(reference) AS DOUBLE) AS cer FROM $rows")
@@ -162,7 +168,7 @@ def g17_word_error_rate(df):
     return df.select("reference", "output", text.word_error_rate("reference", "output").alias("wer"))
 
 
-TRANSLATED = Rows("source string, output string, names array<string>", [("Ana paid 1.234,56 on 3 May", "Ana pagou 1,234.56 em 3 de maio", ["Ana"]), ("Bob has 7 cats", "Bob tem gatos", ["Bob", "Eve"]), ("none", "nenhum", [])])
+TRANSLATED = Table("SELECT CAST(doc_id AS STRING) || ' ' || text AS source, text AS output, split(lang || ',' || source, ',') AS names FROM documents")
 
 
 @query(TRANSLATED, "SELECT source, array_to_string(list_filter(list_distinct(regexp_extract_all(source, '[0-9]+')), lambda x: NOT list_contains(regexp_extract_all(output, '[0-9]+'), x)), ',') AS numbers, array_to_string(list_filter(names, lambda x: NOT contains(output, x)), ',') AS names FROM $rows")
@@ -170,7 +176,7 @@ def g18_missing_numbers_and_names(df):
     return df.select("source", F.array_join(text.numbers_missing(F.array_distinct(text.digit_groups(F.col("source"))), F.col("output")), ",").alias("numbers"), F.array_join(text.names_missing(F.col("names"), F.col("output")), ",").alias("names"))
 
 
-NEGATED = Rows("source string, a string, output string, b string", [("Eu não vou", "pt", "I won't go", "en"), ("Eu vou", "pt", "I go", "en"), ("No voy nunca", "es", "Eu vou", "pt"), ("Je ne vais pas", "fr", "I do not go", "en"), ("nothing, NEVER", "en", "nada", "es")])
+NEGATED = Table("SELECT text AS source, lang AS a, CASE doc_id % 2 WHEN 0 THEN substr(text, 1, 60) ELSE 'no, not ' || text END AS output, CASE doc_id % 3 WHEN 0 THEN 'pt' ELSE lang END AS b FROM documents")
 
 
 def _negations_sql(column: str, language: str) -> str:
@@ -186,7 +192,7 @@ def g19_negation_status(df):
 
 # The pilot's price book and limits.
 BOOK = numbers.PriceBook(33_600, 3_500, 1_500_000, 20_000, 190_000_000, 14, 2_000, 240, 5, 120, 120, 120, 60, 120, 3, 94_371_840, 20_971_520, 31_457_280, 3_600, 900)
-UNITS = Rows("ocr_pages long, characters long, office_files long", [(1, 0, 0), (15, 0, 0), (0, 5000, 0), (0, 1, 0), (0, 0, 1)])
+UNITS = Table('SELECT CAST(user_id % 20 AS BIGINT) AS ocr_pages, CAST(event_id % 5000 AS BIGINT) AS characters, CAST(event_id % 2 AS BIGINT) AS office_files FROM events')
 _FIXED = 240 + 5 + 120 + 120 * 3
 _EXTRA = -(-94_371_840 * 190_000_000 // (1 << 30)) + -(-(20_971_520 + 31_457_280) * 4_500 * 14 // (1 << 30))
 
@@ -196,7 +202,7 @@ def g21_price_estimates(df):
     return df.withColumn("micros", numbers.price_micros(F.col("ocr_pages"), F.col("characters"), F.col("office_files"), BOOK))
 
 
-KEYS = Rows("member string, key string", [("m1", "k1"), ("m1", "k2"), ("ü", "")])
+KEYS = Table('SELECT c_name AS member, c_mktsegment AS key FROM customer')
 
 
 @query(KEYS, "SELECT member, key, sha256(member || '/' || key) AS id FROM $rows")
@@ -204,7 +210,7 @@ def g23_idempotency_ids(df):
     return df.select("member", "key", identifiers.idempotency_id(F.col("member"), F.col("key")).alias("id"))
 
 
-IMAGES = Rows("w long, h long, want_w long, want_h long", [(4000, 3000, 800, 800), (3000, 4000, 800, 800), (100, 50, None, 200), (100, 50, 30, None), (640, 480, None, None)])
+IMAGES = Table('SELECT CAST(p_size * 83 + 1 AS BIGINT) AS w, CAST(p_partkey % 997 + 1 AS BIGINT) AS h, CASE WHEN p_partkey % 4 > 0 THEN CAST(p_partkey % 800 + 1 AS BIGINT) END AS want_w, CASE WHEN p_partkey % 5 > 0 THEN CAST(p_size * 11 + 1 AS BIGINT) END AS want_h FROM part')
 
 
 @query(
@@ -217,7 +223,7 @@ def g24_resized_images(df):
     return df.withColumn("r", numbers.resize_to_fit(F.col("w"), F.col("h"), F.col("want_w"), F.col("want_h"))).select("w", "h", "want_w", "want_h", "r.width", "r.height")
 
 
-CROPS = Rows("x double, y double, w double, h double, before long, after long", [(0.0, 0.0, 10.0, 10.0, 1000, 400), (95.4, 0.0, 5.0, 10.0, 0, 0), (-1.0, 0.0, 5.0, 5.0, 7, 9)])
+CROPS = Table('SELECT l_quantity * 2 - 1 AS x, l_discount * 900 AS y, l_tax * 500 AS w, l_discount * 300 AS h, CAST(l_partkey % 300 AS BIGINT) AS before, CAST(l_suppkey % 200 AS BIGINT) AS after FROM lineitem')
 
 
 @query(CROPS, "SELECT x, y, floor(x + 0.5) >= 0 AND floor(y + 0.5) >= 0 AND floor(w + 0.5) >= 1 AND floor(h + 0.5) >= 1 AND floor(x + 0.5) + floor(w + 0.5) <= 100 AND floor(y + 0.5) + floor(h + 0.5) <= 100 AS fits, CASE WHEN before <> 0 THEN floor((before - after) / CAST(before AS DOUBLE) * 1000 + 0.5) / 10 ELSE 0.0 END AS saved FROM $rows")
@@ -225,7 +231,7 @@ def g24_crops_and_savings(df):
     return df.select("x", "y", numbers.crop_fits(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.lit(100), F.lit(100)).alias("fits"), numbers.saved_percent(F.col("before"), F.col("after")).alias("saved"))
 
 
-RANGES = Rows("v string, n long", [("1-3,5", 10), ("5, 2-1 ,2", 10), ("", 10), ("1-", 10), ("0", 10), ("11", 10), ("a", 10), ("7 - 9", 9)])
+RANGES = Table("SELECT DISTINCT CAST(l_linenumber AS STRING) || ' - ' || CAST(l_linenumber + l_partkey % 4 AS STRING) || ',' || CAST(l_suppkey % 12 AS STRING) || CASE WHEN l_partkey % 9 = 0 THEN ',' ELSE '' END AS v, CAST(10 AS BIGINT) AS n FROM lineitem")
 
 
 @query(
@@ -240,7 +246,7 @@ def b8_page_ranges(df):
     return df.select("v", relational.page_range(F.col("v"), F.col("n")).alias("r")).select("v", "r.valid", F.array_join(F.transform("r.pages", lambda p: p.cast("string")), ",").alias("pages"))
 
 
-REGIONS = Rows("page int, x double, y double, w double, h double", [(1, 0.0, 0.0, 1.0, 1.0), (0, 0.1, 0.1, 0.2, 0.2), (1, 0.9, 0.1, 0.2, 0.1), (2, -0.1, 0.1, 0.2, 0.2), (3, 0.2, 0.2, 0.0, 0.5)])
+REGIONS = Table('SELECT CAST(l_linenumber - 1 AS INT) AS page, l_discount * 10 - 0.1 AS x, l_tax * 10 AS y, l_discount * 4 AS w, l_tax * 5 AS h FROM lineitem')
 
 
 @query(REGIONS, "SELECT page, x, y, w, h, page >= 1 AND x >= 0 AND y >= 0 AND w > 0 AND h > 0 AND x + w <= 1 AND y + h <= 1 AS valid FROM $rows")
@@ -248,7 +254,7 @@ def b7_region_predicates(df):
     return df.withColumn("valid", numbers.region_valid(*(F.col(c) for c in ("page", "x", "y", "w", "h"))))
 
 
-SELECTORS = Rows("selector string, mime string", [("TEXT_RANGE", "text/plain"), ("TEXT_RANGE", "application/pdf"), ("PDF_REGION", "application/pdf"), ("OCR_LINE", "application/vnd.ocr+json"), ("OTHER", "text/plain")])
+SELECTORS = Table("SELECT DISTINCT split_part('TEXT_RANGE,PDF_REGION,OCR_LINE,OTHER', ',', CAST(p_size % 4 AS INT) + 1) AS selector, split_part('text/plain,application/pdf,application/vnd.ocr+json,text/markdown', ',', CAST(p_partkey % 4 AS INT) + 1) AS mime FROM part")
 
 
 @query(SELECTORS, "SELECT selector, mime, (selector = 'TEXT_RANGE' AND mime IN ('text/plain', 'text/markdown')) OR (selector = 'PDF_REGION' AND mime = 'application/pdf') OR (selector = 'OCR_LINE' AND mime = 'application/vnd.ocr+json') AS fits FROM $rows")
@@ -256,7 +262,7 @@ def b6_selector_types(df):
     return df.withColumn("fits", relational.selector_fits(F.col("selector"), F.col("mime")))
 
 
-TOOLS = Rows("id string, surfaces array<string>, capabilities array<string>", [("a", ["launcher"], ["gpu"]), ("b", ["launcher", "flow"], []), ("c", ["flow"], ["net", "gpu"])])
+TOOLS = Table("SELECT s_name AS id, split(CASE s_suppkey % 3 WHEN 0 THEN 'launcher' WHEN 1 THEN 'launcher,flow' ELSE 'other' END, ',') AS surfaces, split(CASE s_suppkey % 4 WHEN 0 THEN 'net' WHEN 1 THEN 'gpu' ELSE 'net,gpu' END, ',') AS capabilities FROM supplier")
 
 
 @query(TOOLS, "SELECT id, array_to_string(list_filter(capabilities, lambda x: x <> 'net'), ',') AS missing, len(list_filter(capabilities, lambda x: x <> 'net')) = 0 AS available FROM $rows WHERE list_contains(surfaces, 'launcher') OR list_contains(surfaces, 'flow')")
@@ -265,7 +271,7 @@ def b3_b4_tool_availability(df):
     return relational.availability(listed, ["net"]).select("id", F.array_join("missing", ",").alias("missing"), "available")
 
 
-CITED = Rows("doc_id long, text string, total_pages int", [(1, "a [p. 1] b [P. 2-4] c [p. 1]", 3), (2, "[p. 9] [p. 2–1]", 5), (3, "none", 2)])
+CITED = Table("SELECT doc_id, text || ' [p. ' || CAST(doc_id % 9 AS STRING) || '] x [P. 2-' || CAST(doc_id % 5 AS STRING) || ']' AS text, CAST(doc_id % 7 AS INT) AS total_pages FROM documents")
 
 
 @query(
@@ -278,7 +284,7 @@ def h21_citations(df):
     return segments.citations(df).select("doc_id", "first_page", "last_page")
 
 
-HEADINGS = Rows("text string, size double, bold boolean", [("Big", 20.0, False), ("Mid", 14.5, False), ("Small", 13.0, False), ("Bold", 11.0, True), ("Body text.", 20.0, True), ("body", 11.0, False)])
+HEADINGS = Table("SELECT CASE p_partkey % 3 WHEN 0 THEN p_name || '.' ELSE p_name END AS text, p_retailprice / 100 AS size, p_size % 2 = 0 AS bold FROM part")
 
 
 @query(HEADINGS, "SELECT text, CASE WHEN length(text) <= 100 AND NOT regexp_matches(text, '[.!?]$') THEN CASE WHEN size / 11 >= 1.6 THEN 1 WHEN size / 11 >= 1.3 THEN 2 WHEN size / 11 >= 1.15 OR bold THEN 3 END END AS level FROM $rows")
@@ -286,7 +292,7 @@ def i9_heading_levels(df):
     return df.select("text", geometry.heading_level(F.col("text"), F.col("size"), F.col("bold"), F.lit(11.0)).alias("level"))
 
 
-PLACED = Rows("doc_id long, page int, x double, y double, width double, height double, font_size double, bold boolean, str string, page_width double, page_height double", [(1, 1, 10.0, 20.0, 30.0, 10.0, 10.0, False, "a", 100.0, 100.0), (1, 1, 60.0, 20.0, 30.0, 10.0, 10.0, False, "b", 100.0, 100.0), (1, 1, 30.0, 50.0, 40.0, 10.0, 10.0, True, "c", 100.0, 100.0), (1, 1, 10.0, 90.0, 10.0, 0.0, 12.0, False, "d", 100.0, 100.0)])
+PLACED = Table('SELECT l_orderkey AS doc_id, 1 AS page, l_quantity * 2 AS x, l_discount * 1000 AS y, l_tax * 400 AS width, CASE WHEN l_linenumber = 2 THEN 0 ELSE CAST(10 AS DOUBLE) END AS height, CAST(12 AS DOUBLE) AS font_size, false AS bold, CAST(l_partkey AS STRING) AS str, CAST(100 AS DOUBLE) AS page_width, CAST(100 AS DOUBLE) AS page_height FROM lineitem')
 
 
 @query(PLACED, "SELECT str, x < 20 - 0.01 OR x + width > 80.0 + 0.01 OR y - CASE WHEN height > 0 THEN height ELSE font_size END < 5.0 - 0.01 OR y > 75.0 + 0.01 AS cut FROM $rows WHERE NOT (x + width <= 20 OR x >= 80 OR y <= 5 OR y - CASE WHEN height > 0 THEN height ELSE font_size END >= 75)")
@@ -294,7 +300,7 @@ def i5_region_filter(df):
     return geometry.region_filter(df, 0.2, 0.05, 0.6, 0.7).select("str", "cut")
 
 
-GRID = Rows("doc_id long, page int, x double, y double, width double, height double, font_size double, bold boolean, str string, page_width double", [(1, 1, float(40 + 150 * c), float(50 + 20 * r), 60.0, 10.0, 10.0, r == 0, f"r{r}c{c}", 600.0) for r in range(4) for c in range(3) if (r, c) != (2, 1)] + [(1, 1, 40.0, 20.0, 300.0, 16.0, 18.0, True, "Title of the page", 600.0)])
+GRID = Table('SELECT l_suppkey AS doc_id, CAST(1 + l_orderkey % 4 AS INT) AS page, CAST(40 + 150 * (l_linenumber % 3) AS DOUBLE) AS x, CAST(50 + 20 * (l_partkey % 40) AS DOUBLE) AS y, CAST(60 AS DOUBLE) AS width, CAST(10 AS DOUBLE) AS height, CAST(10 AS DOUBLE) AS font_size, l_linenumber < 3 AS bold, CAST(l_partkey AS STRING) AS str, CAST(600 AS DOUBLE) AS page_width FROM lineitem')
 
 
 @query(GRID)
@@ -312,15 +318,15 @@ def i19_page_paragraphs(df):
     return geometry.page_paragraphs(df)
 
 
-@query(GRID, """WITH e AS (SELECT page, x AS edge, 1 AS d FROM $rows WHERE font_size < 15 UNION ALL SELECT page, x + width, -1 FROM $rows WHERE font_size < 15),
-w AS (SELECT edge, lag(edge) OVER (PARTITION BY page ORDER BY edge, d) AS before, coalesce(sum(d) OVER (PARTITION BY page ORDER BY edge, d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS active FROM e)
-SELECT (before + edge) / 2 AS boundary FROM w WHERE active = 0 AND edge - before >= 8""")
+@query(GRID, """WITH e AS (SELECT doc_id, page, x AS edge, 1 AS d FROM $rows WHERE font_size < 15 UNION ALL SELECT doc_id, page, x + width, -1 FROM $rows WHERE font_size < 15),
+w AS (SELECT doc_id, page, edge, lag(edge) OVER (PARTITION BY doc_id, page ORDER BY edge, d) AS before, coalesce(sum(d) OVER (PARTITION BY doc_id, page ORDER BY edge, d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS active FROM e)
+SELECT doc_id, page, (before + edge) / 2 AS boundary FROM w WHERE active = 0 AND edge - before >= 8""")
 def f12_gap_sweep(df):
     spans = df.filter("font_size < 15").select("doc_id", "page", "x", (F.col("x") + F.col("width")).alias("right"))
-    return geometry.gap_sweep(spans).select("boundary")
+    return geometry.gap_sweep(spans).select("doc_id", "page", "boundary")
 
 
-PDFS = Rows("id int, signed boolean, total long, images long, image_bytes long, streams boolean", [(1, True, 100, 1, 50, False), (2, False, 0, 0, 0, False), (3, False, 5000, 0, 0, True), (4, False, 5000, 0, 0, False), (5, False, 100000, 3, 80000, False), (6, False, 100000, 3, 1000, True)])
+PDFS = Table('SELECT CAST(p_partkey AS INT) AS id, p_size % 7 = 0 AS signed, CAST(p_partkey * 71 % 100000 AS BIGINT) AS total, CAST(p_size % 4 AS BIGINT) AS images, CAST(p_partkey * 13 % 90000 AS BIGINT) AS image_bytes, p_partkey % 2 = 0 AS streams FROM part')
 
 
 @query(
@@ -332,7 +338,7 @@ def m_savings_range(df):
     return df.select("id", geometry.savings_range(*(F.col(c) for c in ("signed", "total", "images", "image_bytes", "streams"))).alias("r")).select("id", "r.low", "r.high")
 
 
-HELD = Rows("participant string, period string, state string, maximum_micros long, actual_micros long", [("a", "2026-01", "settled", 100, 80), ("a", "2026-01", "queued", 50, None), ("b", "2026-01", "cancelled", 70, None), ("b", "2026-02", "running", 250000, None)])
+HELD = Table("SELECT CAST(o_custkey % 200 AS STRING) AS participant, substr(CAST(o_orderdate AS STRING), 1, 7) AS period, split_part('settled,queued,cancelled,running,needs_reconciliation', ',', CAST(o_orderkey % 5 AS INT) + 1) AS state, CAST(o_orderkey % 90000 AS BIGINT) AS maximum_micros, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderkey % 80000 AS BIGINT) END AS actual_micros FROM orders")
 
 
 @query(HELD, "SELECT participant, period, CAST(coalesce(sum(actual_micros) FILTER (state = 'settled'), 0) AS BIGINT) AS used_micros, CAST(coalesce(sum(maximum_micros) FILTER (state IN ('queued', 'running', 'needs_reconciliation')), 0) AS BIGINT) AS reserved_micros, CAST(greatest(0, 200000 - coalesce(sum(actual_micros) FILTER (state = 'settled'), 0) - coalesce(sum(maximum_micros) FILTER (state IN ('queued', 'running', 'needs_reconciliation')), 0)) AS BIGINT) AS remaining_micros FROM $rows GROUP BY participant, period")
@@ -340,12 +346,12 @@ def k4_usage(df):
     return ledger.usage(df)
 
 
-@query(HELD, "SELECT participant, count(*) FILTER (state = 'running') AS running, (SELECT count(*) FILTER (state = 'running') FROM $rows) AS running_all FROM $rows GROUP BY participant")
+@query(HELD, "SELECT participant, count(*) FILTER (state IN ('running', 'needs_reconciliation')) AS running, (SELECT count(*) FILTER (state IN ('running', 'needs_reconciliation')) FROM $rows) AS running_all FROM $rows GROUP BY participant")
 def d9_running_counts(df):
     return ledger.running_counts(df)
 
 
-JOBS = Rows("job_id string, state string, enqueued_at long, lease_until long, external_started boolean, unknown_since long", [("a", "queued", 900, 0, False, None), ("b", "queued", 600, 0, False, None), ("c", "running", 0, 1500, False, None), ("d", "running", 0, 500, True, None), ("e", "running", 0, 500, False, None), ("f", "needs_reconciliation", 0, 0, True, 300), ("g", "needs_reconciliation", 0, 0, True, 900), ("h", "settled", 0, 0, False, None)])
+JOBS = Table("SELECT CAST(o_orderkey AS STRING) AS job_id, split_part('settled,queued,cancelled,running,needs_reconciliation', ',', CAST(o_orderkey % 5 AS INT) + 1) AS state, CAST(o_custkey % 1000 AS BIGINT) AS enqueued_at, CAST(o_custkey % 2000 AS BIGINT) AS lease_until, o_custkey % 2 = 0 AS external_started, CASE WHEN o_orderkey % 5 = 4 THEN CAST(o_custkey % 1000 AS BIGINT) END AS unknown_since FROM orders")
 
 
 @query(JOBS, """SELECT job_id, CASE state WHEN 'queued' THEN CASE WHEN 1000 - enqueued_at > 300 THEN 'expired' ELSE 'fresh' END WHEN 'running' THEN CASE WHEN 1000 < lease_until THEN 'active' WHEN external_started THEN 'lease_expired' ELSE 'requeued' END
@@ -354,7 +360,7 @@ def k5_k6_k8_sweep(df):
     return ledger.sweep(df, F.lit(1000)).select("job_id", "outcome")
 
 
-QUOTES = Rows("id int, expires_at long, policy_version string, bytes long, max_bytes long, expanded_bytes long, found_mime string, mime string, found_units string, units string, found_maximum long, maximum long", [(1, 50, "p", 1, 9, 1, "a", "a", "u", "u", 1, 1), (2, 500, "p", 10, 9, 1, "a", "a", "u", "u", 1, 1), (3, 500, "p", 1, 9, 101, "a", "a", "u", "u", 1, 1), (4, 500, "p", 1, 9, 1, "b", "a", "u", "u", 1, 1), (5, 500, "p", 1, 9, 1, "a", "a", "u", "u", 2, 1), (6, 500, "p", 1, 9, 1, "a", "a", "u", "u", 1, 1), (7, 500, "old", 1, 9, 1, "a", "a", "u", "u", 1, 1)])
+QUOTES = Table("SELECT CAST(l_orderkey * 10 + l_linenumber AS INT) AS id, CAST(l_partkey % 400 AS BIGINT) AS expires_at, CASE WHEN l_suppkey % 9 = 0 THEN 'old' ELSE 'p' END AS policy_version, CAST(l_quantity AS BIGINT) AS bytes, CAST(l_suppkey % 90 + 10 AS BIGINT) AS max_bytes, CAST(l_quantity * (l_partkey % 120) AS BIGINT) AS expanded_bytes, l_returnflag AS found_mime, CASE WHEN l_linenumber = 3 THEN 'x' ELSE l_returnflag END AS mime, l_linestatus AS found_units, CASE WHEN l_linenumber = 4 THEN 'x' ELSE l_linestatus END AS units, CAST(l_partkey % 10 AS BIGINT) AS found_maximum, CAST(l_suppkey % 10 AS BIGINT) AS maximum FROM lineitem")
 
 
 @query(QUOTES, "SELECT id, CASE WHEN 100 >= expires_at OR policy_version <> 'p' THEN 'expired' WHEN bytes > max_bytes OR expanded_bytes > greatest(bytes, 1) * 100 THEN 'invalid' WHEN found_mime <> mime OR found_units <> units OR found_maximum > maximum THEN 'changed' ELSE 'ok' END AS status FROM $rows")
@@ -362,22 +368,7 @@ def k10_finalize(df):
     return ledger.finalize_status(df, F.lit(100), "p").select("id", "status")
 
 
-LOG = Rows(
-    "seq long, at long, action string, job_id string, participant string, maximum long, ocr_pages long, characters long, office_files long, fingerprint string, lease long, fence int, actual long",
-    [
-        (1, 1767300000, "reserve", "j1", "a", 1000, 1, 0, 0, "f1", 0, 0, 0),
-        (2, 1767300001, "reserve", "j1", "a", 1000, 1, 0, 0, "f1", 0, 0, 0),
-        (3, 1767300002, "reserve", "j1", "a", 1000, 2, 0, 0, "f2", 0, 0, 0),
-        (4, 1767300003, "reserve", "j2", "a", 1000, 1, 0, 0, "f3", 0, 0, 0),
-        (5, 1767300004, "claim", "j1", "a", 0, 0, 0, 0, "", 120, 0, 0),
-        (6, 1767300005, "reserve", "j3", "b", 300000, 0, 100, 0, "f4", 0, 0, 0),
-        (7, 1767300200, "claim", "j1", "a", 0, 0, 0, 0, "", 120, 0, 0),
-        (8, 1767300210, "started", "j1", "a", 0, 0, 0, 0, "", 0, 2, 0),
-        (9, 1767300220, "settle", "j1", "a", 0, 0, 0, 0, "", 0, 0, 700),
-        (10, 1767300221, "settle", "j1", "a", 0, 0, 0, 0, "", 0, 0, 700),
-        (11, 1767300222, "settle", "j1", "a", 0, 0, 0, 0, "", 0, 0, 701),
-    ],
-)
+LOG = Table("SELECT event_id AS seq, unix_seconds(CAST(ts AS TIMESTAMP)) AS at, split_part('reserve,claim,started,settle', ',', CAST(event_id % 4 AS INT) + 1) AS action, CAST(user_id AS STRING) AS job_id, CAST(user_id % 50 AS STRING) AS participant, CAST(event_id % 3000 AS BIGINT) AS maximum, CAST(event_id % 3 AS BIGINT) AS ocr_pages, CAST(0 AS BIGINT) AS characters, CAST(0 AS BIGINT) AS office_files, CAST(user_id AS STRING) AS fingerprint, CAST(120 AS BIGINT) AS lease, CAST(event_id % 3 AS INT) AS fence, CAST(event_id % 900 AS BIGINT) AS actual FROM events")
 
 
 @query(LOG)
@@ -385,7 +376,7 @@ def k2_k3_k5_ledger(df):
     return ledger.run_ledger(df)
 
 
-MATRIX = Rows("run long, engine_order int, item_order int, engine string, item string, cloud boolean, private boolean, estimate long, cost long", [(1, 0, k, "local", f"i{k}", False, k == 1, None, None) for k in range(3)] + [(1, 1, 0, "cloud", "i0", True, False, 3_000_000, 2_900_000), (1, 1, 1, "cloud", "i1", True, True, 1, None), (1, 1, 2, "cloud", "i2", True, False, 2_200_000, None), (1, 1, 3, "cloud", "i3", True, False, None, None)])
+MATRIX = Table("SELECT o_custkey % 100 AS run, CAST(o_orderkey % 2 AS INT) AS engine_order, CAST(o_orderkey % 1000 AS INT) AS item_order, CASE WHEN o_orderkey % 2 = 0 THEN 'local' ELSE 'cloud' END AS engine, CAST(o_orderkey AS STRING) AS item, o_orderkey % 2 = 1 AS cloud, o_orderkey % 7 = 0 AS private, CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_totalprice AS BIGINT) END AS estimate, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_totalprice / 2 AS BIGINT) END AS cost FROM orders")
 
 
 @query(MATRIX)
@@ -393,8 +384,7 @@ def l2_run_gates(df):
     return evaluation.run_gates(df)
 
 
-SCORED = Rows("engine string, kind string, item string, seq int, status string, cold boolean, ms double, cer double, wer double, failures int, cost_micros long", [(e, "ocr", f"i{k}", k, "error" if k == 11 and e == "b" else "skipped" if k == 10 else "ok", k == 0, 100.0 + 7 * k * (1 + (e == "b")), (0.05 if e == "a" else 0.03) * (k % 3), 0.1 * (k % 2), k % 5 == 0 and e == "a", 10 * k) for e in ("a", "b") for k in range(14)])
-SCORED.rows = [(*r[:9], int(r[9]), r[10]) for r in SCORED.rows]
+SCORED = Table("SELECT CASE WHEN l_linenumber % 2 = 1 THEN 'a' ELSE 'b' END AS engine, 'ocr' AS kind, CAST(l_orderkey AS STRING) || '-' || CAST(CAST(floor((l_linenumber + 1) / 2) AS INT) AS STRING) AS item, CAST(l_orderkey * 10 + l_linenumber AS INT) AS seq, CASE WHEN l_partkey % 31 = 0 THEN 'error' WHEN l_partkey % 37 = 0 THEN 'skipped' ELSE 'ok' END AS status, l_suppkey % 19 = 0 AS cold, l_extendedprice AS ms, l_discount AS cer, l_tax AS wer, CAST(l_partkey % 2 AS INT) AS failures, CAST(l_quantity AS BIGINT) AS cost_micros FROM lineitem")
 
 
 @query(
@@ -421,7 +411,7 @@ def l6_summary_rows(df):
     return evaluation.summary_rows(evaluation.summarize(df))
 
 
-HYBRID = Rows("doc_id long, page int, native string, recognized string", [(1, 1, "long native text of more than thirty characters", "x"), (1, 2, "short", "a longer recognised text"), (1, 3, "", None), (1, 4, "short", "tiny")])
+HYBRID = Table('SELECT doc_id, 1 AS page, substr(text, 1, CAST(doc_id % 60 AS INT)) AS native, CASE WHEN doc_id % 3 > 0 THEN substr(text, 1, 40) END AS recognized FROM documents')
 
 
 @query(HYBRID, """SELECT doc_id, page, CASE WHEN t = '' THEN 'empty' WHEN o THEN 'ocr' ELSE 'native' END AS status, CASE WHEN t = '' THEN '*Página ' || page || ' vazia.*' ELSE t END AS text
@@ -432,7 +422,7 @@ def a10_hybrid_pages(df):
     return hybrid_pages(df)
 
 
-STREAM = Rows("doc_id long, page int, seq int, y double, str string", [(1, 1, 0, 10.0, "a"), (1, 1, 1, 12.0, "b"), (1, 1, 2, 20.0, "c"), (1, 2, 0, 5.0, "d")])
+STREAM = Table("SELECT o_custkey AS doc_id, 1 AS page, CAST(o_orderkey AS INT) AS seq, CAST(o_orderkey % 50 AS DOUBLE) AS y, o_orderstatus || CAST(o_orderkey AS STRING) AS str FROM orders")
 
 
 @query(STREAM, """WITH g AS (SELECT *, y - lag(y) OVER (PARTITION BY doc_id, page ORDER BY seq) AS gap FROM $rows)
@@ -441,7 +431,7 @@ def a9_page_text(df):
     return geometry.page_text(df)
 
 
-MASKED = Rows("v string", [("Hi {name}, see https://x.y/z and %(n)s or %d",), ("nothing",), ("{{a}}{b}",)])
+MASKED = Table("SELECT text || CASE doc_id % 3 WHEN 0 THEN ' {name}, see https://x.y/z and %(n)s or %d' WHEN 1 THEN '{{a}}{b} 5%x' ELSE '' END AS v FROM documents")
 
 
 @query(MASKED, "SELECT v, len(regexp_extract_all(v, 'https?://\\S+|\\{\\{[^{}]+\\}\\}|\\{[^{}]+\\}|%\\([^)]+\\)[a-zA-Z]|%[a-zA-Z]')) AS n, true AS same FROM $rows")
@@ -450,7 +440,7 @@ def h17_placeholders(df):
     return masked.select("v", F.size("m.placeholders").cast("long").alias("n"), (segments.restore_placeholders(F.col("m.masked"), F.col("m.placeholders"))["text"] == F.col("v")).alias("same"))
 
 
-EPOCHS = Rows("at long", [(1767225599,), (1767254399,), (1767254400,), (1772323199,), (1772352000,), (1785567599,)])
+EPOCHS = Table('SELECT DISTINCT unix_seconds(CAST(ts AS TIMESTAMP)) AS at FROM events')
 
 
 @query(EPOCHS)
@@ -458,7 +448,7 @@ def g22_billing_periods(df):
     return df.select("at", dates.billing_period(F.col("at")).alias("period"), dates.billing_period_end(F.col("at")).alias("ends_at"), dates.in_guard(F.col("at")).alias("guarded"))
 
 
-SCORES = Rows("pair_id long, left_page int, right_page int, similarity double", [(1, a, b, s) for a, row in enumerate([[0.9, 0.1, 0.2], [0.1, 0.1, 0.8]], 1) for b, s in enumerate(row, 1)])
+SCORES = Table('SELECT doc_id AS pair_id, CAST(l AS INT) AS left_page, CAST(r AS INT) AS right_page, CAST(((doc_id + l * 7 + r * 3) % 11) AS DOUBLE) / 10 AS similarity FROM documents LATERAL VIEW explode(sequence(1, 4)) a AS l LATERAL VIEW explode(sequence(1, 5)) b AS r')
 
 
 @query(SCORES)
@@ -466,7 +456,7 @@ def c7_i13_aligned_pages(df):
     return geometry.aligned_pages(df)
 
 
-ALIGNED = Rows("seq int, left_page int, right_page int, left_text string, right_text string, changed_pixels long, geometry_changed boolean", [(0, 1, 1, "a", "a", 0, False), (1, 2, None, "b", None, None, None), (2, None, 2, None, "c", None, None), (3, 3, 3, "d", "e", 0, False), (4, 4, 4, "f", "f", 9, False)])
+ALIGNED = Table('SELECT CAST(l_orderkey * 10 + l_linenumber AS INT) AS seq, CASE WHEN l_linenumber <> 2 THEN CAST(l_linenumber AS INT) END AS left_page, CASE WHEN l_linenumber <> 3 THEN CAST(l_linenumber AS INT) END AS right_page, l_returnflag AS left_text, CASE WHEN l_partkey % 5 = 0 THEN l_linestatus ELSE l_returnflag END AS right_text, CASE WHEN l_partkey % 3 > 0 THEN CAST(l_suppkey % 4 AS BIGINT) END AS changed_pixels, l_partkey % 11 = 0 AS geometry_changed FROM lineitem')
 
 
 @query(ALIGNED, "SELECT seq, CASE WHEN left_page IS NULL THEN 'added' WHEN right_page IS NULL THEN 'removed' WHEN coalesce(left_text, '') <> coalesce(right_text, '') OR coalesce(changed_pixels, 0) > 0 OR coalesce(geometry_changed, false) THEN 'modified' ELSE 'unchanged' END AS status FROM $rows")
@@ -474,7 +464,7 @@ def i15_page_status(df):
     return geometry.page_status(df).select("seq", "status")
 
 
-PIXELS = Rows("page_id long, x int, y int", [(1, x, y) for x, y in ((0, 0), (1, 1), (90, 90), (91, 92), (50, 10), (54, 10))])
+PIXELS = Table('SELECT DISTINCT l_suppkey AS page_id, CAST(l_partkey % 100 AS INT) AS x, CAST(l_suppkey % 100 AS INT) AS y FROM lineitem')
 
 
 @query(PIXELS)
@@ -482,7 +472,7 @@ def i14_changed_regions(df):
     return geometry.changed_regions(df, 100, 100)
 
 
-FILES = Rows("batch_id int, size long, before long, after long", [(1, 10, 100, 60), (1, 600_000_000, 50, 50), (2, 5, 0, 0)])
+FILES = Table('SELECT CAST(o_custkey AS INT) AS batch_id, CAST(floor(o_totalprice) * 100 AS BIGINT) AS size, CAST(floor(o_totalprice) AS BIGINT) AS before, CAST(floor(o_totalprice) - o_orderkey % 700 AS BIGINT) AS after FROM orders')
 
 
 @query(FILES, "SELECT batch_id, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, count(*) > 50 OR sum(size) > 536870912 AS exceeds FROM $rows GROUP BY batch_id")
@@ -495,7 +485,7 @@ def d10_result_totals(df):
     return relational.result_totals(df)
 
 
-ANSWERS = Rows("response_id int, source_characters int, translations array<string>", [(1, 5, ["ol\u00e1"]), (2, 5, ["a", "b"]), (3, 5, ["  "]), (4, 0, [" "]), (5, 5, ["x\x07"]), (6, 5, ["y" * 30])])
+ANSWERS = Table("SELECT CAST(doc_id AS INT) AS response_id, CAST(doc_id % 7 AS INT) AS source_characters, split(CASE doc_id % 4 WHEN 0 THEN substr(text, 1, 40) WHEN 1 THEN 'a;;b' WHEN 2 THEN '   ' ELSE substr(text, 1, 15) END, ';;') AS translations FROM documents")
 
 
 @query(ANSWERS, "SELECT response_id, CASE WHEN len(translations) <> 1 THEN 'shape' WHEN regexp_matches(translations[1], '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]') THEN 'text' WHEN source_characters > 0 AND trim(translations[1]) = '' THEN 'text' WHEN length(translations[1]) > 20 THEN 'too large' END AS error FROM $rows")
@@ -503,14 +493,7 @@ def i17_translation_responses(df):
     return evaluation.normalize_translation(df, 5).select("response_id", "error")
 
 
-RECOGNIZED = Rows(
-    "response_id int, expected_pages int, text string, pages array<struct<number: int, lines: array<struct<segments: array<struct<start: int, end: int>>, confidence: double, vertices: array<struct<x: double, y: double>>>>>>",
-    [
-        (1, 1, "hello world", [(1, [([(0, 5)], 0.9, [(0.1, 0.1), (0.5, 0.1), (0.5, 0.2)]), ([(5, 6)], 0.9, []), ([(6, 11)], 0.8, [(0.0, 0.3), (1.005, 0.3), (1.0, 0.4)])])]),
-        (2, 2, "x", [(1, [([(0, 1)], 0.5, [(0.1, 0.1), (0.5, 0.1), (0.5, 0.2)])])]),
-        (3, 1, "x", [(1, [([(0, 9)], 0.5, [(0.1, 0.1), (0.5, 0.1), (0.5, 0.2)])])]),
-    ],
-)
+RECOGNIZED = Table("SELECT CAST(doc_id AS INT) AS response_id, CAST(1 + CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END AS INT) AS expected_pages, substr(text, 1, 50) AS text, array(named_struct('number', 1, 'lines', array(named_struct('segments', array(named_struct('start', 0, 'end', CAST(length(substr(text, 1, 50)) + CASE WHEN doc_id % 8 = 0 THEN 1 ELSE 0 END AS INT))), 'confidence', 0.9D, 'vertices', array(named_struct('x', 0.1D, 'y', 0.1D), named_struct('x', 0.5D, 'y', 0.1D), named_struct('x', 0.5D, 'y', 0.2D)))))) AS pages FROM documents")
 
 
 @query(RECOGNIZED)
@@ -518,7 +501,7 @@ def i16_recognition_responses(df):
     return evaluation.normalize_recognition(df).select("response_id", "page", "seq", "text", "confidence", "box.x", "box.width", "error")
 
 
-OCR = Rows("item string, reference string, output string", [("a", "Total 12 e 30", "Total 12 e 3O"), ("b", "", "x"), ("c", "a\u0301gua  boa", "\u00e1gua boa")])
+OCR = Table('SELECT CAST(doc_id AS STRING) AS item, substr(text, 1, 200) AS reference, substr(text, CAST(1 + doc_id % 3 AS INT), 200) AS output FROM documents')
 
 
 @query(OCR)
@@ -526,7 +509,7 @@ def l1_recognition_scores(df):
     return evaluation.score_recognition(df).select("item", "cer", "wer", F.array_join("numbers_missing", ",").alias("numbers"), "error")
 
 
-LETTERS = Rows("item string, source string, source_language string, output string, output_language string, names array<string>", [("a", "Ana n\u00e3o tem 3 gatos", "pt", "Ana has 3 cats", "en", ["Ana"]), ("b", "Bob has 2 dogs", "en", "Ele tem c\u00e3es", "pt", ["Bob"])])
+LETTERS = Table("SELECT CAST(doc_id AS STRING) AS item, CAST(doc_id AS STRING) || ' ' || substr(text, 1, 300) AS source, lang AS source_language, substr(text, 1, 200) AS output, 'en' AS output_language, split(lang || ',' || source, ',') AS names FROM documents")
 
 
 @query(LETTERS)
@@ -534,7 +517,7 @@ def l1_translation_scores(df):
     return evaluation.score_translation(df).select("item", F.array_join("names_missing", ",").alias("names"), F.array_join("numbers_missing", ",").alias("numbers"), "negation")
 
 
-OFFICE = Rows("item string, reference string, output string, reference_pages int, output_pages int, reference_fonts array<string>, output_fonts array<string>, reference_tables int, output_tables int", [("a", "one two", "one two", 3, 3, ["B", "A"], ["A"], 2, 1), ("b", "one two", "one", 3, 2, [], [], 0, 0)])
+OFFICE = Table("SELECT CAST(doc_id AS STRING) AS item, substr(text, 1, 200) AS reference, substr(text, 1, CAST(150 + doc_id % 60 AS INT)) AS output, CAST(doc_id % 3 AS INT) AS reference_pages, CAST(doc_id % 4 AS INT) AS output_pages, split(lang || ',' || source, ',') AS reference_fonts, split(lang, ',') AS output_fonts, CAST(doc_id % 5 AS INT) AS reference_tables, CAST(doc_id % 2 AS INT) AS output_tables FROM documents")
 
 
 @query(OFFICE)

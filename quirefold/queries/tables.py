@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..operators import evaluation, geometry, ledger, relational
-from .common import Rows, load
+from .common import Table, load
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -48,9 +48,10 @@ def c1_lineage_edges_by_tool(spark, sf_dir):
     return edges.groupBy("tool_id").agg(F.count("*").alias("edges"))
 
 
-@query("SELECT c_custkey AS hash FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS hash FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 9 = 0)")
 def c2_orphan_blobs(spark, sf_dir):
-    return relational.orphan_blobs(load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("hash")), load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("hash")))
+    used = load(spark, sf_dir, "orders").filter("o_orderkey % 9 = 0")  # some artifacts of every document are gone
+    return relational.orphan_blobs(load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("hash")), used.select(F.col("o_custkey").alias("hash")))
 
 
 @query("SELECT c_custkey AS hash FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -240,12 +241,17 @@ def g22_months_in_utc(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", dates.billing_period(F.col("at"), "UTC").alias("month"))
 
 
-COMMANDS = Rows("doc_id long, seq long, kind string", [(1, 1, "edit"), (1, 2, "edit"), (1, 3, "undo"), (1, 4, "redo"), (1, 5, "undo"), (1, 6, "edit"), (1, 7, "redo"), (2, 1, "undo")])
+#: Events as commands of their users' documents.
+COMMANDS = Table("SELECT user_id AS doc_id, event_id AS seq, CASE event_id % 5 WHEN 3 THEN 'undo' WHEN 4 THEN 'redo' WHEN 2 THEN 'undo' ELSE 'edit' END AS kind FROM events")
 
 
-@query("SELECT * FROM (VALUES (1, 1, 1), (1, 2, 2), (1, 3, 1), (1, 4, 2), (1, 5, 1), (1, 6, 6), (1, 7, 6), (2, 1, NULL)) AS t(doc_id, seq, state)")
+@query(f"""WITH RECURSIVE c AS (SELECT doc_id, seq, kind, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS k FROM {COMMANDS.sql}),
+r AS (SELECT doc_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, CAST([] AS BIGINT[]) AS done, CAST([] AS BIGINT[]) AS undone FROM c WHERE k = 1
+UNION ALL SELECT c.doc_id, c.k, c.seq, CASE WHEN kind = 'edit' THEN list_append(done, c.seq) WHEN kind = 'undo' THEN list_slice(done, 1, len(done) - 1) WHEN len(undone) > 0 THEN list_append(done, undone[len(undone)]) ELSE done END,
+ CASE WHEN kind = 'edit' THEN CAST([] AS BIGINT[]) WHEN kind = 'undo' THEN CASE WHEN len(done) > 0 THEN list_append(undone, done[len(done)]) ELSE undone END ELSE list_slice(undone, 1, len(undone) - 1) END FROM r JOIN c ON c.doc_id = r.doc_id AND c.k = r.k + 1)
+SELECT doc_id, seq, CASE WHEN len(done) > 0 THEN done[len(done)] END AS state FROM r WHERE k > 0""")
 def m_command_history(spark, sf_dir):
-    return relational.command_history(COMMANDS.frame(spark)).select(*(F.col(c).cast("int").alias(c) for c in ("doc_id", "seq", "state")))
+    return relational.command_history(COMMANDS.frame(spark, sf_dir)).select("doc_id", "seq", F.col("state").cast("long").alias("state"))
 
 
 @query("SELECT page_id, octet_length(encode(html)) AS size, sha256(html) AS hash FROM pages")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import diff, extraction, geometry, html_blocks, review, segments
-from .common import Rows, load
+from .common import Table, load
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -44,31 +45,22 @@ def g5_g6_tokens(spark, sf_dir):
     return docs.select("doc_id", text.count_words(F.col("text")).alias("counted"), F.size(text.tokens(F.col("text"))).alias("tokens"))
 
 
-CONTRACT = Rows(
-    "doc_id long, text string",
-    [
-        (1, "Contratante: Ana Souza; CPF 529.982.247-25 e 52998224726.\nValor: R$ 1.234,56 ou 10,00 reais, USD 99. CEP 01310-100"),
-        (2, "CNPJ 11.222.333/0001-81; Fone = (11) 98765-4321. Em 31/12/2024 e 5 de março de 2023. Mail: A.b@X.com.br, a.b@x.com.br"),
-        (3, "sem nada"),
-    ],
-)
+_FOUND = {
+    "cpf": r"\b[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]{2}\b|\b[0-9]{11}\b",
+    "cnpj": r"\b[0-9]{2}\.[0-9]{3}\.[0-9]{3}/[0-9]{4}-[0-9]{2}\b|\b[0-9]{14}\b",
+    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
+    "cep": r"\b[0-9]{5}-[0-9]{3}\b",
+    "date": r"(?i)\b[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{4}\b|\b[0-9]{1,2}\s+de\s+(?:janeiro|fevereiro|março|marco|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro)\s+de\s+[0-9]{4}\b",
+    "money": r"(?i)(?:(?:R\$|\$|€|USD|EUR|BRL)\s*(?:[0-9]{1,3}(?:\.[0-9]{3})*|[0-9]+)(?:,[0-9]{2})?)|(?:(?:[0-9]{1,3}(?:\.[0-9]{3})*|[0-9]+),[0-9]{2}\s*(?:reais|dólares|dolares|euros))",
+}
+_ENTITIES = " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, trim({'lower' if c == 'email' else ''}(unnest(regexp_extract_all(text, '{p}')))) AS value FROM $docs" for c, p in _FOUND.items())
+#: Documents with a line of personal data and amounts, so that every category occurs.
+RECORDS = Table("SELECT doc_id, text || '\nContratante: Ana Souza; CPF ' || lpad(CAST(doc_id * 7919 AS STRING), 11, '0') || '. Valor: R$ 1.' || lpad(CAST(doc_id % 1000 AS STRING), 3, '0') || ',56 ou ' || CAST(doc_id AS STRING) || ',00 reais. CEP 01310-' || lpad(CAST(doc_id % 1000 AS STRING), 3, '0') || '. Em ' || CAST(1 + doc_id % 28 AS STRING) || '/12/2024 e 5 de maio de 2023; Mail: A.b' || CAST(doc_id AS STRING) || '@X.com.br' AS text FROM documents")
 
 
-@query(
-    f"""WITH d AS (SELECT * FROM {CONTRACT.sql}),
-m AS (SELECT doc_id, 'cpf' AS category, unnest(regexp_extract_all(text, '\\b[0-9]{{3}}\\.[0-9]{{3}}\\.[0-9]{{3}}-[0-9]{{2}}\\b|\\b[0-9]{{11}}\\b')) AS value FROM d
-UNION ALL SELECT doc_id, 'cnpj', unnest(regexp_extract_all(text, '\\b[0-9]{{2}}\\.[0-9]{{3}}\\.[0-9]{{3}}/[0-9]{{4}}-[0-9]{{2}}\\b|\\b[0-9]{{14}}\\b')) FROM d
-UNION ALL SELECT doc_id, 'email', lower(unnest(regexp_extract_all(text, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{{2,}}\\b'))) FROM d
-UNION ALL SELECT doc_id, 'cep', unnest(regexp_extract_all(text, '\\b[0-9]{{5}}-[0-9]{{3}}\\b')) FROM d
-UNION ALL SELECT doc_id, 'date', unnest(regexp_extract_all(text, '(?i)\\b[0-9]{{1,2}}[/.-][0-9]{{1,2}}[/.-][0-9]{{4}}\\b|\\b[0-9]{{1,2}}\\s+de\\s+(?:janeiro|fevereiro|março|marco|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro)\\s+de\\s+[0-9]{{4}}\\b')) FROM d
-UNION ALL SELECT doc_id, 'money', trim(unnest(regexp_extract_all(text, '(?i)(?:(?:R\\$|\\$|€|USD|EUR|BRL)\\s*(?:[0-9]{{1,3}}(?:\\.[0-9]{{3}})*|[0-9]+)(?:,[0-9]{{2}})?)|(?:(?:[0-9]{{1,3}}(?:\\.[0-9]{{3}})*|[0-9]+),[0-9]{{2}}\\s*(?:reais|dólares|dolares|euros))'))) FROM d)
-SELECT doc_id, category, value, count(*) AS count FROM m GROUP BY doc_id, category, value"""
-)
+@query("SELECT doc_id, category, value, count(*) AS count FROM (" + _ENTITIES.replace("$docs", RECORDS.sql) + ") GROUP BY doc_id, category, value")
 def h1_contract_entities(spark, sf_dir):
-    return extraction.extract_entities(CONTRACT.frame(spark)).filter("category <> 'phone'").select("doc_id", "category", "value", "count")
-
-
-_BOUNDED = r"regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]+', 'é', 'g'), '(?:^|[^A-Za-z0-9_é])([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,})', 1)"
+    return extraction.extract_entities(RECORDS.frame(spark, sf_dir)).filter("category <> 'phone'").select("doc_id", "category", "value", "count")
 
 
 @query()
@@ -76,11 +68,10 @@ def h1_entities(spark, sf_dir):
     return extraction.extract_entities(load(spark, sf_dir, "documents"))
 
 
-@query("SELECT category, count(*) AS n FROM (SELECT 'email' AS category FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) GROUP BY category")
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')")
 def i18_documents_with_email(spark, sf_dir):
     pages = load(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), "text")
-    found = geometry.sensitive_matches(pages, geometry.PRESETS["email"])
-    return found.select("doc_id").distinct().agg(F.count("*").alias("n")).select(F.lit("email").alias("category"), "n")
+    return geometry.sensitive_matches(pages, geometry.PRESETS["email"]).select("doc_id").distinct()
 
 
 @query("SELECT doc_id, start - 1 AS start, start + 2 AS stop FROM (SELECT doc_id, instr(lower(text), 'and') AS start FROM documents) WHERE start > 0")
@@ -101,30 +92,34 @@ def d7_word_counts(spark, sf_dir):
     return load(spark, sf_dir, "documents").select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-OUTLINE = Rows("doc_id long, text string", [(1, "INTRODUÇÃO\n1. Um\n1.1 Dois\n1.1.1. Três\nA. Letra\nI. Romano\nII. Outro\nCapítulo 2\n# Marca\ntexto comum\na) item"), (2, "Tabela 1:\n| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | |\n\nfim")])
+#: Documents under headings and above a table of their own.
+OUTLINES = Table(
+    "SELECT doc_id, 'INTRODUÇÃO ' || upper(lang) || '\n1. Um\n1.1 Dois\nA. Letra ' || CAST(doc_id AS STRING) || '\nI. Romano\nII. Outro\nCapítulo ' || CAST(doc_id AS STRING) || '\n# Marca\n' || text || '\nTabela ' || CAST(doc_id AS STRING) || ':\n| a | b' || CAST(doc_id % 7 AS STRING) || ' |\n|---|---|\n| 1 | 2 |\n| ' || CAST(doc_id AS STRING) || ' | |\n\nfim' AS text FROM documents"
+)
 
 
 @query()
 def h4_sections(spark, sf_dir):
-    return extraction.extract_sections(OUTLINE.frame(spark))
+    return extraction.extract_sections(OUTLINES.frame(spark, sf_dir))
 
 
-@query(f"""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM {OUTLINE.sql})
-SELECT line, CAST(CASE WHEN regexp_matches(line, '^#{{1,6}}\\s') THEN length(regexp_extract(line, '^#+')) WHEN regexp_matches(line, '^(?i:Capítulo|Seção|Item|Parte|Anexo)\\s+[0-9A-Za-z]') THEN 2 WHEN upper(line) = line AND lower(line) <> line AND length(line) BETWEEN 3 AND 60 AND line NOT LIKE '%.' THEN 1
- WHEN regexp_matches(line, '^[0-9]+(\\.[0-9]+)*\\.?(\\s|$)') THEN least(6, length(regexp_extract(line, '^[0-9]+(?:\\.[0-9]+)*')) - length(replace(regexp_extract(line, '^[0-9]+(?:\\.[0-9]+)*'), '.', '')) + 2) END AS INT) AS level FROM l WHERE line <> '' AND doc_id = 1""")
+@query(rf"""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM {OUTLINES.sql})
+SELECT doc_id, line, CAST(CASE WHEN regexp_matches(line, '^#{{1,6}}\s') THEN length(regexp_extract(line, '^#+')) WHEN length(line) > 160 THEN NULL WHEN regexp_matches(line, '^(?i:Capítulo|Capitulo|Seção|Secao|Parte|Unidade|Módulo|Modulo|Tópico|Topico|Item|Artigo|Art\.|Cláusula|Clausula|Apêndice|Apendice|Anexo)\s+[0-9A-Za-zº°ª.-]') THEN 2 WHEN upper(line) = line AND lower(line) <> line AND length(line) BETWEEN 3 AND 60 AND line NOT LIKE '%.' THEN 1
+ WHEN regexp_matches(line, '^[0-9]+(\.[0-9]+)*\.?(\s|$)') THEN least(6, length(regexp_extract(line, '^[0-9]+(?:\.[0-9]+)*')) - length(replace(regexp_extract(line, '^[0-9]+(?:\.[0-9]+)*'), '.', '')) + 2) END AS INT) AS level FROM l WHERE line <> ''""")
 def h4_levels_of_single_lines(spark, sf_dir):
-    lines = OUTLINE.frame(spark).filter("doc_id = 1").select(F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
+    lines = OUTLINES.frame(spark, sf_dir).select("doc_id", F.explode(F.transform(F.split("text", "\n"), lambda x: F.trim(x))).alias("line")).filter("line <> ''")
     return extraction.outline_levels(lines)
 
 
-@query()
+@query("SELECT doc_id, 'Tabela ' || doc_id AS title, 'a|b' || doc_id % 7 AS headers, '1,2;' || doc_id || ',' AS cells FROM documents")
 def h3_tables(spark, sf_dir):
-    return extraction.extract_tables(OUTLINE.frame(spark)).select("doc_id", "title", F.array_join("headers", "|").alias("headers"), F.size("rows").alias("n_rows"))
+    cells = F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), ";")
+    return extraction.extract_tables(OUTLINES.frame(spark, sf_dir)).select("doc_id", "title", F.array_join("headers", "|").alias("headers"), cells.alias("cells"))
 
 
 @query()
 def h5_structured_markdown(spark, sf_dir):
-    docs = OUTLINE.frame(spark)
+    docs = OUTLINES.frame(spark, sf_dir)
     return extraction.structured_markdown(docs, extraction.extract_sections(docs))
 
 
@@ -134,15 +129,19 @@ def h6_extract_information(spark, sf_dir):
     return found.select("doc_id", "mode", "metrics.words", "language", F.size("entities").alias("n_entities"), F.size("key_values").alias("n_key_values"), F.size("sections").alias("n_sections"))
 
 
+def _revisions(spark, sf_dir):
+    """doc_id, original, modified: each document and the next one of its source. Only ids are ordered; texts join by id."""
+    docs = load(spark, sf_dir, "documents")
+    order = Window.partitionBy("source").orderBy("doc_id")
+    follows = docs.select("doc_id", F.lead("doc_id").over(order).alias("next_id")).filter("next_id IS NOT NULL")
+    after = docs.select(F.col("doc_id").alias("next_id"), F.col("text").alias("modified"))
+    return docs.select("doc_id", F.col("text").alias("original")).join(follows, "doc_id").join(after, "next_id").select("doc_id", "original", "modified")
+
+
 @query()
 def h7_h9_diff_stats(spark, sf_dir):
     """Each document against the next one of its source, as consecutive revisions."""
-    from pyspark.sql import Window
-
-    docs = load(spark, sf_dir, "documents")
-    order = Window.partitionBy("source").orderBy("doc_id")
-    pairs = docs.select(F.col("doc_id").alias("pair_id"), "text", F.lead("text").over(order).alias("modified")).filter(F.col("modified").isNotNull())
-    return diff.diff_stats(pairs.withColumnRenamed("text", "original"))
+    return diff.diff_stats(_revisions(spark, sf_dir).withColumnRenamed("doc_id", "pair_id"))
 
 
 @query()
@@ -150,26 +149,40 @@ def h10_review_findings(spark, sf_dir):
     return review.review(load(spark, sf_dir, "documents")).groupBy("category", "severity").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
-FINDINGS = Rows("doc_id long, start int, end int, original string, replacement string", [(1, 0, 3, "nao", "não"), (1, 8, 10, "  ", " "), (2, 0, 2, "ab", "x"), (3, 1, 3, "zz", "y")])
-REVIEWED = Rows("doc_id long, text string", [(1, "nao sei,  bem"), (2, "abc"), (3, "abc"), (4, "untouched")])
-GUARDED = Rows("doc_id long, start int, end int", [(1, 2, 5), (2, 2, 4), (9, 0, 99)])
+#: The first " the " of each document as a finding, and the first " of ", which may be stale or overlap it.
+FINDINGS = Table("SELECT doc_id, CAST(instr(text, ' the ') - 1 AS INT) AS start, CAST(instr(text, ' the ') + 4 AS INT) AS stop, ' the ' AS original, ' THE ' AS replacement FROM documents WHERE instr(text, ' the ') > 0")
+SECOND = Table(
+    "SELECT doc_id, CAST(instr(text, ' of ') - 3 - doc_id % 3 AS INT) AS start, CAST(instr(text, ' of ') + 2 AS INT) AS stop, substr(text, CAST(instr(text, ' of ') - 2 - doc_id % 3 AS INT), CAST(5 + doc_id % 3 AS INT)) AS original, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE ' OF ' END AS replacement FROM documents WHERE instr(text, ' of ') > 6"
+)
+GUARDED = Table("SELECT doc_id, CAST(doc_id % 400 AS INT) AS start, CAST(doc_id % 400 + 200 AS INT) AS stop FROM documents")
 
 
-@query(f"""WITH f AS (SELECT * FROM {FINDINGS.sql}), p AS (SELECT doc_id AS d, start AS s, "end" AS e FROM (SELECT * FROM {GUARDED.sql.replace('end)', '"end")')}))
-SELECT doc_id, start, "end" FROM f WHERE NOT EXISTS (SELECT 1 FROM p WHERE d = doc_id AND start < e AND "end" > s)""".replace("start, end, original", 'start, "end", original'))
-def c4_findings_outside_spans(spark, sf_dir):
-    return review.outside_spans(FINDINGS.frame(spark), GUARDED.frame(spark)).select("doc_id", "start", "end")
+def _findings(table, spark, sf_dir):
+    return table.frame(spark, sf_dir).withColumnRenamed("stop", "end")
 
 
-@query("SELECT * FROM (VALUES (1, 'não sei, bem', NULL), (2, 'xc', NULL), (3, NULL, 'stale or overlapping finding'), (4, 'untouched', NULL)) AS t(doc_id, text, error)")
-def h12_applied_findings(spark, sf_dir):
-    return review.apply_findings(REVIEWED.frame(spark), FINDINGS.frame(spark)).select(F.col("doc_id").cast("int").alias("doc_id"), "text", "error")
+@query(f"SELECT doc_id, start, stop FROM {FINDINGS.sql} WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id AS d, start AS s, stop AS e FROM {GUARDED.sql}) WHERE d = doc_id AND start < e AND stop > s)")
+def c4_findings_outside_spans(spark, sf_dir):
+    return review.outside_spans(_findings(FINDINGS, spark, sf_dir), _findings(GUARDED, spark, sf_dir)).select("doc_id", "start", F.col("end").alias("stop"))
 
 
-@query()
+@query(f"""WITH f AS (SELECT * FROM {FINDINGS.sql}), s AS (SELECT * FROM {SECOND.sql})
+SELECT doc_id, start, stop, replacement FROM f UNION ALL SELECT doc_id, start, stop, replacement FROM s WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = s.doc_id AND f.start < s.stop AND f.stop > s.start)""")
 def h11_merged_findings(spark, sf_dir):
-    f = FINDINGS.frame(spark)
-    return review.merge_findings(f, f.withColumn("start", F.col("start") + 1).withColumn("end", F.col("end") + 3))
+    found = review.merge_findings(_findings(FINDINGS, spark, sf_dir), _findings(SECOND, spark, sf_dir))
+    return found.select("doc_id", "start", F.col("end").alias("stop"), "replacement")
+
+
+@query(f"""WITH f AS (SELECT * FROM {FINDINGS.sql} UNION ALL SELECT * FROM {SECOND.sql}),
+o AS (SELECT doc_id, start, stop, replacement, lead(start) OVER (PARTITION BY doc_id ORDER BY start, stop) < stop AS hits FROM f),
+e AS (SELECT doc_id, bool_or(coalesce(hits, false)) AS bad FROM o GROUP BY doc_id),
+x AS (SELECT doc_id, min(start) AS s1, arg_min(stop, start) AS e1, arg_min(replacement, start) AS r1, count(*) AS n, max(start) AS s2, arg_max(stop, start) AS e2, arg_max(replacement, start) AS r2 FROM f GROUP BY doc_id),
+p AS (SELECT d.doc_id, d.text, coalesce(e.bad, false) AS bad, s1, e1, r1, CASE WHEN n > 1 THEN s2 END AS s2, e2, r2 FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id LEFT JOIN x ON x.doc_id = d.doc_id)
+SELECT doc_id, CASE WHEN bad THEN NULL WHEN s1 IS NULL THEN md5(text) WHEN s2 IS NULL THEN md5(substr(text, 1, s1) || r1 || substr(text, e1 + 1)) ELSE md5(substr(text, 1, s1) || r1 || substr(text, e1 + 1, s2 - e1) || r2 || substr(text, e2 + 1)) END AS result,
+ CASE WHEN bad THEN 'stale or overlapping finding' END AS error FROM p""")
+def h12_applied_findings(spark, sf_dir):
+    found = _findings(FINDINGS, spark, sf_dir).unionByName(_findings(SECOND, spark, sf_dir))
+    return review.apply_findings(load(spark, sf_dir, "documents"), found).select("doc_id", F.md5(F.col("text").cast("binary")).alias("result"), "error")
 
 
 @query(
@@ -254,23 +267,24 @@ def h23_page_blocks(spark, sf_dir):
     return blocks.groupBy("page_id").agg(F.count_if(F.col("kind") == "heading").alias("headings"), F.count_if(F.col("kind") == "item").alias("items"))
 
 
-@query("SELECT page_id, contains(html, 'onclick') AS handlers, false AS scripts FROM pages")
+#: Pages with handlers, scripts and script addresses put into them.
+_HOSTILE = """replace(replace(html, '<p>', '<p onclick="go()" onmouseover=''x''>'), '<li>', '<li><script>steal()</script>')"""
+
+
+@query("SELECT page_id, false AS handlers, false AS scripts, CAST(len(regexp_extract_all(html, '<p>')) AS INT) AS paragraphs, CAST(len(regexp_extract_all(html, '<li>')) AS INT) AS items FROM pages")
 def h24_sanitized_pages(spark, sf_dir):
-    clean = html_blocks.sanitized(F.col("html"))
-    return load(spark, sf_dir, "pages").select("page_id", F.contains(clean, F.lit("onclick")).alias("handlers"), clean.rlike("(?i)<script").alias("scripts"))
+    clean = load(spark, sf_dir, "pages").select("page_id", html_blocks.sanitized(F.expr(_HOSTILE)).alias("clean"))
+    count = lambda tag: F.regexp_count("clean", F.lit(tag))
+    return clean.select("page_id", F.col("clean").rlike("(?i)onclick|onmouseover|go\\(\\)").alias("handlers"), F.col("clean").rlike(r"(?i)<script|steal\(").alias("scripts"), count("<p[ >]").alias("paragraphs"), count("<li>").alias("items"))
 
 
 @query(
     r"""WITH p AS (SELECT doc_id, text AS a, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents),
-w AS (SELECT doc_id, a = b AS same, a <> '' AND b <> '' AS both, list_distinct(regexp_extract_all(lower(a), '[\p{L}\p{M}\p{N}]+')) AS x, list_distinct(regexp_extract_all(lower(b), '[\p{L}\p{M}\p{N}]+')) AS y FROM p WHERE b IS NOT NULL)
-SELECT doc_id, round(CASE WHEN both AND same THEN 1.0 WHEN both THEN 0.85 * CASE WHEN len(x) + len(y) - len(list_intersect(x, y)) > 0 THEN len(list_intersect(x, y)) / CAST(len(x) + len(y) - len(list_intersect(x, y)) AS DOUBLE) ELSE 0 END + 0.15 ELSE 1.0 END, 9) AS similarity FROM w"""
+w AS (SELECT doc_id, a = b AS same, a <> '' AND b <> '' AS filled, list_distinct(regexp_extract_all(lower(a), '[\p{L}\p{M}\p{N}]+')) AS x, list_distinct(regexp_extract_all(lower(b), '[\p{L}\p{M}\p{N}]+')) AS y FROM p WHERE b IS NOT NULL)
+SELECT doc_id, round(CASE WHEN filled AND same THEN 1.0 WHEN filled THEN 0.85 * CASE WHEN len(x) + len(y) - len(list_intersect(x, y)) > 0 THEN len(list_intersect(x, y)) / CAST(len(x) + len(y) - len(list_intersect(x, y)) AS DOUBLE) ELSE 0 END + 0.15 ELSE 1.0 END, 9) AS similarity FROM w"""
 )
 def d12_i12_page_similarity(spark, sf_dir):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("source").orderBy("doc_id")
-    pairs = load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"), F.lead("text").over(order).alias("b")).filter(F.col("b").isNotNull())
-    return pairs.select("doc_id", F.round(geometry.page_similarity(F.col("a"), F.col("b"), F.lit(1.0)), 9).alias("similarity"))
+    return _revisions(spark, sf_dir).select("doc_id", F.round(geometry.page_similarity(F.col("original"), F.col("modified"), F.lit(1.0)), 9).alias("similarity"))
 
 
 @query()

@@ -1,8 +1,10 @@
 from quirefold.queries import scalars
 
+from .test_examples import EXAMPLES
+
 
 def rows(spark, name):
-    return scalars.QUERIES[name](spark, "")
+    return scalars.FUNCTIONS[name][0](EXAMPLES[name].frame(spark))
 
 
 def test_ledger_log(spark):
