@@ -70,7 +70,7 @@ class Rule:
     pattern: re.Pattern
     correct: Callable[[re.Match], str]
     suggest: Callable[[re.Match], list[str]]
-    head: str = ""  # letters that every match starts with, case-folded; a text without them needn't be searched
+    heads: frozenset[str] = frozenset([""])  # every match starts with one of them, case-folded; a text without any needn't be searched
 
 
 def _filled(template: str, match: re.Match, table: dict[str, str] | None) -> str:
@@ -96,13 +96,42 @@ def _corrector(correction: str | tuple[str, dict[str, str]]) -> Callable[[re.Mat
     return correct
 
 
-def _head(pattern: str) -> str:
-    letters = ""
-    for op, value in parser.parse(pattern):
-        if str(op) != "LITERAL":
-            break
-        letters += chr(value)
-    return letters.casefold()
+#: Openings of a pattern that are told apart, at most.
+HEADS = 24
+
+
+def _openings(sequence) -> tuple[set[str], bool]:
+    """Strings one of which any match begins with, and whether they are all that the pattern says."""
+    heads = {""}
+    for op, value in sequence:
+        name, whole = str(op), True
+        if name == "LITERAL":
+            more = {chr(value)}
+        elif name == "IN" and all(str(o) == "LITERAL" for o, _ in value):
+            more = {chr(v) for _, v in value}
+        elif name == "SUBPATTERN":
+            more, whole = _openings(value[3])
+        elif name == "BRANCH":
+            parts = [_openings(branch) for branch in value[1]]
+            more, whole = set().union(*(p[0] for p in parts)), all(p[1] for p in parts)
+        elif name == "MAX_REPEAT" and value[0] == 0 and int(value[1]) == 1:
+            more, whole = _openings(value[2])
+            more = more | {""}
+        elif name == "AT":
+            continue
+        else:
+            return heads, False
+        if len(heads) * len(more) > HEADS:
+            return heads, False
+        heads = {h + m for h in heads for m in more}
+        if not whole:
+            return heads, False
+    return heads, True
+
+
+def _heads(pattern: str) -> frozenset[str]:
+    found = {h.casefold() for h in _openings(parser.parse(pattern))[0]}
+    return frozenset(h for h in found if not any(h != x and h.startswith(x) for x in found))
 
 
 def _rules() -> list[Rule]:
@@ -115,7 +144,7 @@ def _rules() -> list[Rule]:
             only = category == "STYLE_SUGGESTION" and len(more) > 1
             suggest = (lambda m, more=more: [f(m) for f in more]) if only else (lambda m, first=correct, more=more: [first(m), *(f(m) for f in more)])
             closed = pattern if "(?=" in pattern else rf"{pattern}(?!{INNER})"
-            out.append(Rule(category, level, re.compile(rf"(?<!{INNER}){closed}", re.I), correct, suggest, _head(pattern)))
+            out.append(Rule(category, level, re.compile(rf"(?<!{INNER}){closed}", re.I), correct, suggest, _heads(pattern)))
     for category, pattern, text in (("SPACE_BEFORE_PUNCTUATION", r"[ \t]+(?=[,.;:!?])", ""), ("TRAILING_WHITESPACE", r"(?m)[ \t]+(?=\r?$)", ""), ("REPEATED_WHITESPACE", r"[ \t]{2,}", " ")):
         out.append(Rule(category, "suggestion", re.compile(pattern), lambda m, t=text: t, lambda m, t=text: [t]))
     return out
@@ -159,7 +188,7 @@ def review_text(text: str | None) -> list[tuple]:
     starts = [s for s, _ in guarded]
     taken, out, folded = Taken(), [], text.casefold()
     for rule in RULES:
-        if rule.head not in folded:
+        if not any(head in folded for head in rule.heads):
             continue
         for m in rule.pattern.finditer(text):
             s, e = m.span()
