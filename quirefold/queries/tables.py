@@ -266,3 +266,27 @@ def a2_imported_bytes(spark, sf_dir):
 def a15_b10_json_report(spark, sf_dir):
     rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("chars"))
     return rows.select("conv_id", "turn", F.to_json(F.struct("role", "chars")).alias("value"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(text, '\\r\\n?', chr(10), 'g') || chr(10) || 'a' || doc_id || chr(9) || 'b') AS text, 1 AS tables, 'Heading1' AS style FROM documents")
+def a5_a8_docx_round_trip(spark, sf_dir):
+    """Documents as a heading and a table in DOCX, read again."""
+    from ..sources.docx import read_docx, write_docx
+
+    cells = F.array(F.array(F.concat(F.lit("a"), F.col("doc_id").cast("string")), F.lit("b")))
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.array(F.struct("text", F.lit("Heading1").alias("style"))).alias("paragraphs"), F.array(cells).alias("tables"))
+    files = write_docx(docs).select(F.col("doc_id").cast("string").alias("path"), "content")
+    return read_docx(files).select(F.col("path").cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("text"), F.size("tables").alias("tables"), F.col("paragraphs")[0]["style"].alias("style"))
+
+
+@query("""WITH c AS (SELECT conv_id AS doc_id, turn, unnest(['R$ ' || turn || ',50', role, CAST(length(text) AS VARCHAR)]) AS text, unnest(['A', 'B', 'C']) AS col FROM conversations)
+SELECT doc_id, 1 AS sheet, CAST(row_number() OVER (PARTITION BY doc_id, col ORDER BY turn) AS INT) AS row, col || row_number() OVER (PARTITION BY doc_id, col ORDER BY turn) AS cell, CASE col WHEN 'A' THEN turn + 0.5 WHEN 'C' THEN CAST(text AS DOUBLE) END AS number, CASE col WHEN 'B' THEN text END AS text FROM c""")
+def a14_workbook_round_trip(spark, sf_dir):
+    """Conversations as typed tables in XLSX, read again."""
+    from ..sources.sinks import typed_rows
+    from ..sources.workbooks import read_workbooks, write_workbooks
+
+    turns = load(spark, sf_dir, "conversations")
+    cells = F.array(F.concat(F.lit("R$ "), F.col("turn").cast("string"), F.lit(",50")), F.col("role"), F.length("text").cast("string"))
+    rows = turns.select(F.col("conv_id").alias("doc_id"), F.lit(1).alias("page"), F.col("turn").cast("int").alias("row"), cells.alias("cells"))
+    return read_workbooks(write_workbooks(typed_rows(rows)))
