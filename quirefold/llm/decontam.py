@@ -9,9 +9,13 @@ similarity: the share of the item's five-word shingles, with multiplicity, that
 Words are compared in lower case without ASCII punctuation, so a passage glued to marks or put in capitals is found.
 
 The items are read in chunks of ITEM_CHUNK, each a table of bounded size shipped to the tasks and one pass over the
-documents, so a benchmark of any size will do. Null or empty texts and items: no rows. Items under five words: their
-shingles are as long as they are. Repeated documents and items: a row each. Empty tables: an empty result. Rows are
-dropped (clean_only) by their own text alone, so null and repeated ids take no clean row along.
+documents: blocks of a stated query set against all rows, so a benchmark of any size will do.
+
+Null or empty texts and items: no rows. Items under five words: their shingles are as long as they are. Very long texts:
+whole, window by window. Null doc_id or item_id: returned as null. Repeated documents and items: a row each. Ties for an
+item's best window in a document: the first. Extra columns: ignored by contaminated(), kept by clean_only(), whatever
+their names. Empty tables: an empty result. Rows are dropped (clean_only) by their own text alone, so null and repeated
+ids take no clean row along.
 """
 
 from __future__ import annotations
@@ -34,7 +38,8 @@ RADIUS = 14
 BLOCKS = 4
 BITS = 16  # of a block
 LADDER = 1.15
-ITEM_CHUNK = 1000
+#: Items in one pass: their index takes about 60 MB of a Python worker.
+ITEM_CHUNK = 4000
 #: Words that are looked at together, so that their bit counts stay in the cache.
 PIECE = 16384
 MARKS = string.punctuation.encode()
@@ -104,7 +109,7 @@ class ItemIndex:
             keys = (part[:, None] ^ flips[None, :]).ravel()
             owner = np.repeat(np.arange(len(prints)), len(flips))
             order = np.argsort(keys, kind="stable")
-            self.tables.append((np.searchsorted(keys[order], np.arange((1 << BITS) + 1)), owner[order]))
+            self.tables.append((np.searchsorted(keys[order], np.arange((1 << BITS) + 1)).astype(np.int32), owner[order].astype(np.int32)))
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indexes into prints and item numbers of all pairs within RADIUS."""

@@ -70,3 +70,22 @@ def test_run_matches_brute_force(spark, tmp_path):
     targets = poured(sizes)
     assert sorted((r["doc_id"], r["size"], r["source_size"]) for r in got) == sorted((d, len(WORD.findall(t)), sizes[s]) for d, t, s in left)
     assert all(abs(r["target"] - targets[r["source"]]) < 1e-6 * targets[r["source"]] + 1e-6 and r["taken"] <= 3 * r["size"] for r in got)
+
+
+def test_odd_tables(spark, tmp_path):
+    """Null and repeated ids, null texts, repeated rows and clashing columns; and a table without rows."""
+    rng = random.Random(12)
+    wide = SCHEMA + ", row string, did long, th long, uid string, spans string, failed long, n_words long, __ledger int"
+    text = [noise(rng, 80) for _ in range(4)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (1, text[2]), (1, text[3]), (2, None), (3, ""), (None, None), (4, text[3] + " more")]
+    full = [(d, t, "en", "s", len(t or ""), "r", 1, 2, "u", "x", 3, 4, 5) for d, t in rows]
+    for name, some in (("full", full), ("empty", [])):
+        spark.createDataFrame(some, wide).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, noise(rng, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for step, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, f"{tmp_path}/{name}")
+            assert docs.columns == [c.split()[0] for c in wide.split(", ")], step
+        kept = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str)
+        assert kept == ([] if not some else sorted([(None, text[0]), (None, text[1]), (1, text[2]), (1, text[3])], key=str))
+        assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").count() == len(kept)

@@ -48,7 +48,7 @@ def test_decontamination_drops_rows_and_not_ids(spark, docs_of, monkeypatch):
     bad = [(d, noise(rng, 40) + " " + items[k][1] + " " + noise(rng, 40)) for k, d in enumerate([None, 7, None, 8, 9])]
     clean = [(d, noise(rng, 100)) for d in [None, None, 7, 7, 8, 10]] + [(None, None), (11, "")]
     table = spark.createDataFrame(items, "item_id long, text string")
-    for chunk in (1000, 2):
+    for chunk in (4000, 2):
         monkeypatch.setattr(decontam, "ITEM_CHUNK", chunk)
         out = decontam.clean_only(docs_of(bad + clean), table)
         assert out.schema == docs_of([]).schema
