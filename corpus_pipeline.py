@@ -2,6 +2,11 @@
 
 Each stage reads what its predecessor wrote as Parquet. Quality, near-dedup and decontamination drop documents;
 the secret stage masks secrets inside texts; mixing decides how often each document is taken.
+
+Null and empty texts: rejected by the quality rules (few words). Very long texts: whole in every stage. Null and repeated
+ids: rows are judged by their own texts, so no row takes another one along; of near duplicates one row stays, the one
+with the smallest id (null first), then the smallest hash of its text. Repeated rows: one stays. Extra columns, whatever
+their names: kept until the last stage, which returns mixing's columns. Empty table: empty result in the same columns.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quirefold.llm import decontam, mixing, omh, quality, secrets
-from quirefold.llm.common import load, stored
+from quirefold.llm.common import drop_stored, load, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs, before = load(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_stored(*before)  # what the stage read; its rows are written now
+        before = [docs]
     return docs
