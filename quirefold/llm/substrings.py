@@ -20,6 +20,7 @@ import hashlib
 import json
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
@@ -36,6 +37,18 @@ MAX_RUNS = 2
 RUN_SCHEMA = "seq int, did long, lo int, a long, s long, th long, n int"
 
 
+@contextmanager
+def _sorted_scans(spark: SparkSession) -> Iterator[None]:
+    """Lets Spark rely on the order of runs where each bucket is one sorted file, so that merging them needs no sort."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class FingerprintIndex:
     """path: a folder on storage that driver and executors share. buckets: of every run, the same for all of them."""
 
@@ -85,15 +98,14 @@ class FingerprintIndex:
         fresh = self._write(spans.filter("kind <> 1").select(F.lit(seq).alias("seq"), "did", "lo", "a", "s", "th", "n"))
         batch, anchors = self.spark.table(fresh[0]), self.spark.table(fresh[0]).select("a")
         # anchors met at least twice; most are met once, and all further steps leave those out
-        known = [self.spark.table(table).join(anchors.hint("merge"), "a", "left_semi") for table, _ in self.runs]
         again = anchors.groupBy("a").agg(F.count("*").alias("c")).filter("c > 1").select("a")
-        shared = [batch.join(again.hint("merge"), "a", "left_semi")]
-        if known:
-            hits = stored(_union(known), "hits")
-            met = hits.select("a").distinct()
-            single = batch.join(again.hint("merge"), "a", "left_anti").join(met.hint("merge"), "a", "left_semi")
-            shared += [hits, single]
-        shared = stored(_union([x.select(*batch.columns) for x in shared]), "shared")
+        hits = None
+        if self.runs:
+            with _sorted_scans(self.spark):
+                hits = stored(_union([self.spark.table(table).join(anchors.hint("merge"), "a", "left_semi") for table, _ in self.runs]), "hits")
+            again = again.unionByName(hits.select("a").distinct())
+        mine = batch.join(again.hint("shuffle_hash"), "a", "left_semi")
+        shared = stored(mine.unionByName(hits.select(*mine.columns)) if hits is not None else mine, "shared")
         place = F.struct("seq", "did", "lo")
         firsts = stored(
             shared.groupBy("a", "s").agg(F.min(F.struct("seq", "did", "lo")).alias("first")).select("a", "s", "first.*"),
@@ -117,7 +129,7 @@ class FingerprintIndex:
         self.runs.append(fresh)
         if len(self.runs) > self.max_runs:
             self.compact()
-        drop_stored(spans, shared, firsts, windows, *([hits] if known else []))  # nothing reads them any more
+        drop_stored(spans, shared, firsts, windows, *([hits] if hits is not None else []))  # nothing reads them any more
         return removed
 
     def compact(self) -> None:
