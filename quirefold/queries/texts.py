@@ -81,7 +81,15 @@ def i18_first_literal_match(spark, sf_dir):
     return found.filter("seq = 0").select("doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
 
 
-@query()
+_PAIR = r"'(?:^|[.;\n])\s*([A-ZÀ-Úa-zà-ú0-9\s_\-]{2,40})\s*[:=]\s*([^.;\n]+)'"
+
+
+@query(
+    rf"""WITH m AS (SELECT doc_id, regexp_extract_all(text, {_PAIR}, 1) AS ks, regexp_extract_all(text, {_PAIR}, 2) AS vs FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(ks) + 1)) AS pos, unnest(ks) AS k, unnest(vs) AS v FROM m),
+c AS (SELECT doc_id, pos, regexp_replace(k, '^\s+|\s+$', '', 'g') AS key, regexp_replace(v, '^\s+|\s+$', '', 'g') AS value FROM p)
+SELECT doc_id, key, arg_max(value, pos) AS value FROM c WHERE key <> '' AND value <> '' AND length(value) < 200 GROUP BY doc_id, key"""
+)
 def h2_key_values(spark, sf_dir):
     return extraction.extract_key_values(load(spark, sf_dir, "documents"))
 
