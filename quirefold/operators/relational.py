@@ -29,6 +29,16 @@ def paged(frame: DataFrame, *order: str, offset: int = 0, limit: int = PAGE) ->
     return frame.orderBy(*order).offset(offset).limit(limit)
 
 
+def paged_after(frame: DataFrame, *order: str, after: tuple | None = None, limit: int = PAGE) -> DataFrame:
+    """The page that follows the row with these keys. A deep page costs no more than the first: nothing is skipped."""
+    if not 0 < limit <= MAX_PAGE:
+        raise ValueError(f"a page holds 1 to {MAX_PAGE} rows")
+    beyond = F.lit(False)
+    for k in range(len(order) - 1, -1, -1) if after is not None else ():
+        beyond = (F.col(order[k]) > F.lit(after[k])) | ((F.col(order[k]) == F.lit(after[k])) & beyond)
+    return (frame if after is None else frame.filter(beyond)).orderBy(*order).limit(limit)
+
+
 def tools_on(tools: DataFrame, surface: str) -> DataFrame:
     return tools.filter(F.array_contains("surfaces", surface))
 
@@ -150,12 +160,16 @@ def toggle_layer(rows: DataFrame, layer_id: object) -> DataFrame:
 
 
 def merged_pages(*documents: DataFrame) -> DataFrame:
-    """Pages of several documents one after another: part, page, text, position."""
+    """Pages of several documents one after another: part, page, text, position. Pages are ranked inside their part only."""
     out = None
     for part, pages in enumerate(documents):
         rows = pages.select(F.lit(part).alias("part"), "page", "text")
         out = rows if out is None else out.unionByName(rows)
-    return out.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("part", "page")))
+    sizes = out.groupBy("part").agg(F.count("*").alias("size"))  # a row for each document given
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("page"))
+    return out.withColumn("rank", rank).join(offsets, "part").select("part", "page", "text", (F.col("offset") + F.col("rank")).cast("int").alias("position"))
 
 
 def organized_pages(pages: DataFrame, plan: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .review_rules import ALTERNATIVES, GROUPS, MESSAGES, SUGGESTED, WARNED
@@ -276,3 +276,24 @@ def unknown_words(docs: DataFrame, dictionary: DataFrame, custom: DataFrame | No
     checked = words.filter((F.length("word") > 1) & ~F.col("word").rlike(r"[\p{N}_]") & ~F.col("word").rlike(r"^\p{Lu}{2,8}$"))
     counted = checked.groupBy("doc_id", "word").agg(F.count("*").alias("count"))
     return counted.withColumn("lower", F.lower("word")).join(known.withColumnRenamed("word", "lower"), "lower", "left_anti").select("doc_id", "word", "count")
+
+
+def _shortened(word: F.Column) -> F.Column:
+    """The word and all it can become by deleting one or two characters."""
+    without = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda k: F.concat(F.substring(w, F.lit(1), k - 1), F.substring(w, k + 1, F.length(w))))
+    once = without(word)
+    return F.array_distinct(F.concat(F.array(word), once, F.flatten(F.transform(once, without))))
+
+
+def suggestions(unknown: DataFrame, dictionary: DataFrame, most: int = 4, distance: int = 2) -> DataFrame:
+    """word, suggestion, distance, place: the nearest known words of each distinct unknown one, ties by alphabet.
+
+    Two words within two edits share a form that both reach by at most two deletions, so an equi-join finds all pairs and
+    nothing is compared with the whole dictionary.
+    """
+    asked = unknown.select(F.lower("word").alias("word")).distinct().select("word", F.explode(_shortened(F.col("word"))).alias("form"))
+    known = vocabulary(dictionary).select(F.col("word").alias("suggestion"), F.explode(_shortened(F.col("word"))).alias("form"))
+    pairs = asked.join(known, "form").select("word", "suggestion").distinct()
+    near = pairs.withColumn("distance", F.levenshtein("word", "suggestion")).filter(F.col("distance").between(1, distance))
+    place = F.row_number().over(Window.partitionBy("word").orderBy("distance", "suggestion"))
+    return near.withColumn("place", place).filter(F.col("place") <= most)

@@ -148,6 +148,11 @@ def f1_paged_listing(spark, sf_dir):
     return relational.paged(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey", offset=250, limit=100)
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 150000 OR (o_totalprice = 150000 AND o_orderkey > 7) ORDER BY o_totalprice, o_orderkey LIMIT 100")
+def f1_page_after_a_row(spark, sf_dir):
+    return relational.paged_after(load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", after=(150000.0, 7), limit=100)
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 15")
 def f2_preview_rows(spark, sf_dir):
     return relational.top_rows(load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey")

@@ -205,6 +205,19 @@ def h13_h25_unknown_words(spark, sf_dir):
     return found.groupBy("doc_id").agg(F.count("*").alias("words"), F.sum("count").alias("places"))
 
 
+@query(
+    r"""WITH k AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[a-zA-Z]{3,}'))) AS word FROM benchmark),
+u AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[a-zA-Z]{4,}'))) AS word FROM conversations),
+p AS (SELECT u.word, k.word AS suggestion, levenshtein(u.word, k.word) AS distance FROM u JOIN k ON abs(length(u.word) - length(k.word)) <= 2 WHERE u.word NOT IN (SELECT word FROM k)),
+r AS (SELECT word, suggestion, CAST(distance AS INT) AS distance, CAST(row_number() OVER (PARTITION BY word ORDER BY distance, suggestion) AS INT) AS place FROM p WHERE distance <= 2)
+SELECT word, suggestion, distance, place FROM r WHERE place <= 4"""
+)
+def f3_suggestions(spark, sf_dir):
+    known = load(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z]{3,}"), F.lit(0))).alias("word"))
+    words = load(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z]{4,}"), F.lit(0))).alias("word"))
+    return review.suggestions(words.select(F.lower("word").alias("word")).distinct().join(review.vocabulary(known), "word", "left_anti"), known)
+
+
 @query()
 def h15_translation_segments(spark, sf_dir):
     found = segments.translation_segments(load(spark, sf_dir, "documents"))

@@ -13,9 +13,10 @@ LEASE_OUT = "job_id string, at_seconds long, outcome string, fence int"
 LEASE_STATE = "status string, fence int, lease_until long, started boolean"
 
 
-def lease_stream(events: DataFrame, lease: int = 120, lateness: str = "1 minute") -> DataFrame:
+def lease_stream(events: DataFrame, lease: int = 120, lateness: str = "1 minute", remembered: int = 86_400) -> DataFrame:
     """events: ts, job_id, action (claim, started, finish). Outcomes of each action, and of leases that run out: a job
-    that hadn't started its outside call is requeued with a higher fence, one that had needs reconciliation."""
+    that hadn't started its outside call is requeued with a higher fence, one that had needs reconciliation. A settled
+    job is forgotten after `remembered` seconds without events, so that state doesn't grow with all jobs ever seen."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, fence, until, started = state.get if state.exists else ("queued", 0, 0, False)
@@ -29,6 +30,9 @@ def lease_stream(events: DataFrame, lease: int = 120, lateness: str = "1 minute"
                 rows.append((key[0], until, "reconcile" if started else "requeued", fence))
                 started = False
 
+        if state.hasTimedOut and status == "settled":
+            state.remove()
+            return
         if state.hasTimedOut:
             expire(until)
         else:
@@ -46,8 +50,9 @@ def lease_stream(events: DataFrame, lease: int = 120, lateness: str = "1 minute"
                     status = "settled"
                     rows.append((key[0], now, "settled", fence))
         state.update((status, fence, until, started))
-        if status == "running":
-            state.setTimeoutTimestamp(max(until * 1000, state.getCurrentWatermarkMs() + 1))
+        if status in ("running", "settled"):
+            ends = until if status == "running" else rows[-1][1] + remembered if rows else until + remembered
+            state.setTimeoutTimestamp(max(ends * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=["job_id", "at_seconds", "outcome", "fence"])
 
     return events.withWatermark("ts", lateness).groupBy("job_id").applyInPandasWithState(step, LEASE_OUT, LEASE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
