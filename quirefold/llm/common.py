@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,12 +36,39 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/quirefold/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables written inside each open `cleared` block, by path.
+_made: list[dict[str, DataFrame]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    for made in _made[-1:]:
+        made[path] = table
+    return table
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables that stored() writes inside the block, but for those given to the function it yields."""
+    made: dict[str, DataFrame] = {}
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _made.append(made)
+    try:
+        yield keep
+    finally:
+        _made.pop()
+        for path, table in made.items():
+            if not any(table is k for k in kept):
+                delete_folder(spark, path)
 
 
 def delete_folder(spark: SparkSession, folder: str) -> None:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, release, row_key, stored
+from .common import NULL_ID, cleared, release, row_key, stored
 from .spans import Words, gram_hashes, mixed
 
 SHINGLE = 5
@@ -343,6 +343,15 @@ def link_members(members: DataFrame, parts: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """What _classes finds, with no other table left behind."""
+    with cleared(docs.sparkSession) as keep:
+        numbered, texts = _classes(docs, by_id)
+        found = keep(numbered), keep(stored(texts, "classes"))
+    release(docs.sparkSession)
+    return found
+
+
+def _classes(docs: DataFrame, by_id: bool) -> tuple[DataFrame, DataFrame]:
     """Rows as did, th (row_key), uid; and texts as uid, text (the smallest did, th with these words), root (the smallest of its class).
 
     by_id: rows that share an id, if it isn't null, are in one class.
@@ -370,7 +379,6 @@ def classes(docs: DataFrame, by_id: bool) -> tuple[DataFrame, DataFrame]:
     roots = linked.groupBy("root").agg(F.min("text").alias("least"))
     found = linked.select("uid", F.col("root")).join(roots.hint("shuffle_hash"), "root").select("uid", "least")
     out = texts.select("uid", "text").join(found.hint("shuffle_hash"), "uid", "left").select("uid", "text", F.coalesce("least", "text").alias("root"))
-    release(spark)
     return numbered, out
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stored
+from .common import cleared, release, stored
 from .spans import Bytes, keyed, merged, span_rows, with_requests
 
 WINDOW = 400
@@ -272,7 +272,8 @@ def _strip(size: int):
 def suffix_dedup(docs: DataFrame, size: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows = keyed(docs)
-    ranges = stored(repeated_ranges(rows, size, gram), "byte-ranges")
+    with cleared(docs.sparkSession) as keep:
+        ranges = keep(stored(repeated_ranges(rows, size, gram), "byte-ranges"))
     release(docs.sparkSession)
     named = rows.withColumn("doc_id", F.when(F.col("did") != -(2**63), F.col("did")))
     return with_requests(named, ranges, "lo", "n", how="left").select("doc_id", "text", "asked").mapInArrow(_strip(size), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
