@@ -105,4 +105,36 @@ SELECT doc_id, n, form,
 FROM p
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1, "op2_substring_dedup": OP2, "op7_secret_scans": OP7, "op9_warc": OP9, "op11_fill_in_middle": OP11}
+
+
+def _assigned(t: int) -> str:
+    """The nearest entry of every part in the codebooks of round t, and its squared distance."""
+    return f"""a{t} AS (SELECT r, p, v, m % 64 AS e, m // 64 AS dist FROM (
+  SELECT r, p, any_value(x.v) AS v, min(64 * list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) + e) AS m
+  FROM parts x JOIN c{t} c USING (p) GROUP BY r, p))"""
+
+
+def _moved(t: int) -> str:
+    """The codebooks of round t + 1: floors of means, entries without parts as they were."""
+    return f"""n{t} AS (SELECT p, e, i, (s - ((s % n) + n) % n) // n AS x FROM (
+  SELECT p, e, i, sum(v[i + 1]) AS s, count(*) AS n FROM a{t}, (SELECT unnest(range(len(v))) AS i FROM (SELECT v FROM parts LIMIT 1)) GROUP BY p, e, i)),
+c{t + 1} AS (SELECT p, e, coalesce(m.v, c.v) AS v FROM c{t} c LEFT JOIN (SELECT p, e, list(CAST(x AS BIGINT) ORDER BY i) AS v FROM n{t} GROUP BY p, e) m USING (p, e))"""
+
+
+OP12 = f"""
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+           FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT r, p, q[p * (len(q) // 16) + 1:(p + 1) * (len(q) // 16)] AS v FROM k, (SELECT unnest(range(16)) AS p)),
+c0 AS (SELECT p, r AS e, v FROM parts WHERE r < 64),
+{_assigned(0)},
+{_moved(0)},
+{_assigned(1)},
+{_moved(1)},
+{_assigned(2)},
+f AS (SELECT r, string_agg(lpad(to_hex(e), 2, '0'), '' ORDER BY p) AS code, CAST(sum(dist) AS BIGINT) AS error FROM a2 GROUP BY r)
+SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM c2) AS codebooks_sha256
+FROM k JOIN f USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1, "op2_substring_dedup": OP2, "op7_secret_scans": OP7, "op9_warc": OP9, "op11_fill_in_middle": OP11, "op12_vector_codes": OP12}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fim, html_text, licenses, mixing, omh, quality, secrets, substrings, suffix, tokens, warc
+from . import decontam, fim, html_text, licenses, mixing, omh, quality, secrets, substrings, suffix, tokens, vectors, warc
 from .common import load
 
 
@@ -54,6 +54,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fim_report(load(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.vector_report(load(spark, sf_dir, "embeddings"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_report(load(spark, sf_dir, "documents"))
 
@@ -70,5 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_order_minhash": op10_order_minhash,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_vector_codes": op12_vector_codes,
     "op13_token_files": op13_token_files,
 }
