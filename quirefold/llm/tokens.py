@@ -15,7 +15,8 @@ Reading. A control byte looks up the lengths of its four codes in a table; sums
 and one gather reads them all. The block table gives access to any part of a file.
 
 Tokenizing. ASCII white space separates tokens for this kind of tokenizer whatever stands beside it, so a text's ids are
-those of its words in turn, and each distinct word is encoded once for as long as a bounded table holds it.
+those of its words in turn, and each distinct word is encoded once for as long as a bounded table holds it; so is each
+distinct part of a word between ASCII letters and marks. A vocabulary for which this doesn't hold gets whole texts.
 
 Null text: empty, so the end id alone. Null id: written as such, before all others. Repeated rows and ties of ids: a row
 each, ordered by a hash of the text; a hot id is split over ranges. Very long texts: whole, tokenized by pieces cut at
@@ -25,8 +26,9 @@ white space. Empty table: no files, an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 from itertools import chain
 
@@ -44,7 +46,7 @@ BLOCK = 1 << 16
 #: Bytes of text that are cut into words at a time.
 PIECE = 1 << 21
 #: Bytes of words that a task's table holds before it begins anew.
-TABLE_BYTES = 1 << 25
+TABLE_BYTES = 1 << 23
 
 #: For each control byte: the bytes of its four codes.
 SIZES = np.array([[1 + (c >> 2 * k & 3) for k in range(4)] for c in range(256)], dtype=np.uint8)
@@ -166,39 +168,106 @@ def tokenizer_at(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Between an ASCII letter and ASCII digits or marks but the apostrophe: no token reaches over these places.
+_BETWEEN = re.compile(rb"(?<=[A-Za-z])(?=[!-&(-@\[-`{-~])|(?<=[!-&(-@\[-`{-~])(?=[A-Za-z])")
+#: Small letters, ASCII or Latin-1, in UTF-8: normalized and one word for the tokenizer whatever their number.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: What shows whether a vocabulary treats words and their parts alike wherever they stand.
+PROBES = ("\u00e0\u00df\u00ff\u00f6\u00f8 \u00f7 na\u00efve \u00e9t\u00e9", "The quick-Brown fox's 12.5% (sic), e\u0301!\u201d", "a1b2 \tx\n\ny  'll it's O'Neil's <tag a=b>", " ", "A", "\u00c9tat,\u00e9t\u00e9;H\u0331 \u6f22\u5b57 \u01c5x")
+
+
+class Numbers(dict):
+    """Numbers words as they are first asked for, and lists them."""
+
+    def __init__(self) -> None:
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+
+class Lists:
+    """Lists of numbers, one after the other in one array."""
+
+    def __init__(self, kind: type) -> None:
+        self.flat, self.begins = np.zeros(0, kind), np.zeros(1, np.int64)
+
+    def add(self, flat: Iterable[int], lengths: list[int]) -> None:
+        ends = self.begins[-1] + np.cumsum(lengths, dtype=np.int64)
+        more = np.fromiter(flat, self.flat.dtype, int(ends[-1] - self.begins[-1]) if lengths else 0)
+        self.flat, self.begins = np.concatenate([self.flat, more]), np.concatenate([self.begins, ends])
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists at the given places in a row, and where each begins in it (and the last ends)."""
+        bounds = np.concatenate([[0], np.cumsum(self.begins[at + 1] - self.begins[at])])
+        return self.flat[np.repeat(self.begins[at] - bounds[:-1], np.diff(bounds)) + np.arange(bounds[-1])], bounds
+
+
 class WordTable:
-    """Ids of texts by way of their distinct words."""
+    """Ids of texts by way of their distinct words, and of words by way of their distinct parts.
+
+    Parts of plain letters go to the tokenizer's model in its own alphabet, all others through the whole tokenizer. A vocabulary
+    for which that gives other ids than whole texts do, as PROBES show, gets whole texts.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = tokenizer_at(path)
+        self.model = self.tokenizer.model
+        added = (re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values())
+        before = self.tokenizer.pre_tokenizer
+        self.letters = {c: before.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7} if before else {}
+        self.whole = re.compile(b"|".join([b"'", *added]))
         self.clear()
+        self.by_words = True
+        self.by_words = all(self.encode([t.encode()])[0].tolist() == self.tokenizer.encode(t, add_special_tokens=False).ids for t in PROBES)
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.pool, self.begins, self.held = np.zeros(0, np.uint32), np.zeros(1, np.int64), 0
-
-    def learn(self, words: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))])
-        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(lengths)])
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
-        self.held += sum(map(len, words))
+        self.words, self.parts = Numbers(), Numbers()
+        self.parts_of, self.ids_of, self.held = Lists(np.int64), Lists(np.uint32), 0
+
+    def learn(self) -> None:
+        """Parts of the fresh words: contractions and words with added tokens are one part each.
+
+        Letters are lowered as the tokenizer does, unless marks stand by to compose with them (U+0300 and on).
+        """
+        fresh = self.words.fresh
+        lines = b"\n".join(fresh)
+        if self.whole.search(lines):
+            plain = [b"" if self.whole.search(w) else w for w in fresh]
+            lines = b"\n".join(plain)
+        if b"\xcc" not in lines and b"\xcd" not in lines:
+            lines = lines.lower()
+        cut = [line.split(b" ") if line else [word] for line, word in zip(_BETWEEN.sub(b" ", lines).split(b"\n"), fresh, strict=True)]
+        sizes = list(map(len, cut))
+        self.parts_of.add(map(self.parts.__getitem__, chain.from_iterable(cut)), sizes)
+        new = self.parts.fresh
+        simple = list(map(_LETTERS.fullmatch, new))
+        rest = iter(self.tokenizer.encode_batch_fast([p.decode() for p, m in zip(new, simple) if not m], add_special_tokens=False))
+        found = [[t.id for t in self.model.tokenize(p.decode().translate(self.letters))] if m else next(rest).ids for p, m in zip(new, simple)]
+        self.ids_of.add(chain.from_iterable(found), list(map(len, found)))
+        self.held += len(lines)
+        fresh.clear()
+        new.clear()
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has. bytes.split() splits at ASCII white space only."""
-        parts = [t.split() for t in texts]
-        words = list(chain.from_iterable(parts))
+        if not self.by_words:
+            whole = Lists(np.uint32)
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+            whole.add(chain.from_iterable(found), list(map(len, found)))
+            return whole.flat, np.diff(whole.begins)
         if self.held > TABLE_BYTES:
             self.clear()
-        if new := set(words).difference(self.number):
-            self.learn(list(new))
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        lengths = self.begins[at + 1] - self.begins[at]
-        upto = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.pool[np.repeat(self.begins[at] - upto[:-1], lengths) + np.arange(upto[-1])]
-        bounds = np.cumsum([0, *map(len, parts)])
-        return ids, upto[bounds[1:]] - upto[bounds[:-1]]
+        words = [t.split() for t in texts]
+        bounds = np.cumsum([0, *map(len, words)])
+        at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(words)), np.int64, int(bounds[-1]))
+        if self.words.fresh:
+            self.learn()
+        parts, by_word = self.parts_of.take(at)
+        ids, by_part = self.ids_of.take(parts)
+        return ids, np.diff(by_part[by_word[bounds]])
 
 
 def pieces(text: bytes) -> Iterator[bytes]:
@@ -221,7 +290,7 @@ def encoded(table: WordTable, texts: list[bytes], end_id: int) -> Iterator[tuple
         while stop < len(texts) and (stop == at or size + len(texts[stop]) <= PIECE):
             size += len(texts[stop])
             stop += 1
-        if size > PIECE:  # one long text
+        if size > PIECE and table.by_words:  # one long text
             ids = np.concatenate([table.encode([p])[0] for p in pieces(texts[at])])
             lengths = np.array([len(ids)])
         else:

@@ -118,6 +118,20 @@ def test_query_matches_the_library(spark, plain):
 def test_words_table_begins_anew(monkeypatch):
     monkeypatch.setattr(tokens, "TABLE_BYTES", 20)
     table = tokens.WordTable(VOCABULARY)
+    table.clear()
     first = [table.encode([f"word{k} other".encode()])[0].tolist() for k in range(30)]
-    assert len(table.number) < 8
+    assert len(table.words) < 8
     assert first == [tokens.WordTable(VOCABULARY).encode([f"word{k} other".encode()])[0].tolist() for k in range(30)]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_vocabulary_gives_the_ids_of_whole_texts(name):
+    """One that keeps white space and case is told apart by its probes."""
+    import public_tokenizers
+
+    path = public_tokenizers.path(name)
+    plain, table = Tokenizer.from_file(path), tokens.WordTable(path)
+    assert table.by_words == name.startswith("word")
+    texts = ["Some Text, with  Gaps\n\tand Case", "", "x"]
+    found = list(tokens.encoded(table, [t.encode() for t in texts], 1))
+    assert [i for _, ids, _ in found for i in ids.tolist()] == [i for t in texts for i in [*plain.encode(t, add_special_tokens=False).ids, 1]]
