@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.css import bound, clean_css, is_safe_image, rewritten, unreferenced
 from ..functions.text import clean_html_text
 
 # Elements that are dropped with their content, and those blocked by the sanitizer.
@@ -34,14 +35,109 @@ def element_count(html: Column, names: tuple[str, ...] = BLOCKED) -> Column:
     return F.regexp_count(html, F.lit(rf"(?i)<(?:{'|'.join(names)})[\s/>]"))
 
 
+# Fixed values of the sanitizer: elements that go with their content, elements that go as tags, attributes that go, and
+# attributes that may hold an image or a place in the page.
+UNSAFE_CONTENT = ("script", "noscript", "iframe", "object", "frameset", "portal", "audio", "video")
+UNSAFE_TAGS = (*UNSAFE_CONTENT, "embed", "link", "meta", "base", "frame", "source", "track")
+UNSAFE_ATTRIBUTES = ("srcdoc", "formaction", "action", "poster", "ping", "dynsrc", "lowsrc", "srcset", "data")
+IMAGE_ATTRIBUTES = ("src", "background")
+PLACE_ATTRIBUTES = ("href", "xlink:href")
+UNTITLED = "Documento"
+
+_NAME, _VALUE = r"""[^\s"'<>/=]+""", r"""(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+#: An attribute of a tag: its name, and its value in quotes or not.
+ATTRIBUTE = rf"[\s/]+({_NAME})(?:\s*=\s*({_VALUE}))?"
+#: Comments, end tags (what never ends goes on to the end) and well-formed start tags; loops are possessive, so time is
+#: linear. A "<" that begins none of them is text.
+MARKUP = rf"(?s)<!--.*?(?:-->|\z)|</[A-Za-z][^>]*(?:>|\z)|<[A-Za-z][^\s/>]*+(?:[\s/]++{_NAME}+(?:\s*+=\s*+{_VALUE.replace('?:', '?>', 1)})?+)*+[\s/]*+>"
+
+
+def _clean_attribute(name: Column, raw: Column) -> Column:
+    """The attribute as it is written again; null if it goes."""
+
+    def kept(value: Column) -> Column:
+        return (
+            F.when(F.startswith(name, F.lit("on")) | name.isin(*UNSAFE_ATTRIBUTES), F.lit(None).cast("string"))
+            .when(name == "style", bound(clean_css(value), lambda css: F.when(css.rlike(r"\S"), css)))
+            .when(name.isin(*IMAGE_ATTRIBUTES), F.when(is_safe_image(value), value))
+            .when(name.isin(*PLACE_ATTRIBUTES), F.when(value.rlike(r"(?U)^\s*#"), value))
+            .otherwise(value)
+        )
+
+    value = bound(unreferenced(F.when(raw.rlike("^[\"']"), F.substring(raw, 2, F.length(raw) - 2)).otherwise(raw)), kept)
+    return F.concat(F.lit(" "), name, F.lit('="'), F.replace(F.replace(value, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit('"'))
+
+
+def _attributes(inside: Column) -> Column:
+    found = lambda group: F.regexp_extract_all(inside, F.lit(ATTRIBUTE), F.lit(group))
+    kept = F.array_compact(F.zip_with(F.transform(found(1), F.lower), found(2), _clean_attribute))
+    return F.when(inside.rlike(r"[^\s/]"), F.array_join(kept, "")).otherwise("")
+
+
+def _clean_tag(tag: Column) -> Column:
+    """A start tag with what may stay of its attributes, an end tag by its name; nothing for comments and unsafe elements.
+
+    Comments go because readers disagree where they end, unsafe names once more because removal can join what stood apart.
+    """
+
+    def written(name: Column) -> Column:
+        inside = F.substring(tag, F.length(name) + 2, F.length(tag) - F.length(name) - 2)
+        start = F.concat(F.lit("<"), name, bound(inside, _attributes), F.lit(">"))
+        whole = F.when(F.startswith(tag, F.lit("</")), F.concat(F.lit("</"), name, F.lit(">"))).otherwise(start)
+        return F.when((name == "") | name.isin(*UNSAFE_TAGS, "style", "title"), "").otherwise(whole)
+
+    return bound(F.lower(F.regexp_extract(tag, r"^</?([A-Za-z][^\s/>]*)", 1)), written)
+
+
+def clean_markup(html: Column) -> Column:
+    """Each start tag with its safe attributes; a "<" outside markup that could begin a tag becomes a reference."""
+    return rewritten(html, MARKUP, 0, _clean_tag, lambda text: F.regexp_replace(text, "<(?=[A-Za-z/!?])", "&lt;"))
+
+
+def without_elements(html: Column, content: tuple[str, ...] = UNSAFE_CONTENT, tags: tuple[str, ...] = UNSAFE_TAGS) -> Column:
+    out = F.regexp_replace(html, rf"(?is)<({'|'.join(content)})\b[^>]*(?:>.*?(?:</\1\s*>|\z)|\z)", "")
+    return F.regexp_replace(out, rf"(?i)</?(?:{'|'.join(tags)})\b[^>]*(?:>|\z)", "")
+
+
+def style_sheets(html: Column) -> Column:
+    """The cleaned contents of all style elements, one after the other."""
+    sheets = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<style\b[^>]*>(.*?)(?:</style\s*>|\z)"), F.lit(1)), clean_css)
+    return F.array_join(F.filter(sheets, lambda s: s.rlike(r"\S")), "\n")
+
+
+def _body(safe: Column) -> Column:
+    """The body's clean markup; a page without a body element is a body."""
+
+    def inner(out: Column) -> Column:
+        body = F.regexp_extract(out, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)", 1)
+        bare = F.regexp_replace(out, r"(?i)</?(?:html|head|body)\b[^>]*>|<!DOCTYPE[^>]*>", "")
+        return clean_markup(F.when(out.rlike(r"(?i)<body\b[^>]*>"), body).otherwise(bare))
+
+    return bound(F.regexp_replace(safe, r"(?is)<(style|title)\b[^>]*>.*?(?:</\1\s*>|\z)", ""), inner)
+
+
 def sanitized(html: Column) -> Column:
-    """Without blocked elements, event attributes and script addresses."""
-    out = html
-    for name in ("script", "iframe", "object", "applet", "form", "textarea", "select", "button", "audio", "video", "frameset", "portal"):
-        out = F.regexp_replace(out, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", "")
-    out = F.regexp_replace(out, rf"(?i)</?(?:{'|'.join(BLOCKED)})\b[^>]*>", "")
-    out = F.regexp_replace(out, r"""(?i)\s+on[a-z]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)""", "")
-    return F.regexp_replace(out, r"""(?i)\s+(?:href|src|action|formaction|xlink:href)\s*=\s*(?:"\s*(?:javascript|vbscript|data:text)[^"]*"|'\s*(?:javascript|vbscript|data:text)[^']*')""", "")
+    """The body's markup without unsafe elements, attributes and addresses, and without forms."""
+    return _body(without_elements(html, (*UNSAFE_CONTENT, "applet", "form", "textarea", "select", "button"), (*UNSAFE_TAGS, *BLOCKED)))
+
+
+def sanitized_document(html: Column) -> Column:
+    """A struct of title, style_css, body_html and the body's own style, class, dir and lang."""
+
+    def fields(safe: Column) -> Column:
+        own = lambda body, name: clean_html_text(F.regexp_extract(body, rf' {name}="([^"]*)"', 1)).alias(f"body_{name}")
+        body = _clean_tag(F.regexp_extract(safe, r"(?is)<body\b[^>]*>", 0))
+        return bound(
+            body,
+            lambda b: F.struct(
+                F.coalesce(F.nullif(page_title(html), F.lit("")), F.lit(UNTITLED)).alias("title"),
+                style_sheets(safe).alias("style_css"),
+                _body(safe).alias("body_html"),
+                *(own(b, name) for name in ("style", "class", "dir", "lang")),
+            ),
+        )
+
+    return bound(without_elements(html), fields)
 
 
 class _Blocks(HTMLParser):

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import Taken, accept_spans, without_overlaps
 from .review_rules import ALTERNATIVES, GROUPS, MESSAGES, SUGGESTED, WARNED
 
 MAX_CHARACTERS = 1_000_000
@@ -25,13 +26,22 @@ PROTECTED = re.compile(r"https?://\S+|www\.\S+|[\w.%+-]+@[\w.-]+\.[A-Za-z]{2,}|\
 
 @dataclass(frozen=True)
 class Context:
-    """What excuses a finding of a category: `pattern` found (or not found) in the text before it, or from it on."""
+    """Finds of `category` that begin with `found` are right as they stand if `near` says so.
+
+    near is searched in the text before the find, or from it on; `unless` turns it round: right unless near is found.
+    """
 
     category: str
     found: re.Pattern
-    pattern: re.Pattern
-    before: bool
-    excuses: bool  # whether the pattern excuses, or its absence
+    near: re.Pattern
+    where: str  # before or from
+    unless: bool = False
+
+    def excuses(self, text: str, start: int, found: str) -> bool:
+        if not self.found.match(found):
+            return False
+        around = text[max(0, start - AROUND) : start] if self.where == "before" else text[start : start + AROUND]
+        return bool(self.near.search(around)) != self.unless
 
 
 def _pattern(text: str) -> re.Pattern:
@@ -40,27 +50,36 @@ def _pattern(text: str) -> re.Pattern:
 
 #: Characters that are looked at around a finding.
 AROUND = 80
-# Words that may stand as they are, and the context that says so.
-CONTEXTS = (
-    Context("PARONYM_CONTEXT", _pattern(r"agente\s"), _pattern(r"(?:^|[\W\d_])(?:o|um|este|esse|aquele|ao|do|pelo|seu|meu)\s+\Z"), True, True),
-    Context("GRAMMAR_AGREEMENT", _pattern(r"houveram\s"), _pattern(r"\Ahouveram\s+por\s+bem\b"), False, True),
-    Context("GRAMMAR_AGREEMENT", _pattern(r"nos\s"), _pattern(r"(?:^|[.!?:;]\s*)\Z"), True, False),
-    Context(
-        "ACCENTUATION",
-        _pattern(r"(?:negocios?|public[oa]s?|duvidas?|numeros?|modulos?|historias?|paginas?|veiculos?)\Z"),
-        _pattern(r"(?:^|[\W\d_])(?:o|a|os|as|um|uma|uns|umas|este|esta|esse|essa|seu|sua|meu|minha|do|da|dos|das|no|na|pelo|pela|documento|escola|instituição|serviço|serviços)\s+\Z"),
-        True,
-        False,
-    ),
-)
-EXCUSABLE = frozenset(c.category for c in CONTEXTS)
+# Words that may stand as they are, by category, and the context that says so.
+CONTEXTS = {
+    # nouns whose bare spelling is a verb form: only a determiner or a noun before them makes them nouns
+    "ACCENTUATION": [
+        Context(
+            "ACCENTUATION",
+            _pattern(r"(?:negocios?|public[oa]s?|duvidas?|numeros?|modulos?|historias?|paginas?|veiculos?)\Z"),
+            _pattern(r"(?:^|[\W\d_])(?:o|a|os|as|um|uma|uns|umas|este|esta|esse|essa|seu|sua|meu|minha|do|da|dos|das|no|na|pelo|pela|documento|escola|instituição|serviço|serviços)\s+\Z"),
+            "before",
+            unless=True,
+        )
+    ],
+    "GRAMMAR_AGREEMENT": [
+        # an idiom in which the plural is right
+        Context("GRAMMAR_AGREEMENT", _pattern(r"houveram\s"), _pattern(r"\Ahouveram\s+por\s+bem\b"), "from"),
+        # a pronoun that is a subject only where a clause begins
+        Context("GRAMMAR_AGREEMENT", _pattern(r"nos\s"), _pattern(r"(?:^|[.!?:;]\s*)\Z"), "before", unless=True),
+    ],
+    # the noun, not the verb, where a determiner stands before it
+    "PARONYM_CONTEXT": [Context("PARONYM_CONTEXT", _pattern(r"agente\s"), _pattern(r"(?:^|[\W\d_])(?:o|um|este|esse|aquele|ao|do|pelo|seu|meu)\s+\Z"), "before")],
+}
 
 
 def match_case(source: str, target: str) -> str:
-    """target as source is written: as it is, with a capital first letter, or, which goes before, in capitals."""
-    capital = lambda t: t[:1].upper() + t[1:]
-    written = {"": target, capital(source): capital(target), source.upper(): target.upper()}
-    return written.get(source, target) if source else target
+    """target in capitals, with a capital first letter or as it is, as source is written; functions.text has it for columns."""
+    if source and source == source.upper():
+        return target.upper()
+    if source and source[0] == source[0].upper():
+        return target[:1].upper() + target[1:]
+    return target
 
 
 @dataclass(frozen=True)
@@ -153,32 +172,6 @@ def _rules() -> list[Rule]:
 RULES = _rules()
 
 
-def _excused(text: str, start: int, found: str, category: str) -> bool:
-    """Whether context makes the text right as it stands."""
-    for c in CONTEXTS if category in EXCUSABLE else ():
-        if c.category == category and c.found.match(found):
-            near = text[max(0, start - AROUND) : start] if c.before else text[start : start + AROUND]
-            return c.excuses == bool(c.pattern.search(near))
-    return False
-
-
-class Taken:
-    """Disjoint spans, kept sorted."""
-
-    def __init__(self):
-        self.starts: list[int] = []
-        self.ends: list[int] = []
-
-    def add(self, start: int, end: int) -> bool:
-        """Takes the span unless it overlaps one that is taken."""
-        k = bisect_right(self.starts, start)
-        if (k and self.ends[k - 1] > start) or (k < len(self.starts) and self.starts[k] < end):
-            return False
-        self.starts.insert(k, start)
-        self.ends.insert(k, end)
-        return True
-
-
 def review_text(text: str | None) -> list[tuple]:
     """category, severity, start, end, original, replacement, suggestions; by start."""
     text = text or ""
@@ -193,7 +186,8 @@ def review_text(text: str | None) -> list[tuple]:
         for m in rule.pattern.finditer(text):
             s, e = m.span()
             k = bisect_right(starts, e - 1)
-            if (k and guarded[k - 1][1] > s) or _excused(text, s, m[0], rule.category) or not taken.add(s, e):
+            excused = any(c.excuses(text, s, m[0]) for c in CONTEXTS.get(rule.category, ()))
+            if (k and guarded[k - 1][1] > s) or excused or not taken.add(s, e):
                 continue
             out.append((rule.category, rule.severity, s, e, m[0], rule.correct(m), rule.suggest(m)))
     return sorted(out, key=lambda f: f[2:4])
@@ -219,27 +213,16 @@ def review(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(scan, FINDING_SCHEMA)
 
 
-def overlaps(left: str, right: str) -> F.Column:
-    return (F.col(f"{left}.start") < F.col(f"{right}.end")) & (F.col(f"{left}.end") > F.col(f"{right}.start"))
-
-
 def outside_spans(findings: DataFrame, protected: DataFrame) -> DataFrame:
     """Findings that overlap no protected span of their document."""
-    return findings.alias("f").join(protected.alias("p"), (F.col("f.doc_id") == F.col("p.doc_id")) & overlaps("f", "p"), "left_anti")
+    return without_overlaps(findings, protected, ["doc_id"])
 
 
 def merge_findings(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     """Primary findings first, by position, then secondary ones in order; each only if it overlaps nothing accepted."""
-    columns = primary.columns
-    both = primary.withColumn("rank", F.lit(0)).unionByName(secondary.withColumn("rank", F.lit(1)))
-
-    def accept(frame: pd.DataFrame) -> pd.DataFrame:
-        first = frame[frame["rank"] == 0].sort_values(["start", "end"], kind="stable")
-        ordered = pd.concat([first, frame[frame["rank"] == 1].sort_values(["seq"] if "seq" in frame else ["start", "end"], kind="stable")])
-        taken = Taken()
-        return ordered[[taken.add(int(s), int(e)) for s, e in zip(ordered["start"], ordered["end"], strict=True)]][columns]
-
-    return both.groupBy("doc_id").applyInPandas(accept, primary.schema)
+    place = F.col("seq") if "seq" in secondary.columns else F.col("start")
+    both = primary.select("*", F.lit(0).alias("rank"), F.col("start").alias("place")).unionByName(secondary.select("*", F.lit(1).alias("rank"), place.alias("place")))
+    return accept_spans(both, ["doc_id"], ["rank", "place"]).select(*primary.columns)
 
 
 def apply_findings(docs: DataFrame, findings: DataFrame) -> DataFrame:

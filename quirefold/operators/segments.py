@@ -55,41 +55,41 @@ def restore_placeholders(text: Column, placeholders: Column) -> Column:
 
 LITERAL = r"https?://[^\s<>]*[^\s<>.,;:!?]|www\.[^\s<>]*[^\s<>.,;:!?]|[\w.%+-]+@[\w.-]+\.[A-Za-z]{2,}|\{\{[^{}]*\}\}|\$\{[^{}]*\}|%[A-Za-z_][A-Za-z_0-9]*%"
 #: A sentence ends after ., !, ? or an ellipsis with closing marks, before white space; our rule in place of ICU's.
-SENTENCE = re.compile(r".*?[.!?…]+[\"'”’)\]]*(?=\s)\s*", re.S)
-
-
-def _prose(part: str, most: int) -> Iterator[str]:
-    while part:
-        if lead := re.match(r"\s+", part):
-            yield lead[0]
-            part = part[lead.end() :]
-            continue
-        sentence = SENTENCE.match(part)
-        end = min(most, sentence.end() if sentence else len(part))
-        if end < len(part):
-            gaps = [m.start() for m in re.finditer(r"\s+", part[: end + 1])]
-            if gaps and gaps[-1]:
-                end = gaps[-1]
-        piece, part = part[:end], part[end:]
-        body = piece.rstrip()
-        yield from (x for x in (body, piece[len(body) :]) if x)
+SENTENCE_END = re.compile(r"[.!?…]+[\"'”’)\]]*(?=\s)")
+
+
+def _sentences(prose: str) -> Iterator[str]:
+    """Sentences with the white space before them."""
+    ends = [m.end() for m in SENTENCE_END.finditer(prose)]
+    return (prose[a:b] for a, b in zip([0, *ends], [*ends, len(prose)], strict=True))
 
 
 def translation_chunks(text: str | None, most: int = 400, names: tuple[str, ...] = ()) -> list[str]:
-    """Pieces of at most `most` characters whose concatenation is the text; literals and names stay whole."""
+    """Pieces of at most `most` characters whose concatenation is the text; literals, names and line ends stay whole.
+
+    Prose is cut into sentences, and a sentence into as many whole words as a piece holds; only a longer word is cut.
+    White space between pieces is a piece, and so is text without a word character.
+    """
     if most < 2:
         raise ValueError("chunks need two characters at least")
     if not (text or "").strip():
         return []
-    kept = sorted({n.strip() for n in names if n.strip()}, key=lambda n: (-len(n), n))
-    named = rf"(?<!\w)(?:{'|'.join(map(re.escape, kept))})(?!\w)|" if kept else ""
-    out: list[str] = []
-    for k, part in enumerate(re.split(rf"({named}{LITERAL}|\r\n|[\r\n\t]+)", text)):
-        if part and (k % 2 or not re.search(r"\w", part)):
-            out.append(part)
-        elif part:
-            out += _prose(part, most)
-    return out
+    longest_first = sorted({n.strip() for n in names} - {""}, key=lambda n: (-len(n), n))
+    whole = [rf"(?<!\w)(?:{'|'.join(map(re.escape, longest_first))})(?!\w)"] if longest_first else []
+    kept = re.compile("|".join([*whole, LITERAL, r"\r\n", r"[\r\n\t]+"]))
+    piece = re.compile(rf"\s+|\S(?:.{{0,{most - 2}}}\S)?(?=\s|\Z)|\S{{1,{most}}}", re.S)
+    chunks: list[str] = []
+    at = 0
+    for m in [*kept.finditer(text), None]:
+        prose = text[at : m.start() if m else len(text)]
+        if re.search(r"\w", prose):
+            chunks += [p for s in _sentences(prose) for p in piece.findall(s)]
+        elif prose:
+            chunks.append(prose)
+        if m:
+            chunks.append(m[0])
+            at = m.end()
+    return chunks
 
 
 def translation_segments(docs: DataFrame, most: int = 400, names: tuple[str, ...] = ()) -> DataFrame:

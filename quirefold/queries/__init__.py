@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import scalars, tables, texts
+from . import markup, scalars, tables, texts
 
-QUERIES = {**texts.QUERIES, **tables.QUERIES, **scalars.QUERIES}
-ORACLE_SQL = {**texts.ORACLE_SQL, **tables.ORACLE_SQL, **scalars.ORACLE_SQL}
+QUERIES = {**texts.QUERIES, **tables.QUERIES, **scalars.QUERIES, **markup.QUERIES}
+ORACLE_SQL = {**texts.ORACLE_SQL, **tables.ORACLE_SQL, **scalars.ORACLE_SQL, **markup.ORACLE_SQL}
