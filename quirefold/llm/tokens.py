@@ -19,8 +19,8 @@ those of its words in turn, and each distinct word is encoded once for as long a
 distinct part of a word between ASCII letters and marks. A vocabulary for which this doesn't hold gets whole texts.
 
 Null text: empty, so the end id alone. Null id: written as such, before all others. Repeated rows and ties of ids: a row
-each, ordered by a hash of the text; a hot id is split over ranges. Very long texts: whole, tokenized by pieces cut at
-white space. Empty table: no files, an empty result. Extra columns are ignored.
+each, ordered by a hash of the text; a hot id is split over ranges. Very long texts: whole.
+Empty table: no files, an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,10 +44,10 @@ from .common import cleared, delete_folder, scratch_path, stored
 MAGIC = b"QFTOKEN1"
 FILE_TOKENS = 1 << 24
 BLOCK = 1 << 16
-#: Bytes of text that are cut into words at a time.
-PIECE = 1 << 21
-#: Bytes of words that a task's table holds before it begins anew.
-TABLE_BYTES = 1 << 23
+#: Bytes of text that are cut into words at a time (one text at least).
+PIECE = 1 << 23
+#: Bytes of words that a worker's table holds before it begins anew.
+TABLE_BYTES = 6 << 20
 
 #: For each control byte: the bytes of its four codes.
 SIZES = np.array([[1 + (c >> 2 * k & 3) for k in range(4)] for c in range(256)], dtype=np.uint8)
@@ -221,7 +222,7 @@ class WordTable:
         self.whole = re.compile(b"|".join([b"'", *added]))
         self.clear()
         self.by_words = True
-        self.by_words = all(self.encode([t.encode()])[0].tolist() == self.tokenizer.encode(t, add_special_tokens=False).ids for t in PROBES)
+        self.by_words = all(self.encode(pa.array([t]))[0].tolist() == self.tokenizer.encode(t, add_special_tokens=False).ids for t in PROBES)
 
     def clear(self) -> None:
         self.words, self.parts = Numbers(), Numbers()
@@ -251,50 +252,44 @@ class WordTable:
         fresh.clear()
         new.clear()
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, and how many each has. bytes.split() splits at ASCII white space only."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has. Words are told apart by Arrow; only distinct ones are looked up."""
         if not self.by_words:
             whole = Lists(np.uint32)
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             whole.add(chain.from_iterable(found), list(map(len, found)))
             return whole.flat, np.diff(whole.begins)
         if self.held > TABLE_BYTES:
             self.clear()
-        words = [t.split() for t in texts]
-        bounds = np.cumsum([0, *map(len, words)])
-        at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(words)), np.int64, int(bounds[-1]))
+        split = pc.ascii_split_whitespace(texts)
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.binary()).to_pylist()
+        at = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
         if self.words.fresh:
             self.learn()
         parts, by_word = self.parts_of.take(at)
-        ids, by_part = self.ids_of.take(parts)
-        return ids, np.diff(by_part[by_word[bounds]])
+        here = Lists(np.uint32)
+        here.flat, by_part = self.ids_of.take(parts)
+        here.begins = by_part[by_word]
+        ids, upto = here.take(words.indices.to_numpy())
+        return ids, np.diff(upto[bounds])
 
 
-def pieces(text: bytes) -> Iterator[bytes]:
-    """A text in parts of about PIECE bytes, cut before white space."""
-    at = 0
-    while len(text) - at > PIECE:
-        cut = max(text.rfind(b, at + 1, at + PIECE) for b in (b" ", b"\n"))
-        if cut < 0:  # a long run without: up to wherever white space comes
-            cut = min((p for b in (b" ", b"\n") if (p := text.find(b, at + PIECE)) >= 0), default=len(text))
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
+@cache
+def table_at(path: str) -> WordTable:
+    """A Python worker's table, kept from task to task."""
+    return WordTable(path)
 
 
-def encoded(table: WordTable, texts: list[bytes], end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def encoded(table: WordTable, texts: pa.Array, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For runs of texts: how many, their ids (each text's followed by end_id), and how many ids each has."""
+    upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < len(texts):
-        stop, size = at, 0
-        while stop < len(texts) and (stop == at or size + len(texts[stop]) <= PIECE):
-            size += len(texts[stop])
-            stop += 1
-        if size > PIECE and table.by_words:  # one long text
-            ids = np.concatenate([table.encode([p])[0] for p in pieces(texts[at])])
-            lengths = np.array([len(ids)])
-        else:
-            ids, lengths = table.encode(texts[at:stop])
+        done = upto[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(upto, done + PIECE, side="right")))
+        ids, lengths = table.encode(texts.slice(at, stop - at))
         ended = np.full(len(ids) + len(lengths), end_id, dtype=np.uint32)
         ended[np.arange(len(ids)) + np.repeat(np.arange(len(lengths)), lengths)] = ids
         yield stop - at, ended, lengths + 1
@@ -311,13 +306,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, file
     fs, inside = file_system(folder)
     fs.create_dir(inside, recursive=True)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     # the row's number splits rows that share id and text, however many, over several ranges
     dealt = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange("doc_id", "th", "row")
     ordered = dealt.sortWithinPartitions("doc_id", "th").select(F.spark_partition_id().alias("shard"), "doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, out, files, shard = WordTable(tokenizer), TokenFile(), 0, 0
+        table, out, files, shard = table_at(tokenizer), TokenFile(), 0, 0
 
         def flush() -> pa.RecordBatch:
             path = f"{folder}/part-{shard:06d}-{files:05d}-{uuid.uuid4().hex}.tok"
@@ -327,7 +322,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, file
             shard = batch.column("shard")[0].as_py() if len(batch) else shard
             doc_ids, done = batch.column("doc_id"), 0
             plain, nulls = doc_ids.fill_null(0).to_numpy(), np.asarray(doc_ids.is_null())
-            for n, ids, lengths in encoded(table, batch.column("text").to_pylist(), end_id):
+            for n, ids, lengths in encoded(table, batch.column("text"), end_id):
                 out.add(plain[done : done + n], nulls[done : done + n], ids, lengths)
                 done += n
                 if out.n_tokens >= file_tokens:

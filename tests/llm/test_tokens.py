@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -45,7 +46,7 @@ def test_words_have_the_ids_of_texts(texts):
     plain = Tokenizer.from_file(VOCABULARY) if not hasattr(test_words_have_the_ids_of_texts, "plain") else test_words_have_the_ids_of_texts.plain
     test_words_have_the_ids_of_texts.plain = plain
     texts = [*texts, "it's  <|endoftext|>x <|startoftext|> é ́a\n's"]
-    ids, lengths = tokens.WordTable(VOCABULARY).encode([t.encode() for t in texts])
+    ids, lengths = tokens.WordTable(VOCABULARY).encode(pa.array(texts))
     assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
@@ -119,9 +120,9 @@ def test_words_table_begins_anew(monkeypatch):
     monkeypatch.setattr(tokens, "TABLE_BYTES", 20)
     table = tokens.WordTable(VOCABULARY)
     table.clear()
-    first = [table.encode([f"word{k} other".encode()])[0].tolist() for k in range(30)]
+    first = [table.encode(pa.array([f"word{k} other"]))[0].tolist() for k in range(30)]
     assert len(table.words) < 8
-    assert first == [tokens.WordTable(VOCABULARY).encode([f"word{k} other".encode()])[0].tolist() for k in range(30)]
+    assert first == [tokens.WordTable(VOCABULARY).encode(pa.array([f"word{k} other"]))[0].tolist() for k in range(30)]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -133,5 +134,5 @@ def test_any_vocabulary_gives_the_ids_of_whole_texts(name):
     plain, table = Tokenizer.from_file(path), tokens.WordTable(path)
     assert table.by_words == name.startswith("word")
     texts = ["Some Text, with  Gaps\n\tand Case", "", "x"]
-    found = list(tokens.encoded(table, [t.encode() for t in texts], 1))
+    found = list(tokens.encoded(table, pa.array(texts), 1))
     assert [i for _, ids, _ in found for i in ids.tolist()] == [i for t in texts for i in [*plain.encode(t, add_special_tokens=False).ids, 1]]
