@@ -60,7 +60,7 @@ def _spans() -> str:
     """All matches of all rules: r, kind number, start, stop."""
     parts = []
     for k, rule in enumerate(SECRET_RULES):
-        p = _quoted(rule.pattern)
+        p = _quoted(rule.plain or rule.pattern)
         parts.append(
             f"""SELECT r, {k} AS k, s, s + length(hits[j]) AS e FROM (
   SELECT r, hits, grp, j, list_sum(list_transform(segs[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:j - 1], lambda x: length(x))), 0) AS s

@@ -33,6 +33,7 @@ class SecretRule:
     pattern: str
     group: int = 0
     least: int = 1
+    plain: str = ""  # the same without possessive loops and look-ahead, for engines of linear time that have neither
 
 
 # The base rules of the contract, in their order, then the method's own.
@@ -52,6 +53,15 @@ PRIVATE_KEY = (
     rf"|(?:{KEY_GAP}{KEY_HEADER})*+(?:{KEY_GAP}[A-Za-z0-9+/]{{16,}}+={{0,2}})++(?:{KEY_GAP}[A-Za-z0-9+/]++={{0,2}})?+"
     r"|)"
 )
+#: Gaps take "+", "/" and escapes first, so what follows them begins with a letter or digit.
+_RUN = r"[A-Za-z0-9][A-Za-z0-9+/]"
+PLAIN_GAP, PLAIN_HEADER = KEY_GAP.replace("*+", "*"), KEY_HEADER.replace("*+", "*")
+PLAIN_PRIVATE_KEY = (
+    rf"-----BEGIN {KEY_NAME}"
+    rf"(?:(?:[^-]|-{{1,4}}[^-])*-----END {KEY_NAME}"
+    rf"|(?:{PLAIN_GAP}{PLAIN_HEADER})*(?:{PLAIN_GAP}{_RUN}{{15,}}={{0,2}})+(?:{PLAIN_GAP}{_RUN}*={{0,2}})?"
+    r"|)"
+)
 MORE_RULES = (
     SecretRule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     SecretRule("gitlab", r"glpat-[A-Za-z0-9_-]{20,}"),
@@ -60,7 +70,7 @@ MORE_RULES = (
     SecretRule("stripe", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"),
     SecretRule("npm", r"npm_[A-Za-z0-9]{36}"),
     SecretRule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}"),
-    SecretRule("private_key", PRIVATE_KEY),
+    SecretRule("private_key", PRIVATE_KEY, plain=PLAIN_PRIVATE_KEY),
     SecretRule("url_password", r"://[^\x00-\x20/:@]{1,64}:[^\x00-\x20/@]{3,64}@"),
 )
 RULES = BASE_RULES + MORE_RULES
