@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lambdas import bound
+
 REPLACEMENT = "\ufffd"
 
 # What is cut out of a style sheet, in this order, and what takes its place.
@@ -28,11 +30,6 @@ NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u
 REFERENCE = rf"&(#[xX][0-9A-Fa-f]{{1,8}};?|#[0-9]{{1,9}};?|(?:{'|'.join(NAMED)});)"
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value computed once, however often use names it (inside other lambdas Spark would repeat it)."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def rewritten(text: Column, pattern: str, group: int, change: Callable[[Column], Column], between: Callable[[Column], Column] = lambda c: c) -> Column:
     """text with each match replaced by change(the match's group), and what lies between matches by between(it)."""
     def joined(t: Column) -> Column:

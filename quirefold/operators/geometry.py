@@ -1,156 +1,12 @@
-"""Positioned text: lines, spans, columns, tables, reading order, headings; page comparison and regions.
-
-Input frames have doc_id, page, x, y, width, height, font_size, bold, str. A page is one group of bounded size; all
-order-dependent work happens there.
-"""
+"""Pages: sheets, regions, comparison and alignment, sensitive text, labels, budgets; layout.py has lines, tables and reading order."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from dataclasses import dataclass, field
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ITEM_COLUMNS = ["doc_id", "page", "x", "y", "width", "height", "font_size", "bold", "str"]
-
-
-@dataclass
-class Item:
-    x: float
-    y: float
-    width: float
-    size: float
-    bold: bool
-    text: str
-
-    @property
-    def right(self) -> float:
-        return self.x + self.width
-
-
-@dataclass
-class Cell:
-    x: float
-    right: float
-    text: str
-    size: float = 0.0
-
-    def take(self, item: Item | Cell, gap_share: float) -> None:
-        gap = item.x - self.right
-        self.text += (" " if gap > item.size * gap_share else "") + item.text
-        self.right = max(self.right, item.right)
-
-
-def items_of(frame: pd.DataFrame) -> list[Item]:
-    f = frame.sort_values(["y", "x"], kind="stable")
-    return [Item(float(x), float(y), float(w), float(s), bool(b), t) for x, y, w, s, b, t in zip(f["x"], f["y"], f["width"], f["font_size"], f["bold"], f["str"], strict=True)]
-
-
-def raw_lines(items: Iterable[Item], tolerance: float = 4.0) -> list[list[Item]]:
-    """Items by line: a line ends where the distance to its first item exceeds the tolerance."""
-    lines: list[list[Item]] = []
-    for item in sorted(items, key=lambda i: (i.y, i.x)):
-        if not lines or abs(item.y - lines[-1][0].y) > tolerance:
-            lines.append([])
-        lines[-1].append(item)
-    return [sorted(line, key=lambda i: i.x) for line in lines]
-
-
-def line_spans(line: list[Item]) -> list[Cell]:
-    """Fragments merged where the gap is at most 0.55 of the font or 4 points."""
-    spans: list[Cell] = []
-    for i in line:
-        last = spans[-1] if spans else None
-        if last and i.x - last.right <= max(max(last.size, i.size) * 0.55, 4):
-            last.take(i, 0.15)
-            last.size = max(last.size, i.size)
-        else:
-            spans.append(Cell(i.x, i.right, i.text, i.size))
-    return spans
-
-
-def column_boundaries(lines: list[list[Cell]]) -> list[float]:
-    """Middles of gaps of 8 points or more that no span of a line with several spans covers."""
-    events = sorted((x, d) for line in lines if len(line) >= 2 for s in line for x, d in ((s.x, 1), (s.right, -1)))
-    found: list[float] = []
-    active, before = 0, events[0][0] if events else 0.0
-    for x, delta in events:
-        if active == 0 and x - before >= 8:
-            found.append((before + x) / 2)
-        active, before = active + delta, x
-    spans = [s for line in lines for s in line]
-    held: list[float] = []
-    for b in sorted(found):
-        if any(s.right <= b + 1 for s in spans) and any(s.x >= b - 1 for s in spans) and (not held or b - held[-1] >= 4):
-            held.append(b)
-    return held
-
-
-def _column(cell: Cell, boundaries: list[float]) -> int:
-    return sum(cell.x >= b - 1 for b in boundaries)
-
-
-def table_rows(items: list[Item], separators: list[float] | None = None) -> list[list[str]]:
-    """Rows of cells of one page. separators: x positions that fix the columns."""
-    lines = raw_lines(items)
-    if separators:
-        out = []
-        for line in lines:
-            row: list[Cell | None] = [None] * (len(separators) + 1)
-            for i in line:
-                k = sum(i.x >= s for s in separators)
-                if k < len(separators) and i.right > separators[k] + 0.01:
-                    raise ValueError("a separator cuts text")
-                if row[k]:
-                    row[k].take(i, 0.15)
-                else:
-                    row[k] = Cell(i.x, i.right, i.text, i.size)
-            out.append([c.text if c else "" for c in row])
-        return out
-    spans = [line_spans(line) for line in lines]
-    bounds = column_boundaries(spans)
-    cells: list[list[Cell]] = []
-    for line in spans:
-        row: list[Cell] = []
-        for s in line:
-            apart = not row or s.x - row[-1].right > 18 or any(row[-1].right <= b + 1 and s.x >= b - 1 for b in bounds)
-            if apart:
-                row.append(Cell(s.x, s.right, s.text, s.size))
-            else:
-                row[-1].take(s, 0.15)
-        cells.append(row)
-    places = [[_column(c, bounds) for c in row] for row in cells]
-    if bounds and all(a < b for p in places for a, b in zip(p, p[1:], strict=False)):
-        return [[next((c.text for c, k in zip(row, p, strict=True) if k == col), "") for col in range(len(bounds) + 1)] for row, p in zip(cells, places, strict=True)]
-    widest = max(cells, key=len, default=[])
-    return [_by_nearest(row, widest) for row in cells]
-
-
-def _by_nearest(row: list[Cell], model: list[Cell]) -> list[str]:
-    """Each cell takes the nearest column of the widest row, by either edge, from left to right."""
-    out = [""] * max(1, len(model))
-    at = -1
-    for k, cell in enumerate(row):
-        choices = range(at + 1, len(model) - (len(row) - k) + 1)
-        at = min(choices, key=lambda c: min(abs(cell.x - model[c].x), abs(cell.right - model[c].right)), default=at + 1)
-        out[at] = cell.text
-    return out
-
-
-def page_tables(items: DataFrame, separators: list[float] | None = None) -> DataFrame:
-    """doc_id, page, row, cells, error."""
-
-    def read(frame: pd.DataFrame) -> pd.DataFrame:
-        doc, page = frame["doc_id"].iloc[0], frame["page"].iloc[0]
-        try:
-            rows = [(doc, page, k, cells, None) for k, cells in enumerate(table_rows(items_of(frame), separators))]
-        except ValueError as problem:
-            rows = [(doc, page, 0, [], str(problem))]
-        return pd.DataFrame(rows, columns=["doc_id", "page", "row", "cells", "error"])
-
-    return items.groupBy("doc_id", "page").applyInPandas(read, "doc_id long, page int, row int, cells array<string>, error string")
+from .intervals import overlap_pairs
 
 
 def sheet_summary(rows: DataFrame) -> DataFrame:
@@ -169,171 +25,6 @@ def region_filter(items: DataFrame, left: float, top: float, width: float, heigh
     return items.filter(inside).withColumn("cut", cut)
 
 
-def gap_sweep(spans: DataFrame, least: float = 8.0) -> DataFrame:
-    """doc_id, page, boundary: the sweep over span edges as a window, for spans of lines with several spans."""
-    edges = spans.select("doc_id", "page", F.explode(F.array(F.struct(F.col("x").alias("at"), F.lit(1).alias("delta")), F.struct(F.col("right").alias("at"), F.lit(-1).alias("delta")))).alias("e")).select("doc_id", "page", "e.*")
-    order = Window.partitionBy("doc_id", "page").orderBy("at", "delta")
-    open_before = F.coalesce(F.sum("delta").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    swept = edges.select("doc_id", "page", "at", F.lag("at").over(order).alias("before"), open_before.alias("active"))
-    return swept.filter((F.col("active") == 0) & (F.col("at") - F.col("before") >= least)).select("doc_id", "page", ((F.col("before") + F.col("at")) / 2).alias("boundary"))
-
-
-@dataclass
-class Line:
-    items: list[Item]
-    cells: list[Cell] = field(default_factory=list)
-
-    def __post_init__(self):
-        self.items = sorted(self.items, key=lambda i: i.x)
-        for i in self.items:
-            if self.cells and i.x - self.cells[-1].right <= 24:
-                self.cells[-1].take(i, 0.12)
-            else:
-                self.cells.append(Cell(i.x, i.right, i.text, i.size))
-
-    y = property(lambda self: self.first_y)
-    size = property(lambda self: max(i.size for i in self.items))
-    bold = property(lambda self: any(i.bold for i in self.items))
-    text = property(lambda self: " ".join(c.text.strip() for c in self.cells))
-    width = property(lambda self: max(i.right for i in self.items) - self.items[0].x)
-
-
-def text_lines(items: Iterable[Item]) -> list[Line]:
-    groups: list[list[Item]] = []
-    for i in sorted(items, key=lambda i: (i.y, i.x)):
-        if groups and abs(groups[-1][0].y - i.y) <= min(3.5, i.size * 0.3):
-            groups[-1].append(i)
-        else:
-            groups.append([i])
-    out = []
-    for g in groups:
-        line = Line(list(g))
-        line.first_y = line.items[0].y
-        out.append(line)
-    return out
-
-
-def upper_median(values: Iterable[float], default: float = 11.0) -> float:
-    ordered = sorted(values)
-    return ordered[len(ordered) // 2] if ordered else default
-
-
-def reading_groups(items: list[Item], width: float, mode: str = "auto") -> list[list[Line]]:
-    """Bands between lines that span the page; a band reads column by column where it clearly has two."""
-    lines = text_lines(items)
-    if mode == "rows":
-        return [lines]
-    middle = width / 2
-    crosses = lambda i: i.x < middle < i.right
-    groups: list[list[Line]] = []
-    band: list[Line] = []
-
-    def close() -> None:
-        if not band:
-            return
-        inside = [i for line in band for i in line.items]
-        left, right = text_lines(i for i in inside if i.right <= middle), text_lines(i for i in inside if i.x >= middle)
-        split = bool(left and right) and not any(map(crosses, inside))
-        if split and mode != "columns":
-            wide = all(len(side) >= 3 and upper_median(line.width for line in side) >= width * 0.22 for side in (left, right))
-            split = wide and max(left[0].y, right[0].y) <= min(left[-1].y, right[-1].y)
-        groups.extend([left, right] if split else [list(band)])
-        band.clear()
-
-    for line in lines:
-        if len(line.cells) == 1 and any(map(crosses, line.items)):
-            close()
-            groups.append([line])
-        else:
-            band.append(line)
-    close()
-    return groups
-
-
-def _escaped(text: str) -> str:
-    out = text.replace("\\", "\\\\").replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-    out = "".join("\\" + c if c in "*_[]`|" else c for c in out)
-    return out.replace("-", "\\-") if len(text) >= 3 and not text.strip("- \t") else out
-
-
-def heading_level(text: Column, font_size: Column, bold: Column, base_size: Column) -> Column:
-    """1 to 3 by the font's ratio or weight; null for body text."""
-    ratio = font_size / base_size
-    short = (F.length(text) <= 100) & ~text.rlike(r"[.!?]$")
-    return F.when(short, F.when(ratio >= 1.6, 1).when(ratio >= 1.3, 2).when((ratio >= 1.15) | bold, 3))
-
-
-def _plain(line: Line, base: float) -> str:
-    text, ratio = line.text, line.size / base
-    head = text.split(" ", 1)[0]
-    if head in ("-", "*", "+", ">") or head.strip("#") == "" and 1 <= len(head) <= 6 or head[:-1].isdigit() and head.endswith("."):
-        if " " in text:
-            return head + " " + _escaped(text.split(" ", 1)[1])
-    if text[:1] in "•◦▪►" and text:
-        return "- " + _escaped(text[1:].lstrip())
-    if len(text) <= 100 and text[-1:] not in (".", "!", "?"):
-        level = 1 if ratio >= 1.6 else 2 if ratio >= 1.3 else 3 if ratio >= 1.15 or line.bold else 0
-        if level:
-            return "#" * level + " " + _escaped(text)
-    return _escaped(text)
-
-
-def _pipe_table(lines: list[Line]) -> str | None:
-    anchors: list[list[float]] = []
-    for line in lines:
-        for c in line.cells:
-            near = next((a for a in anchors if abs(a[0] - c.x) <= 12), None)
-            if near:
-                near[1] += 1
-            else:
-                anchors.append([c.x, 1])
-    anchors.sort()
-    if len(lines) < 2 or not 2 <= len(anchors) <= 12 or sum(n >= 2 for _, n in anchors) < 2:
-        return None
-    rows = []
-    for line in lines:
-        cells = [""] * len(anchors)
-        for c in line.cells:
-            text = _escaped(c.text.strip())
-            rule = bool(text) and not text.strip("-: \t")
-            cells[next(k for k, a in enumerate(anchors) if abs(a[0] - c.x) <= 12)] = "".join("\\" + x if x in "-:" else x for x in text) if rule else text
-        rows.append("| " + " | ".join(cells) + " |")
-    rows.insert(1, "| " + " | ".join(["---"] * len(anchors)) + " |")
-    return "\n".join(rows)
-
-
-def page_markdown(items: list[Item], width: float, mode: str = "auto") -> str:
-    base = upper_median(i.size for i in items)
-    blocks: list[str] = []
-    for group in reading_groups(items, width, mode):
-        table: list[Line] = []
-
-        def close(table=table) -> None:
-            text = _pipe_table(table) if table else None
-            blocks.extend([text] if text else [_plain(line, base) for line in table])
-            table.clear()
-
-        for line in group:
-            if len(line.cells) >= 2:
-                if table and line.y - table[-1].y > base * 4:
-                    close()
-                table.append(line)
-            else:
-                close()
-                blocks.append(_plain(line, base))
-        close()
-    return "\n\n".join(blocks)
-
-
-def pages_to_markdown(items: DataFrame, mode: str = "auto") -> DataFrame:
-    """doc_id, page, markdown; items carry page_width too."""
-
-    def convert(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(frame["doc_id"].iloc[0], frame["page"].iloc[0], page_markdown(items_of(frame), float(frame["page_width"].iloc[0]), mode))], columns=["doc_id", "page", "markdown"])
-
-    return items.groupBy("doc_id", "page").applyInPandas(convert, "doc_id long, page int, markdown string")
-
-
 def word_similarity(left: Column, right: Column) -> Column:
     """Jaccard of distinct words; 0 for two texts without words."""
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)))
@@ -448,7 +139,10 @@ def sensitive_matches(pages: DataFrame, pattern: str) -> DataFrame:
 def match_rectangles(matches: DataFrame, slices: DataFrame) -> DataFrame:
     """matches joined with text slices (doc_id, page, first, last, x, y, width, height, font_size) on overlap; the boxes
     of one match on one visual line (0.6 of the font) are merged, in percent of the page with two decimals."""
-    joined = matches.join(slices, ["doc_id", "page"]).filter((F.col("start") < F.col("last")) & (F.col("stop") > F.col("first")))
+    spans = slices.withColumnsRenamed({"first": "start", "last": "stop"})
+    pairs = overlap_pairs(matches, spans, ["doc_id", "page"], "start", "stop")
+    others = [c for c in slices.columns if c not in ("doc_id", "page", "first", "last")]
+    joined = pairs.select("l.*", F.col("r.start").alias("first"), F.col("r.stop").alias("last"), *(F.col(f"r.{c}").alias(c) for c in others))
     share = F.lit(1.0) * (F.col("width") / (F.col("last") - F.col("first")))
     left = F.col("x") + share * F.greatest(F.lit(0), F.col("start") - F.col("first"))
     right = F.col("x") + share * F.least(F.col("last") - F.col("first"), F.col("stop") - F.col("first"))
@@ -461,28 +155,6 @@ def match_rectangles(matches: DataFrame, slices: DataFrame) -> DataFrame:
     return merged.select("doc_id", "page", "seq", "line", percent(F.col("l"), F.col("pw")).alias("x"), percent(F.col("t"), F.col("ph")).alias("y"), percent(F.col("r") - F.col("l"), F.col("pw")).alias("width"), percent(F.col("b") - F.col("t"), F.col("ph")).alias("height"))
 
 
-def paragraphs(lines: list[Line]) -> list[list[Line]]:
-    """Consecutive lines of like size and left edge, at most 1.6 line heights apart."""
-    out: list[list[Line]] = []
-    for line in lines:
-        last = out[-1][-1] if out else None
-        if last and abs(last.size - line.size) <= 0.5 and abs(last.items[0].x - line.items[0].x) <= 6 and 0 < line.y - last.y <= 1.6 * line.size:
-            out[-1].append(line)
-        else:
-            out.append([line])
-    return out
-
-
-def page_paragraphs(items: DataFrame) -> DataFrame:
-    """doc_id, page, seq, lines, font_size, bold, text: runs grouped into lines and paragraphs for editing."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = [(frame["doc_id"].iloc[0], frame["page"].iloc[0], k, len(p), max(x.size for x in p), all(x.bold for x in p), " ".join(x.text for x in p)) for k, p in enumerate(paragraphs(text_lines(items_of(frame))))]
-        return pd.DataFrame(rows, columns=["doc_id", "page", "seq", "lines", "font_size", "bold", "text"])
-
-    return items.groupBy("doc_id", "page").applyInPandas(run, "doc_id long, page int, seq int, lines int, font_size double, bold boolean, text string")
-
-
 def page_labels(pages: DataFrame, style: str = "page_of", first: int = 1) -> DataFrame:
     """doc_id, page, label in one of five styles; pages before the first labelled one get none, but count."""
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("page"))

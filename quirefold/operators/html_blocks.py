@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.css import bound, clean_css, is_safe_image, rewritten, unreferenced
+from ..functions.css import clean_css, is_safe_image, rewritten, unreferenced
+from ..functions.lambdas import bound
 from ..functions.text import clean_html_text
 
 # Elements that are dropped with their content, and those blocked by the sanitizer.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import diff, extraction, geometry, html_blocks, review, segments
+from ..operators import diff, extraction, geometry, html_blocks, layout, review, segments
 from .registry import Registry, Tool
 
 
@@ -22,9 +22,9 @@ def default_registry() -> Registry:
             tool("text-translate-segments", segments.translation_segments),
             tool("pages-summarize-chunks", segments.chunk_pages),
             tool("html-blocks", html_blocks.page_blocks, accepts=("text/html",)),
-            tool("pages-to-tables", geometry.page_tables),
-            tool("pages-to-markdown", geometry.pages_to_markdown),
-            tool("pages-to-paragraphs", geometry.page_paragraphs),
+            tool("pages-to-tables", layout.page_tables),
+            tool("pages-to-markdown", layout.pages_to_markdown),
+            tool("pages-to-paragraphs", layout.page_paragraphs),
             tool("pages-labels", geometry.page_labels),
         ]
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, identifiers, numbers, text
-from ..operators import evaluation, geometry, ledger, relational, segments
+from ..operators import evaluation, geometry, layout, ledger, relational, segments
 from .common import Table
 
 QUERIES = {}
@@ -289,7 +289,7 @@ HEADINGS = Table("SELECT CASE p_partkey % 3 WHEN 0 THEN p_name || '.' ELSE p_nam
 
 @query(HEADINGS, "SELECT text, CASE WHEN length(text) <= 100 AND NOT regexp_matches(text, '[.!?]$') THEN CASE WHEN size / 11 >= 1.6 THEN 1 WHEN size / 11 >= 1.3 THEN 2 WHEN size / 11 >= 1.15 OR bold THEN 3 END END AS level FROM $rows")
 def i9_heading_levels(df):
-    return df.select("text", geometry.heading_level(F.col("text"), F.col("size"), F.col("bold"), F.lit(11.0)).alias("level"))
+    return df.select("text", layout.heading_level(F.col("text"), F.col("size"), F.col("bold"), F.lit(11.0)).alias("level"))
 
 
 PLACED = Table('SELECT l_orderkey AS doc_id, 1 AS page, l_quantity * 2 AS x, l_discount * 1000 AS y, l_tax * 400 AS width, CASE WHEN l_linenumber = 2 THEN 0 ELSE CAST(10 AS DOUBLE) END AS height, CAST(12 AS DOUBLE) AS font_size, false AS bold, CAST(l_partkey AS STRING) AS str, CAST(100 AS DOUBLE) AS page_width, CAST(100 AS DOUBLE) AS page_height FROM lineitem')
@@ -305,17 +305,17 @@ GRID = Table('SELECT l_suppkey AS doc_id, CAST(1 + l_orderkey % 4 AS INT) AS pag
 
 @query(GRID)
 def i1_i4_page_tables(df):
-    return geometry.page_tables(df).select("doc_id", "page", "row", F.array_join("cells", "|").alias("cells"), "error")
+    return layout.page_tables(df).select("doc_id", "page", "row", F.array_join("cells", "|").alias("cells"), "error")
 
 
 @query(GRID)
 def i7_i10_page_markdown(df):
-    return geometry.pages_to_markdown(df)
+    return layout.pages_to_markdown(df)
 
 
 @query(GRID)
 def i19_page_paragraphs(df):
-    return geometry.page_paragraphs(df)
+    return layout.page_paragraphs(df)
 
 
 @query(GRID, """WITH e AS (SELECT doc_id, page, x AS edge, 1 AS d FROM $rows WHERE font_size < 15 UNION ALL SELECT doc_id, page, x + width, -1 FROM $rows WHERE font_size < 15),
@@ -323,7 +323,7 @@ w AS (SELECT doc_id, page, edge, lag(edge) OVER (PARTITION BY doc_id, page ORDER
 SELECT doc_id, page, (before + edge) / 2 AS boundary FROM w WHERE active = 0 AND edge - before >= 8""")
 def f12_gap_sweep(df):
     spans = df.filter("font_size < 15").select("doc_id", "page", "x", (F.col("x") + F.col("width")).alias("right"))
-    return geometry.gap_sweep(spans).select("doc_id", "page", "boundary")
+    return layout.gap_sweep(spans).select("doc_id", "page", "boundary")
 
 
 PDFS = Table('SELECT CAST(p_partkey AS INT) AS id, p_size % 7 = 0 AS signed, CAST(p_partkey * 71 % 100000 AS BIGINT) AS total, CAST(p_size % 4 AS BIGINT) AS images, CAST(p_partkey * 13 % 90000 AS BIGINT) AS image_bytes, p_partkey % 2 = 0 AS streams FROM part')

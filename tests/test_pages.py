@@ -3,31 +3,6 @@ from pyspark.sql import functions as F
 from quirefold.operators import geometry, html_blocks, segments
 
 
-def item(x, y, text, size=10.0, width=40.0, bold=False):
-    return geometry.Item(float(x), float(y), float(width), size, bold, text)
-
-
-def test_tables_by_gaps_and_separators():
-    items = [item(c * 150, r * 20, f"{r}{c}") for r in range(3) for c in range(3) if (r, c) != (1, 1)]
-    assert geometry.table_rows(items) == [["00", "01", "02"], ["10", "", "12"], ["20", "21", "22"]]
-    assert geometry.table_rows(items, [100.0, 250.0]) == [["00", "01", "02"], ["10", "", "12"], ["20", "21", "22"]]
-    assert geometry.table_rows([item(0, 0, "a", width=10), item(12, 0, "b", width=10)]) == [["a b"]]
-    assert geometry.table_rows([]) == []
-
-
-def test_reading_order_of_two_columns():
-    items = [item(x, 20 * r, f"{side}{r}", width=150) for r in range(4) for side, x in (("L", 20), ("R", 320))]
-    groups = geometry.reading_groups(items, 600)
-    assert [[line.text for line in g] for g in groups] == [["L0", "L1", "L2", "L3"], ["R0", "R1", "R2", "R3"]]
-    assert len(geometry.reading_groups(items, 600, "rows")) == 1
-
-
-def test_markdown():
-    assert geometry.page_markdown([item(0, 0, "Title", 20.0), item(0, 40, "body one."), item(0, 60, "body two.")], 600) == "# Title\n\nbody one.\n\nbody two."
-    text = geometry.page_markdown([item(100 * c, 20 * r, f"{r}{c}") for r in range(2) for c in range(2)], 600)
-    assert text == "| 00 | 01 |\n| --- | --- |\n| 10 | 11 |"
-
-
 def test_alignment_and_regions():
     assert geometry.align([[0.9, 0.1], [0.1, 0.1]]) == [(0, 0), (1, 1)] or geometry.align([[0.9, 0.1], [0.1, 0.1]])
     assert geometry.align([[0.1, 0.95]]) == [(None, 0), (0, 1)]
