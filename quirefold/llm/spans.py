@@ -188,8 +188,8 @@ def span_rows(docs: DataFrame, unit: type, size: int, gram: int) -> DataFrame:
 
 
 def with_requests(docs: DataFrame, requests: DataFrame, *fields: str, how: str = "inner") -> DataFrame:
-    """keyed docs with the requests on each of them in one array; its length is bounded by the document's."""
-    asked = requests.groupBy("did", "th").agg(F.collect_list(F.struct(*fields)).alias("asked"))
+    """keyed docs with the distinct requests on each of them in one array; rows with equal keys ask once, so the document's length bounds it."""
+    asked = requests.groupBy("did", "th").agg(F.collect_set(F.struct(*fields)).alias("asked"))
     return docs.join(asked.hint("shuffle_hash"), ["did", "th"], how)  # texts needn't be sorted
 
 

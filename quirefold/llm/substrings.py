@@ -118,7 +118,7 @@ class FingerprintIndex:
         # firsts, and rows with another text under the same id and place, which get the same verdict
         asked = placed.filter(place == F.col("first")).join(varied.hint("shuffle_hash"), "a").select("seq", "did", "th", "lo", "n", F.col("seq").alias("flag"))
         documents = _union([d.select("did", "th", "text").withColumn("seq", F.lit(k)) for k, d in enumerate([*self.documents, docs])])
-        requests = asked.groupBy("seq", "did", "th").agg(F.collect_list(F.struct("lo", "n", "flag")).alias("asked"))
+        requests = asked.groupBy("seq", "did", "th").agg(F.collect_set(F.struct("lo", "n", "flag")).alias("asked"))
         found = documents.join(requests.hint("shuffle_hash"), ["seq", "did", "th"])
         windows = stored(window_rows(found.select("did", "th", "text", "asked"), Words, self.window), "windows")
         at = F.struct(F.col("flag"), F.col("did"), F.col("lo"))

@@ -123,12 +123,20 @@ def _cut(size: int):
     return scan
 
 
+#: Strings in this order have those of rows equal in id and text beside each other.
+STRING_ORDER = ["a", "did", "th", "lo"]
+
+
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows sorted by anchor, as collections: whole groups of one anchor, together at most COLLECTION or one group."""
+    """Strings in STRING_ORDER, as collections: whole groups of one anchor, together at most COLLECTION or one group."""
     part: list[tuple] = []
     group: list[tuple] = []
+    before = None
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
+            same, before = row[:4] == before, row[:4]
+            if same:
+                continue
             if group and row[0] != group[0][0]:
                 if part and len(part) + len(group) > COLLECTION:
                     yield part
@@ -216,7 +224,7 @@ def collections(docs: DataFrame, size: int = WINDOW, gram: int = GRAM) -> tuple[
 def repeated_ranges(docs: DataFrame, size: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """did, th, lo, n: windows of keyed docs that also start elsewhere, by first window and number."""
     ranges, strings = collections(docs, size, gram)
-    solved = strings.repartition("a").sortWithinPartitions("a").mapInArrow(_collections(size), "did long, th long, lo int, n int")
+    solved = strings.repartition("a").sortWithinPartitions(*STRING_ORDER).mapInArrow(_collections(size), "did long, th long, lo int, n int")
     return ranges.unionByName(stored(solved, "byte-solved"))
 
 
@@ -244,7 +252,7 @@ def transforms(docs: DataFrame, path: str, size: int = WINDOW, gram: int = GRAM)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
 
-    collections(rows, size, gram)[1].repartition("a").sortWithinPartitions("a").mapInArrow(scan, TRANSFORM_SCHEMA).write.parquet(path)
+    collections(rows, size, gram)[1].repartition("a").sortWithinPartitions(*STRING_ORDER).mapInArrow(scan, TRANSFORM_SCHEMA).write.parquet(path)
     return docs.sparkSession.read.schema(TRANSFORM_SCHEMA).parquet(path)
 
 

@@ -169,3 +169,27 @@ def test_column_order_is_the_suffix_order():
     for k, s in enumerate(strings):
         want = [any(j != k and t[c : c + 3] == s[c : c + 3] for j, t in enumerate(strings)) for c in range(len(s) - 2)]
         assert found[k].tolist() == want
+
+
+def test_equal_rows_cost_no_more_than_others(spark):
+    """5,000 rows that are equal in id and text, with and without an id: linear work, and every row its own verdict."""
+    import hashlib
+    import time
+
+    from quirefold.llm import substrings, suffix
+
+    text = " ".join(f"w{k * 7919 % 1009}" for k in range(900))
+    for doc_id in (4, None):
+        rows = [(1, "other words here"), (9, text + " and more")] + [(doc_id, text)] * 5000
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        began = time.time()
+        cut = suffix.suffix_dedup(docs).groupBy("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").count().collect()
+        assert time.time() - began < 90
+        size, nothing = len(text), hashlib.sha256(b"").hexdigest()
+        found = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r["count"]) for r in cut}
+        assert found == {(doc_id, size, size, 1, nothing, 5000), (9, size + 9, size, 1, hashlib.sha256(b" and more").hexdigest(), 1), (1, 16, 0, 0, hashlib.sha256(b"other words here").hexdigest(), 1)}
+        began = time.time()
+        kept = substrings.substring_dedup(docs, batches=2).groupBy("doc_id", "n_words", "n_removed").count().collect()
+        assert time.time() - began < 90
+        # a null id comes before all others; equal places are the same place
+        assert {tuple(r) for r in kept} == {(doc_id, 900, 0, 5000), (9, 902, 900, 1), (1, 3, 0, 1)}
