@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import markup, scalars, spans, tables, texts
+from . import markup, pages, scalars, spans, tables, texts
 
-QUERIES = {**texts.QUERIES, **tables.QUERIES, **scalars.QUERIES, **markup.QUERIES, **spans.QUERIES}
-ORACLE_SQL = {**texts.ORACLE_SQL, **tables.ORACLE_SQL, **scalars.ORACLE_SQL, **markup.ORACLE_SQL, **spans.ORACLE_SQL}
+QUERIES = {**texts.QUERIES, **tables.QUERIES, **scalars.QUERIES, **markup.QUERIES, **spans.QUERIES, **pages.QUERIES}
+ORACLE_SQL = {**texts.ORACLE_SQL, **tables.ORACLE_SQL, **scalars.ORACLE_SQL, **markup.ORACLE_SQL, **spans.ORACLE_SQL, **pages.ORACLE_SQL}

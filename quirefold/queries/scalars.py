@@ -303,21 +303,6 @@ def i5_region_filter(df):
 GRID = Table('SELECT l_suppkey AS doc_id, CAST(1 + l_orderkey % 4 AS INT) AS page, CAST(40 + 150 * (l_linenumber % 3) AS DOUBLE) AS x, CAST(50 + 20 * (l_partkey % 40) AS DOUBLE) AS y, CAST(60 AS DOUBLE) AS width, CAST(10 AS DOUBLE) AS height, CAST(10 AS DOUBLE) AS font_size, l_linenumber < 3 AS bold, CAST(l_partkey AS STRING) AS str, CAST(600 AS DOUBLE) AS page_width FROM lineitem')
 
 
-@query(GRID)
-def i1_i4_page_tables(df):
-    return layout.page_tables(df).select("doc_id", "page", "row", F.array_join("cells", "|").alias("cells"), "error")
-
-
-@query(GRID)
-def i7_i10_page_markdown(df):
-    return layout.pages_to_markdown(df)
-
-
-@query(GRID)
-def i19_page_paragraphs(df):
-    return layout.page_paragraphs(df)
-
-
 @query(GRID, """WITH e AS (SELECT doc_id, page, x AS edge, 1 AS d FROM $rows WHERE font_size < 15 UNION ALL SELECT doc_id, page, x + width, -1 FROM $rows WHERE font_size < 15),
 w AS (SELECT doc_id, page, edge, lag(edge) OVER (PARTITION BY doc_id, page ORDER BY edge, d) AS before, coalesce(sum(d) OVER (PARTITION BY doc_id, page ORDER BY edge, d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS active FROM e)
 SELECT doc_id, page, (before + edge) / 2 AS boundary FROM w WHERE active = 0 AND edge - before >= 8""")
