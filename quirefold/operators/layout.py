@@ -42,7 +42,7 @@ def as_items(frame: DataFrame, *more: str) -> DataFrame:
     return frame.select(*PAGE, *more, item.alias("item"))
 
 
-def placed_lines(items: DataFrame, keys: list[str], tolerance: Callable[[Column], Column]) -> DataFrame:
+def placed_lines(items: DataFrame, keys: list[str], tolerance: Callable[[Column], Column], kind: str = ITEM) -> DataFrame:
     """keys, line (from 1), y and items (from left to right): a line ends where an item is further than its tolerance from the line's first item.
 
     An item that is too far from the item before it is too far from the line's first one; so a window cuts there, and a
@@ -54,7 +54,7 @@ def placed_lines(items: DataFrame, keys: list[str], tolerance: Callable[[Column]
     runs = runs.groupBy(*keys, "run").agg(F.array_sort(F.collect_list("item")).alias("items"))
     near = lambda first, item: item["y"] - first["y"] <= tolerance(item)
     one = F.forall("items", lambda i: near(_first(F.col("items")), i))
-    several = grouped(F.col("items"), F.array().cast(f"array<array<{ITEM}>>"), lambda line, i: near(_first(line), i), lambda line, i: F.concat(line, F.array(i)), lambda i: F.array(i))
+    several = grouped(F.col("items"), F.array().cast(f"array<array<{kind}>>"), lambda line, i: near(_first(line), i), lambda line, i: F.concat(line, F.array(i)), lambda i: F.array(i))
     rows = runs.select(*keys, "run", F.posexplode(F.when(one, F.array("items")).otherwise(several)).alias("part", "items"))
     by_x = F.transform(F.array_sort(F.transform("items", lambda i: F.struct(i["x"].alias("at"), i.alias("item")))), lambda i: i["item"])
     numbered = rows.withColumn("line", F.row_number().over(Window.partitionBy(*keys).orderBy("run", "part")))

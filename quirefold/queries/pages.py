@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import layout
+from ..operators import layout, rebuild
 from .common import Table
 from .scalars import GRID
 
@@ -85,3 +85,37 @@ v AS (SELECT f.doc_id, f.page, f.run, is_table, any_value(wide) AS wide,
 SELECT doc_id, page, string_agg(block, chr(10) || chr(10) ORDER BY run) AS markdown FROM v GROUP BY doc_id, page""")
 def i7_i10_page_markdown(spark, sf_dir):
     return layout.pages_to_markdown(GRID.frame(spark, sf_dir))
+
+
+def _fragments(step: int, where: str) -> Table:
+    """Words of lines 14 points apart, with a wider gap after every sixth, from the left edge in steps of `step` points."""
+    return Table(
+        f"SELECT l_suppkey AS doc_id, CAST(1 + l_orderkey % 8 AS INT) AS page, CAST(20 + {step} * (l_linenumber - 1) AS DOUBLE) AS x, CAST(40 + 14 * (l_partkey % 30) + 16 * floor(l_partkey % 30 / 6) AS DOUBLE) AS y, CAST(50 AS DOUBLE) AS width, "
+        f"CAST(10 AS DOUBLE) AS font_size, CASE WHEN l_linenumber < 3 THEN 'Text-Bold' ELSE 'Text' END AS font_name, CAST(l_partkey AS STRING) AS str, CAST(600 AS DOUBLE) AS page_width FROM lineitem WHERE {where}"
+    )
+
+
+FLOWING, TABULAR = _fragments(8, "l_orderkey % 2 = 0"), _fragments(90, "l_orderkey % 2 = 1 AND l_linenumber <= 3")
+
+
+@query(f"""WITH l AS (SELECT doc_id, page, y, string_agg(str, ' ' ORDER BY x, str) AS t, count(*) FILTER (font_name = 'Text-Bold') AS bold, count(*) AS n FROM {FLOWING.sql} GROUP BY doc_id, page, y),
+b AS (SELECT *, lag(y) OVER (PARTITION BY doc_id, page ORDER BY y) AS py FROM l),
+r AS (SELECT *, sum(CASE WHEN y - py <= 18.5 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY y) AS seq FROM b)
+SELECT doc_id, page, CAST(seq AS INT) AS seq, 'paragraph' AS kind, string_agg(t, ' ' ORDER BY y) AS text, CAST(sum(CASE WHEN bold = 0 OR bold = n THEN 1 ELSE 2 END) AS BIGINT) AS runs FROM r GROUP BY doc_id, page, seq""")
+def i11_rebuilt_paragraphs(spark, sf_dir):
+    blocks = rebuild.rebuilt_blocks(FLOWING.frame(spark, sf_dir))
+    return blocks.select("doc_id", "page", "seq", "kind", "text", F.size("runs").cast("long").alias("runs"))
+
+
+@query(f"""WITH c AS (SELECT doc_id, page, y, x, string_agg(str, ' ' ORDER BY str) AS t FROM {TABULAR.sql} GROUP BY doc_id, page, y, x),
+l AS (SELECT doc_id, page, y, count(*) AS n FROM c GROUP BY doc_id, page, y),
+b AS (SELECT *, lag(n) OVER w AS pn, lag(y) OVER w AS py FROM l WINDOW w AS (PARTITION BY doc_id, page ORDER BY y)),
+r AS (SELECT *, sum(CASE WHEN n >= 2 AND pn >= 2 AND y - py <= 35 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY y) AS run FROM b),
+x AS (SELECT c.*, run, n FROM c JOIN r USING (doc_id, page, y) WHERE n >= 2),
+k AS (SELECT doc_id, page, run, x, count(*) AS hits FROM x GROUP BY doc_id, page, run, x),
+q AS (SELECT doc_id, page, run FROM k GROUP BY doc_id, page, run HAVING count(*) FILTER (hits >= 2) >= 2),
+o AS (SELECT y.doc_id, y.page, y.run, y.y, string_agg(coalesce(x.t, ''), '|' ORDER BY k.x) AS cells FROM (SELECT DISTINCT doc_id, page, run, y FROM x) y JOIN q USING (doc_id, page, run) JOIN k USING (doc_id, page, run) LEFT JOIN x ON x.doc_id = y.doc_id AND x.page = y.page AND x.y = y.y AND x.x = k.x GROUP BY y.doc_id, y.page, y.run, y.y)
+SELECT doc_id, page, string_agg(cells, chr(10) ORDER BY y) AS rows FROM o GROUP BY doc_id, page, run""")
+def i11_rebuilt_tables(spark, sf_dir):
+    blocks = rebuild.rebuilt_blocks(TABULAR.frame(spark, sf_dir)).filter("kind = 'table'")
+    return blocks.select("doc_id", "page", F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "\n").alias("rows"))
