@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import iterations, markup, pages, scalars, spans, tables, texts
+from . import iterations, markup, pages, scalars, spans, tables, texts, words
 
-QUERIES = {**texts.QUERIES, **tables.QUERIES, **scalars.QUERIES, **markup.QUERIES, **spans.QUERIES, **pages.QUERIES, **iterations.QUERIES}
-ORACLE_SQL = {**texts.ORACLE_SQL, **tables.ORACLE_SQL, **scalars.ORACLE_SQL, **markup.ORACLE_SQL, **spans.ORACLE_SQL, **pages.ORACLE_SQL, **iterations.ORACLE_SQL}
+QUERIES = {**texts.QUERIES, **tables.QUERIES, **scalars.QUERIES, **markup.QUERIES, **spans.QUERIES, **pages.QUERIES, **iterations.QUERIES, **words.QUERIES}
+ORACLE_SQL = {**texts.ORACLE_SQL, **tables.ORACLE_SQL, **scalars.ORACLE_SQL, **markup.ORACLE_SQL, **spans.ORACLE_SQL, **pages.ORACLE_SQL, **iterations.ORACLE_SQL, **words.ORACLE_SQL}

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graphs, selection
+from ..sources import blobs
+from ..sources.scratch import scratch
+from ..streaming.sessions import replayed_sessions
 from .common import Table, load
 
 QUERIES = {}
@@ -68,3 +71,34 @@ def d6_selected_percentiles(spark, sf_dir):
 @query("SELECT event_type, list_extract(list_sort(list(value)), CAST(count(*) // 2 + 1 AS BIGINT)) AS median FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def d13_selected_medians(spark, sf_dir):
     return selection.select_ranks(load(spark, sf_dir, "events"), ["event_type"], "value", {"median": selection.upper_median_rank()})
+
+
+@query(
+    """SELECT CAST(page_id AS VARCHAR) AS document_id, 'ORIGINAL' AS kind, sha256(html) AS hash, CAST(octet_length(encode(html)) AS BIGINT) AS size, NULL AS made_of, true AS intact FROM pages
+UNION ALL SELECT CAST(page_id AS VARCHAR), 'DERIVED', sha256(regexp_replace(html, '<[^>]*>', '', 'g')), CAST(octet_length(encode(regexp_replace(html, '<[^>]*>', '', 'g'))) AS BIGINT), sha256(html), true FROM pages"""
+)
+def a1_a4_committed_artifacts(spark, sf_dir):
+    """Pages and their bare texts through the content store: two operations, the second written twice; then read back."""
+    pages = load(spark, sf_dir, "pages")
+    row = lambda kind, content, inputs: pages.select(F.col("page_id").cast("string").alias("document_id"), F.lit(kind).alias("kind"), F.lit("text/html").alias("mime_type"), content.cast("binary").alias("content"), inputs.alias("inputs"))
+    originals = row("ORIGINAL", F.col("html"), F.array().cast("array<string>"))
+    derived = row("DERIVED", F.regexp_replace("html", "<[^>]*>", ""), F.array(F.sha2(F.col("html").cast("binary"), 256)))
+    with scratch(spark, "blobs") as made:
+        blobs.write_artifacts(originals, made.path, "import")
+        for _ in range(2):
+            blobs.write_artifacts(derived, made.path, "derive")
+        rows = blobs.read_artifacts(spark, made.path).join(blobs.read_contents(spark, made.path), "hash")
+        found = rows.filter(F.col("size") == F.col("actual_size")).select("document_id", "kind", "hash", "size", F.get("inputs", F.lit(0)).alias("made_of"), "intact")
+        return made.write(found)
+
+
+@query(
+    """WITH e AS (SELECT user_id, epoch(date_trunc('second', ts)) AS sec FROM events),
+g AS (SELECT *, lag(sec) OVER (PARTITION BY user_id ORDER BY sec) AS before FROM e),
+n AS (SELECT *, sum(CASE WHEN before IS NULL OR sec - before >= 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY sec ROWS UNBOUNDED PRECEDING) AS session_no FROM g),
+s AS (SELECT user_id, CAST(min(sec) AS BIGINT) AS first_at, CAST(max(sec) AS BIGINT) AS last_at, count(*) AS n FROM n GROUP BY user_id, session_no)
+SELECT * FROM s WHERE (last_at + 1800) * 1000 <= (SELECT epoch_ms(max(ts)) - 600000 FROM events)"""
+)
+def k7_streamed_sessions(spark, sf_dir):
+    """Sessions that a stream over all events has closed: the batch rows but for those that its watermark hasn't passed."""
+    return replayed_sessions(spark, f"{sf_dir}/events.parquet", "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
