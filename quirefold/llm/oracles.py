@@ -81,6 +81,21 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN z ON z.r = d.r
 """
 
+#: Bytes as pairs of hexadecimal digits; every window by its hash, cut from blocks that overlap (a cut counts from the start).
+OP8 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+q AS (SELECT r, b, substr(h, 2000 * b + 1, 2798) AS c FROM (SELECT r, h, unnest(range((length(h) // 2 - 400) // 1000 + 1)) AS b FROM d WHERE length(h) >= 800)),
+s AS (SELECT r, 1000 * b + j AS i, hash(substr(c, 2 * j + 1, 800)) AS k FROM (SELECT r, b, c, unnest(range(least(1000, length(c) // 2 - 399))) AS j FROM q)),
+w AS (SELECT r, i FROM s WHERE k IN (SELECT k FROM s GROUP BY k HAVING count(*) > 1)),
+f AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM w),
+g AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS n FROM f),
+x AS (SELECT r, n, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY r, n),
+y AS (SELECT x.r, a, b, coalesce(lag(b) OVER (PARTITION BY x.r ORDER BY a), 0) AS before, h FROM x JOIN d USING (r)),
+z AS (SELECT r, sum(b - a) AS removed, count(*) AS spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM y GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN z USING (r)
+"""
+
 OP9 = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
 f AS (SELECT page_id, n, h, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY h) END AS first FROM p)
@@ -137,4 +152,4 @@ SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY la
 FROM k JOIN f USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1, "op2_substring_dedup": OP2, "op7_secret_scans": OP7, "op9_warc": OP9, "op11_fill_in_middle": OP11, "op12_vector_codes": OP12}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1, "op2_substring_dedup": OP2, "op7_secret_scans": OP7, "op8_suffix_dedup": OP8, "op9_warc": OP9, "op11_fill_in_middle": OP11, "op12_vector_codes": OP12}
