@@ -103,12 +103,12 @@ def reading_groups(frame: DataFrame) -> DataFrame:
     passed = F.sum(F.when(across, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     lines = rebuilt_lines(items, keys).withColumn("band", passed * 2 - F.when(across, 1).otherwise(0))
     bands = lines.filter(F.col("band") % 2 == 0).groupBy(*keys, "band").agg(F.count("*").alias("n"), F.flatten(F.collect_list("items")).alias("items"))
-    bands = bands.filter("n >= 3").withColumn("cut", gutter(F.col("items"), F.col("page_width"))).filter(F.col("cut").isNotNull())
-    on_left, on_right = lambda f: _right(f, 0.4) <= F.col("cut") + 4, lambda f: f["x"] >= F.col("cut") - 4
-    count = lambda test: F.size(F.filter("items", test))
-    bands = bands.filter((count(on_left) > 0) & (count(on_right) > 0) & (count(on_left) + count(on_right) == F.size("items")))
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.filter("items", on_left).alias("items")), F.struct(F.lit(1).alias("side"), F.filter("items", on_right).alias("items")))
-    sided = bands.select(*keys, "band", F.explode(sides).alias("s")).select(*keys, "band", "s.side", F.explode("s.items").alias("item"))
+    left, right = lambda cut: F.filter("items", lambda f: _right(f, 0.4) <= cut + 4), lambda cut: F.filter("items", lambda f: f["x"] >= cut - 4)
+    side = lambda s, items: F.struct(F.lit(s).alias("side"), items.alias("items"))
+    clean = lambda s: (F.size(s[0]["items"]) > 0) & (F.size(s[1]["items"]) > 0) & (F.size(s[0]["items"]) + F.size(s[1]["items"]) == F.size("items"))
+    # one expression, not columns with filters: Spark would write the gutter into every test and find it anew for each fragment
+    cut_at = lambda cut: F.when(cut.isNotNull(), bound(F.array(side(0, left(cut)), side(1, right(cut))), lambda s: F.when(clean(s), s)))
+    sided = bands.filter("n >= 3").select(*keys, "band", F.explode(bound(gutter(F.col("items"), F.col("page_width")), cut_at)).alias("s")).select(*keys, "band", "s.side", F.explode("s.items").alias("item"))
     halves = rebuilt_lines(sided, [*keys, "band", "side"])
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
     one = halves.groupBy(*keys, "band", "side").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.col("right") - F.col("left"))).alias("wide"), F.avg(words).alias("words"), F.min_by("top", "line").alias("first"), F.max_by("top", "line").alias("last"))

@@ -59,3 +59,9 @@ def test_lines_of_many_narrow_fragments_do_not_cross_the_page(spark):
     """A line's right edge is its fragments', however many there are."""
     rows = [frag(20 + 8 * k, 20 + 14 * r, "w", width=6) for r in range(3) for k in range(30)]
     assert [(b.kind, len(b.text.split())) for b in blocks(spark, rows)] == [("paragraph", 90)]
+
+
+def test_the_gutter_is_found_once_in_a_band(spark):
+    """In a filter it would be found anew for every fragment."""
+    plan = rebuild.rebuilt_blocks(spark.createDataFrame([], SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
+    assert "0.65" in plan and not [line for line in plan.splitlines() if "Filter" in line and "0.65" in line]
