@@ -1,13 +1,14 @@
 """Quotas, reservations, leases and admission as folds over ordered events and as relations.
 
 Money is integer micro-dollars. The limits on a participant and those on everyone hold at once, so reservations are a
-fold over one ordered log of a billing period; a period is a group of its own. Everything that needs no such order is a plain
-aggregation.
+fold over one ordered log of a billing period, which is read batch by batch; only the admitted jobs and running counts are
+held. Everything that needs no such order is a plain aggregation.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -51,9 +52,18 @@ class Ledger:
         self.used: dict[str, int] = defaultdict(int)
         self.reserved: dict[str, int] = defaultdict(int)
         self.units: dict[tuple[str, str], int] = defaultdict(int)
+        self.committed = 0  # used and reserved by everyone
+        self.counts: dict[tuple[str, str | None], int] = defaultdict(int)  # jobs by state, of a participant and of everyone (None)
 
     def held(self, states: tuple[str, ...], participant: str | None = None) -> int:
-        return sum(j["state"] in states and participant in (None, j["participant"]) for j in self.jobs.values())
+        return sum(self.counts[state, participant] for state in states)
+
+    def move(self, job: dict, state: str) -> None:
+        for participant in {None, job["participant"]}:
+            if job["state"] is not None:
+                self.counts[job["state"], participant] -= 1
+            self.counts[state, participant] += 1
+        job["state"] = state
 
     def reserve(self, e: dict) -> str:
         p, limit = e["participant"], self.policy
@@ -63,7 +73,7 @@ class Ledger:
             return "invalid"
         if e["period_end"] - e["at"] <= limit.guard:
             return "busy"
-        if sum(self.used.values()) + sum(self.reserved.values()) + e["maximum"] > limit.global_micros:
+        if self.committed + e["maximum"] > limit.global_micros:
             return "budget_exceeded"
         if self.used[p] + self.reserved[p] + e["maximum"] > limit.participant_micros:
             return "quota_exceeded"
@@ -71,14 +81,17 @@ class Ledger:
             return "quota_exceeded"
         if self.held(("queued",)) >= limit.global_queued or self.held(("queued",), p) >= limit.participant_queued:
             return "busy"
-        self.jobs[e["job_id"]] = {"participant": p, "state": "queued", "maximum": e["maximum"], "fingerprint": e["fingerprint"], "fence": 0, "lease_until": 0, "started": False, "enqueued_at": e["at"], "since": None, **{u: e[u] for u in UNITS}}
+        self.jobs[e["job_id"]] = {"participant": p, "state": None, "maximum": e["maximum"], "fingerprint": e["fingerprint"], "fence": 0, "lease_until": 0, "started": False, "enqueued_at": e["at"], "since": None, **{u: e[u] for u in UNITS}}
+        self.move(self.jobs[e["job_id"]], "queued")
         self.reserved[p] += e["maximum"]
+        self.committed += e["maximum"]
         for u in UNITS:
             self.units[p, u] += e[u]
         return "queued"
 
     def release(self, job: dict) -> None:
         self.reserved[job["participant"]] -= job["maximum"]
+        self.committed -= job["maximum"]
         for u in UNITS:
             self.units[job["participant"], u] -= job[u]
 
@@ -101,7 +114,8 @@ class Ledger:
         if action == "unknown":
             if state not in ("running", "needs_reconciliation"):
                 return "conflict"
-            job.update(state="needs_reconciliation", since=job["since"] or e["at"])
+            self.move(job, "needs_reconciliation")
+            job["since"] = job["since"] or e["at"]
             return "ok"
         if action == "cancel":
             if state == "cancelled":
@@ -109,7 +123,7 @@ class Ledger:
             if state != "queued":
                 return "conflict"
             self.release(job)
-            job["state"] = "cancelled"
+            self.move(job, "cancelled")
             return "ok"
         if action == "settle":
             if state == "settled":
@@ -120,7 +134,9 @@ class Ledger:
                 return "invalid"
             self.reserved[p] -= job["maximum"]
             self.used[p] += e["actual"]
-            job.update(state="settled", actual=e["actual"])
+            self.committed += e["actual"] - job["maximum"]
+            self.move(job, "settled")
+            job["actual"] = e["actual"]
             return "ok"
         return "invalid"
 
@@ -131,37 +147,44 @@ class Ledger:
             if now < job["lease_until"]:
                 return "busy"
             if job["started"]:
-                job.update(state="needs_reconciliation", since=job["since"] or now)
+                self.move(job, "needs_reconciliation")
+                job["since"] = job["since"] or now
                 return "reconciliation_required"
         elif job["state"] == "queued":
             if now - job["enqueued_at"] > limit.queue_seconds:
                 self.release(job)
-                job["state"] = "cancelled"
+                self.move(job, "cancelled")
                 return "busy"
             slots = ("running", "needs_reconciliation")
             if self.held(slots) >= limit.global_running or self.held(slots, p) >= limit.participant_running:
                 return "busy"
         else:
             return "reconciliation_required" if job["state"] == "needs_reconciliation" else "conflict"
-        job.update(state="running", fence=job["fence"] + 1, lease_until=now + lease)
+        self.move(job, "running")
+        job.update(fence=job["fence"] + 1, lease_until=now + lease)
         return "ok"
 
 
 def run_ledger(events: DataFrame, policy: Policy = PILOT) -> DataFrame:
     """events: seq, at (epoch seconds), action, job_id, participant, maximum, the three units, fingerprint, lease, fence,
-    actual. Periods are independent groups, each an ordered log."""
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        ledger, rows = Ledger(policy), []
-        for e in frame.sort_values("seq").to_dict("records"):
-            outcome = ledger.act(e)
-            job = ledger.jobs.get(e["job_id"], {})
-            p = e["participant"]
-            rows.append((e["seq"], e["job_id"], p, e["action"], outcome, job.get("state"), ledger.used[p], ledger.reserved[p], job.get("fence", 0)))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in LEDGER_SCHEMA.split(", ")])
+    actual. Periods are independent, each an ordered log: Spark deals and sorts them, a task reads its periods one after the
+    other and holds one batch of rows."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ledger, period = None, None
+        for frame in batches:
+            rows = []
+            for e in frame.to_dict("records"):
+                if ledger is None or e["period"] != period:
+                    ledger, period = Ledger(policy), e["period"]
+                outcome = ledger.act(e)
+                job = ledger.jobs.get(e["job_id"], {})
+                p = e["participant"]
+                rows.append((e["seq"], e["job_id"], p, e["action"], outcome, job.get("state"), ledger.used[p], ledger.reserved[p], job.get("fence", 0)))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in LEDGER_SCHEMA.split(", ")])
 
     dated = events.withColumn("period", billing_period(F.col("at"))).withColumn("period_end", billing_period_end(F.col("at")))
-    return dated.groupBy("period").applyInPandas(fold, LEDGER_SCHEMA)
+    return dated.repartition("period").sortWithinPartitions("period", "seq").mapInPandas(fold, LEDGER_SCHEMA)
 
 
 def usage(reservations: DataFrame, budget: int = PILOT.participant_micros) -> DataFrame:

@@ -1,3 +1,6 @@
+from collections import defaultdict
+
+from quirefold.operators import ledger
 from quirefold.queries import scalars
 
 from .test_examples import EXAMPLES
@@ -35,3 +38,22 @@ def test_scores(spark):
     assert lines["a"].startswith("| a | ocr | 13/0/1 |")
     seen = {(r["response_id"], r["text"]): r["error"] for r in rows(spark, "i16_recognition_responses").collect()}
     assert seen == {(1, "hello"): None, (1, "world"): None, (2, "x"): "pages", (3, "x"): "anchor"}
+
+
+def test_a_period_is_read_in_batches(spark):
+    """No task gets a whole period at once; counts and sums hold over batches, and the next period begins anew."""
+    names = "seq long, at long, action string, job_id string, participant string, maximum long, ocr_pages long, characters long, office_files long, fingerprint string, lease long, fence int, actual long"
+    at = {"2026-01": 1768000000, "2026-02": 1771000000}
+    log = [(k, at[m] + k, a, f"j{k // 4}", f"p{k // 4 % 5}", 900, 1, 0, 0, "f", 60, 1, 700) for m in at for k, a in zip(range(4 * 60), ("reserve", "claim", "started", "settle") * 60)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = ledger.run_ledger(spark.createDataFrame(log, names).orderBy("participant"))
+        assert "MapInPandas" in df._jdf.queryExecution().executedPlan().toString()
+        got = sorted(df.collect(), key=lambda r: r["seq"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    used = defaultdict(int)
+    for r in got[::2]:  # both months say the same
+        used[r["participant"]] += 700 if r["action"] == "settle" else 0
+        assert (r["outcome"], r["used_micros"]) == ("queued" if r["action"] == "reserve" else "ok", used[r["participant"]])
+    assert len(got) == len(log) and got[::2] == got[1::2]
