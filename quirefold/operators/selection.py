@@ -5,11 +5,13 @@ rows as it has bins and tasks), takes the bin with the wanted rank, and makes th
 bounds. When a bin holds few values, or one value many times, its distinct values are counted and the rank is read off.
 Bounds and ranks are a row for each group and wanted statistic; no group's values meet in one buffer.
 
-Null values and NaN: not counted. A group without values: null statistics. Equal values: one value with a count.
+Null values: not counted; NaN: not counted, or as the greatest value. A group without values: null statistics. Equal values: one value with a count.
 """
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,15 +32,21 @@ def upper_median_rank() -> Column:
     return F.floor(F.col("n") / 2).cast("long") + 1
 
 
-def select_ranks(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Column], bins: int = BINS, few: int = FEW) -> DataFrame:
-    """keys and, for each entry of ranks, the value of that rank in its group. A rank is an expression over the group's size n."""
+def select_ranks(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Column], bins: int = BINS, few: int = FEW, nan_last: bool = False) -> DataFrame:
+    """keys and, for each entry of ranks, the value of that rank in its group. A rank is an expression over the group's size n.
+
+    nan_last: NaN counts as the greatest value.
+    """
     x = F.col(value).cast("double")
-    held = rows.select(*keys, F.when(~F.isnan(x), x).alias("x"))
+    counted = x if nan_last else F.when(~F.isnan(x), x)
+    rows = rows.select(*keys, F.when(~F.isnan(x), x).alias("x"), counted.alias("counted"))
+    held = rows.select(*keys, "x")
     with scratch(rows.sparkSession, "selection") as made:
-        sizes = made.write(held.groupBy(*keys).agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")))
+        sizes = made.write(rows.groupBy(*keys).agg(F.count("counted").alias("n"), F.count("x").alias("inside"), F.min("x").alias("lo"), F.max("x").alias("hi")))
         wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("stat"), rank.cast("long").alias("rank")) for name, rank in ranks.items())))
-        asked = sizes.select(*keys, "lo", "hi", "n", wanted.alias("w")).select(*keys, "w.stat", "w.rank", "lo", "hi", F.col("n").alias("inside"))
-        open_rows = made.write(asked.filter((F.col("rank") >= 1) & (F.col("rank") <= F.col("inside"))))
+        asked = sizes.select(*keys, "lo", "hi", "n", "inside", wanted.alias("w")).select(*keys, "w.stat", "w.rank", "lo", "hi", "inside", "n")
+        beyond = asked.filter((F.col("rank") > F.col("inside")) & (F.col("rank") <= F.col("n"))).select(*keys, "stat", F.lit(float("nan")).alias("x"))
+        open_rows = made.write(asked.filter((F.col("rank") >= 1) & (F.col("rank") <= F.col("inside"))).drop("n"))
         found = []
         while True:
             settled = (F.col("lo") == F.col("hi")) | (F.col("inside") <= few)
@@ -55,12 +63,12 @@ def select_ranks(rows: DataFrame, keys: list[str], value: str, ranks: dict[str,
         more = _matched(held, last.filter("lo < hi"), keys).groupBy(*keys, "stat", "rank", "x").agg(F.count("*").alias("c"))
         order = Window.partitionBy(*keys, "stat").orderBy("x")
         upto = more.withColumn("upto", F.sum("c").over(order)).filter(F.col("upto") >= F.col("rank")).groupBy(*keys, "stat").agg(F.min("x").alias("x"))
-        values = one.unionByName(upto)
+        values = one.unionByName(upto).unionByName(beyond)
         wide = values.groupBy(*keys).agg(*(F.max(F.when(F.col("stat") == name, F.col("x"))).alias(name) for name in ranks))
-        return made.write(_with_all(sizes.select(*keys), wide, keys))
+        return made.write(with_statistics(sizes.select(*keys), wide, keys))
 
 
-def _with_all(groups: DataFrame, wide: DataFrame, keys: list[str]) -> DataFrame:
+def with_statistics(groups: DataFrame, wide: DataFrame, keys: list[str]) -> DataFrame:
     """Every group, null keys too."""
     on = F.lit(True)
     for k in keys:
@@ -78,10 +86,12 @@ def _matched(held: DataFrame, states: DataFrame, keys: list[str]) -> DataFrame:
 
 def _narrowed(held: DataFrame, states: DataFrame, keys: list[str], bins: int) -> DataFrame:
     """States with the bounds of the bin that holds their rank, and the rank inside it."""
-    share = (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    least, most, infinity = F.greatest("lo", F.lit(-sys.float_info.max)), F.least("hi", F.lit(sys.float_info.max)), float("inf")
+    share = (F.col("x") - least) / (most - least)
     # halves before the difference, lest it overflow
-    share = F.when(F.col("hi") / 2 - F.col("lo") / 2 > 8e307, (F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)).otherwise(share)
-    number = F.least(F.lit(bins - 1), F.floor(share * bins)).cast("int")
+    share = F.when(most / 2 - least / 2 > 8e307, (F.col("x") / 2 - least / 2) / (most / 2 - least / 2)).otherwise(share)
+    # infinities have bins of their own
+    number = F.when(F.col("x") == -infinity, -1).when(F.col("x") == infinity, bins).otherwise(F.least(F.lit(bins - 1), F.floor(share * bins))).cast("int")
     counted = _matched(held, states, keys).groupBy(*keys, "stat", "rank", number.alias("bin")).agg(F.count("*").alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     before = F.coalesce(F.sum("c").over(Window.partitionBy(*keys, "stat").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = counted.withColumn("before", before).filter((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("c")))

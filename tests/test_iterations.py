@@ -73,3 +73,14 @@ def test_no_task_holds_a_group(spark):
     rows = spark.range(200_000).select(F.lit(1).alias("g"), (F.col("id") * 7919 % 199_999).cast("double").alias("v"))
     plan = selection.select_ranks(rows, ["g"], "v", {"m": selection.nearest_rank(0.25)}, few=100)
     assert [tuple(x) for x in plan.collect()] == [(1, float(sorted(k * 7919 % 199_999 for k in range(200_000))[49_999]))]
+
+
+def test_ranks_among_infinite_values_and_nan(spark):
+    """Infinities take bins of their own, or no round would narrow the others; NaN is the greatest value if asked for."""
+    inf, nan = float("inf"), float("nan")
+    values = [inf, -inf, nan, nan, *map(float, range(50))]
+    rows = spark.createDataFrame([("a", v) for v in values] + [("b", nan), (None, 1.0), (None, None)], "k string, x double")
+    ranks = {"low": selection.nearest_rank(0.01), "mid": selection.nearest_rank(0.5), "high": selection.nearest_rank(0.97), "top": selection.nearest_rank(1.0)}
+    picked = lambda last: {r[0]: [repr(v) for v in r[1:]] for r in selection.select_ranks(rows, ["k"], "x", ranks, bins=4, few=2, nan_last=last).collect()}
+    assert picked(True) == {"a": ["-inf", "25.0", "nan", "nan"], "b": ["nan"] * 4, None: ["1.0"] * 4}
+    assert picked(False) == {"a": ["-inf", "24.0", "49.0", "inf"], "b": ["None"] * 4, None: ["1.0"] * 4}
