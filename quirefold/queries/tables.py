@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import evaluation, geometry, ledger, relational
+from ..operators import evaluation, geometry, ledger, relational, selection
 from .common import Table, load
 
 QUERIES = {}
@@ -97,8 +97,11 @@ def d4_tool_metrics(spark, sf_dir):
 
 @query("SELECT l_returnflag, quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.95) AS p95, round(avg(l_discount), 9) AS mean FROM lineitem GROUP BY l_returnflag")
 def d6_percentiles(spark, sf_dir):
-    p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY l_extendedprice)")
-    return load(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), F.round(F.avg("l_discount"), 9).alias("mean"))
+    rows = load(spark, sf_dir, "lineitem")
+    ranks = {"p50": selection.nearest_rank(0.5), "p95": selection.nearest_rank(0.95)}
+    prices = selection.select_ranks(rows, ["l_returnflag"], "l_extendedprice", ranks, nan_last=True)
+    means = rows.groupBy("l_returnflag").agg(F.round(F.avg("l_discount"), 9).alias("mean"))
+    return selection.with_statistics(means, prices, ["l_returnflag"]).select("l_returnflag", "p50", "p95", "mean")
 
 
 @query("SELECT conv_id AS doc_id, count(*) AS total_rows, max(len(regexp_extract_all(text, '\\S+'))) AS total_columns FROM conversations GROUP BY conv_id")

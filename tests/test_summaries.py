@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quirefold.operators import evaluation
+from quirefold.queries import tables
 
 
 def test_summary_percentiles_meet_in_no_buffer(spark):
@@ -14,3 +15,8 @@ def test_summary_percentiles_meet_in_no_buffer(spark):
     exact = rows.filter("engine = 'a' AND NOT cold").agg(*(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY ms)") for p in (0.5, 0.95))).first()
     assert (got["a"].warm_p50_ms, got["a"].warm_p95_ms) == tuple(exact) and (got["a"].cold_ms, got["a"].total, got["a"].cost_micros) == (3.5, 2000, 4000)
     assert (got[None].errors, got[None].warm_p50_ms) == (1, None)
+
+
+def test_percentile_query_meets_in_no_buffer(spark):
+    df = tables.QUERIES["d6_percentiles"](spark, "/root/testdata/sf0.001")
+    assert "percentile" not in df._jdf.queryExecution().optimizedPlan().toString()
