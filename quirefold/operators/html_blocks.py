@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.css import clean_css, is_safe_image, rewritten, unreferenced
 from ..functions.lambdas import bound
+from ..functions.slices import map_slices
 from ..functions.text import clean_html_text
 
 # Elements that are dropped with their content, and those blocked by the sanitizer.
@@ -239,4 +240,4 @@ def page_blocks(pages: DataFrame) -> DataFrame:
             rows = [(p, k, *b) for p, html in zip(frame["page_id"], frame["html"], strict=True) for k, b in enumerate(html_blocks(html))]
             yield pd.DataFrame(rows, columns=["page_id", "seq", "kind", "level", "text", "header"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInPandas(scan, "page_id long, seq int, kind string, level int, text string, header boolean")
+    return map_slices(pages.select(F.col("page_id").cast("long").alias("page_id"), "html"), scan, "page_id long, seq int, kind string, level int, text string, header boolean")

@@ -1,6 +1,7 @@
 import pandas as pd
 
 from quirefold.functions.slices import ROWS, map_slices
+from quirefold.operators import html_blocks
 from quirefold.sources import docx
 
 
@@ -24,3 +25,8 @@ def test_files_are_read_and_written_by_slices(spark):
     read = docx.read_docx(written.selectExpr("'p' AS path", "content"))
     assert reads_slices(written) and reads_slices(read)
     assert [r.text for r in read.collect()] == ["a\nb"]
+
+
+def test_pages_are_read_by_slices(spark):
+    blocks = html_blocks.page_blocks(spark.sql("SELECT 1L AS page_id, '<p>x</p>' AS html"))
+    assert reads_slices(blocks) and [r.text for r in blocks.collect()] == ["x"]
