@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.slices import map_slices
 from .intervals import Taken, accept_spans, without_overlaps
 from .review_rules import ALTERNATIVES, GROUPS, MESSAGES, SUGGESTED, WARNED
 
@@ -210,7 +211,7 @@ def review(docs: DataFrame) -> DataFrame:
                     rows.append((doc_id, *[None] * 8, str(problem)))
             yield pd.DataFrame(rows, columns=FINDING_COLUMNS).astype({"start": "Int32", "end": "Int32"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(scan, FINDING_SCHEMA)
+    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scan, FINDING_SCHEMA)
 
 
 def outside_spans(findings: DataFrame, protected: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.slices import map_slices
 from ..functions.text import page_citation, sanitize_document_text
 
 SEGMENT = 4000
@@ -101,7 +102,7 @@ def translation_segments(docs: DataFrame, most: int = 400, names: tuple[str, ...
             rows = [(d, k, c, c in names or not re.search(r"\w", c) or bool(whole.fullmatch(c))) for d, text in zip(frame["doc_id"], frame["text"], strict=True) for k, c in enumerate(translation_chunks(text, most, names))]
             yield pd.DataFrame(rows, columns=["doc_id", "seq", "chunk", "preserved"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(scan, "doc_id long, seq int, chunk string, preserved boolean")
+    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scan, "doc_id long, seq int, chunk string, preserved boolean")
 
 
 TARGET, OVERLAP, MAX_PAGES, MAX_CHUNKS, MIN_CHARACTERS = 3600, 240, 120, 18, 40

@@ -1,7 +1,7 @@
 import pandas as pd
 
 from quirefold.functions.slices import ROWS, map_slices
-from quirefold.operators import html_blocks
+from quirefold.operators import extraction, html_blocks, review, segments
 from quirefold.sources import docx
 
 
@@ -30,3 +30,8 @@ def test_files_are_read_and_written_by_slices(spark):
 def test_pages_are_read_by_slices(spark):
     blocks = html_blocks.page_blocks(spark.sql("SELECT 1L AS page_id, '<p>x</p>' AS html"))
     assert reads_slices(blocks) and [r.text for r in blocks.collect()] == ["x"]
+
+
+def test_texts_are_read_by_slices(spark):
+    docs = spark.createDataFrame([(1, "# A\n| a |\n|---|\n| 1 |")], "doc_id long, text string")
+    assert all(map(reads_slices, (extraction.extract_sections(docs), extraction.extract_tables(docs), review.review(docs), segments.translation_segments(docs))))
