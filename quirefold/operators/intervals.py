@@ -16,6 +16,7 @@ from bisect import bisect_right
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Width of a cell at level 0, and the factor to the next level.
 WIDTH, FACTOR, LEVELS = 64, 16, 10
@@ -47,13 +48,26 @@ def _level(start: Column, end: Column) -> Column:
     return found.otherwise(LEVELS - 1)
 
 
+def _rest(df: DataFrame, keys: list[str], start: str, end: str) -> list[str]:
+    """Columns that keys, s and e don't give back."""
+    whole = [c for c in (start, end) if isinstance(df.schema[c].dataType, IntegralType)]
+    return [c for c in df.columns if c not in (*keys, *whole)]
+
+
 def _leveled(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Keys, s, e, level and row (all columns)."""
-    s, e = F.col(start).cast("long"), F.col(end).cast("long")
-    rows = df.select(*keys, s.alias("s"), e.alias("e"), F.struct("*").alias("row"))
+    """Keys, s, e, level and row (all other columns, if there are any)."""
+    s, e, rest = F.col(start).cast("long"), F.col(end).cast("long"), _rest(df, keys, start, end)
+    rows = df.select(*keys, s.alias("s"), e.alias("e"), *([F.struct(*rest).alias("row")] if rest else []))
     return rows.filter(F.col("s").isNotNull() & F.col("e").isNotNull()).withColumn("level", _level(F.col("s"), F.col("e")))
 
 
+def _as_given(df: DataFrame, side: str, keys: list[str], start: str, end: str) -> Column:
+    """The row of a side with all columns in their order and of their types."""
+    rest, at = _rest(df, keys, start, end), {start: "s", end: "e"}
+    column = lambda c: F.col(f"{side}.row.{c}") if c in rest else F.col(f"{side}.{at.get(c, c)}").cast(df.schema[c].dataType)
+    return F.struct(*(column(c).alias(c) for c in df.columns))
+
+
 def _levels(df: DataFrame) -> list[int]:
     """The levels that occur: at most LEVELS numbers."""
     return sorted(r.level for r in df.select("level").distinct().collect())
@@ -64,25 +78,28 @@ def _width(level: Column) -> Column:
 
 
 def _in_cells(rows: DataFrame, levels: list[int]) -> DataFrame:
-    """A row for each cell at the interval's own level and the given higher ones: at, cell."""
+    """A row for each cell at the interval's own level and the given higher ones: slot, which is cell and level in one number."""
     higher = F.filter(F.array(*(F.lit(k) for k in levels)), lambda k: k > F.col("level"))
     spread = rows.withColumn("at", F.explode(F.concat(F.array("level"), higher)))
     width = _width(F.col("at"))
     first, last = F.floor(F.col("s") / width), F.floor(F.greatest(F.col("e") - 1, F.col("s")) / width)
-    return spread.withColumn("cell", F.explode(F.sequence(first, last)))
+    cells = spread.withColumn("cell", F.explode(F.sequence(first, last)))
+    return cells.withColumn("slot", F.shiftleft("cell", 4).bitwiseOR(F.col("at").cast("long"))).drop("level", "at", "cell")
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """l, r: all pairs of a left and a right row that have equal keys and overlap, as structs of their columns."""
     a, b = _leveled(left, keys, start, end), _leveled(right, keys, start, end)
     a, b = _in_cells(a, _levels(b)).alias("a"), _in_cells(b, _levels(a)).alias("b")
-    return a.join(b, _meet(keys)).select(F.col("a.row").alias("l"), F.col("b.row").alias("r"))
+    return a.join(b, _meet(keys)).select(_as_given(left, "a", keys, start, end).alias("l"), _as_given(right, "b", keys, start, end).alias("r"))
 
 
 def _meet(keys: list[str]) -> Column:
     col = F.col
-    same = [col(f"a.{c}") == col(f"b.{c}") for c in (*keys, "at", "cell")]
-    once = (col("a.at") == F.greatest("a.level", "b.level")) & (col("a.cell") == F.floor(F.greatest("a.s", "b.s") / _width(col("a.at"))))
+    same = [col(f"a.{c}") == col(f"b.{c}") for c in (*keys, "slot")]
+    at, cell = col("a.slot").bitwiseAND(F.lit(15)).cast("int"), F.shiftright("a.slot", 4)
+    level = F.greatest(_level(col("a.s"), col("a.e")), _level(col("b.s"), col("b.e")))
+    once = (at == level) & (cell == F.floor(F.greatest("a.s", "b.s") / _width(at)))
     found = (col("a.s") < col("b.e")) & (col("a.e") > col("b.s")) & once
     for c in same:
         found = c & found

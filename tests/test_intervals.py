@@ -92,3 +92,13 @@ def test_merged_findings_keep_their_order(spark):
     secondary = spark.createDataFrame([(1, 19, 22, "lost", 1), (1, 40, 50, "c", 3), (1, 45, 48, "first", 2), (2, 0, 4, "d", 1)], schema)
     got = sorted((r.doc_id, r.replacement) for r in review.merge_findings(primary, secondary).collect())
     assert got == [(1, "a"), (1, "b"), (1, "first"), (2, "d")]
+
+
+def test_pairs_carry_each_number_once(spark):
+    left = spark.createDataFrame([(1, 2, -70, 5)], "k long, n int, start int, end int")
+    right = spark.createDataFrame([(1, -64, -63, "x"), (1, 4, 5000, "y"), (1, 5, 9, "z")], "k long, start long, end long, t string")
+    pairs = intervals.overlap_pairs(left, right, ["k"])
+    assert sorted((tuple(r.l), tuple(r.r)) for r in pairs.collect()) == [((1, 2, -70, 5), (1, -64, -63, "x")), ((1, 2, -70, 5), (1, 4, 5000, "y"))]
+    assert [f.dataType.typeName() for f in pairs.schema["l"].dataType] == ["long", "integer", "integer", "integer"]
+    bare = intervals._in_cells(intervals._leveled(right.drop("t"), ["k"], "start", "end"), [0])
+    assert bare.columns == ["k", "s", "e", "slot"]
