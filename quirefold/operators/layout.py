@@ -84,10 +84,14 @@ def merged_cells(cells: Column, joins: Callable[[Column, Column, Column], Column
 
 
 def gap_sweep(spans: DataFrame, least: float = 8.0) -> DataFrame:
-    """doc_id, page, boundary: the sweep over span edges as a window, for spans of lines with several spans."""
+    """doc_id, page, boundary: the sweep over span edges as a window, for spans of lines with several spans. least: above 0.
+
+    Equal edges of a page are one row with their number: no gap lies between them, and pages have few places.
+    """
     edges = spans.select(*PAGE, F.explode(F.array(F.struct(F.col("x").alias("at"), F.lit(1).alias("delta")), F.struct(F.col("right").alias("at"), F.lit(-1).alias("delta")))).alias("e")).select(*PAGE, "e.*")
+    edges = edges.groupBy(*PAGE, "at", "delta").agg(F.count("*").alias("n"))
     order = Window.partitionBy(*PAGE).orderBy("at", "delta")
-    open_before = F.coalesce(F.sum("delta").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    open_before = F.coalesce(F.sum(F.col("delta") * F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     swept = edges.select(*PAGE, "at", F.lag("at").over(order).alias("before"), open_before.alias("active"))
     return swept.filter((F.col("active") == 0) & (F.col("at") - F.col("before") >= least)).select(*PAGE, ((F.col("before") + F.col("at")) / 2).alias("boundary"))
 

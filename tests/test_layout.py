@@ -117,3 +117,11 @@ def test_boundaries_of_columns(spark):
     spans = lambda *xs: F.array(*(F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("right")) for a, b in xs))
     lines = spark.range(1).select(F.lit(1).alias("doc_id"), F.lit(1).alias("page"), F.explode(F.array(spans((0, 40), (60, 90), (100, 120)), spans((0, 50), (57.9, 92)), spans((300, 310)))).alias("spans"))
     assert [r.bounds for r in layout.column_boundaries(lines).collect()] == [[96.0]]
+
+
+def test_equal_edges_are_one_row_of_the_sweep(spark):
+    spans = spark.range(0, 3000, 1, 3).selectExpr("1L AS doc_id", "1 AS page", "CAST(100 * (id % 3) AS DOUBLE) AS x", "CAST(100 * (id % 3) + 60 AS DOUBLE) AS right")
+    swept = layout.gap_sweep(spans)
+    assert sorted(r.boundary for r in swept.collect()) == [80.0, 180.0]
+    plan = swept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("Aggregate") < plan.index("Generate")
