@@ -211,7 +211,10 @@ def review(docs: DataFrame) -> DataFrame:
                     rows.append((doc_id, *[None] * 8, str(problem)))
             yield pd.DataFrame(rows, columns=FINDING_COLUMNS).astype({"start": "Int32", "end": "Int32"})
 
-    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scan, FINDING_SCHEMA)
+    # texts are few bytes for much work: they are dealt out in a number of parts that Spark doesn't lower
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartition(parts), scan, FINDING_SCHEMA)
 
 
 def outside_spans(findings: DataFrame, protected: DataFrame) -> DataFrame:

@@ -50,3 +50,8 @@ def test_spelling(spark):
     words = spark.createDataFrame([("the",), (" Sat ",), ("see",)], "word string")
     custom = spark.createDataFrame([("WORD",)], "word string")
     assert {(r["word"], r["count"]) for r in review.unknown_words(docs, words, custom).collect()} == {("blarg", 2)}
+
+
+def test_texts_of_one_file_are_spread(spark):
+    docs = spark.range(0, 100, 1, 1).selectExpr("id AS doc_id", "'a  b' AS text")
+    assert review.review(docs).rdd.getNumPartitions() >= 8
