@@ -52,13 +52,32 @@ def placed_lines(items: DataFrame, keys: list[str], tolerance: Callable[[Column]
     far = F.col("item.y") - F.lag("item.y").over(order) > tolerance(F.col("item"))
     runs = items.withColumn("run", F.sum(F.when(far, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = runs.groupBy(*keys, "run").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    near = lambda first, item: item["y"] - first["y"] <= tolerance(item)
-    one = F.forall("items", lambda i: near(_first(F.col("items")), i))
-    several = grouped(F.col("items"), F.array().cast(f"array<array<{kind}>>"), lambda line, i: near(_first(line), i), lambda line, i: F.concat(line, F.array(i)), lambda i: F.array(i))
-    rows = runs.select(*keys, "run", F.posexplode(F.when(one, F.array("items")).otherwise(several)).alias("part", "items"))
-    by_x = F.transform(F.array_sort(F.transform("items", lambda i: F.struct(i["x"].alias("at"), i.alias("item")))), lambda i: i["item"])
+    rows = runs.select(*keys, "run", F.posexplode(_lines_of_run(F.col("items"), tolerance, kind)).alias("part", "items"))
     numbered = rows.withColumn("line", F.row_number().over(Window.partitionBy(*keys).orderBy("run", "part")))
-    return numbered.select(*keys, "line", _first(F.col("items"))["y"].alias("y"), by_x.alias("items"))
+    return numbered.select(*keys, "line", _first(F.col("items"))["y"].alias("y"), by_x(F.col("items")).alias("items"))
+
+
+def by_x(items: Column) -> Column:
+    return F.transform(F.array_sort(F.transform(items, lambda i: F.struct(i["x"].alias("at"), i.alias("item")))), lambda i: i["item"])
+
+
+def _lines_of_run(run: Column, tolerance: Callable[[Column], Column], kind: str) -> Column:
+    near = lambda first, item: item["y"] - first["y"] <= tolerance(item)
+    one = F.forall(run, lambda i: near(_first(run), i))
+    several = grouped(run, F.array().cast(f"array<array<{kind}>>"), lambda line, i: near(_first(line), i), lambda line, i: F.concat(line, F.array(i)), lambda i: F.array(i))
+    return F.when(one, F.array(run)).otherwise(several)
+
+
+def lines_within(items: Column, tolerance: Callable[[Column], Column], kind: str = ITEM) -> Column:
+    """The lines of a sorted array of items, each from top to bottom: cut into runs first, as placed_lines does by a window."""
+
+    def cut(items: Column) -> Column:
+        far = lambda k: F.get(items, k)["y"] - F.get(items, k - 1)["y"] > tolerance(F.get(items, k))
+        starts = F.filter(F.sequence(F.lit(0), F.size(items) - 1), lambda k: (k == 0) | far(k))
+        run = lambda starts, s, n: F.slice(items, s + 1, F.coalesce(F.get(starts, n + 1), F.size(items)) - s)
+        return bound(starts, lambda at: F.flatten(F.transform(at, lambda s, n: bound(run(at, s, n), lambda r: _lines_of_run(r, tolerance, kind)))))
+
+    return bound(items, lambda i: F.when(F.size(i) > 0, cut(i)).otherwise(F.array().cast(f"array<array<{kind}>>")))
 
 
 def _cell(x: Column, right: Column, text: Column, size: Column, col: Column | int = 0) -> Column:
@@ -156,17 +175,29 @@ def page_tables(items: DataFrame, separators: list[float] | None = None) -> Data
 # reading order and Markdown
 
 
-def _line_columns(lines: DataFrame) -> DataFrame:
-    """lines with cells (24 points apart), top (of the leftmost item), size, bold, text, wide."""
-    cells = merged_cells(as_cells(F.col("items")), lambda last, c, gap: gap <= 24, 0.12)
-    left = _first(F.col("items"))
-    wide = F.array_max(F.transform("items", _right)) - left["x"]
-    out = lines.withColumns({"cells": cells, "top": left["y"], "size": F.array_max(F.transform("items", lambda i: i["size"])), "bold": F.exists("items", lambda i: i["bold"]), "wide": wide})
-    return out.withColumn("text", F.array_join(F.transform("cells", lambda c: F.trim(c["text"])), " "))
+TOLERANCE = lambda i: F.least(F.lit(3.5), i["size"] * 0.3)
+
+
+def _line(number: Column, y: Column, items: Column) -> Column:
+    """struct of line, y, items and what follows from them: cells (24 points apart), top (of the leftmost item), size, bold, wide, text."""
+
+    def line(items: Column, cells: Column) -> Column:
+        left = _first(items)
+        size, bold = F.array_max(F.transform(items, lambda i: i["size"])), F.exists(items, lambda i: i["bold"])
+        wide = F.array_max(F.transform(items, _right)) - left["x"]
+        text = F.array_join(F.transform(cells, lambda c: F.trim(c["text"])), " ")
+        return F.struct(number.cast("int").alias("line"), y.alias("y"), items.alias("items"), cells.alias("cells"), left["y"].alias("top"), size.alias("size"), bold.alias("bold"), wide.alias("wide"), text.alias("text"))
+
+    cells = lambda items: merged_cells(as_cells(items), lambda last, c, gap: gap <= 24, 0.12)
+    return bound(items, lambda i: bound(cells(i), lambda c: line(i, c)))
+
+
+LINE = ["line", "y", "items", "cells", "top", "size", "bold", "wide", "text"]
 
 
 def text_lines(items: DataFrame, keys: list[str]) -> DataFrame:
-    return _line_columns(placed_lines(items, keys, lambda i: F.least(F.lit(3.5), i["size"] * 0.3)))
+    lines = placed_lines(items, keys, TOLERANCE)
+    return lines.select(*keys, _line(F.col("line"), F.col("y"), F.col("items")).alias("x")).select(*keys, *(f"x.{c}" for c in LINE))
 
 
 def _upper_median(values: Column) -> Column:
@@ -181,34 +212,37 @@ def reading_order(items: DataFrame, mode: str = "auto") -> DataFrame:
     crosses the middle and, in auto mode, both sides have three lines or more, are wide, and lie beside each other.
     items: page_width too. mode: auto, columns or rows.
     """
-    placed = as_items(items, "page_width")
-    middle = F.col("page_width") / 2
+    # one partitioning serves all steps of a page, and a band is one row: no line is made twice
+    placed = as_items(items, "page_width").repartition(*PAGE)
+    keys, middle = [*PAGE, "page_width"], F.col("page_width") / 2
     crosses = lambda i: (i["x"] < middle) & (_right(i) > middle)
-    lines = text_lines(placed, [*PAGE, "page_width"])
-    columns = [c for c in lines.columns if c not in (*PAGE, "page_width", "line")]
+    lines = text_lines(placed, keys)
     if mode == "rows":
-        return lines.select(*PAGE, F.lit(1).alias("part"), "line", *columns)
+        return lines.select(*PAGE, F.lit(1).alias("part"), *LINE)
     order = Window.partitionBy(*PAGE).orderBy("line")
     across = (F.size("cells") == 1) & F.exists("items", crosses)
     # lines across are parts of odd number, bands between them of even number
     passed = F.sum(F.when(across, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     lines = lines.withColumn("band", passed * 2 - F.when(across, 1).otherwise(0))
-    side = F.when(_right(F.col("item")) <= middle, 0).when(F.col("item.x") >= middle, 1).otherwise(2)
-    inside = lines.filter(F.col("band") % 2 == 0).select(*PAGE, "page_width", "band", F.explode("items").alias("item")).withColumn("side", side)
-    halves = text_lines(inside.filter("side < 2"), [*PAGE, "page_width", "band", "side"])
-    nth = lambda s: F.when(F.col("side") == s, F.col("line"))
-    found = [x for s in (0, 1) for x in (F.collect_list(F.when(F.col("side") == s, F.col("wide"))).alias(f"wide{s}"), F.min_by("top", nth(s)).alias(f"first{s}"), F.max_by("top", nth(s)).alias(f"last{s}"))]
-    bands = halves.groupBy(*PAGE, "page_width", "band").agg(*found)
-    crossed = inside.groupBy(*PAGE, "band").agg(F.max(F.col("side") == 2).alias("crossed"))
-    both = (F.size("wide0") > 0) & (F.size("wide1") > 0)
-    broad = lambda s: (F.size(f"wide{s}") >= 3) & (_upper_median(F.col(f"wide{s}")) >= F.col("page_width") * 0.22)
-    beside = F.greatest("first0", "first1") <= F.least("last0", "last1")
-    split = ~F.col("crossed") & both & (F.lit(True) if mode == "columns" else broad(0) & broad(1) & beside)
-    verdict = crossed.join(bands, [*PAGE, "band"], "left").select(*PAGE, "band", F.coalesce(split, F.lit(False)).alias("split"))
-    whole = lines.join(verdict, [*PAGE, "band"], "left").filter(~F.coalesce("split", F.lit(False)))
-    halves = halves.join(verdict.filter("split"), [*PAGE, "band"])
-    part = F.struct(F.col("band"), F.col("side")).alias("part")
-    every = whole.withColumn("side", F.lit(0)).select(*PAGE, part, "line", *columns).unionByName(halves.select(*PAGE, part, "line", *columns))
+    bands = lines.groupBy(*keys, "band").agg(F.collect_list(F.struct(*LINE)).alias("lines"))
+    side = lambda i: F.when(_right(i) <= middle, 0).when(i["x"] >= middle, 1).otherwise(2)
+    inside = lambda items, s: F.filter(items, lambda i: side(i) == s)
+    enough, least = F.lit(1 if mode == "columns" else 3), F.col("page_width") * 0.22
+    # no line of a side is wider than the side
+    extent = lambda items: F.array_max(F.transform(items, _right)) - F.array_min(F.transform(items, lambda i: i["x"]))
+    hopeful = lambda items: (F.size(items) >= enough) & (F.lit(True) if mode == "columns" else extent(items) >= least)
+    made = lambda items: F.transform(lines_within(F.array_sort(items), TOLERANCE), lambda i, k: _line(k + 1, _first(i)["y"], by_x(i)))
+    broad = lambda lines: (F.size(lines) >= 3) & (_upper_median(F.transform(lines, lambda x: x["wide"])) >= least)
+    beside = lambda a, b: F.greatest(_first(a)["top"], _first(b)["top"]) <= F.least(_last(a)["top"], _last(b)["top"])
+    split = lambda h: F.lit(True) if mode == "columns" else broad(h[0]) & broad(h[1]) & beside(h[0], h[1])
+    tagged = lambda lines, s: F.transform(lines, lambda x: F.struct(F.lit(s).alias("side"), x.alias("x")))
+    whole = tagged(F.col("lines"), 0)
+    halved = lambda h: F.when(split(h), F.concat(tagged(h[0], 0), tagged(h[1], 1))).otherwise(whole)
+    sides = lambda p: F.when(hopeful(p[0]) & hopeful(p[1]), bound(F.array(made(p[0]), made(p[1])), halved)).otherwise(whole)
+    crossed = lambda items: F.exists(items, lambda i: side(i) == 2)
+    read = lambda items: F.when(crossed(items), whole).otherwise(bound(F.array(inside(items, 0), inside(items, 1)), sides))
+    items_of = F.flatten(F.transform("lines", lambda x: x["items"]))
+    every = bands.select(*PAGE, "band", F.explode(F.when(F.col("band") % 2 == 0, bound(items_of, read)).otherwise(whole)).alias("s")).select(*PAGE, F.struct("band", "s.side").alias("part"), *(f"s.x.{c}" for c in LINE))
     return every.withColumn("part", F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("part")))
 
 
@@ -245,11 +279,14 @@ def _pipe_table(rows: Column) -> Column:
         return bound(escape_markdown(F.trim(c["text"])), lambda t: F.when(t.rlike(r"^[-:\s]+$"), F.regexp_replace(t, "([-:])", r"\\$1")).otherwise(t))
 
     def table(anchors: Column) -> Column:
-        held = lambda row, a: F.filter(row, lambda c: bound(_first(F.filter(anchors, lambda b: F.abs(b["x"] - c["x"]) <= 12)), lambda b: b["x"] == a["x"]))
+        # each cell's anchor and text once; anchors are more than 12 apart
+        anchor_of = lambda c: F.array_position(F.transform(anchors, lambda a: F.abs(a["x"] - c["x"]) <= 12), True)
+        placed = lambda row: F.transform(row, lambda c: F.struct(anchor_of(c).alias("k"), text(c).alias("t")))
         line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
-        lines = F.transform(rows, lambda row: line(F.transform(anchors, lambda a: F.coalesce(_last(F.transform(held(row, a), text)), F.lit("")))))
+        at = lambda row: F.transform(anchors, lambda _, k: F.coalesce(_last(F.filter(row, lambda c: c["k"] == k + 1))["t"], F.lit("")))
+        lines = F.transform(rows, lambda row: line(bound(placed(row), at)))
         rule = F.array(line(F.transform(anchors, lambda _: F.lit("---"))))
-        joined = F.array_join(F.concat(F.slice(lines, 1, 1), rule, F.slice(lines, F.lit(2), F.size(lines))), "\n")
+        joined = bound(lines, lambda made: F.array_join(F.concat(F.slice(made, 1, 1), rule, F.slice(made, F.lit(2), F.size(made))), "\n"))
         return F.when((F.size(rows) >= 2) & F.size(anchors).between(2, 12) & (F.size(F.filter(anchors, lambda a: a["n"] >= 2)) >= 2), joined)
 
     return bound(F.array_sort(F.aggregate(F.flatten(rows), F.array().cast(f"array<{anchor}>"), met)), table)
@@ -271,10 +308,11 @@ def pages_to_markdown(items: DataFrame, mode: str = "auto") -> DataFrame:
     row = F.size("cells") >= 2
     follows = row & F.lag(row).over(order) & (F.col("top") - F.lag("top").over(order) <= F.col("base") * 4)
     runs = lines.withColumn("run", F.sum(F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    line = F.struct("line", "cells", plain_line(F.col("text"), F.col("size"), F.col("bold"), F.col("base")).alias("plain"))
-    blocks = runs.groupBy(*PAGE, "part", "run").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    line = F.struct("line", "cells", "text", "size", "bold")
+    blocks = runs.groupBy(*PAGE, "part", "run", "base").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     table = _pipe_table(F.transform("lines", lambda x: x["cells"]))
-    text = F.coalesce(F.when(F.size(_first(F.col("lines"))["cells"]) >= 2, table), F.array_join(F.transform("lines", lambda x: x["plain"]), "\n\n"))
+    plain = F.array_join(F.transform("lines", lambda x: plain_line(x["text"], x["size"], x["bold"], F.col("base"))), "\n\n")
+    text = F.coalesce(F.when(F.size(_first(F.col("lines"))["cells"]) >= 2, table), plain)
     ordered = F.array_sort(F.collect_list(F.struct("part", "run", text.alias("text"))))
     return blocks.groupBy(*PAGE).agg(F.array_join(F.transform(ordered, lambda b: b["text"]), "\n\n").alias("markdown"))
 

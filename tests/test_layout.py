@@ -125,3 +125,21 @@ def test_equal_edges_are_one_row_of_the_sweep(spark):
     assert sorted(r.boundary for r in swept.collect()) == [80.0, 180.0]
     plan = swept._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Window") < plan.index("Aggregate") < plan.index("Generate")
+
+
+def test_lines_of_a_page_are_made_once(spark):
+    """Whole lines, bands and their sides come from one flow; a join would make the lines again on each side."""
+    plan = layout.reading_order(frame(spark, [item(0, 0, "a")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode(") == 1 and "Join" not in plan
+
+
+def test_lines_within_a_column_are_as_by_the_window(spark):
+    r = random.Random(5)
+    rows, y = [], 0.0
+    for k in range(120):
+        y += r.choice([0, 0.5, 2, 3, 3.5, 9])
+        rows += [item(x, y + r.choice([0, 1]), f"{side}{k}", r.choice([8.0, 10.0, 12.0]), width=200) for side, x in (("L", 20), ("R", 320))]
+    halves = layout.reading_order(frame(spark, rows), "columns").orderBy("part", "line").collect()
+    for part, side in ((1, "L"), (2, "R")):
+        alone = layout.text_lines(layout.as_items(frame(spark, [x for x in rows if x[8][0] == side])), layout.PAGE).orderBy("line").collect()
+        assert [(h.line, h.y, h.text) for h in halves if h.part == part] == [(a.line, a.y, a.text) for a in alone]
