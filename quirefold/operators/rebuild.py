@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lambdas import bound, grouped, without_last
-from .layout import PAGE, base_sizes, placed_lines
+from .layout import PAGE, base_sizes, by_x, lines_within, placed_lines
 
 FRAGMENT = "struct<y: double, x: double, str: string, width: double, size: double, bold: boolean, italic: boolean>"
 RUN = "struct<text: string, bold: boolean, italic: boolean, size: double>"
@@ -62,13 +62,21 @@ def _cells(items: Column) -> Column:
     return F.transform(grouped(items, F.array().cast(kind), near, add, begin), lambda c: F.struct(c["x"].alias("x"), c["right"].alias("right"), _text(styled_runs(c["items"])).alias("text")))
 
 
-def rebuilt_lines(items: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, line, top, left, right, size, bold, runs, cells, text, items."""
-    lines = placed_lines(items, keys, lambda f: F.least(F.lit(4.0), F.greatest(F.lit(2.5), f["size"] * 0.35)), FRAGMENT)
-    each = lambda f: F.transform("items", f)
-    out = lines.select(*keys, "line", F.get("items", F.lit(0))["y"].alias("top"), F.array_min(each(lambda f: f["x"])).alias("left"), F.array_max(each(lambda f: _right(f))).alias("right"), F.array_max(each(lambda f: f["size"])).alias("size"), styled_runs(F.col("items")).alias("runs"), _cells(F.col("items")).alias("cells"), "items")
-    bold = F.forall("runs", lambda r: r["bold"] | ~r["text"].rlike(r"\S"))
-    return out.withColumns({"bold": bold, "text": F.trim(F.array_join(F.transform("cells", lambda c: c["text"]), " "))})
+TOLERANCE = lambda f: F.least(F.lit(4.0), F.greatest(F.lit(2.5), f["size"] * 0.35))
+LINE = ["line", "top", "left", "right", "size", "bold", "runs", "cells", "text"]
+
+
+def _line(number: Column, items: Column) -> Column:
+    """struct of LINE's columns from a line's fragments, from left to right."""
+
+    def line(items: Column, runs: Column, cells: Column) -> Column:
+        each = lambda f: F.transform(items, f)
+        left, right, size = F.array_min(each(lambda f: f["x"])), F.array_max(each(lambda f: _right(f))), F.array_max(each(lambda f: f["size"]))
+        bold = F.forall(runs, lambda r: r["bold"] | ~r["text"].rlike(r"\S"))
+        text = F.trim(F.array_join(F.transform(cells, lambda c: c["text"]), " "))
+        return F.struct(number.cast("int").alias("line"), F.get(items, F.lit(0))["y"].alias("top"), left.alias("left"), right.alias("right"), size.alias("size"), bold.alias("bold"), runs.alias("runs"), cells.alias("cells"), text.alias("text"))
+
+    return bound(items, lambda i: bound(styled_runs(i), lambda r: bound(_cells(i), lambda c: line(i, r, c))))
 
 
 def gutter(items: Column, width: Column) -> Column:
@@ -95,30 +103,35 @@ def reading_groups(frame: DataFrame) -> DataFrame:
     A part is a line that crosses the page's middle in one cell, a band of lines between these, or a column of such a band:
     two sides of three lines or more, wide, beside each other, with words enough or unlike numbers of lines.
     """
-    items = fragments(frame)
-    keys, columns = [*PAGE, "page_width"], ["top", "left", "right", "size", "bold", "runs", "cells", "text"]
-    middle = F.col("page_width") / 2
-    across = (F.size("cells") == 1) & (F.col("left") < middle - 8) & (F.col("right") > middle + 8)
-    order = Window.partitionBy(*PAGE).orderBy("line")
+    keys, middle, width = [*PAGE, "page_width"], F.col("page_width") / 2, F.col("page_width")
+    lines = placed_lines(fragments(frame), keys, TOLERANCE, FRAGMENT)
+    lines = lines.select(*keys, "items", _line(F.col("line"), F.col("items")).alias("x"))
+    across = (F.size("x.cells") == 1) & (F.col("x.left") < middle - 8) & (F.col("x.right") > middle + 8)
+    order = Window.partitionBy(*PAGE).orderBy("x.line")
     passed = F.sum(F.when(across, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    lines = rebuilt_lines(items, keys).withColumn("band", passed * 2 - F.when(across, 1).otherwise(0))
-    bands = lines.filter(F.col("band") % 2 == 0).groupBy(*keys, "band").agg(F.count("*").alias("n"), F.flatten(F.collect_list("items")).alias("items"))
+    lines = lines.withColumn("band", passed * 2 - F.when(across, 1).otherwise(0))
+    # a band is one row, read by one expression: no line is made twice, and the gutter isn't found anew for each fragment
+    bands = lines.groupBy(*keys, "band").agg(F.collect_list("x").alias("lines"), F.flatten(F.collect_list("items")).alias("items"))
     left, right = lambda cut: F.filter("items", lambda f: _right(f, 0.4) <= cut + 4), lambda cut: F.filter("items", lambda f: f["x"] >= cut - 4)
-    side = lambda s, items: F.struct(F.lit(s).alias("side"), items.alias("items"))
-    clean = lambda s: (F.size(s[0]["items"]) > 0) & (F.size(s[1]["items"]) > 0) & (F.size(s[0]["items"]) + F.size(s[1]["items"]) == F.size("items"))
-    # one expression, not columns with filters: Spark would write the gutter into every test and find it anew for each fragment
-    cut_at = lambda cut: F.when(cut.isNotNull(), bound(F.array(side(0, left(cut)), side(1, right(cut))), lambda s: F.when(clean(s), s)))
-    sided = bands.filter("n >= 3").select(*keys, "band", F.explode(bound(gutter(F.col("items"), F.col("page_width")), cut_at)).alias("s")).select(*keys, "band", "s.side", F.explode("s.items").alias("item"))
-    halves = rebuilt_lines(sided, [*keys, "band", "side"])
-    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    one = halves.groupBy(*keys, "band", "side").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.col("right") - F.col("left"))).alias("wide"), F.avg(words).alias("words"), F.min_by("top", "line").alias("first"), F.max_by("top", "line").alias("last"))
-    broad = (F.col("n") >= 3) & (F.get("wide", F.floor(F.size("wide") / 2).cast("int")) >= F.col("page_width") * 0.22)
-    both = one.groupBy(*PAGE, "band").agg(F.min(broad).alias("broad"), F.count("*").alias("sides"), F.max("words").alias("words"), (F.max("n") - F.min("n")).alias("unlike"), F.max("first").alias("low"), F.min("last").alias("high"), F.min("first").alias("band_top"))
-    split = both.filter(F.col("broad") & (F.col("sides") == 2) & (F.col("low") <= F.col("high")) & ((F.col("words") >= 3.5) | (F.col("unlike") >= 2))).select(*PAGE, "band", "band_top")
-    whole = lines.join(split, [*PAGE, "band"], "left_anti").withColumns({"side": F.lit(0), "band_top": F.lit(None).cast("double")})
-    every = whole.unionByName(halves.join(split, [*PAGE, "band"]), allowMissingColumns=True)
-    part = F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("band", "side"))
-    return every.select(*PAGE, part.alias("part"), "band_top", "line", *columns)
+    clean = lambda s: (F.size(s[0]) > 0) & (F.size(s[1]) > 0) & (F.size(s[0]) + F.size(s[1]) == F.size("items"))
+    words = lambda text: F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    made = lambda items: F.transform(lines_within(F.array_sort(items), TOLERANCE, FRAGMENT), lambda i, k: _line(k + 1, by_x(i)))
+    wide = lambda lines: F.array_sort(F.transform(lines, lambda x: x["right"] - x["left"]))
+    broad = lambda lines: (F.size(lines) >= 3) & (F.get(wide(lines), F.floor(F.size(lines) / 2).cast("int")) >= width * 0.22)
+    full = lambda lines: F.aggregate(lines, F.lit(0), lambda n, x: n + words(x["text"])) / F.size(lines)
+    first, last = lambda lines: F.get(lines, F.lit(0))["top"], lambda lines: F.try_element_at(lines, F.lit(-1))["top"]
+    beside = lambda h: F.greatest(first(h[0]), first(h[1])) <= F.least(last(h[0]), last(h[1]))
+    told = lambda h: (F.greatest(full(h[0]), full(h[1])) >= 3.5) | (F.abs(F.size(h[0]) - F.size(h[1])) >= 2)
+    split = lambda h: broad(h[0]) & broad(h[1]) & beside(h) & told(h)
+    tagged = lambda lines, s, top: F.transform(lines, lambda x: F.struct(F.lit(s).alias("side"), top.alias("band_top"), x.alias("x")))
+    whole = tagged(F.col("lines"), 0, F.lit(None).cast("double"))
+    halved = lambda h: F.when(split(h), bound(F.least(first(h[0]), first(h[1])), lambda top: F.concat(tagged(h[0], 0, top), tagged(h[1], 1, top)))).otherwise(whole)
+    sided = lambda s: F.when(clean(s), bound(F.array(made(s[0]), made(s[1])), halved)).otherwise(whole)
+    cut_at = lambda cut: F.when(cut.isNotNull(), bound(F.array(left(cut), right(cut)), sided)).otherwise(whole)
+    read = F.when((F.col("band") % 2 == 0) & (F.size("lines") >= 3), bound(gutter(F.col("items"), width), cut_at)).otherwise(whole)
+    every = bands.select(*PAGE, "band", F.explode(read).alias("s"))
+    part = F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("band", "s.side"))
+    return every.select(*PAGE, part.alias("part"), "s.band_top", *(f"s.x.{c}" for c in LINE))
 
 
 def aligned_table(rows: Column) -> Column:
@@ -148,7 +161,8 @@ def rebuilt_blocks(frame: DataFrame) -> DataFrame:
 
     kind: heading (level 1 to 3), bullet, numbered (list: which numbered list of the document), paragraph, table (rows).
     """
-    lines = reading_groups(frame).join(base_sizes(frame.filter(F.col("str").rlike(r"\S"))), "doc_id")
+    # lists are numbered through a document, so its pages share a task; no later step deals them out again
+    lines = reading_groups(frame.repartition("doc_id")).join(base_sizes(frame.filter(F.col("str").rlike(r"\S"))).hint("shuffle_hash"), "doc_id")
     group = Window.partitionBy(*PAGE, "part").orderBy("line")
     row = F.size("cells") >= 2
     follows = row & F.lag(row).over(group) & (F.abs(F.col("top") - F.lag("top").over(group)) <= F.greatest(F.col("size"), F.lag("size").over(group)) * 3.5)

@@ -65,3 +65,9 @@ def test_the_gutter_is_found_once_in_a_band(spark):
     """In a filter it would be found anew for every fragment."""
     plan = rebuild.rebuilt_blocks(spark.createDataFrame([], SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
     assert "0.65" in plan and not [line for line in plan.splitlines() if "Filter" in line and "0.65" in line]
+
+
+def test_lines_of_a_page_are_made_once(spark):
+    """One flow, dealt out once by document: no join of lines with lines, no second dealing."""
+    groups = rebuild.reading_groups(spark.createDataFrame([], SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
+    assert groups.count("posexplode(") == 1 and "Join" not in groups
