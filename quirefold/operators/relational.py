@@ -107,11 +107,17 @@ def broken_references(child: DataFrame, column: str, parent: DataFrame, key: str
 
 def graph_violations(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     """operation_id, problem: an operation needs 1 to 32 distinct inputs and may not output one of them."""
-    counted = inputs.groupBy("operation_id").agg(F.count("*").alias("n"), F.countDistinct("artifact_id").alias("distinct"))
-    shape = counted.filter((F.col("n") > 32) | (F.col("n") != F.col("distinct"))).select("operation_id", F.lit("inputs must be 1 to 32 and distinct").alias("problem"))
-    both = inputs.join(outputs, ["operation_id", "artifact_id"]).select("operation_id", F.lit("an input is also an output").alias("problem")).distinct()
-    bare = outputs.join(inputs, "operation_id", "left_anti").select("operation_id", F.lit("no input").alias("problem")).distinct()
-    return shape.unionByName(both).unionByName(bare)
+    side = lambda edges, i, o: edges.select("operation_id", "artifact_id", F.lit(i).alias("i"), F.lit(o).alias("o"))
+    # dealt out once, by operation: an artifact's edges, then an operation's artifacts; no side is held for a join
+    edges = side(inputs, 1, 0).unionByName(side(outputs, 0, 1)).repartition("operation_id")
+    pairs = edges.groupBy("operation_id", "artifact_id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    taken, named = F.col("i") > 0, F.col("artifact_id").isNotNull()
+    met = taken & (F.col("o") > 0) & named & F.col("operation_id").isNotNull()
+    counted = pairs.groupBy("operation_id").agg(F.sum("i").alias("n"), F.count_if(taken & named).alias("distinct"), F.max(met).alias("both"), F.sum("o").alias("out"))
+    problem = lambda holds, text: F.when(holds, F.lit(text))
+    bare = (F.col("out") > 0) & ((F.col("n") == 0) | F.col("operation_id").isNull())
+    found = F.array(problem((F.col("n") > 32) | (F.col("n") != F.col("distinct")), "inputs must be 1 to 32 and distinct"), problem(F.col("both"), "an input is also an output"), problem(bare, "no input"))
+    return counted.select("operation_id", F.explode(F.array_compact(found)).alias("problem"))
 
 
 def capacity(artifacts: DataFrame, incoming: int, limit: int) -> DataFrame:
