@@ -1,8 +1,8 @@
 """Topological ranks and cycles of graphs as large as the data, by peeling sources and sinks round by round.
 
 A round takes the nodes that no remaining edge enters, gives them the round's number, and drops their edges. Each round is
-two joins on node ids over what is left, written to the shared folder; there are as many rounds as the longest path has
-nodes. What the peeling leaves hangs on a cycle; peeling sinks then tells nodes on cycles, or between two, from nodes
+one join on node ids over what is left, which marks the dropped edges, and one count by the nodes that edges enter, both
+written to the shared folder; there are as many rounds as the longest path has nodes. What the peeling leaves hangs on a cycle; peeling sinks then tells nodes on cycles, or between two, from nodes
 behind one. Nothing but a count of new nodes reaches the driver.
 
 Repeated edges and nodes: as one. Edges from or to unknown nodes: those nodes are added. An edge from a node to itself is a
@@ -23,10 +23,11 @@ def _peeled(made: Scratch, nodes: DataFrame, edges: DataFrame, most: int) -> tup
     layer = made.write(nodes.join(edges.select(F.col("dst").alias("id")), "id", "left_anti"))
     while len(rounds) < most and not layer.isEmpty():
         rounds.append(layer.withColumn("rank", F.lit(len(rounds)).cast("int")))
-        freed = edges.join(layer.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        rest = made.write(edges.join(layer.select(F.col("id").alias("src")), "src", "left_anti"))
-        layer = made.write(freed.join(rest.select(F.col("dst").alias("id")), "id", "left_anti"))
-        edges = rest
+        gone = layer.select(F.col("id").alias("src"), F.lit(True).alias("gone"))
+        marked = made.write(edges.join(gone, "src", "left"))
+        held = F.max(F.col("gone").isNull()).alias("held")
+        layer = made.write(marked.groupBy(F.col("dst").alias("id")).agg(held).filter("NOT held").select("id"))
+        edges = marked.filter("gone IS NULL").select("src", "dst")
     if not layer.isEmpty():
         raise ValueError(f"a path has more than {most} nodes")
     return rounds, edges
@@ -47,8 +48,8 @@ def topological_ranks(nodes: DataFrame, edges: DataFrame, most: int = 10_000) ->
     with scratch(nodes.sparkSession, "ranks") as made:
         known = edges.filter(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst").distinct()
         ids = nodes.select("id").filter(F.col("id").isNotNull())
-        every = made.write(ids.unionByName(known.select(F.col("src").alias("id"))).unionByName(known.select(F.col("dst").alias("id"))).distinct())
         first = made.write(known)
+        every = made.write(ids.unionByName(first.select(F.col("src").alias("id"))).unionByName(first.select(F.col("dst").alias("id"))).distinct())
         rounds, left = _peeled(made, every, first, most)
         none = every.limit(0).withColumn("rank", F.lit(0).cast("int"))
         ranked = made.write(_union(rounds, none))

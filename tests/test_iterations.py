@@ -84,3 +84,12 @@ def test_ranks_among_infinite_values_and_nan(spark):
     picked = lambda last: {r[0]: [repr(v) for v in r[1:]] for r in selection.select_ranks(rows, ["k"], "x", ranks, bins=4, few=2, nan_last=last).collect()}
     assert picked(True) == {"a": ["-inf", "25.0", "nan", "nan"], "b": ["nan"] * 4, None: ["1.0"] * 4}
     assert picked(False) == {"a": ["-inf", "24.0", "49.0", "inf"], "b": ["None"] * 4, None: ["1.0"] * 4}
+
+
+def test_a_round_of_peeling_is_one_join(spark, monkeypatch):
+    path = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
+    joins, plain = [], type(path).join
+    monkeypatch.setattr(type(path), "join", lambda self, *a, **b: joins.append(1) or plain(self, *a, **b))
+    found = graphs.topological_ranks(path.select(F.col("src").alias("id")), path)
+    assert len(joins) <= 5 + 4  # four rounds
+    assert sorted(map(tuple, found.collect())) == [("a", 0, "ranked"), ("b", 1, "ranked"), ("c", 2, "ranked"), ("d", 3, "ranked")]
