@@ -261,7 +261,7 @@ def b5_accent_free_search(spark, sf_dir):
 
 @query("SELECT doc_id, nfc_normalize(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS text FROM documents")
 def g4_g16_normalized_texts(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", text.normalize_nfc("text").alias("text"))
+    return load(spark, sf_dir, "documents").select("doc_id", text.normalize_nfc(F.col("text")).alias("text"))
 
 
 @query("""SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;')) AS xml,
